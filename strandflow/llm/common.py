@@ -48,6 +48,13 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows for this session: a batch of whole texts must fit beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def clustered(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-dealt by ``keys`` into the session's number of shuffle partitions."""
     return df.repartition(parallelism(df.sparkSession), *keys)

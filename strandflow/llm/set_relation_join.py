@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, clustered, connected_components, written
+from .common import bounded, clustered, connected_components, text_batches, written
 from .shingles import WordHashes, shingle_set
 
 PIECE = 1 << 16
@@ -119,7 +119,7 @@ def _prefix(width: int, percent: int, log_cells: int, rates):
                 sid = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
                 if sid in done:
                     continue
-                if len(done) >= 1 << 20:
+                if len(done) >= 1 << 18:
                     done.clear()
                 done.add(sid)
                 k = len(s) - (percent * len(s) + 99) // 100 + 1
@@ -191,6 +191,7 @@ def jaccard_components(
     """(id, n_shingles, component_id): component_id is the smallest id reachable by links of similarity
     ``percent``/100 or more. ``broadcast_rows`` bounds the only id list that is ever broadcast (16 bytes a row)."""
     spark = docs.sparkSession
+    text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     log_cells = _log_cells(texts)
     survey = written(

@@ -11,7 +11,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hash of a word; forgets everything when it holds ``most`` words."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 17):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
