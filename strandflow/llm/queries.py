@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mixed
+from .secrets import op4_ownership_secrets
 from .set_relation_join import jaccard_components
+from .sharding import interleaved_shards
+from .token_sequences import op2_arrow_sequences
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op6_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleaved_shards(_documents(spark, sf_dir))
 
 
 def op9_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(_documents(spark, sf_dir))
 
 
-QUERIES = {"op9_set_relation_join": op9_set_relation_join}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_arrow_sequences, op4_ownership_secrets, op6_hypergeometric_mix, op8_interleaved_shards, op9_set_relation_join)
+}
 
 ORACLE_SQL: dict[str, str] = {}
