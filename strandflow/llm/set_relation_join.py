@@ -165,6 +165,19 @@ def _fits(n, i, m, j, percent: int):
     )
 
 
+def _plausible(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs whose prefixes have too few shingles in common: what is common beyond the prefix that ends first
+    is at most the rest of its set."""
+    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    shared = lists.join(sids, "sid", "left_semi").groupBy("sid").agg(F.collect_set("tok").alias("t"))
+    both = pairs.join(shared.select(F.col("sid").alias("a"), F.col("t").alias("t_a")), "a").join(
+        shared.select(F.col("sid").alias("b"), F.col("t").alias("t_b")), "b"
+    )
+    beyond = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / F.lit(100)) - 1
+    enough = F.size(F.array_intersect("t_a", "t_b")) + beyond >= _need(F.col("n_a"), F.col("n_b"), percent)
+    return both.where(enough).select("a", "n_a", "b", "n_b")
+
+
 def _overlaps(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, most: int, tag: str) -> DataFrame:
     """Adds the exact overlap to pairs (a, n_a, b, n_b) of sets; only texts of sets in a pair are read again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select("sid", "id")
@@ -232,7 +245,7 @@ def jaccard_components(
         .select(F.col("p.sid").alias("a"), F.col("p.n").alias("n_a"), F.col("sid").alias("b"), F.col("n").alias("n_b"))
         .distinct()
     )
-    judged = written(_overlaps(written(pairs, "j9-pairs"), texts, reps, width, broadcast_rows, "j9-pivot"), "j9-judged")
+    judged = written(_overlaps(written(_plausible(written(pairs, "j9-pairs"), lists, percent), "j9-plausible"), texts, reps, width, broadcast_rows, "j9-pivot"), "j9-judged")
     linked = F.col("o") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
     links = judged.where(linked).select("a", "b")
     classes = written(connected_components(links, "a", "b", "j9-first"), "j9-classes")
@@ -245,7 +258,7 @@ def jaccard_components(
         "j9-left",
     )
     rest = _outside(left, judged, percent)
-    more = written(rest, "j9-rest")
+    more = written(_plausible(written(rest, "j9-rest"), lists, percent), "j9-more")
     if more.limit(1).count():
         judged2 = _overlaps(more, texts, reps, width, broadcast_rows, "j9-more")
         again = written(links.unionByName(judged2.where(linked).select("a", "b")), "j9-links")
