@@ -11,7 +11,7 @@ lost executor or a repeated task leaves orphans but never double rows. Files go
 caller through pyarrow's file systems (local, HDFS, S3 or GCS paths).
 
 Encoding: the library's pre-tokenizer always cuts before a single space that stands between two characters
-that aren't white space, so each such piece is encoded once and remembered (bounded); texts with other runs of white space
+that aren't white space, so such pieces are encoded once, many in one call, and remembered (bounded); texts with other white space
 around a space are encoded whole.
 
 Defined results: null and empty texts have the end id alone; repeated rows are repeated; an empty table
@@ -37,36 +37,64 @@ ODD_SPACE = re.compile(r"\s |^ | $")
 
 
 class Encoder:
-    """Whole texts to arrays of token ids, with the end id appended."""
+    """Whole texts to arrays of token ids, with the end id appended.
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    ``most`` bounds the pieces remembered; it is kept for the life of a Python worker.
+    """
+
+    def __init__(self, path: str, end_id: int, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = end_id
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.uint16 if max(size, end_id) < 1 << 16 else np.uint32
         self.last = np.array([end_id], self.dtype).tobytes()
+        self.spaced = np.zeros(size, bool)  # ids whose text begins with a space
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
         self.most = most
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """The ids of " " + word for each word, from one encoding of all of them: no id but a word's first begins with a space."""
+        for start in range(0, len(words), 20_000):
+            part = words[start : start + 20_000]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, self.dtype)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) != len(part):
+                raise RuntimeError("a piece was cut where none is")
+            raw, size = ids.tobytes(), ids.itemsize
+            ends = [*(first[1:] * size).tolist(), len(raw)]
+            self.known.update(zip(part, (raw[a:b] for a, b in zip((first * size).tolist(), ends))))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        split = [None if not t or ODD_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        whole = [i for i, (t, s) in enumerate(zip(texts, split)) if t and s is None]
-        done = dict(zip(whole, self._ids([texts[i] for i in whole]))) if whole else {}
-        known = self.known
-        new = list({p for s in split if s for p in s if p not in known})
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            known.update(zip(part, self._ids(part)))
-        get = known.__getitem__
-        return [
-            np.frombuffer((b"".join(map(get, s)) if s else done.get(i, b"")) + self.last, self.dtype) for i, s in enumerate(split)
+        split = [t.split(" ") if t and not ODD_SPACE.search(t) else None for t in texts]
+        #: what is encoded apart: whole texts with odd spaces, the first pieces of the others
+        apart = [i for i, t in enumerate(texts) if t]
+        heads = dict(zip(apart, self._ids([split[i][0] if split[i] else texts[i] for i in apart])))
+        new = list(set().union(*(s[1:] for s in split if s)) - self.known.keys())
+        self._learn(new)
+        get = self.known.__getitem__
+        out = [
+            np.frombuffer(heads.get(i, b"") + (b"".join(map(get, s[1:])) if s else b"") + self.last, self.dtype) for i, s in enumerate(split)
         ]
+        if len(self.known) > self.most:
+            if len(new) > self.most:
+                self.known.clear()
+            for w in new:
+                self.known.pop(w, None)
+        return out
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def _encoder(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def _file_system(folder: str):
@@ -131,7 +159,7 @@ def write_sequences(
     number of ids in the files ahead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, no = Encoder(tokenizer, end_id), None, 0
+        encoder, out, no = _encoder(tokenizer, end_id), None, 0
         for batch in batches:
             part = batch.column(0)[0].as_py()
             for start in range(0, batch.num_rows, 256):
