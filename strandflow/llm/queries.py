@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .latent_decontamination import op10_latent_decontamination
 from .mixing import mixed
+from .quality_mil import op7_attention_quality
+from .revisits import OP1_SQL, op1_revisit_resolution
 from .secrets import op4_ownership_secrets
 from .set_relation_join import jaccard_components
 from .sharding import interleaved_shards
+from .temporal_lists import OP3_SQL, op3_temporal_lists
 from .token_sequences import op2_arrow_sequences
+from .vector_passes import op5_sorted_projection_passes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +34,18 @@ def op9_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_arrow_sequences, op4_ownership_secrets, op6_hypergeometric_mix, op8_interleaved_shards, op9_set_relation_join)
+    for f in (
+        op1_revisit_resolution,
+        op2_arrow_sequences,
+        op3_temporal_lists,
+        op4_ownership_secrets,
+        op5_sorted_projection_passes,
+        op6_hypergeometric_mix,
+        op7_attention_quality,
+        op8_interleaved_shards,
+        op9_set_relation_join,
+        op10_latent_decontamination,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_revisit_resolution": OP1_SQL, "op3_temporal_lists": OP3_SQL}
