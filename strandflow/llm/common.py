@@ -89,6 +89,12 @@ def bounded(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def without(docs: DataFrame, ids: DataFrame, col: str, tag: str, rows: int = 1_000_000) -> DataFrame:
+    """``docs`` whose ``col`` isn't among ``ids``; the ids are broadcast only where they are few (8 bytes each)."""
+    gone = written(ids.select(F.col(ids.columns[0]).alias(col)).distinct(), tag)
+    return docs.join(F.broadcast(gone) if bounded(gone, rows) else gone, col, "left_anti").select(*docs.columns)
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,16 +93,20 @@ def mixed(
     block_words: int = 4096,
     most_blocks: int = 1 << 16,
     seed: str = "mix",
+    carry: tuple = (),
+    broadcast_rows: int = 1 << 18,
 ) -> DataFrame:
     """A row for each document: id, source, size, source_size, target, copies (array of (shard, key): one for
-    each time the mix takes it; key orders the shard's rows) and taken (words, repeats counted)."""
-    rows = docs.select(
+    each time the mix takes it; key orders the shard's rows) and taken (words, repeats counted); with ``carry``, the
+    columns named there instead of id and source. ``broadcast_rows`` bounds the block table that is broadcast to
+    rows that carry more; beyond it they are dealt by block."""
+    computed = (
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("mix"),
     )
-    rows = written(rows, "m6-rows")
+    rows = written(docs.select(*computed), "m6-rows")
     targets = source_targets(rows, most).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     total = F.sum("source_size").over(Window.partitionBy())
     words = F.greatest(F.lit(block_words), F.ceil(total / most_blocks)).cast("long")
@@ -113,9 +117,10 @@ def mixed(
         "m6-targets",
     )
     own = targets.withColumnRenamed("source", "s")
-    placed = rows.join(own, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn(
+    place = lambda r, own: r.join(own, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn(
         "block", F.pmod(F.shiftrightunsigned("mix", 16), F.col("blocks"))
     )
+    placed = place(rows, own)
     blocks = placed.groupBy("source_no", "block").agg(
         F.sum("size").alias("words"), F.first("rounds").alias("rounds"), F.first("part").alias("part")
     )
@@ -157,6 +162,11 @@ def mixed(
             F.first("cut").alias("cut"),
         )
     )
+    if carry:
+        by_block = written(by_block, "m6-by-block")
+        if bounded(by_block, broadcast_rows):  # and so are the tables of a row for each source
+            own, by_block, edge = F.broadcast(own), F.broadcast(by_block), F.broadcast(edge)
+        placed = place(docs.select(F.struct(*carry).alias("carried"), *computed), own)
     out = placed.join(by_block, ["source_no", "block"], "left").join(edge, "source_no", "left")
     in_edge = F.coalesce(F.col("mix") <= F.col("upto"), F.lit(False)) | F.coalesce(F.col("mix") == F.col("extra"), F.lit(False))
     out = out.withColumn("_in", ~F.coalesce(F.col("cut"), F.lit(False)) | in_edge)
@@ -166,7 +176,8 @@ def mixed(
             transform(filter(draws, d -> d.round < full or _in), d -> named_struct('shard', d.shard, 'key', xxhash64('{seed}', d.shard, d.round, id))),
             cast(array() as array<struct<shard: int, key: bigint>>))"""),
     )
+    named = ["carried.*"] if carry else [F.col("id").alias(id_col), F.col("source").alias(source_col)]
     return out.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
+        *named, "size", "source_size", "target", "copies",
         (F.col("size") * F.size("copies")).cast("long").alias("taken"),
     )

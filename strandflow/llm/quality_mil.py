@@ -198,5 +198,28 @@ def quality_scores(
     )
 
 
+def _keeper(model, column: int, accept: float):
+    score = _scorer(model)
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(column)] * 2, ["id", "text"])
+            kept = np.concatenate([b.column(1).to_numpy() for b in score([texts])]) >= accept if batch.num_rows else np.empty(0, bool)
+            yield batch.filter(pa.array(kept))
+
+    return run
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    accept: float = 0.7, sample: int = 3000, seed: int = 11,
+) -> DataFrame:
+    """The documents scored ``accept`` or more, all columns as they were; one pass, nothing is joined back."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    model = spark.sparkContext.broadcast(learned(docs, labels, id_col, text_col, label_col, sample, seed))
+    return docs.mapInArrow(_keeper(model, docs.columns.index(text_col), accept), docs.schema)
+
+
 def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
