@@ -8,11 +8,12 @@ Index level: every list is held in blocks by position. A pair whose first common
 positions i and j has at most min(n-i, m-j) common shingles, so whole pairs of blocks are skipped by the
 bounds in their heads.
 
-Answer level: a list's first set is its pivot. Members that prove similar to a pivot take the pivot's
-answer, its component, as their own; for them only candidates outside that answer are computed, and of
-those a candidate u is skipped where the pivot's computed distance d(p, u) - d(p, s) already exceeds the
-limit (Jaccard distance is a metric). A group of copies thus costs one pair for each copy, not for each
-pair of copies, and no link between components is lost.
+Answer level: in a few turns each set is computed against a few partners in each list: the list's pivot and
+neighbours in an order that all lists share. Sets that prove similar take over each other's answer, their
+component; afterwards only candidates outside that answer are computed, all of them, and of those a
+candidate u is skipped where a similar set p has the computed distance d(p, u) - d(p, s) beyond the limit
+(Jaccard distance is a metric). A group of copies thus costs a few pairs for each copy, not one for each pair of
+copies, and no link between components is lost.
 
 Defined results: null or empty texts have an empty set, link with nothing and are their own component;
 repeated rows are rows of the same component; an empty table gives an empty result; columns other than
@@ -199,6 +200,7 @@ def jaccard_components(
     text_col: str = "text",
     width: int = 5,
     percent: int = 75,
+    turns: int = 4,
     broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(id, n_shingles, component_id): component_id is the smallest id reachable by links of similarity
@@ -232,37 +234,30 @@ def jaccard_components(
     own = Window.partitionBy("tok")
     lists = written(
         clustered(index, "tok")
-        .withColumn("p", F.first(F.struct("n", "sid", "pos")).over(own.orderBy("n", "sid")))
         .withColumn("last", F.max("sid").over(own))
         .withColumn("first", F.min("sid").over(own))
         .where("first != last")
-        .select("tok", "sid", "n", "pos", "p"),
+        .select("tok", "sid", "n", "pos")
+        .distinct(),
         "j9-lists",
     )
-    pairs = (
-        lists.where(F.col("sid") != F.col("p.sid"))
-        .where(_fits(F.col("p.n"), F.col("p.pos"), F.col("n"), F.col("pos"), percent))
-        .select(F.col("p.sid").alias("a"), F.col("p.n").alias("n_a"), F.col("sid").alias("b"), F.col("n").alias("n_b"))
-        .distinct()
-    )
-    judged = written(_overlaps(written(_plausible(written(pairs, "j9-pairs"), lists, percent), "j9-plausible"), texts, reps, width, broadcast_rows, "j9-pivot"), "j9-judged")
-    linked = F.col("o") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    links = judged.where(linked).select("a", "b")
-    classes = written(connected_components(links, "a", "b", "j9-first"), "j9-classes")
-
-    left = lists.drop("p").distinct().join(classes.withColumnRenamed("node", "sid"), "sid", "left")
-    left = left.withColumn("comp", F.coalesce("component", "sid"))
-    mixed = left.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("tok")
-    left = written(
-        left.join(mixed, "tok").select("tok", "comp", "sid", "n", "pos", F.floor(F.col("pos") * 32 / F.col("n")).alias("block")),
-        "j9-left",
-    )
-    rest = _outside(left, judged, percent)
-    more = written(_plausible(written(rest, "j9-rest"), lists, percent), "j9-more")
-    if more.limit(1).count():
-        judged2 = _overlaps(more, texts, reps, width, broadcast_rows, "j9-more")
-        again = written(links.unionByName(judged2.where(linked).select("a", "b")), "j9-links")
-        classes = written(connected_components(again, "a", "b", "j9-second"), "j9-classes")
+    left = lists.withColumn("comp", F.col("sid"))
+    judged = classes = None
+    for turn in range(turns + 1):
+        asked = _partners(left, turn, percent) if turn < turns else _outside(left, judged, percent)
+        if judged is not None:
+            asked = asked.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        asked = written(_plausible(written(asked, "j9-asked"), lists, percent), "j9-plausible")
+        if not asked.limit(1).count():
+            continue
+        new = _overlaps(asked, texts, reps, width, broadcast_rows, "j9")
+        judged = written(new if judged is None else judged.unionByName(new), "j9-judged")
+        links = judged.where(F.col("o") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        classes = written(connected_components(links, "a", "b", "j9"), "j9-classes")
+        if turn < turns:
+            left = _mixed(left, classes)
+    if classes is None:
+        classes = spark.createDataFrame([], "node long, component long")
 
     placed = found.join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
     smallest = placed.where("n > 0").groupBy("comp").agg(F.min("id").alias("lowest"))
@@ -273,8 +268,40 @@ def jaccard_components(
     )
 
 
+def _mixed(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of lists that hold more than one component."""
+    named = left.drop("comp").join(classes.withColumnRenamed("node", "sid"), "sid", "left")
+    named = named.withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    several = named.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("tok")
+    return written(named.join(several, "tok").select("tok", "comp", "sid", "n", "pos"), "j9-left")
+
+
+def _partners(left: DataFrame, turn: int, percent: int) -> DataFrame:
+    """A few partners from another component for each set in each list: the list's pivot (its smallest set) at first,
+    and the 1, 2, 4, ... sets before it in an order that is the same in all lists and another at each turn."""
+    order = Window.partitionBy("tok").orderBy(F.xxhash64(F.lit(turn), "sid"), "sid")
+    me = F.struct("sid", "n", "pos", "comp")
+    near = [F.lag(me, k).over(order) for k in range(1, (1 << turn) + 1)]
+    if turn == 0:
+        near.append(F.first(me).over(Window.partitionBy("tok").orderBy("n", "sid")))
+    rows = left.select("sid", "n", "pos", "comp", *[w.alias(f"p{i}") for i, w in enumerate(near)])
+    rows = rows.withColumn("p", F.explode(F.array(*[f"p{i}" for i in range(len(near))]))).where("p.comp != comp")
+    rows = rows.where(_fits(F.col("p.n"), F.col("p.pos"), F.col("n"), F.col("pos"), percent))
+    return _ordered(rows.select(F.col("p.sid").alias("sid_a"), F.col("p.n").alias("n_a"), F.col("sid").alias("sid_b"), F.col("n").alias("n_b")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, n_a, b, n_b) with a < b."""
+    turned = F.col("sid_a") < F.col("sid_b")
+    return pairs.select(
+        F.least("sid_a", "sid_b").alias("a"), F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
+        F.greatest("sid_a", "sid_b").alias("b"), F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"),
+    ).distinct()
+
+
 def _outside(left: DataFrame, judged: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs between different components: block heads first, then the rows of blocks that may hold one."""
+    left = left.withColumn("block", F.floor(F.col("pos") * 32 / F.col("n")))
     heads = left.groupBy("tok", "comp", "block").agg(
         F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest")
     )
@@ -286,19 +313,16 @@ def _outside(left: DataFrame, judged: DataFrame, percent: int) -> DataFrame:
         & (F.least("rest_a", "rest_b") >= _need(F.col("n0_a"), F.col("n0_b"), percent))
     ).select("tok", "comp_a", "block_a", "comp_b", "block_b")
     ra, rb = (left.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "block", "sid", "n", "pos")]) for s in "ab")
-    pairs = (
+    pairs = _ordered(
         blocks.join(ra, ["tok", "comp_a", "block_a"])
         .join(rb, ["tok", "comp_b", "block_b"])
         .where(_fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
-        .select(
-            F.least("sid_a", "sid_b").alias("a"), F.when(F.col("sid_a") < F.col("sid_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
-            F.greatest("sid_a", "sid_b").alias("b"), F.when(F.col("sid_a") < F.col("sid_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"),
-        )
-        .distinct()
+        .select("sid_a", "n_a", "sid_b", "n_b")
     )
+    if judged is None:
+        return pairs
     d = judged.select("a", "b", (1 - F.col("o") / (F.col("n_a") + F.col("n_b") - F.col("o"))).alias("d"))
     known = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    pairs = pairs.join(d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     # a pivot's computed answers settle pairs of its members: d(s, u) >= d(p, u) - d(p, s)
     near = known.where(F.col("d") <= 1 - percent / 100)
     far = known.where(F.col("d") > 1 - percent / 100).select(F.col("a").alias("p"), F.col("b").alias("u"), F.col("d").alias("d_u"))
