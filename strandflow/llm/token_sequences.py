@@ -34,6 +34,20 @@ from pyspark.sql import functions as F
 from .common import new_path, parallelism, text_batches, written
 
 ODD_SPACE = re.compile(r"\s |^ | $")
+ENDS = ".,;:!?"
+# Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
+
+
+def _odd(text: str) -> bool:
+    """Whether a space stands at an end or behind other white space."""
+    if text.isascii():
+        return text[0] == " " or text[-1] == " " or any(x in text for x in _ODD_ASCII)
+    return ODD_SPACE.search(text) is not None
+
+
+_ODD_ASCII = [c + " " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"]
 
 
 class Encoder:
@@ -42,7 +56,7 @@ class Encoder:
     ``most`` bounds the pieces remembered; it is kept for the life of a Python worker.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 200_000):
+    def __init__(self, path: str, end_id: int, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,14 +65,60 @@ class Encoder:
         self.last = np.array([end_id], self.dtype).tobytes()
         self.spaced = np.zeros(size, bool)  # ids whose text begins with a space
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of " " + word, by word
+        self.bare: dict[str, bytes] = {}  # of words without a space before them
         self.most = most
+        self.tokens_of = self.tokenizer.model.tokenize
+        raw, width = np.arange(size, dtype=self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        self.raw = [raw[i : i + width] for i in range(0, len(raw), width)]  # an id's bytes
+
+    def _letters(self, word: str, space: str) -> bytes:
+        """The ids of one pre-token of letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.tokens_of(space + word)])
+
+    def _ending(self, word: str, core: str) -> bytes:
+        if len(word) == len(core):
+            return b""
+        end = word[len(core) :]
+        ids = self.bare.get(end)
+        if ids is None:
+            ids = self.bare[end] = self._ids([end])[0]
+        return ids
+
+    def _simple(self, word: str) -> bytes | None:
+        """The ids of " " + word where it is letters and marks after them, and perhaps a line end and the same again."""
+        first, line, second = word.partition("\n")
+        core = first.rstrip(ENDS)
+        if not core.isalpha() or max(core) > "\u024f":
+            return None
+        ids = self.known.get(core)
+        if ids is None:
+            ids = self.known[core] = self._letters(core, "\u0120")
+        ids += self._ending(first, core)
+        if line:
+            core = second.rstrip(ENDS)
+            if not core.isalpha() or max(core) > "\u024f":
+                return None
+            ids += self._ending("\n", "") + self._letters(core, "") + self._ending(second, core)
+        return ids
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """The ids of " " + word for each word, from one encoding of all of them: no id but a word's first begins with a space."""
+        """The ids of " " + word for each word; of those that aren't simple, from one encoding of all of them: no id but a
+        word's first begins with a space."""
+        known, simple, rest = self.known, self._simple, []
+        for w in words:
+            ids = simple(w)
+            if ids is None:
+                rest.append(w)
+            else:
+                known[w] = ids
+        words = rest
         for start in range(0, len(words), 20_000):
             part = words[start : start + 20_000]
             ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, self.dtype)
@@ -70,7 +130,7 @@ class Encoder:
             self.known.update(zip(part, (raw[a:b] for a, b in zip((first * size).tolist(), ends))))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.split(" ") if t and not ODD_SPACE.search(t) else None for t in texts]
+        split = [t.split(" ") if t and not _odd(t) else None for t in texts]
         #: what is encoded apart: whole texts with odd spaces, the first pieces of the others
         apart = [i for i, t in enumerate(texts) if t]
         heads = dict(zip(apart, self._ids([split[i][0] if split[i] else texts[i] for i in apart])))
@@ -81,10 +141,12 @@ class Encoder:
             np.frombuffer(heads.get(i, b"") + (b"".join(map(get, s[1:])) if s else b"") + self.last, self.dtype) for i, s in enumerate(split)
         ]
         if len(self.known) > self.most:
-            if len(new) > self.most:
-                self.known.clear()
             for w in new:
                 self.known.pop(w, None)
+            if len(self.known) > self.most:
+                self.known.clear()
+        if len(self.bare) > self.most:
+            self.bare.clear()
         return out
 
 
