@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, clustered, connected_components, text_batches, written
-from .shingles import WordHashes, shingle_set
+from .shingles import shingle_set
 
 PIECE = 1 << 16
 
@@ -46,14 +46,14 @@ def _survey(width: int, log_cells: int):
     """Per document its set's 128-bit digest and size; per task the counts of its sketch cells, in pieces."""
 
     def run(batches):
-        hashes, cells = WordHashes(), np.zeros(1 << log_cells, np.uint32)
+        cells = np.zeros(1 << log_cells, np.uint32)
         shift = np.uint64(64 - log_cells)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for start in range(0, len(ids), 1000):
                 sid, check, n, seen = [], [], [], []
                 for t in texts.slice(start, 1000):
-                    s = shingle_set(t.as_py(), hashes, width)
+                    s = shingle_set(t.as_py(), width)
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     sid.append(int.from_bytes(d[:8], "little", signed=True))
                     check.append(int.from_bytes(d[8:], "little", signed=True))
@@ -96,7 +96,7 @@ def _prefix(width: int, percent: int, log_cells: int, rates):
     """(tok, sid, n, pos) for the prefix of each set; a task emits a set once."""
 
     def run(batches):
-        hashes, rate, shift = WordHashes(), np.frombuffer(zlib.decompress(rates.value), np.uint8), np.uint64(64 - log_cells)
+        rate, shift = np.frombuffer(zlib.decompress(rates.value), np.uint8), np.uint64(64 - log_cells)
         done: set[int] = set()
 
         def flushed(tok, sid, n):
@@ -114,7 +114,7 @@ def _prefix(width: int, percent: int, log_cells: int, rates):
         for batch in batches:
             tok, sids, ns, rows = [], [], [], 0
             for t in batch.column(0):
-                s = shingle_set(t.as_py(), hashes, width)
+                s = shingle_set(t.as_py(), width)
                 if not len(s):
                     continue
                 sid = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
@@ -140,10 +140,9 @@ def _prefix(width: int, percent: int, log_cells: int, rates):
 
 def _sets_of(width: int):
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                part = [shingle_set(t.as_py(), hashes, width).view(np.int64) for t in batch.column(1).slice(start, 500)]
+                part = [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column(1).slice(start, 500)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)
                 values = np.concatenate(part) if part else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(

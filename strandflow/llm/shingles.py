@@ -3,24 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
+from xxhash import xxh3_64_intdigest
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word; forgets everything when it holds ``most`` words."""
-
-    def __init__(self, most: int = 1 << 17):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased; words are runs without ASCII white space (bytes.lower and bytes.split know ASCII only)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -32,12 +19,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None, hashes: WordHashes, width: int = 5) -> np.ndarray:
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct uint64 hashes of the ``width``-word shingles; fewer words make one shingle; none, none."""
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(width, len(h))
     m = len(h) - k + 1
     out = h[:m].copy()
@@ -45,4 +32,6 @@ def shingle_set(text: str | None, hashes: WordHashes, width: int = 5) -> np.ndar
         out *= MULTIPLIER
         out += h[i : i + m]
     out += np.uint64(k)
-    return np.unique(_mixed(out))
+    out = _mixed(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
