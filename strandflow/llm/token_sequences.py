@@ -56,7 +56,7 @@ class Encoder:
     ``most`` bounds the pieces remembered; it is kept for the life of a Python worker.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000):
+    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
