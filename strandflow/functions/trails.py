@@ -22,12 +22,12 @@ def shorthand(path: Column) -> Column:
 
 def parse_shorthand(text: Column) -> Column:
     """Signed ids of '9s,12s,7e'; spaces around commas are allowed; anything else raises."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
 
     def one(p):
         ok = F.regexp_like(p, F.lit("^[0-9]+[se]$"))
         number = F.regexp_extract(p, "^([0-9]+)", 1)
-        value = F.try_to_number(number, F.lit("9999999999")).cast("int")
+        value = number.try_cast("int")
         return F.when(ok, F.when(p.endswith("s"), value).otherwise(-value)).otherwise(F.raise_error(F.concat(F.lit("not an oriented node: "), p)).cast("int"))
 
     return F.transform(parts, one)

@@ -85,3 +85,20 @@ def connected_components(edges: DataFrame, a: str, b: str, tag: str, rounds: int
         raise RuntimeError("components did not settle")
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def global_rank(df: DataFrame, keys: list, tag: str, name: str = "rank") -> DataFrame:
+    """Adds the 0-based rank of each row under the total order ``keys``: one range-partitioned sort, and a count for each partition."""
+    from pyspark.sql import Window
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (
+        df.repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    placed = written(placed, tag)
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_pos")).drop("_part", "_pos", "_before")
