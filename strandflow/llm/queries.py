@@ -9,11 +9,11 @@ from .mixing import mixed
 from .quality_mil import op7_attention_quality
 from .revisits import OP1_SQL, op1_revisit_resolution
 from .secrets import op4_ownership_secrets
-from .set_relation_join import jaccard_components
+from .set_relation_join import OP9_SQL, jaccard_components
 from .sharding import interleaved_shards
 from .temporal_lists import OP3_SQL, op3_temporal_lists
 from .token_sequences import op2_arrow_sequences
-from .vector_passes import op5_sorted_projection_passes
+from .vector_passes import OP5_SQL, op5_sorted_projection_passes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,4 +48,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_revisit_resolution": OP1_SQL, "op3_temporal_lists": OP3_SQL}
+ORACLE_SQL = {"op1_revisit_resolution": OP1_SQL, "op3_temporal_lists": OP3_SQL, "op5_sorted_projection_passes": OP5_SQL, "op9_set_relation_join": OP9_SQL}
