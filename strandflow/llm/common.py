@@ -1,47 +1,13 @@
-"""Pieces that several operators of this subpackage share.
-
-Everything that cuts lineage is a written table in the shared folder the cluster names in
-``spark.checkpoint.dir``; a lost executor costs a re-read, never a recomputation of the whole plan.
-"""
+"""Pieces that several operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow.lineage import bounded, connected_components, forget, global_rank, new_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Our own is set only where the session names none (local runs)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("strandflow.local.dir", None)
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="strandflow-")
-            spark.conf.set("strandflow.local.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strandflow/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back with the same schema."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a written table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["bounded", "clustered", "connected_components", "forget", "global_rank", "new_path", "parallelism", "shared_dir", "text_batches", "without", "written"]
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -60,83 +26,7 @@ def clustered(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parallelism(df.sparkSession), *keys)
 
 
-def global_rank(df: DataFrame, keys: list, tag: str, name: str = "rank") -> DataFrame:
-    """Adds the 0-based rank of each row under the total order ``keys``.
-
-    One range-partitioned sort; what meets in one task afterwards is a count per partition.
-    """
-    spark = df.sparkSession
-    placed = (
-        df.repartitionByRange(parallelism(spark), *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    placed = written(placed, tag)
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select(
-        "_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before")
-    )  # a row for each partition
-    return (
-        placed.join(F.broadcast(before), "_part")
-        .withColumn(name, F.col("_before") + F.col("_pos"))
-        .drop("_part", "_pos", "_before")
-    )
-
-
-def bounded(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` (a written table) has at most so many rows; only then may it be broadcast."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def without(docs: DataFrame, ids: DataFrame, col: str, tag: str, rows: int = 1_000_000) -> DataFrame:
     """``docs`` whose ``col`` isn't among ``ids``; the ids are broadcast only where they are few (8 bytes each)."""
     gone = written(ids.select(F.col(ids.columns[0]).alias(col)).distinct(), tag)
     return docs.join(F.broadcast(gone) if bounded(gone, rows) else gone, col, "left_anti").select(*docs.columns)
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-    ).first()
-    return row["n"], row["h"]
-
-
-def connected_components(edges: DataFrame, a: str, b: str, tag: str, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has an edge.
-
-    Alternating large-star and small-star rounds, each a written table; nothing is collected but a count
-    and a checksum. A hub's edges meet its minimum in a join that Spark can split, not in a group.
-    """
-    cur = written(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct(),
-        f"{tag}-edges",
-    )
-    mark = _mark(cur)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u != v")
-            .distinct()
-        )
-        new = written(small, f"{tag}-round")
-        now = _mark(new)
-        forget(cur)
-        cur = new
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
-    nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
