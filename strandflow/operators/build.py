@@ -77,7 +77,7 @@ def build_graph(reads: DataFrame, k: int = 51, coverage_cutoff: float = 0.0, pro
         hits = hits.select("read_id", "node_id", fwd.alias("fwd"), F.col("pos").alias("start_coord"), F.when(fwd, F.col("at")).otherwise(F.col("n") - k - F.col("at")).alias("offset"))
         first = hits.groupBy("read_id", "node_id", "fwd").agg(F.min(F.struct("start_coord", "offset")).alias("b"))
         placed = first.select("node_id", "read_id", F.col("b.offset").cast("int").alias("offset"), F.col("b.start_coord").cast("int").alias("start_coord"), "fwd")
-    return AssemblyGraph(nodes, arcs, k, placed, rows.select("read_id", "seq"))
+    return AssemblyGraph(nodes, arcs, k, placed, rows.select("read_id", "seq"), units.select("node_id", "seq"))
 
 
 def _compacted(counts: DataFrame, k: int) -> DataFrame:

@@ -21,6 +21,7 @@ class AssemblyGraph:
     k: int
     noded_reads: DataFrame | None = None
     reads: DataFrame | None = None
+    unitigs: DataFrame | None = None  # (node_id, seq): whole sequences, where the graph was built here
 
     def edges(self) -> DataFrame:
         return oriented_edges(self.arcs)

@@ -513,3 +513,105 @@ def fasta_compare(spark, sf_dir):
 
     s = tb.table(spark, sf_dir, "supplier")
     return compare(s.select(F.col("s_name").alias("name"), F.md5("s_name").alias("seq")), s.select(F.col("s_name").alias("name"), F.when(F.col("s_nationkey") % 2 == 0, F.md5("s_name")).otherwise(F.md5(F.concat("s_name", F.lit("x")))).alias("seq")))
+
+
+def _dag_graph(spark, sf_dir):
+    d = tb.dag(spark, sf_dir)
+    arcs = d.select(F.col("src").alias("begin_id"), F.lit(True).alias("begin_fwd"), F.col("dst").alias("end_id"), F.lit(True).alias("end_fwd"), F.lit(1).cast("long").alias("mult"))
+    ids = d.select(F.col("src").alias("node_id")).union(d.select("dst")).distinct()
+    return gr.AssemblyGraph(tb.nodes(spark, sf_dir).join(ids, "node_id", "left_semi"), arcs, 31)
+
+
+_SYM = "sym AS (SELECT src, dst FROM dag UNION SELECT -dst, -src FROM dag)"
+
+
+@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_SYM}, ids AS (SELECT DISTINCT abs(src) AS n FROM sym), probes AS (SELECT row_number() OVER (ORDER BY n) - 1 AS i, CASE WHEN n % 2 = 0 THEN n ELSE -n END AS s FROM ids), "
+       "r AS (SELECT i, s AS node, CAST(0 AS BIGINT) AS d FROM probes UNION SELECT r.i, e.dst, r.d + n.length FROM r JOIN sym e ON e.src = r.node JOIN nodes n ON n.node_id = abs(e.dst) WHERE r.d + n.length <= 60) "
+       "SELECT CAST(r.i AS BIGINT) AS p1, CAST(p.i AS BIGINT) AS p2, CAST(min(r.d) AS BIGINT) AS distance FROM r JOIN probes p ON p.s = -r.node AND p.i >= r.i WHERE r.d > 0 GROUP BY ALL")
+def wander_distances(spark, sf_dir):
+    """All-pairs distances between probes on every node of the acyclic graph, by the wanderer."""
+    import pandas as pd
+
+    from strandflow.operators import walkers as wk
+
+    g = _dag_graph(spark, sf_dir)
+    ids = sorted(r[0] for r in g.nodes.select("node_id").collect())  # a probe on each node
+    probes = {i: n if n % 2 == 0 else -n for i, n in enumerate(ids)}
+
+    def walk(lg):
+        mine = [i for i, s in probes.items() if abs(s) in lg.length]
+        found = wk.wander(lg, [probes[i] for i in mine], 60)
+        return pd.DataFrame([(mine[a], mine[b], d) for (a, b), d in found.items()], columns=["p1", "p2", "distance"])
+
+    return wk.per_component(g, walk, "p1 long, p2 long, distance long")
+
+
+@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, ends AS (SELECT DISTINCT a.src AS start, b.dst AS stop FROM dag a JOIN dag b ON a.dst = b.src), live AS (SELECT start * 100000 + stop AS gap_id, stop, [start] AS path, CAST(0 AS BIGINT) AS bp FROM ends "
+       "UNION ALL SELECT l.gap_id, l.stop, list_append(l.path, e.dst), l.bp + n.length FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.src WHERE l.path[-1] <> l.stop AND l.bp + n.length <= 150) "
+       "SELECT CAST(gap_id AS BIGINT) AS gap_id, array_to_string(path, ',') AS path FROM live WHERE path[-1] = stop")
+def cycle_budget_paths(spark, sf_dir):
+    """The same paths by the walker that allows cycles; the acyclic graph has none."""
+    from strandflow.plans import pipelines as pl
+
+    d = tb.dag(spark, sf_dir)
+    ends = d.join(d.select(F.col("src").alias("dst"), F.col("dst").alias("stop")), "dst").select(F.col("src").alias("start"), "stop").distinct()
+    out = pl.gap_paths(_dag_graph(spark, sf_dir), ends.select((F.col("start").cast("long") * 100000 + F.col("stop")).alias("gap_id"), "start", "stop"), 150)
+    return out.where("path is not null").select("gap_id", tr.ids_only(F.col("path")).alias("path"))
+
+
+@query(f"WITH r AS (SELECT translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{tb.UPPER}', '{tb.CYCLE}') AS seq FROM conversations), k AS (SELECT DISTINCT substr(seq, CAST(i AS INTEGER), 21) AS m FROM (SELECT seq, unnest(range(1, greatest(length(seq) - 19, 1))) AS i FROM r)) "
+       f"SELECT DISTINCT least(m, {_rc('m')}) AS kmer, CAST(1 AS BIGINT) AS n FROM k")
+def built_graph_kmers(spark, sf_dir):
+    """A graph built from the conversations' sequences holds each of their k-mers exactly once."""
+    from strandflow.operators.build import build_graph
+
+    rows = tb.table(spark, sf_dir, "conversations")
+    reads = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), tb.UPPER, tb.CYCLE).alias("seq"))
+    g = build_graph(reads, 21, track_reads=False)
+    paths = g.nodes.select(F.col("node_id").alias("path_id"), F.array("node_id").alias("path"))
+    # a node's k-mers need its first k - 1 bases too: they come from the other strand
+    short = g.nodes.select("node_id", "length", "ends_fwd", "ends_twin").where("length < 20")
+    whole = gr.trail_sequences(paths.join(short.select(F.col("node_id").alias("path_id")), "path_id", "left_anti"), g.nodes, 21)
+    kmers = sq.with_kmers(whole.select("seq"), "seq", 21).select(sq.canonical(F.col("kmer")).alias("kmer"))
+    few = g.unitigs.join(short.select("node_id"), "node_id", "left_semi")
+    kmers = kmers.unionByName(sq.with_kmers(few.select("seq"), "seq", 21).select(sq.canonical(F.col("kmer")).alias("kmer")))
+    return kmers.groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query()
+def assembled_contigs(spark, sf_dir):
+    """Contigs of the acyclic graph, single-ended."""
+    from strandflow.operators import walkers as wk
+
+    out = wk.assembled(_dag_graph(spark, sf_dir), wk.AssembleOptions(max_tip_length=40, min_contig_size=0))
+    return out.select("shorthand", "fate", F.round("coverage", 6).alias("coverage"))
+
+
+@query()
+def bubbly_contigs(spark, sf_dir):
+    """Contigs of the acyclic graph that run on through bubbles."""
+    from strandflow.operators import walkers as wk
+
+    out = wk.assembled(_dag_graph(spark, sf_dir), wk.AssembleOptions(min_contig_size=0), bubbly=True)
+    return out.select("shorthand", "fate", F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, probes AS (SELECT DISTINCT src AS start FROM dag WHERE src NOT IN (SELECT dst FROM dag)), live AS (SELECT start, [start] AS path, CAST(n.length + 30 AS BIGINT) AS bp FROM probes JOIN nodes n ON n.node_id = start "
+       "UNION ALL SELECT l.start, list_append(l.path, e.dst), l.bp + n.length FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.dst WHERE l.bp < 120) "
+       "SELECT CAST(start AS BIGINT) AS start, array_to_string(path, ',') AS path, CASE WHEN bp >= 120 THEN 'beyond_leash' ELSE 'dead_end' END AS fate FROM live WHERE bp >= 120 OR path[-1] NOT IN (SELECT src FROM dag)")
+def fluffed_paths(spark, sf_dir):
+    """All paths from probes at the acyclic graph's roots."""
+    import pandas as pd
+
+    from strandflow.operators import walkers as wk
+
+    g = _dag_graph(spark, sf_dir)
+    _, roots = _roots(spark, sf_dir)
+    starts = sorted(r[0] for r in roots.collect())  # a probe on each root
+
+    def walk(lg):
+        mine = [s for s in starts if s in lg.length]
+        rows = [(s, ",".join(map(str, p)), f) for s, found in zip(mine, wk.fluff(lg, mine, 120)) for p, f in found]
+        return pd.DataFrame(rows, columns=["start", "path", "fate"])
+
+    return wk.per_component(g, walk, "start long, path string, fate string")
