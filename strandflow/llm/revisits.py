@@ -67,23 +67,27 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
 
 
 def records_of(pages: DataFrame) -> DataFrame:
-    """The pages table as archive records: every fourth capture is a revisit; a page's version changes every 15 days."""
-    p = pages.select("page_id", "url", F.length("html").alias("size")).withColumn("ts", F.lit(1_700_000_000) + F.col("page_id") * 7919 % 2_592_000)
-    p = p.withColumn("version", F.expr("ts div 1296000")).withColumn("again", F.col("page_id") % 4 == 3)
+    """The pages table as archive records: each page is captured one to four times, 400,000 s apart, first in full and later mostly
+    as not modified, under spellings of its URL; its version changes every 15 days."""
+    p = pages.select("page_id", "url", F.coalesce(F.length("html"), F.lit(0)).alias("size"))
+    p = p.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("page_id") % 4)))
+    p = p.withColumn("ts", F.lit(1_700_000_000) + F.col("page_id") * 7919 % 2_592_000 + F.col("j") * 400_000).withColumn("version", F.expr("ts div 1296000"))
+    p = p.withColumn("again", (F.col("j") % 2 == 1) | ((F.col("j") == 2) & (F.col("page_id") % 5 != 0)))
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.concat(canonical(F.col("url")), F.lit("/"), F.col("version").cast("string"))), 1, 12), F.lit('"'))
     etag = F.when(F.col("page_id") % 32 == 11, F.lit(None)).when(F.col("page_id") % 16 == 3, F.concat(F.lit("W/"), tag)).otherwise(tag)
     headers = F.map_from_arrays(
         F.array(*map(F.lit, ("cache-control", "content-length", "content-type", "date"))),
         F.array(
             F.concat(F.lit("max-age="), (F.col("page_id") % 100).cast("string")),
-            F.when(F.col("again"), F.lit("0")).otherwise(F.coalesce(F.col("size"), F.lit(0)).cast("string")),
+            F.when(F.col("again"), F.lit("0")).otherwise(F.col("size").cast("string")),
             F.when(F.col("again"), F.lit("text/plain")).otherwise(F.lit("text/html")),
             F.col("ts").cast("string"),
         ),
     )
+    spelled = F.when(F.col("j") == 1, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again"))).otherwise(F.col("url"))
     return p.select(
-        F.col("page_id").alias("record_id"), "url", "ts", F.when(F.col("again"), "revisit").otherwise("response").alias("kind"), etag.alias("etag"),
-        (F.col("version") * 1_296_000).alias("modified"), headers.alias("headers"),
+        (F.col("page_id") * 4 + F.col("j")).alias("record_id"), spelled.alias("url"), "ts", F.when(F.col("again"), "revisit").otherwise("response").alias("kind"),
+        etag.alias("etag"), (F.col("version") * 1_296_000).alias("modified"), headers.alias("headers"),
     )
 
 
@@ -94,16 +98,15 @@ def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = f"""
-WITH p AS (SELECT page_id, {CANONICAL_SQL} AS url_key, coalesce(length(html), 0) AS size, 1700000000 + page_id * 7919 % 2592000 AS ts FROM pages),
-v AS (SELECT *, ts // 1296000 AS version, '"' || substr(md5(url_key || '/' || CAST(ts // 1296000 AS VARCHAR)), 1, 12) || '"' AS tag FROM p),
-r AS (SELECT *, CASE WHEN page_id % 32 = 11 THEN NULL ELSE tag END AS etag FROM v WHERE page_id % 4 <> 3),
-q AS (SELECT *, CASE WHEN page_id % 32 = 11 THEN NULL ELSE tag END AS etag FROM v WHERE page_id % 4 = 3),
-j AS (SELECT q.page_id, q.url_key, q.ts, q.etag, q.version, r.page_id AS target_id, r.ts AS target_ts, r.etag AS t_etag, r.version AS t_version, r.size AS t_size,
-  row_number() OVER (PARTITION BY q.page_id ORDER BY r.ts DESC NULLS LAST, r.page_id DESC NULLS LAST) AS k
-  FROM q LEFT JOIN r ON q.url_key = r.url_key AND (r.ts < q.ts OR (r.ts = q.ts AND r.page_id < q.page_id))),
+WITH p0 AS (SELECT page_id, {CANONICAL_SQL} AS url_key, coalesce(length(html), 0) AS size, unnest(range(0, page_id % 4 + 1)) AS j FROM pages),
+p AS (SELECT *, 1700000000 + page_id * 7919 % 2592000 + j * 400000 AS ts, page_id * 4 + j AS record_id, j % 2 = 1 OR (j = 2 AND page_id % 5 <> 0) AS again FROM p0),
+v AS (SELECT *, ts // 1296000 AS version, CASE WHEN page_id % 32 = 11 THEN NULL ELSE '"' || substr(md5(url_key || '/' || CAST(ts // 1296000 AS VARCHAR)), 1, 12) || '"' END AS etag FROM p),
+j AS (SELECT q.record_id, q.page_id, q.url_key, q.ts, q.etag, q.version, r.record_id AS target_id, r.ts AS target_ts, r.etag AS t_etag, r.version AS t_version, r.size AS t_size,
+  row_number() OVER (PARTITION BY q.record_id ORDER BY r.ts DESC NULLS LAST, r.record_id DESC NULLS LAST) AS k
+  FROM (SELECT * FROM v WHERE again) q LEFT JOIN (SELECT * FROM v WHERE NOT again) r ON q.url_key = r.url_key AND (r.ts < q.ts OR (r.ts = q.ts AND r.record_id < q.record_id))),
 s AS (SELECT *, CASE WHEN target_id IS NULL THEN 'missing' WHEN etag IS NOT NULL THEN CASE WHEN etag = t_etag THEN 'resolved' ELSE 'mismatch' END
   WHEN version = t_version THEN 'resolved' ELSE 'mismatch' END AS status FROM j WHERE k = 1)
-SELECT page_id AS record_id, url_key, CAST(ts AS BIGINT) AS ts, target_id, CAST(target_ts AS BIGINT) AS target_ts, status,
+SELECT record_id, url_key, CAST(ts AS BIGINT) AS ts, target_id, CAST(target_ts AS BIGINT) AS target_ts, status,
   'cache-control=max-age=' || CAST(page_id % 100 AS VARCHAR) || ';content-length=' || CASE WHEN status = 'resolved' THEN CAST(t_size AS VARCHAR) ELSE '0' END
   || ';content-type=' || CASE WHEN status = 'resolved' THEN 'text/html' ELSE 'text/plain' END || ';date=' || CAST(ts AS VARCHAR) AS headers
 FROM s
