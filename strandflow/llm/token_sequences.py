@@ -11,7 +11,7 @@ lost executor or a repeated task leaves orphans but never double rows. Files go
 caller through pyarrow's file systems (local, HDFS, S3 or GCS paths).
 
 Encoding: the library's pre-tokenizer always cuts before a single space that stands between two characters
-that aren't white space, so such pieces are encoded once, many in one call, and remembered (bounded); texts with other white space
+that aren't white space, so such pieces are encoded once and remembered (bounded); texts with other white space
 around a space are encoded whole.
 
 Defined results: null and empty texts have the end id alone; repeated rows are repeated; an empty table
@@ -50,10 +50,28 @@ def _odd(text: str) -> bool:
 _ODD_ASCII = [c + " " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"]
 
 
+class _Pieces(dict):
+    """Ids in bytes of pieces of text, by their words; at most ``most`` are kept, and all are dropped when that many times four didn't fit."""
+
+    def __init__(self, encode, most: int):
+        self.encode, self.most, self.left_out = encode, most, 0
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(self) < self.most:
+            self[word] = ids
+        else:
+            self.left_out += 1
+            if self.left_out > 4 * self.most:
+                self.clear()
+                self.left_out = 0
+        return ids
+
+
 class Encoder:
     """Whole texts to arrays of token ids, with the end id appended.
 
-    ``most`` bounds the pieces remembered; it is kept for the life of a Python worker.
+    ``most`` bounds the pieces remembered; they are kept for the life of a Python worker.
     """
 
     def __init__(self, path: str, end_id: int, most: int = 1_000_000):
@@ -63,14 +81,14 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if max(size, end_id) < 1 << 16 else np.uint32
         self.last = np.array([end_id], self.dtype).tobytes()
-        self.spaced = np.zeros(size, bool)  # ids whose text begins with a space
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}  # of " " + word, by word
-        self.bare: dict[str, bytes] = {}  # of words without a space before them
-        self.most = most
-        self.tokens_of = self.tokenizer.model.tokenize
         raw, width = np.arange(size, dtype=self.dtype).tobytes(), np.dtype(self.dtype).itemsize
         self.raw = [raw[i : i + width] for i in range(0, len(raw), width)]  # an id's bytes
+        self.tokens_of = self.tokenizer.model.tokenize
+        self.spaced = _Pieces(lambda w: self._piece(w, "\u0120"), most)  # of " " + word
+        self.bare = _Pieces(lambda w: self._piece(w, ""), most // 8)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _letters(self, word: str, space: str) -> bytes:
         """The ids of one pre-token of letters."""
@@ -79,74 +97,30 @@ class Encoder:
         raw = self.raw
         return b"".join([raw[t.id] for t in self.tokens_of(space + word)])
 
-    def _ending(self, word: str, core: str) -> bytes:
-        if len(word) == len(core):
-            return b""
-        end = word[len(core) :]
-        ids = self.bare.get(end)
-        if ids is None:
-            ids = self.bare[end] = self._ids([end])[0]
-        return ids
-
-    def _simple(self, word: str) -> bytes | None:
-        """The ids of " " + word where it is letters and marks after them, and perhaps a line end and the same again."""
+    def _piece(self, word: str, space: str) -> bytes:
+        """The ids of a piece. Letters, marks behind them, and what follows a single line end are pre-tokens of their own and are encoded apart; other pieces
+        are encoded as they are."""
+        core = word.rstrip(ENDS)
+        if core.isalpha() and (core.isascii() or max(core) <= "\u024f"):
+            if len(core) == len(word):
+                return self._letters(word, space)
+            return (self.spaced if space else self.bare)[core] + self.bare[word[len(core) :]]
         first, line, second = word.partition("\n")
-        core = first.rstrip(ENDS)
-        if not core.isalpha() or max(core) > "\u024f":
-            return None
-        ids = self.known.get(core)
-        if ids is None:
-            ids = self.known[core] = self._letters(core, "\u0120")
-        ids += self._ending(first, core)
-        if line:
-            core = second.rstrip(ENDS)
-            if not core.isalpha() or max(core) > "\u024f":
-                return None
-            ids += self._ending("\n", "") + self._letters(core, "") + self._ending(second, core)
-        return ids
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """The ids of " " + word for each word; of those that aren't simple, from one encoding of all of them: no id but a
-        word's first begins with a space."""
-        known, simple, rest = self.known, self._simple, []
-        for w in words:
-            ids = simple(w)
-            if ids is None:
-                rest.append(w)
-            else:
-                known[w] = ids
-        words = rest
-        for start in range(0, len(words), 20_000):
-            part = words[start : start + 20_000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, self.dtype)
-            first = np.flatnonzero(self.spaced[ids])
-            if len(first) != len(part):
-                raise RuntimeError("a piece was cut where none is")
-            raw, size = ids.tobytes(), ids.itemsize
-            ends = [*(first[1:] * size).tolist(), len(raw)]
-            self.known.update(zip(part, (raw[a:b] for a, b in zip((first * size).tolist(), ends))))
+        if line and first and second and second[0].isalpha() and second[0] <= "\u024f" and not first[-1].isspace():
+            return (self.spaced if space else self.bare)[first] + self.bare["\n"] + self.bare[second]
+        return self.whole(" " + word if space else word)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.split(" ") if t and not _odd(t) else None for t in texts]
-        #: what is encoded apart: whole texts with odd spaces, the first pieces of the others
-        apart = [i for i, t in enumerate(texts) if t]
-        heads = dict(zip(apart, self._ids([split[i][0] if split[i] else texts[i] for i in apart])))
-        new = list(set().union(*(s[1:] for s in split if s)) - self.known.keys())
-        self._learn(new)
-        get = self.known.__getitem__
-        out = [
-            np.frombuffer(heads.get(i, b"") + (b"".join(map(get, s[1:])) if s else b"") + self.last, self.dtype) for i, s in enumerate(split)
-        ]
-        if len(self.known) > self.most:
-            for w in new:
-                self.known.pop(w, None)
-            if len(self.known) > self.most:
-                self.known.clear()
-        if len(self.bare) > self.most:
-            self.bare.clear()
+        out, spaced, bare = [], self.spaced.__getitem__, self.bare
+        for t in texts:
+            if not t:
+                ids = b""
+            elif _odd(t):
+                ids = self.whole(t)
+            else:
+                first, *rest = t.split(" ")
+                ids = bare[first] + b"".join(map(spaced, rest))
+            out.append(np.frombuffer(ids + self.last, self.dtype))
         return out
 
 
