@@ -27,6 +27,8 @@ class LocalGraph:
     coverage: dict[int, float]
     out: dict[int, list[int]]
     reads: dict[int, set[int]] = field(default_factory=dict)
+    probes: dict[int, tuple[int, int]] = field(default_factory=dict)  # (signed node, offset) by probe
+    gaps: dict[int, tuple[int, int]] = field(default_factory=dict)  # (start, stop) as signed nodes, by gap
 
     @classmethod
     def of(cls, k: int, nodes, arcs, reads=()) -> LocalGraph:
@@ -397,26 +399,39 @@ def depth_first(g: LocalGraph, start: int, visit: Callable[[list[int]], bool]) -
             stack += [trail + [n] for n in reversed(g.after(trail[-1])) if n not in seen]
 
 
-def per_component(graph: AssemblyGraph, walk: Callable[[LocalGraph], pd.DataFrame], schema: str) -> DataFrame:
-    """``walk`` over each connected part of the graph, one task's work each; results are united."""
+def per_component(
+    graph: AssemblyGraph, walk: Callable[[LocalGraph], pd.DataFrame], schema: str, probes: DataFrame | None = None, gaps: DataFrame | None = None
+) -> DataFrame:
+    """``walk`` over each connected part of the graph, one task's work each; results are united. Probes (probe_idx, node, offset) and gaps (gap_id, start,
+    stop) travel with the part that holds their (first) node."""
     edges = graph.edges()
     comps = connected_components(edges.select(F.abs("src").alias("a"), F.abs("dst").alias("b")), "a", "b", "walk")
     named = graph.nodes.join(comps.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
-    null = lambda kind: F.lit(None).cast(kind)
-    n = named.select("component", F.lit(0).alias("kind"), F.col("node_id").cast("long").alias("a"), F.col("length").cast("long").alias("b"), (F.col("cov_sum") / F.col("length")).alias("c"))
     by_node = named.select(F.col("node_id"), "component")
-    e = edges.join(by_node, F.abs("src") == F.col("node_id")).select("component", F.lit(1).alias("kind"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), null("double").alias("c"))
-    rows = n.unionByName(e)
+
+    def placed(df: DataFrame, node, kind: int, a: str, b: str, c=None) -> DataFrame:
+        value = F.lit(None).cast("double") if c is None else F.col(c).cast("double")
+        joined = df.join(by_node.withColumnRenamed("node_id", "_id"), F.abs(node) == F.col("_id"))
+        return joined.select("component", F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), value.alias("c"))
+
+    rows = named.select("component", F.lit(0).alias("kind"), F.col("node_id").cast("long").alias("a"), F.col("length").cast("long").alias("b"), (F.col("cov_sum") / F.col("length")).alias("c"))
+    rows = rows.unionByName(placed(edges, "src", 1, "src", "dst"))
     if graph.noded_reads is not None:
-        r = graph.noded_reads.join(by_node, "node_id").select("component", F.lit(2).alias("kind"), F.col("node_id").cast("long").alias("a"), F.col("read_id").cast("long").alias("b"), null("double").alias("c"))
-        rows = rows.unionByName(r)
+        rows = rows.unionByName(placed(graph.noded_reads, "node_id", 2, "node_id", "read_id"))
+    if probes is not None:
+        rows = rows.unionByName(placed(probes, "node", 3, "probe_idx", "node", "offset"))
+    if gaps is not None:
+        rows = rows.unionByName(placed(gaps, "start", 4, "gap_id", "start", "stop"))
     k = graph.k
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {kind: x for kind, x in pdf.groupby("kind")}
         pairs = lambda kind: list(zip(part[kind].a.astype(int), part[kind].b.astype(int))) if kind in part else []
+        both = lambda kind: {a: (b, int(c)) for a, b, c in zip(part[kind].a.astype(int), part[kind].b.astype(int), part[kind].c)} if kind in part else {}
         nodes = list(zip(part[0].a.astype(int), part[0].b.astype(int), part[0].c))
-        return walk(LocalGraph.of(k, nodes, pairs(1), pairs(2)))
+        g = LocalGraph.of(k, nodes, pairs(1), pairs(2))
+        g.probes, g.gaps = both(3), both(4)
+        return walk(g)
 
     return rows.groupBy("component").applyInPandas(run, schema)
 

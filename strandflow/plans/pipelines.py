@@ -43,46 +43,41 @@ def wander(scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff:
 def connections_between(g: AssemblyGraph, probes: DataFrame, leash: int, recoherence: int | None = None) -> DataFrame:
     """(seq1, side1, seq2, side2, distance) for probes (probe_idx, node_id, fwd, offset, scaffold_idx, side): each connected part of the graph is walked by one
     task; bases of a probe's node that its read doesn't reach are added on both sides, k taken off."""
-    start = oriented(F.col("node_id"), F.col("fwd"))
-    rows = probes.select("probe_idx", start.cast("long").alias("start"), "offset").collect()  # a row for each probe
-    at = {r["probe_idx"]: (r["start"], r["offset"] or 0) for r in rows}
+    at = probes.select("probe_idx", oriented(F.col("node_id"), F.col("fwd")).alias("node"), F.coalesce("offset", F.lit(0)).alias("offset"))
     k = g.k
 
     def walk(lg: wk.LocalGraph) -> pd.DataFrame:
-        mine = [p for p, (s, _) in sorted(at.items()) if abs(s) in lg.length]
-        out = []
-        near = wk.wander(lg, [at[p][0] for p in mine], leash, recoherence)
+        mine = sorted(lg.probes)
+        near = wk.wander(lg, [lg.probes[p][0] for p in mine], leash, recoherence)
+        facing = {}
         for i, p in enumerate(mine):  # two probes that face each other on one node
-            for j in range(i + 1, len(mine)):
-                if at[p][0] == -at[mine[j]][0] and at[p][1] + at[mine[j]][1] <= lg.length[abs(at[p][0])]:
-                    near[i, j] = 0
+            node, off = lg.probes[p]
+            near.update({(j, i): 0 for j in facing.get(-node, ()) if lg.probes[mine[j]][1] + off <= lg.length[abs(node)]})
+            facing.setdefault(node, []).append(i)
+        out = []
         for (i, j), d in near.items():
-            if i == j:
-                continue
-            (s, off1), (_, off2) = at[mine[i]], at[mine[j]]
+            (s, off1), (_, off2) = lg.probes[mine[i]], lg.probes[mine[j]]
             total = d + (lg.length[abs(s)] - off1) - off2 - k
-            if total <= leash:
+            if i != j and total <= leash:
                 out.append((mine[i], mine[j], int(total)))
         return pd.DataFrame(out, columns=["p1", "p2", "distance"])
 
-    found = wk.per_component(g, walk, "p1 long, p2 long, distance long")
+    found = wk.per_component(g, walk, "p1 long, p2 long, distance long", probes=at)
     side = lambda n: probes.select(F.col("probe_idx").alias(f"p{n}"), F.col("scaffold_idx").cast("long").alias(f"seq{n}"), F.col("side").alias(f"side{n}"))
     return found.join(side(1), "p1").join(side(2), "p2")
 
 
 def gap_paths(g: AssemblyGraph, ends: DataFrame, leash: int = 20_000, max_cycles: int = 1, max_paths: int | None = 2196, max_explore_nodes: int | None = None, recoherence: int | None = None) -> DataFrame:
     """(gap_id, path, exceeded) for ends (gap_id, start, stop) as signed nodes; a gap beyond a cap has one row without a path."""
-    asked = {r["gap_id"]: (r["start"], r["stop"]) for r in ends.collect()}  # a row for each gap
-
     def walk(lg: wk.LocalGraph) -> pd.DataFrame:
         out = []
-        for gap, (a, b) in asked.items():
-            if abs(a) in lg.length and abs(b) in lg.length:
+        for gap, (a, b) in sorted(lg.gaps.items()):
+            if abs(b) in lg.length:
                 s = wk.paths_between(lg, a, b, leash, max_cycles, max_paths, max_explore_nodes, recoherence)
                 out += [(gap, p, False) for p in s.paths] or ([(gap, None, True)] if s.max_path_limit_exceeded else [])
         return pd.DataFrame(out, columns=["gap_id", "path", "exceeded"])
 
-    return wk.per_component(g, walk, "gap_id long, path array<int>, exceeded boolean")
+    return wk.per_component(g, walk, "gap_id long, path array<int>, exceeded boolean", gaps=ends)
 
 
 def gapfill(scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float = 3.5, overhang: int = 200, leash: int = 20_000, max_paths: int = 10, max_coverage: bool = False) -> DataFrame:
@@ -157,14 +152,14 @@ def fluff(seqs: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float
         raise ValueError("probes must be longer than k")
     probes = sc.tiled_probes(seqs, spacing, size).withColumn("probe_no", F.row_number().over(Window.orderBy("scaffold_idx", "offset")))
     g, found = probed_graph(reads, probes, k, coverage_cutoff)
-    at = {r["probe_idx"]: r["start"] for r in gr.initial_paths(found).collect()}  # a row for each probe
+    at = gr.initial_paths(found).select("probe_idx", F.col("start").alias("node"), F.lit(0).alias("offset"))
 
     def walk(lg: wk.LocalGraph) -> pd.DataFrame:
-        mine = [p for p, s in sorted(at.items()) if abs(s) in lg.length]
-        rows = [(p, path, fate) for p, found in zip(mine, wk.fluff(lg, [at[p] for p in mine], leash)) for path, fate in found]
+        mine = sorted(lg.probes)
+        rows = [(p, path, fate) for p, found in zip(mine, wk.fluff(lg, [lg.probes[p][0] for p in mine], leash)) for path, fate in found]
         return pd.DataFrame(rows, columns=["probe_idx", "path", "fate"])
 
-    return wk.per_component(g, walk, "probe_idx long, path array<int>, fate string")
+    return wk.per_component(g, walk, "probe_idx long, path array<int>, fate string", probes=at)
 
 
 def assemble(g: AssemblyGraph, opts: wk.AssembleOptions = wk.AssembleOptions(), bubbly: bool = False) -> DataFrame:

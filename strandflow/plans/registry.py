@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import sequence as sq
@@ -360,8 +361,6 @@ _PATHS_SQL = "p0 AS (SELECT l_orderkey AS path_id, (l_partkey + 1) * CASE WHEN l
 
 
 def _paths(spark, sf_dir):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = tb.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path_id"), tr.oriented((F.col("l_partkey") + 1).cast("int"), F.col("l_returnflag") != "R").alias("n"), F.row_number().over(w).alias("i"))
     return rows.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("path"))
@@ -535,15 +534,16 @@ def wander_distances(spark, sf_dir):
     from strandflow.operators import walkers as wk
 
     g = _dag_graph(spark, sf_dir)
-    ids = sorted(r[0] for r in g.nodes.select("node_id").collect())  # a probe on each node
-    probes = {i: n if n % 2 == 0 else -n for i, n in enumerate(ids)}
+    # a probe on each node, numbered in order
+    number = (F.row_number().over(Window.orderBy("node_id")) - 1).alias("probe_idx")
+    probes = g.nodes.select(number, F.when(F.col("node_id") % 2 == 0, F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.lit(0).alias("offset"))
 
     def walk(lg):
-        mine = [i for i, s in probes.items() if abs(s) in lg.length]
-        found = wk.wander(lg, [probes[i] for i in mine], 60)
+        mine = sorted(lg.probes)
+        found = wk.wander(lg, [lg.probes[i][0] for i in mine], 60)
         return pd.DataFrame([(mine[a], mine[b], d) for (a, b), d in found.items()], columns=["p1", "p2", "distance"])
 
-    return wk.per_component(g, walk, "p1 long, p2 long, distance long")
+    return wk.per_component(g, walk, "p1 long, p2 long, distance long", probes=probes)
 
 
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, ends AS (SELECT DISTINCT a.src AS start, b.dst AS stop FROM dag a JOIN dag b ON a.dst = b.src), live AS (SELECT start * 100000 + stop AS gap_id, stop, [start] AS path, CAST(0 AS BIGINT) AS bp FROM ends "
@@ -607,11 +607,11 @@ def fluffed_paths(spark, sf_dir):
 
     g = _dag_graph(spark, sf_dir)
     _, roots = _roots(spark, sf_dir)
-    starts = sorted(r[0] for r in roots.collect())  # a probe on each root
+    probes = roots.select(F.col("node").alias("probe_idx"), "node", F.lit(0).alias("offset"))
 
     def walk(lg):
-        mine = [s for s in starts if s in lg.length]
+        mine = sorted(lg.probes)
         rows = [(s, ",".join(map(str, p)), f) for s, found in zip(mine, wk.fluff(lg, mine, 120)) for p, f in found]
         return pd.DataFrame(rows, columns=["start", "path", "fate"])
 
-    return wk.per_component(g, walk, "start long, path string, fate string")
+    return wk.per_component(g, walk, "start long, path string, fate string", probes=probes)
