@@ -39,7 +39,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     out = mixed(docs, carry=tuple(docs.columns))
-    return out.withColumn("_copy", F.explode("copies")).select(*docs.columns)
+    return out.select("carried", F.explode("copies")).select("carried.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,8 +97,8 @@ def mixed(
     broadcast_rows: int = 1 << 18,
 ) -> DataFrame:
     """A row for each document: id, source, size, source_size, target, copies (array of (shard, key): one for
-    each time the mix takes it; key orders the shard's rows) and taken (words, repeats counted); with ``carry``, the
-    columns named there instead of id and source. ``broadcast_rows`` bounds the block table that is broadcast to
+    each time the mix takes it; key orders the shard's rows) and taken (words, repeats counted); with ``carry``, a
+    struct ``carried`` of the columns named there instead of id and source. ``broadcast_rows`` bounds the block table that is broadcast to
     rows that carry more; beyond it they are dealt by block."""
     computed = (
         F.col(id_col).alias("id"),
@@ -176,7 +176,7 @@ def mixed(
             transform(filter(draws, d -> d.round < full or _in), d -> named_struct('shard', d.shard, 'key', xxhash64('{seed}', d.shard, d.round, id))),
             cast(array() as array<struct<shard: int, key: bigint>>))"""),
     )
-    named = ["carried.*"] if carry else [F.col("id").alias(id_col), F.col("source").alias(source_col)]
+    named = ["carried"] if carry else [F.col("id").alias(id_col), F.col("source").alias(source_col)]
     return out.select(
         *named, "size", "source_size", "target", "copies",
         (F.col("size") * F.size("copies")).cast("long").alias("taken"),

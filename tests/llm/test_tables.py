@@ -51,7 +51,7 @@ def test_mixture(docs_of):
     shards = Counter(c.shard for r in got for c in r.copies)
     assert set(shards) <= set(range(5)) and len(shards) == 5
     carried = mixed(df, block_words=100, carry=("doc_id", "text", "source"), broadcast_rows=1)
-    assert sorted((r.doc_id, r.taken) for r in carried.collect()) == sorted((r.doc_id, r.taken) for r in got)
+    assert sorted((r.carried.doc_id, r.taken) for r in carried.collect()) == sorted((r.doc_id, r.taken) for r in got)
     assert mixed(df.limit(0)).count() == 0
 
 
@@ -147,3 +147,10 @@ def test_pipeline_stages(spark, docs_of, tmp_path):
     assert set(ids["decontamination"]) == set(range(120))
     assert set(ids["mixing"]) <= set(range(120)) and Counter(ids["sharding"]) == Counter(ids["mixing"])
     assert corpus_pipeline.run(spark, d).count() == len(ids["sharding"])
+    clashing = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", "1 AS size", "2 AS copies", "'x' AS id", "0 AS n", "'y' AS carried", "'z' AS comp")
+    for docs in (clashing, clashing.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, stage(spark, docs, d)
+            assert docs.columns == clashing.columns, name
+        if before.limit(1).count():
+            assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(ids["mixing"])
