@@ -24,11 +24,14 @@ LANGS = ["de", "en", "es", "fr"]
 K = 11
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that must agree with it where there is one."""
+def query(sql: str | None = None, whole=None):
+    """Registers a query under its function's name, with the SQL that must agree with it where there is one. With ``whole``, a source of edges, the same
+    query over those is registered as ``..._whole``, without SQL: the SQL of such queries reads a sparse part of the graph."""
 
     def add(f):
         QUERIES[f.__name__] = f
+        if whole:
+            QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(spark, sf_dir, whole)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -266,26 +269,26 @@ def min_distances(spark, sf_dir):
 
 
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_STARTS}, anyway AS (SELECT src, dst FROM dag UNION SELECT -src, dst FROM dag UNION SELECT src, -dst FROM dag UNION SELECT -src, -dst FROM dag UNION SELECT -dst, -src FROM dag UNION SELECT dst, -src FROM dag UNION SELECT -dst, src FROM dag UNION SELECT dst, src FROM dag), "
-       + _dist_sql(25, "anyway", "SELECT source, unnest([start, -start]) AS node FROM starts") + " SELECT source, CAST(node AS BIGINT) AS node, dist FROM best")
-def distances_any_direction(spark, sf_dir):
-    d = tb.dag(spark, sf_dir)
+       + _dist_sql(25, "anyway", "SELECT source, unnest([start, -start]) AS node FROM starts") + " SELECT source, CAST(node AS BIGINT) AS node, dist FROM best", whole=tb.edges)
+def distances_any_direction(spark, sf_dir, dag=tb.dag):
+    d = dag(spark, sf_dir)
     e = d.unionByName(d.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst")))
     out = tv.min_distances(e, tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 25, ignore_directions=True)
     return out.withColumn("node", F.col("node").cast("long"))
 
 
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_STARTS}, {_dist_sql(60, 'dag')}, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY dist, node) AS r FROM best), cut AS (SELECT source, max(dist) AS c FROM k WHERE r <= 6 GROUP BY source) "
-       "SELECT source, CAST(node AS BIGINT) AS node, dist FROM best JOIN cut USING (source) WHERE dist <= c")
-def nearest_nodes(spark, sf_dir):
+       "SELECT source, CAST(node AS BIGINT) AS node, dist FROM best JOIN cut USING (source) WHERE dist <= c", whole=tb.edges)
+def nearest_nodes(spark, sf_dir, dag=tb.dag):
     """The five nearest nodes of each probe with all ties."""
-    out = tv.min_distances(tb.dag(spark, sf_dir), tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 60, max_nodes=5)
+    out = tv.min_distances(dag(spark, sf_dir), tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 60, max_nodes=5)
     return out.withColumn("node", F.col("node").cast("long"))
 
 
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_STARTS}, sym AS (SELECT src, dst FROM dag UNION SELECT -dst, -src FROM dag), {_dist_sql(40, 'sym', 'SELECT source, unnest([start, -start]) AS node FROM starts')}, near AS (SELECT DISTINCT abs(node) AS node_id FROM best), "
-       "outside AS (SELECT DISTINCT abs(src) AS node_id FROM sym WHERE abs(src) IN (SELECT node_id FROM near) AND abs(dst) NOT IN (SELECT node_id FROM near)) SELECT CAST(node_id AS BIGINT) AS node_id, node_id IN (SELECT node_id FROM outside) AS boundary FROM near")
-def nodes_within_leash(spark, sf_dir):
-    d = tb.dag(spark, sf_dir)
+       "outside AS (SELECT DISTINCT abs(src) AS node_id FROM sym WHERE abs(src) IN (SELECT node_id FROM near) AND abs(dst) NOT IN (SELECT node_id FROM near)) SELECT CAST(node_id AS BIGINT) AS node_id, node_id IN (SELECT node_id FROM outside) AS boundary FROM near", whole=tb.edges)
+def nodes_within_leash(spark, sf_dir, dag=tb.dag):
+    d = dag(spark, sf_dir)
     e = d.unionByName(d.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst")))
     out = tv.nodes_within_leash(e, tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 40)
     return out.withColumn("node_id", F.col("node_id").cast("long"))
@@ -302,19 +305,19 @@ def connected_nodes(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_STARTS}, live AS (SELECT source, [start] AS path, CAST(n.length + 30 AS BIGINT) AS bp, n.length + 30 > 90 AS over FROM starts JOIN nodes n ON n.node_id = start "
        "UNION ALL SELECT l.source, list_append(l.path, e.dst), l.bp + n.length, l.bp + n.length > 90 FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.dst WHERE NOT l.over) "
-       "SELECT source, array_to_string(path, ',') AS path, CASE WHEN over THEN 'Leashed' ELSE 'Dead end / coverage' END AS fate FROM live WHERE over OR path[-1] NOT IN (SELECT src FROM dag)")
-def explore_paths(spark, sf_dir):
+       "SELECT source, array_to_string(path, ',') AS path, CASE WHEN over THEN 'Leashed' ELSE 'Dead end / coverage' END AS fate FROM live WHERE over OR path[-1] NOT IN (SELECT src FROM dag)", whole=tb.edges)
+def explore_paths(spark, sf_dir, dag=tb.dag):
     """All paths beyond probe nodes, until the leash or a dead end."""
-    out = tv.explore(tb.dag(spark, sf_dir), tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 31, 90)
+    out = tv.explore(dag(spark, sf_dir), tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 31, 90)
     return out.select("source", tr.ids_only(F.col("path")).alias("path"), "fate")
 
 
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, ends AS (SELECT DISTINCT a.src AS start, b.dst AS stop FROM dag a JOIN dag b ON a.dst = b.src), live AS (SELECT start * 100000 + stop AS pair_id, stop, [start] AS path, CAST(0 AS BIGINT) AS bp FROM ends "
        "UNION ALL SELECT l.pair_id, l.stop, list_append(l.path, e.dst), l.bp + n.length FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.src WHERE l.path[-1] <> l.stop AND l.bp + n.length <= 150) "
-       "SELECT CAST(pair_id AS BIGINT) AS pair_id, array_to_string(path, ',') AS path FROM live WHERE path[-1] = stop")
-def gap_paths(spark, sf_dir):
+       "SELECT CAST(pair_id AS BIGINT) AS pair_id, array_to_string(path, ',') AS path FROM live WHERE path[-1] = stop", whole=tb.forward_arcs)
+def gap_paths(spark, sf_dir, dag=tb.dag):
     """All acyclic paths within a leash between nodes that are two steps apart."""
-    d = tb.dag(spark, sf_dir)
+    d = dag(spark, sf_dir)
     ends = d.join(d.select(F.col("src").alias("dst"), F.col("dst").alias("stop")), "dst").select(F.col("src").alias("start"), "stop").distinct()
     pairs = ends.select((F.col("start").cast("long") * 100000 + F.col("stop")).alias("pair_id"), "start", "stop")
     out, _ = tv.paths_between(d, tb.nodes(spark, sf_dir), pairs, 150, max_paths=None)
@@ -324,34 +327,34 @@ def gap_paths(spark, sf_dir):
 _LEVELS = f"{ARCS_SQL}, {DAG_SQL}, r0 AS (SELECT DISTINCT src AS node FROM dag WHERE src NOT IN (SELECT dst FROM dag)), walk AS (SELECT DISTINCT dst AS node, 0 AS h FROM dag WHERE dst NOT IN (SELECT src FROM dag) UNION SELECT e.src, w.h + 1 FROM walk w JOIN dag e ON e.dst = w.node), levels AS (SELECT node, max(h) AS level FROM walk GROUP BY node)"
 
 
-def _roots(spark, sf_dir):
-    d = tb.dag(spark, sf_dir)
+def _roots(spark, sf_dir, dag=tb.dag):
+    d = dag(spark, sf_dir)
     return d, d.select(F.col("src").alias("node")).distinct().join(d.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-@query(f"WITH RECURSIVE {_LEVELS} SELECT CAST(node AS BIGINT) AS node, CAST(level AS BIGINT) AS level FROM levels")
-def node_heights(spark, sf_dir):
-    d, roots = _roots(spark, sf_dir)
+@query(f"WITH RECURSIVE {_LEVELS} SELECT CAST(node AS BIGINT) AS node, CAST(level AS BIGINT) AS level FROM levels", whole=tb.forward_arcs)
+def node_heights(spark, sf_dir, dag=tb.dag):
+    d, roots = _roots(spark, sf_dir, dag)
     return tv.heights(d, roots).select(F.col("node").cast("long").alias("node"), F.col("level").cast("long").alias("level"))
 
 
-@query(f"WITH RECURSIVE {_LEVELS}, p AS (SELECT dst, max(l.level) AS level FROM dag JOIN levels l ON l.node = dag.src GROUP BY dst), ch AS (SELECT level, sum(d) AS d FROM (SELECT level, 1 AS d FROM levels UNION ALL SELECT level, -1 FROM p) GROUP BY level), live AS (SELECT sum(d) OVER (ORDER BY level) AS live FROM ch) SELECT CAST(max(live) AS BIGINT) AS min_paths FROM live")
-def min_path_count(spark, sf_dir):
-    d, roots = _roots(spark, sf_dir)
+@query(f"WITH RECURSIVE {_LEVELS}, p AS (SELECT dst, max(l.level) AS level FROM dag JOIN levels l ON l.node = dag.src GROUP BY dst), ch AS (SELECT level, sum(d) AS d FROM (SELECT level, 1 AS d FROM levels UNION ALL SELECT level, -1 FROM p) GROUP BY level), live AS (SELECT sum(d) OVER (ORDER BY level) AS live FROM ch) SELECT CAST(max(live) AS BIGINT) AS min_paths FROM live", whole=tb.forward_arcs)
+def min_path_count(spark, sf_dir, dag=tb.dag):
+    d, roots = _roots(spark, sf_dir, dag)
     return tv.min_paths(d, tv.heights(d, roots))
 
 
 @query()
 def max_path_count(spark, sf_dir):
-    """The number of paths through the acyclic graph, from all its roots to all its tips."""
-    d, roots = _roots(spark, sf_dir)
+    """The number of paths through all forward arcs, from all its roots to all its tips."""
+    d, roots = _roots(spark, sf_dir, tb.forward_arcs)
     return tv.max_paths(d, tv.heights(d, roots), roots)
 
 
-@query(f"WITH {ARCS_SQL}, {DAG_SQL} SELECT CAST(src AS BIGINT) AS node, 'start' AS kind FROM dag WHERE src NOT IN (SELECT dst FROM dag) UNION SELECT CAST(dst AS BIGINT), 'end' FROM dag WHERE dst NOT IN (SELECT src FROM dag)")
-def range_ends(spark, sf_dir):
+@query(f"WITH {ARCS_SQL}, {DAG_SQL} SELECT CAST(src AS BIGINT) AS node, 'start' AS kind FROM dag WHERE src NOT IN (SELECT dst FROM dag) UNION SELECT CAST(dst AS BIGINT), 'end' FROM dag WHERE dst NOT IN (SELECT src FROM dag)", whole=tb.forward_arcs)
+def range_ends(spark, sf_dir, dag=tb.dag):
     """Where walks through the acyclic graph begin and end."""
-    d = tb.dag(spark, sf_dir)
+    d = dag(spark, sf_dir)
     e = d.unionByName(d.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst")))
     ids = d.select(F.col("src").alias("node_id")).union(d.select("dst"))
     return tv.range_edges(e, ids).withColumn("node", F.col("node").cast("long"))
@@ -514,8 +517,8 @@ def fasta_compare(spark, sf_dir):
     return compare(s.select(F.col("s_name").alias("name"), F.md5("s_name").alias("seq")), s.select(F.col("s_name").alias("name"), F.when(F.col("s_nationkey") % 2 == 0, F.md5("s_name")).otherwise(F.md5(F.concat("s_name", F.lit("x")))).alias("seq")))
 
 
-def _dag_graph(spark, sf_dir):
-    d = tb.dag(spark, sf_dir)
+def _dag_graph(spark, sf_dir, dag=tb.dag):
+    d = dag(spark, sf_dir)
     arcs = d.select(F.col("src").alias("begin_id"), F.lit(True).alias("begin_fwd"), F.col("dst").alias("end_id"), F.lit(True).alias("end_fwd"), F.lit(1).cast("long").alias("mult"))
     ids = d.select(F.col("src").alias("node_id")).union(d.select("dst")).distinct()
     return gr.AssemblyGraph(tb.nodes(spark, sf_dir).join(ids, "node_id", "left_semi"), arcs, 31)
@@ -526,14 +529,14 @@ _SYM = "sym AS (SELECT src, dst FROM dag UNION SELECT -dst, -src FROM dag)"
 
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_SYM}, ids AS (SELECT DISTINCT abs(src) AS n FROM sym), probes AS (SELECT row_number() OVER (ORDER BY n) - 1 AS i, CASE WHEN n % 2 = 0 THEN n ELSE -n END AS s FROM ids), "
        "r AS (SELECT i, s AS node, CAST(0 AS BIGINT) AS d FROM probes UNION SELECT r.i, e.dst, r.d + n.length FROM r JOIN sym e ON e.src = r.node JOIN nodes n ON n.node_id = abs(e.dst) WHERE r.d + n.length <= 60) "
-       "SELECT CAST(r.i AS BIGINT) AS p1, CAST(p.i AS BIGINT) AS p2, CAST(min(r.d) AS BIGINT) AS distance FROM r JOIN probes p ON p.s = -r.node AND p.i >= r.i WHERE r.d > 0 GROUP BY ALL")
-def wander_distances(spark, sf_dir):
+       "SELECT CAST(r.i AS BIGINT) AS p1, CAST(p.i AS BIGINT) AS p2, CAST(min(r.d) AS BIGINT) AS distance FROM r JOIN probes p ON p.s = -r.node AND p.i >= r.i WHERE r.d > 0 GROUP BY ALL", whole=tb.forward_arcs)
+def wander_distances(spark, sf_dir, dag=tb.dag):
     """All-pairs distances between probes on every node of the acyclic graph, by the wanderer."""
     import pandas as pd
 
     from strandflow.operators import walkers as wk
 
-    g = _dag_graph(spark, sf_dir)
+    g = _dag_graph(spark, sf_dir, dag)
     # a probe on each node, numbered in order
     number = (F.row_number().over(Window.orderBy("node_id")) - 1).alias("probe_idx")
     probes = g.nodes.select(number, F.when(F.col("node_id") % 2 == 0, F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.lit(0).alias("offset"))
@@ -548,14 +551,14 @@ def wander_distances(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, ends AS (SELECT DISTINCT a.src AS start, b.dst AS stop FROM dag a JOIN dag b ON a.dst = b.src), live AS (SELECT start * 100000 + stop AS gap_id, stop, [start] AS path, CAST(0 AS BIGINT) AS bp FROM ends "
        "UNION ALL SELECT l.gap_id, l.stop, list_append(l.path, e.dst), l.bp + n.length FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.src WHERE l.path[-1] <> l.stop AND l.bp + n.length <= 150) "
-       "SELECT CAST(gap_id AS BIGINT) AS gap_id, array_to_string(path, ',') AS path FROM live WHERE path[-1] = stop")
-def cycle_budget_paths(spark, sf_dir):
+       "SELECT CAST(gap_id AS BIGINT) AS gap_id, array_to_string(path, ',') AS path FROM live WHERE path[-1] = stop", whole=tb.forward_arcs)
+def cycle_budget_paths(spark, sf_dir, dag=tb.dag):
     """The same paths by the walker that allows cycles; the acyclic graph has none."""
     from strandflow.plans import pipelines as pl
 
-    d = tb.dag(spark, sf_dir)
+    d = dag(spark, sf_dir)
     ends = d.join(d.select(F.col("src").alias("dst"), F.col("dst").alias("stop")), "dst").select(F.col("src").alias("start"), "stop").distinct()
-    out = pl.gap_paths(_dag_graph(spark, sf_dir), ends.select((F.col("start").cast("long") * 100000 + F.col("stop")).alias("gap_id"), "start", "stop"), 150)
+    out = pl.gap_paths(_dag_graph(spark, sf_dir, dag), ends.select((F.col("start").cast("long") * 100000 + F.col("stop")).alias("gap_id"), "start", "stop"), 150, max_paths=None)
     return out.where("path is not null").select("gap_id", tr.ids_only(F.col("path")).alias("path"))
 
 
@@ -580,33 +583,33 @@ def built_graph_kmers(spark, sf_dir):
 
 @query()
 def assembled_contigs(spark, sf_dir):
-    """Contigs of the acyclic graph, single-ended."""
+    """Contigs of the whole graph, single-ended."""
     from strandflow.operators import walkers as wk
 
-    out = wk.assembled(_dag_graph(spark, sf_dir), wk.AssembleOptions(max_tip_length=40, min_contig_size=0))
+    out = wk.assembled(gr.AssemblyGraph(tb.nodes(spark, sf_dir), tb.arcs(spark, sf_dir), 31), wk.AssembleOptions(max_tip_length=40, min_contig_size=0))
     return out.select("shorthand", "fate", F.round("coverage", 6).alias("coverage"))
 
 
 @query()
 def bubbly_contigs(spark, sf_dir):
-    """Contigs of the acyclic graph that run on through bubbles."""
+    """Contigs of the whole graph that run on through bubbles."""
     from strandflow.operators import walkers as wk
 
-    out = wk.assembled(_dag_graph(spark, sf_dir), wk.AssembleOptions(min_contig_size=0), bubbly=True)
+    out = wk.assembled(gr.AssemblyGraph(tb.nodes(spark, sf_dir), tb.arcs(spark, sf_dir), 31), wk.AssembleOptions(min_contig_size=0), bubbly=True)
     return out.select("shorthand", "fate", F.round("coverage", 6).alias("coverage"))
 
 
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, probes AS (SELECT DISTINCT src AS start FROM dag WHERE src NOT IN (SELECT dst FROM dag)), live AS (SELECT start, [start] AS path, CAST(n.length + 30 AS BIGINT) AS bp FROM probes JOIN nodes n ON n.node_id = start "
        "UNION ALL SELECT l.start, list_append(l.path, e.dst), l.bp + n.length FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.dst WHERE l.bp < 120) "
-       "SELECT CAST(start AS BIGINT) AS start, array_to_string(path, ',') AS path, CASE WHEN bp >= 120 THEN 'beyond_leash' ELSE 'dead_end' END AS fate FROM live WHERE bp >= 120 OR path[-1] NOT IN (SELECT src FROM dag)")
-def fluffed_paths(spark, sf_dir):
+       "SELECT CAST(start AS BIGINT) AS start, array_to_string(path, ',') AS path, CASE WHEN bp >= 120 THEN 'beyond_leash' ELSE 'dead_end' END AS fate FROM live WHERE bp >= 120 OR path[-1] NOT IN (SELECT src FROM dag)", whole=tb.forward_arcs)
+def fluffed_paths(spark, sf_dir, dag=tb.dag):
     """All paths from probes at the acyclic graph's roots."""
     import pandas as pd
 
     from strandflow.operators import walkers as wk
 
-    g = _dag_graph(spark, sf_dir)
-    _, roots = _roots(spark, sf_dir)
+    g = _dag_graph(spark, sf_dir, dag)
+    _, roots = _roots(spark, sf_dir, dag)
     probes = roots.select(F.col("node").alias("probe_idx"), "node", F.lit(0).alias("offset"))
 
     def walk(lg):

@@ -76,6 +76,18 @@ def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("begin_id").alias("src"), F.col("end_id").alias("dst")).distinct()
 
 
+def forward_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All arcs between forward nodes to a higher id: acyclic, as is their part ``dag``."""
+    return arcs(spark, sf_dir).where("begin_fwd and end_fwd and end_id > begin_id").select(F.col("begin_id").alias("src"), F.col("end_id").alias("dst")).distinct()
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All arcs, read both ways."""
+    from strandflow.operators.graph import oriented_edges
+
+    return oriented_edges(arcs(spark, sf_dir)).select("src", "dst").distinct()
+
+
 def noded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(

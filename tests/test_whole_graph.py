@@ -1,0 +1,82 @@
+"""The graph queries over all arcs, of which few are between neighbouring ids, against the SQL without its cut and brute force."""
+
+import random
+
+import pandas as pd
+import pytest
+
+from strandflow.plans import tables as tb
+from strandflow.plans.registry import ORACLE_SQL, QUERIES
+
+ALL_FORWARD = "dag AS (SELECT DISTINCT begin_id AS src, end_id AS dst FROM arcs WHERE begin_fwd AND end_fwd AND end_id > begin_id)"
+ALL_EDGES = "dag AS (SELECT src, dst FROM edges)"
+FORWARD = ["gap_paths", "node_heights", "min_path_count", "range_ends", "wander_distances", "cycle_budget_paths", "fluffed_paths"]
+EITHER = ["distances_any_direction", "nearest_nodes", "nodes_within_leash"]
+
+
+@pytest.fixture(scope="module")
+def star(tmp_path_factory):
+    rng, folder = random.Random(4), tmp_path_factory.mktemp("star")
+    tables = {
+        "part": pd.DataFrame([(i, rng.randrange(5, 26), 900.0 + i) for i in range(300)], columns=["p_partkey", "p_size", "p_retailprice"]).astype({"p_size": "int32"}),
+        "supplier": pd.DataFrame({"s_suppkey": range(40)}),
+        "lineitem": pd.DataFrame(
+            [(o, rng.randrange(300), 0, n, 1.0, rng.choice("RNAN")) for o in range(110) for n in range(5)],
+            columns=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"],
+        ),
+    }
+    for name, df in tables.items():
+        df.to_parquet(folder / f"{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", FORWARD + EITHER)
+def test_whole_graph_against_sql_without_the_cut(spark, star, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("part", "supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{star}/{t}.parquet'")
+    assert tb.DAG_SQL in ORACLE_SQL[name]
+    want = con.execute(ORACLE_SQL[name].replace(tb.DAG_SQL, ALL_FORWARD if name in FORWARD else ALL_EDGES)).fetchall()
+    few = con.execute(ORACLE_SQL[name]).fetchall()
+    got = sorted(tuple(r) for r in QUERIES[f"{name}_whole"](spark, star).collect())
+    assert got == sorted(want) and got != sorted(few)
+
+
+def adjacency(spark, star, edges):
+    after = {}
+    for r in edges(spark, star).collect():
+        after.setdefault(r.src, []).append(r.dst)
+    return after, {r.node_id: r.length for r in tb.nodes(spark, star).collect()}
+
+
+def test_whole_exploration_and_path_count(spark, star):
+    after, length = adjacency(spark, star, tb.edges)
+    want = []
+    for s in range(40):
+        stack = [([s % 300 + 1], length[s % 300 + 1] + 30)]
+        while stack:
+            p, bp = stack.pop()
+            if p[-1] in p[:-1] or bp > 90 or p[-1] not in after:
+                fate = "Loop" if p[-1] in p[:-1] else "Leashed" if bp > 90 else "Dead end / coverage"
+                want.append((s, ",".join(str(abs(n)) for n in p), fate))
+            else:
+                stack += [(p + [n], bp + length[abs(n)]) for n in after[p[-1]]]
+    assert sorted(tuple(r) for r in QUERIES["explore_paths_whole"](spark, star).collect()) == sorted(want)
+
+    after, _ = adjacency(spark, star, tb.forward_arcs)
+    inner, ways = {n for x in after.values() for n in x}, {}
+    for n in sorted(set(after) | inner, reverse=True):
+        ways[n] = sum(ways[m] for m in after[n]) if n in after else 1
+    assert QUERIES["max_path_count"](spark, star).first()[0] == sum(w for n, w in ways.items() if n not in inner)
+
+
+@pytest.mark.parametrize("name", ["assembled_contigs", "bubbly_contigs"])
+def test_contigs_take_far_arcs(spark, star, name):
+    after, length = adjacency(spark, star, tb.edges)
+    rows = [r.shorthand for r in QUERIES[name](spark, star).collect()]
+    steps = []
+    for r in rows:
+        path = [int(x[:-1]) * (1 if x[-1] == "s" else -1) for x in r.split(",") if x[-1] in "se" and x[:-1].isdigit()] if "{" not in r else []
+        steps += zip(path, path[1:])
+    assert steps and all(b in after[a] for a, b in steps) and any(abs(abs(a) - abs(b)) > 15 for a, b in steps)
