@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. One pass over the texts notes where the benchmark's words stand; document frequencies over the whole corpus
-   give TF-IDF weights. Words of more than ``common`` of all documents, or of many items, carry no weight.
+1. One pass over the texts notes where the benchmark's words and its word ``GRAM``-grams stand; document frequencies over the
+   whole corpus give TF-IDF weights. Words of more than ``common`` of all documents, or of many items, carry no weight, except those of
+   items that would be left with too few (``_poor``): a leak into many documents makes an item's own words common.
    Only benchmark words can bring a passage near a benchmark passage, so the matrix has a column for those alone.
 2. Distributed randomised SVD: with A the TF-IDF rows of every corpus passage and of the benchmark's, each task
    adds up A'(A G) for a seeded Gaussian G; the sum (words x ``rank``) spans the leading right singular
    subspace, and an orthonormal basis of it is the latent space.
 3. Every corpus passage (windows of ``window`` words, half overlapping, whole texts) is projected and compared by
-   cosine with the benchmark passages; all above ``cosine`` are candidates.
+   cosine with the benchmark passages; all above ``cosine`` are candidates. So is every stretch of an item's length that holds
+   ``GRAM_SHARE`` of the item's n-grams, whatever its words weigh: verbatim leaks never depend on the weights.
 4. Candidates without enough of the item's content words fall out; the texts of the others are read again and
    the surroundings are checked word by word: the longest common subsequence with the item must
    hold at least ``near`` of its words, or ``para`` of them together with most of its content words and of its
@@ -17,6 +19,7 @@ The benchmark is processed in blocks of ``block_items`` items, so what is broadc
 ``max_words`` x ``rank`` floats and the block's items) has a fixed bound at any size of either side.
 
 Defined results: null and empty texts and items match nothing; an item equal to another matches where that does;
+an item of fewer than ``GRAM`` words matches where it stands word for word; leaks found by n-grams alone have cosine 0;
 repeated document rows are reported for each id once an item; rows without an id aren't reported; an empty table on either side gives no rows.
 """
 
@@ -39,8 +42,12 @@ def plain_words(text: str | None) -> list[str]:
     return [x for x in (w.strip(STRIP) for w in (text or "").lower().split()) if x]
 
 
+GRAM, GRAM_SHARE = 4, 0.4
+EMPTY = -2  # a word of punctuation alone
+
+
 class _Ids(dict):
-    """Vocabulary number of a raw lower-case word, -1 for others; remembers at most ``most`` others."""
+    """Vocabulary number of a raw lower-case word, -1 for others, ``EMPTY`` for punctuation; remembers at most ``most`` others."""
 
     def __init__(self, vocabulary: dict[str, int], most: int = 1 << 17):
         self.vocabulary, self.most = vocabulary, most
@@ -48,19 +55,94 @@ class _Ids(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        self[word] = k = self.vocabulary.get(word.strip(STRIP), -1)
+        plain = word.strip(STRIP)
+        self[word] = k = self.vocabulary.get(plain, -1) if plain else EMPTY
         return k
 
 
-def _hits(texts: list[str | None], ids: _Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a batch of texts: text number, word position and vocabulary number of every benchmark word."""
+def _hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the n-grams of vocabulary numbers."""
+    x = (words.astype(np.int64) + 3).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    h = np.full(max(0, len(x) - n + 1), n, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x94D049BB133111EB) + x[j : j + len(h)]
+    return h ^ h >> np.uint64(31)
+
+
+class _Grams:
+    """The n-grams of a block's items by number, each with the items that have it. Items shorter than ``GRAM`` are one gram."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.sizes, self.needs, self.keys, self.seen = [len(w) for w in items], [], {}, {}
+        by_n: dict[int, list] = {}
+        for i, w in enumerate(items):
+            n = min(GRAM, len(w))
+            h = np.unique(_hashes(w, n))
+            self.needs.append(max(1, int(np.ceil(GRAM_SHARE * len(h)))))
+            by_n.setdefault(n, []).append((h, np.full(len(h), i)))
+        self.first, owners, total = {}, [], 0
+        for n, parts in by_n.items():
+            h, i = (np.concatenate(x) for x in zip(*parts))
+            self.keys[n], number = np.unique(h, return_inverse=True)
+            self.seen[n] = np.zeros(1 << 20, bool)
+            self.seen[n][self.keys[n] >> np.uint64(44)] = True
+            self.first[n] = total
+            owners.append((number + total, i))
+            total += len(self.keys[n])
+        number, item = (np.concatenate(x) for x in zip(*owners))
+        self.owners = item[np.argsort(number, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=total))])
+
+    def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, gram number) of the grams in a sequence of vocabulary numbers, which may run over several texts."""
+        places, numbers = [], []
+        for n, keys in self.keys.items():
+            h = _hashes(words, n)
+            at = np.flatnonzero(self.seen[n][h >> np.uint64(44)])
+            k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+            ok = keys[k] == h[at]
+            places.append(at[ok])
+            numbers.append(k[ok] + self.first[n])
+        return np.concatenate(places), np.concatenate(numbers)
+
+    def stretches(self, pos: np.ndarray, gram: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item number, first and last word) of the surroundings of stretches of one text that hold enough of an item's grams."""
+        n = self.starts[gram + 1] - self.starts[gram]
+        item = self.owners[np.repeat(self.starts[gram] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        key = np.sort(item.astype(np.int64) << 32 | np.repeat(pos, n))
+        item, pos = key >> 32, key & 0xFFFFFFFF
+        size, need = np.array(self.sizes)[item], np.array(self.needs)[item]
+        held = np.searchsorted(key, key + size + size // 4 + GRAM) - np.arange(len(key))
+        out: list[tuple[int, int, int]] = []
+        last = (-1, 0)
+        for i, p, z in zip(*(x[held >= need].tolist() for x in (item, pos, size))):
+            if i != last[0] or p >= last[1]:  # a region reaches to the end of leaks that begin within an item's length
+                out.append((i, max(0, p - z), p + 2 * z + z // 4 + GRAM))
+                last = (i, p + z)
+        return out
+
+
+def _hits(texts: list[str | None], ids: _Ids, telling: int, grams: _Grams) -> tuple[np.ndarray, ...]:
+    """For a batch of texts: text number, word position and vocabulary number of every benchmark word below ``telling``; the same of every gram."""
     found = [np.fromiter(map(ids.__getitem__, w), np.int32, len(w)) if w else np.empty(0, np.int32) for w in (t.lower().split() if t else [] for t in texts)]
     lens = np.array([len(x) for x in found])
     idx = np.concatenate(found) if found else np.empty(0, np.int32)
-    at = np.flatnonzero(idx >= 0)
+    at = np.flatnonzero((idx >= 0) & (idx < telling))
     doc = np.searchsorted(np.cumsum(lens), at, side="right")
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    return doc, at - starts[doc], idx[at]
+    of = np.repeat(np.arange(len(lens)), lens)
+    real = np.flatnonzero(idx != EMPTY)
+    place, gram = grams.found(idx[real])
+    size = np.zeros(len(gram), np.int64)
+    for n, first in grams.first.items():
+        size[gram >= first] = n  # numbers ascend by the order of sizes
+    inside = of[real[place]] == of[real[place + size - 1]]
+    place, gram = real[place[inside]], gram[inside]
+    order = np.lexsort([place])
+    place, gram = place[order], gram[order]
+    return doc, at - starts[doc], idx[at], of[place], place - starts[of[place]], gram
 
 
 def _windows(doc: np.ndarray, pos: np.ndarray, word: np.ndarray, half: int, least: int):
@@ -79,25 +161,46 @@ def _windows(doc: np.ndarray, pos: np.ndarray, word: np.ndarray, half: int, leas
     return number[inverse[ok]], w[ok], keys >> 32, (keys & 0xFFFFFFFF) * half
 
 
+FOUND = "id long, pos binary, word binary, docs long, gram_pos binary, gram binary"
+
+
 def _found(ids_of):
-    """(id, pos, word): where a document has words of the vocabulary, as packed 32-bit integers; the number of documents behind."""
+    """(id, pos, word): where a document has words of the vocabulary, as packed 32-bit integers; the number of documents behind; its grams likewise."""
 
     def run(batches):
-        ids, n = _Ids(ids_of.value), 0
+        vocabulary, telling, grams = ids_of.value
+        ids, n = _Ids(vocabulary), 0
+        names = [x.split()[0] for x in FOUND.split(", ")]
         for batch in batches:
             n += batch.num_rows
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
-                doc, pos, word = _hits(part.column(1).to_pylist(), ids)
-                if len(doc):
-                    at, first = np.unique(doc, return_index=True)
-                    ends = np.append(first[1:], len(doc))
-                    pos, word = pos.astype(np.int32), word.astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(at)), pa.array([pos[x:y].tobytes() for x, y in zip(first, ends)], pa.binary()), pa.array([word[x:y].tobytes() for x, y in zip(first, ends)], pa.binary()), pa.nulls(len(at), pa.int64())],
-                        ["id", "pos", "word", "docs"],
-                    )
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([n], pa.int64())], ["id", "pos", "word", "docs"])
+                doc, pos, word, gram_doc, gram_pos, gram = _hits(part.column(1).to_pylist(), ids, telling, grams)
+                at = np.union1d(doc, gram_doc)
+                if len(at):
+                    packed = []
+                    for of, values in ((doc, pos), (doc, word), (gram_doc, gram_pos), (gram_doc, gram)):
+                        lo, hi, values = np.searchsorted(of, at), np.searchsorted(of, at, side="right"), values.astype(np.int32)
+                        packed.append(pa.array([values[x:y].tobytes() for x, y in zip(lo, hi)], pa.binary()))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *packed[:2], pa.nulls(len(at), pa.int64()), *packed[2:]], names)
+        none = pa.nulls(1, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), none, none, pa.array([n], pa.int64()), none, none], names)
+
+    return run
+
+
+def _gram_search(grams_of):
+    """Candidates (id, item number, first and last word, 0): with enough of an item's n-grams."""
+
+    def run(batches):
+        grams = grams_of.value[2]
+        for batch in batches:
+            pos, gram = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            out = [(k, *x) for k in range(len(pos)) for x in grams.stretches(np.frombuffer(pos[k], np.int32), np.frombuffer(gram[k], np.int32))]
+            if out:
+                ids = batch.column(0).take(pa.array([x[0] for x in out]))
+                rest = [pa.array([x[n] for x in out], pa.int64()) for n in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([ids, *rest, pa.array(np.zeros(len(out)))], ["id", "number", "lo", "hi", "cosine"])
 
     return run
 
@@ -271,9 +374,15 @@ def _verified(model, near: float, para: float):
 
 
 HITS = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("cosine", pa.float64()), ("word", pa.int64())])
+CANDIDATES = "id long, number long, lo long, hi long, cosine double"
 HITS_SQL = "id long, item long, lcs double, answer double, cosine double, word long"
 
 
+def _poor(telling: int, words: int) -> bool:
+    """Whether an item of so many distinct words has too few telling ones among them to be found by those alone."""
+    return telling < max(min(5, words), words / 5)
+
+
 def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para, common, least, max_words, broadcast_rows, seed) -> DataFrame | None:
     spark = texts.sparkSession
     words = [(i, plain_words(t)) for i, t in items]
@@ -281,26 +390,33 @@ def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para,
     shared = Counter(x for _, w in words for x in set(w))
     often = max(0.03 * len(words), 5)  # a word of so many items can't tell them apart
     vocabulary = {w: k for k, w in enumerate(sorted(x for x, n in shared.items() if n <= often))}
+    telling = len(vocabulary)
+    for w in sorted(set(shared) - set(vocabulary)):
+        vocabulary[w] = len(vocabulary)  # in n-grams only
     if not vocabulary:
         return None
     if len(vocabulary) > max_words:
         raise ValueError(f"a block of the benchmark has {len(vocabulary)} words; lower block_items")
-    ids_of = spark.sparkContext.broadcast(vocabulary)
-    hits = written(texts.mapInArrow(_found(ids_of), "id long, pos binary, word binary, docs long"), "d10-hits")
+    ids_of = spark.sparkContext.broadcast((vocabulary, telling, _Grams([np.array([vocabulary[x] for x in w]) for _, w in words])))
+    hits = written(texts.mapInArrow(_found(ids_of), FOUND), "d10-hits")
     docs = hits.agg(F.sum("docs")).first()[0]
     if not docs:
         return None
-    hits = hits.where("docs is null").select("id", "pos", "word")
-    counted = hits.mapInArrow(_frequencies(len(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the block
-    df = np.zeros(len(vocabulary))
+    candidates = hits.where("id is not null and length(gram) > 0").select("id", "gram_pos", "gram").mapInArrow(_gram_search(ids_of), CANDIDATES)
+    hits = hits.where("docs is null and length(pos) > 0").select("id", "pos", "word")
+    counted = hits.mapInArrow(_frequencies(telling), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the block
+    df = np.zeros(telling)
     for r in counted:
         df[r["word"]] = r["n"]
     usual = df > max(common * docs, 20)
+    own_ids = [(len(set(w)), [k for k in {vocabulary[x] for x in w} if k < telling]) for _, w in words]
+    poor = [ids for n, ids in own_ids if _poor(int((~usual[ids]).sum()), n)]
+    usual[[k for ids in poor for k in ids]] = False
     idf = (np.log((docs + 1) / (df + 1)) + 0.1).astype(np.float32)
     kept = np.flatnonzero(~usual)
     names = list(vocabulary)
     live = {names[k]: n for n, k in enumerate(kept)}
-    renumber = np.full(len(vocabulary), -1, np.int32)
+    renumber = np.full(telling, -1, np.int32)
     renumber[kept] = np.arange(len(kept))
     idf = idf[kept]
     half = window // 2
@@ -312,26 +428,26 @@ def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para,
                 entry += [len(owner)] * len(part)
                 word += part
                 owner.append(i)
-    if not owner:
-        return None
-    entry, word, owner = np.array(entry), np.array(word), np.array(owner)
-    r = min(rank, len(idf))
-    least = min(least, int(np.bincount(entry).min()))
-    model = spark.sparkContext.broadcast((renumber, idf, r, seed))
-    pieces = hits.mapInArrow(_sketch(model, window, least), "piece int, z binary").repartition(parallelism(spark), "piece").mapInArrow(_summed, "piece int, z binary").collect()
-    z = np.zeros((len(idf), r))
-    for p in pieces:
-        x = np.frombuffer(bytes(p["z"]), np.float64).reshape(-1, r)
-        z[p["piece"] * 256 : p["piece"] * 256 + len(x)] += x
-    own = np.zeros((len(idf), r), np.float32)
-    _power(entry, word, idf, _gaussian(len(idf), r, seed), own)
-    basis, _ = np.linalg.qr(z + own)  # leading right singular subspace of the corpus' and the benchmark's passages
-    project = (idf[:, None] * basis).astype(np.float32)
-    passages = np.add.reduceat(project[word], np.concatenate([[0], np.flatnonzero(np.diff(entry)) + 1]))
-    passages /= np.maximum(np.sqrt((passages * passages).sum(1, keepdims=True)), 1e-9)
     checked = [(i, Item(w, live, near)) for i, w in words]
-    found = spark.sparkContext.broadcast((renumber, project, passages.astype(np.float32), owner, checked))
-    candidates = hits.mapInArrow(_search(found, window, least, cosine), "id long, number long, lo long, hi long, cosine double").where("id is not null")
+    if owner:
+        entry, word, owner = np.array(entry), np.array(word), np.array(owner)
+        r = min(rank, len(idf))
+        least = min(least, int(np.bincount(entry).min()))
+        model = spark.sparkContext.broadcast((renumber, idf, r, seed))
+        pieces = hits.mapInArrow(_sketch(model, window, least), "piece int, z binary").repartition(parallelism(spark), "piece").mapInArrow(_summed, "piece int, z binary").collect()
+        z = np.zeros((len(idf), r))
+        for p in pieces:
+            x = np.frombuffer(bytes(p["z"]), np.float64).reshape(-1, r)
+            z[p["piece"] * 256 : p["piece"] * 256 + len(x)] += x
+        own = np.zeros((len(idf), r), np.float32)
+        _power(entry, word, idf, _gaussian(len(idf), r, seed), own)
+        basis, _ = np.linalg.qr(z + own)  # leading right singular subspace of the corpus' and the benchmark's passages
+        project = (idf[:, None] * basis).astype(np.float32)
+        passages = np.add.reduceat(project[word], np.concatenate([[0], np.flatnonzero(np.diff(entry)) + 1]))
+        passages /= np.maximum(np.sqrt((passages * passages).sum(1, keepdims=True)), 1e-9)
+        found = spark.sparkContext.broadcast((renumber, project, passages.astype(np.float32), owner, checked))
+        near_ones = hits.mapInArrow(_search(found, window, least, cosine), CANDIDATES).where("id is not null")
+        candidates = candidates.unionByName(near_ones)
     asked = written(
         candidates.groupBy("id").agg(F.collect_set(F.struct("number", "lo", "hi", "cosine")).alias("asked")), "d10-candidates"
     )  # at most the windows of one document times the block's items

@@ -158,3 +158,29 @@ def test_decontamination_finds_planted_passages(spark):
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
     assert got == leaks
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_items_that_leak_into_many_documents(spark):
+    rng = random.Random(9)
+    vocabulary, stop = [f"v{rng.randrange(10**6)}" for _ in range(3000)], ["the", "of", "and", "to", "in", "is"]
+    text = lambda n: [rng.choice(stop) if rng.random() < 0.5 else rng.choice(vocabulary) for _ in range(n)]
+    items = {i: text(30) for i in range(20)}
+    items[20] = [rng.choice(stop) for _ in range(24)]  # common words only
+    rows, leaks = [], set()
+    for d in range(300):
+        w, leaked = text(rng.choice((20, 100, 600))), None
+        if d % 3 == 0:
+            leaked = 0
+        elif d % 50 == 1:
+            leaked = 20
+        if leaked is not None:
+            p = list(items[leaked])
+            if d % 6 == 0:
+                p[::8] = ["zz"] * len(p[::8])
+            at = rng.randrange(len(w))
+            w[at:at] = [*p[:5], "--", *p[5:]]
+            leaks.add((d, leaked))
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == leaks
