@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. One pass over the texts notes where the benchmark's words and its word ``GRAM``-grams stand; document frequencies over the
-   whole corpus give TF-IDF weights. Words of more than ``common`` of all documents, or of many items, carry no weight, except those of
+   whole corpus give TF-IDF weights. Words of more than ``common`` of all documents, or of many different items, carry no weight, except those of
    items that would be left with too few (``_poor``): a leak into many documents makes an item's own words common.
    Only benchmark words can bring a passage near a benchmark passage, so the matrix has a column for those alone.
 2. Distributed randomised SVD: with A the TF-IDF rows of every corpus passage and of the benchmark's, each task
@@ -18,7 +18,7 @@
 The benchmark is processed in blocks of ``block_items`` items, so what is broadcast (a basis of at most
 ``max_words`` x ``rank`` floats and the block's items) has a fixed bound at any size of either side.
 
-Defined results: null and empty texts and items match nothing; an item equal to another matches where that does;
+Defined results: null and empty texts and items match nothing; an item equal to another is checked once and matches where that does;
 an item of fewer than ``GRAM`` words matches where it stands word for word; leaks found by n-grams alone have cosine 0;
 repeated document rows are reported for each id once an item; rows without an id aren't reported; an empty table on either side gives no rows.
 """
@@ -385,11 +385,16 @@ def _poor(telling: int, words: int) -> bool:
 
 def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para, common, least, max_words, broadcast_rows, seed) -> DataFrame | None:
     spark = texts.sparkSession
-    words = [(i, plain_words(t)) for i, t in items]
-    words = [(i, w) for i, w in words if w]
+    first: dict[tuple, int] = {}
+    for i, t in items:
+        first.setdefault(tuple(plain_words(t)), i)
+    alike = [(i, first[tuple(plain_words(t))]) for i, t in items]  # items of the same words are checked once
+    words = [(i, list(w)) for w, i in first.items() if w]
     shared = Counter(x for _, w in words for x in set(w))
     often = max(0.03 * len(words), 5)  # a word of so many items can't tell them apart
-    vocabulary = {w: k for k, w in enumerate(sorted(x for x, n in shared.items() if n <= often))}
+    few = {x for x, n in shared.items() if n <= often}
+    few |= {x for w in [set(w) for _, w in words] if _poor(len(w & few), len(w)) for x in w}
+    vocabulary = {w: k for k, w in enumerate(sorted(few))}
     telling = len(vocabulary)
     for w in sorted(set(shared) - set(vocabulary)):
         vocabulary[w] = len(vocabulary)  # in n-grams only
@@ -411,7 +416,8 @@ def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para,
     usual = df > max(common * docs, 20)
     own_ids = [(len(set(w)), [k for k in {vocabulary[x] for x in w} if k < telling]) for _, w in words]
     poor = [ids for n, ids in own_ids if _poor(int((~usual[ids]).sum()), n)]
-    usual[[k for ids in poor for k in ids]] = False
+    own = np.array([shared[w] <= often for w in list(vocabulary)[:telling]], bool)  # a word common on both sides tells nothing
+    usual[[k for ids in poor for k in ids if own[k]]] = False
     idf = (np.log((docs + 1) / (df + 1)) + 0.1).astype(np.float32)
     kept = np.flatnonzero(~usual)
     names = list(vocabulary)
@@ -439,9 +445,9 @@ def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para,
         for p in pieces:
             x = np.frombuffer(bytes(p["z"]), np.float64).reshape(-1, r)
             z[p["piece"] * 256 : p["piece"] * 256 + len(x)] += x
-        own = np.zeros((len(idf), r), np.float32)
-        _power(entry, word, idf, _gaussian(len(idf), r, seed), own)
-        basis, _ = np.linalg.qr(z + own)  # leading right singular subspace of the corpus' and the benchmark's passages
+        benchmark = np.zeros((len(idf), r), np.float32)
+        _power(entry, word, idf, _gaussian(len(idf), r, seed), benchmark)
+        basis, _ = np.linalg.qr(z + benchmark)  # leading right singular subspace of the corpus' and the benchmark's passages
         project = (idf[:, None] * basis).astype(np.float32)
         passages = np.add.reduceat(project[word], np.concatenate([[0], np.flatnonzero(np.diff(entry)) + 1]))
         passages /= np.maximum(np.sqrt((passages * passages).sum(1, keepdims=True)), 1e-9)
@@ -452,7 +458,12 @@ def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para,
         candidates.groupBy("id").agg(F.collect_set(F.struct("number", "lo", "hi", "cosine")).alias("asked")), "d10-candidates"
     )  # at most the windows of one document times the block's items
     texts = texts.join(F.broadcast(asked) if bounded(asked, broadcast_rows) else asked, "id")
-    return texts.select("id", "text", "asked").mapInArrow(_verified(spark.sparkContext.broadcast(checked), near, para), HITS_SQL)
+    hits = texts.select("id", "text", "asked").mapInArrow(_verified(spark.sparkContext.broadcast(checked), near, para), HITS_SQL)
+    more = [(a, i) for i, a in alike if i != a]
+    if not more:
+        return hits
+    each = spark.createDataFrame(more + [(i, i) for i, _ in words], "of long, each long")
+    return hits.join(F.broadcast(each), F.col("item") == F.col("of")).withColumn("item", F.col("each")).drop("of", "each")
 
 
 def contaminated(
@@ -465,7 +476,9 @@ def contaminated(
     spark = docs.sparkSession
     text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    named = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    # a row for each text, numbered; its ids are joined in at the end
+    items = written(named.select("text").distinct().select(F.monotonically_increasing_id().alias("item"), "text"), "d10-items")
     n = items.count()
     blocks = max(1, -(-n // block_items))
     items = items.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(blocks)))
@@ -475,6 +488,8 @@ def contaminated(
         hits = _one_block(texts, block, window, rank, cosine, near, para, common, least, max_words, broadcast_rows, seed) if block else None
         if hits is not None:
             out = out.unionByName(hits)
+    ids = items.select(F.col("item").alias("number"), "text").join(named, "text").select("number", "item")
+    out = out.withColumnRenamed("item", "number").join(ids, "number")
     best = out.groupBy("id", "item").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("word")).alias("w"))).alias("x"))
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "x.lcs", "x.answer", "x.cosine", (-F.col("x.w")).alias("word")

@@ -184,3 +184,23 @@ def test_decontamination_of_items_that_leak_into_many_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(p)) for i, p in items.items()], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == leaks
+
+
+def test_decontamination_of_equal_items_and_templates(spark):
+    rng = random.Random(10)
+    vocabulary = [f"v{rng.randrange(10**6)}" for _ in range(3000)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    same, template = text(25), text(25)
+    items = {i: text(25) for i in range(20)} | {100 + i: same for i in range(8)} | {200 + i: [*template[:12], f"n{i}", *template[12:]] for i in range(9)}
+    texts = {i: " ".join(w) for i, w in items.items()} | {107: " ".join(same) + "."}
+    planted = {5: same, 50: items[203], 51: items[3]}
+    rows = []
+    for d in range(60):
+        w = text(rng.choice((20, 100, 300)))
+        at = rng.randrange(len(w))
+        w[at:at] = planted.get(d, [])
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(sorted(texts.items()), "item_id long, text string")
+    want = {(5, 100 + i) for i in range(8)} | {(50, 200 + i) for i in range(9)} | {(51, 3)}
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
