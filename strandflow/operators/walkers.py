@@ -364,27 +364,27 @@ def assemble_bubbly(g: LocalGraph, path: list[int], opts: AssembleOptions = Asse
         parts.append(at)
 
 
-def fluff(g: LocalGraph, probes: list[int], leash: int, max_paths: int = 100_000) -> list[list[tuple[list[int], str]]]:
+def fluff(g: LocalGraph, probes: list[int], leash: int) -> list[Iterator[tuple[list[int], str]]]:
     """For each probe all acyclic paths with their fates: at another probe's node ('terminal'), at an end ('dead_end'), past the leash
-    ('beyond_leash'; lengths include k - 1)."""
+    ('beyond_leash'; lengths include k - 1). Paths come as they are found, however many there are."""
     ends = {abs(p) for p in probes}
-    out = []
-    for start in probes:
-        found, stack = [], [[start]]
-        while stack and len(found) < max_paths:
+
+    def beyond(start: int) -> Iterator[tuple[list[int], str]]:
+        stack = [[start]]
+        while stack:
             p = stack.pop()
             if len(p) > 1 and abs(p[-1]) in ends:
-                found.append((p, "terminal"))
+                yield p, "terminal"
                 continue
             if g.bp(p) >= leash:
-                found.append((p, "beyond_leash"))
+                yield p, "beyond_leash"
                 continue
             nexts = [n for n in g.after(p[-1]) if n not in p]
             if not nexts:
-                found.append((p, "dead_end"))
+                yield p, "dead_end"
             stack += [p + [n] for n in reversed(nexts)]
-        out.append(found)
-    return out
+
+    return [beyond(p) for p in probes]
 
 
 def depth_first(g: LocalGraph, start: int, visit: Callable[[list[int]], bool]) -> None:

@@ -76,3 +76,9 @@ def test_depth_first_prunes_and_orders():
 def test_cycle_counts():
     assert wk.cycle_counts([1, 2, 3, 2, 3, 2, 4])[2, 3] == 2
     assert not wk.cycle_counts([1, 2, 3])
+
+
+def test_fluff_finds_every_path():
+    arcs = [(3 * i + a, 3 * i + b) for i in range(17) for a, b in ((1, 2), (1, 3), (2, 4), (3, 4))]
+    g = wk.LocalGraph.of(7, [(n, 1, 5.0) for n in range(1, 53)], arcs)
+    assert sum(p[-1] == 52 and f == "dead_end" for p, f in wk.fluff(g, [1], 1000)[0]) == 2**17
