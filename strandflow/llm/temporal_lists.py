@@ -51,7 +51,7 @@ def judged(captures: DataFrame, events: DataFrame, id_col: str = "capture_id", u
     )
     parents = rows.where("host != '' and ts is not null").select(
         "row", "ts",
-        F.explode(F.expr("transform(sequence(1, least(size(split(host, '[.]')), 8)), k -> substring_index(host, '.', -k))")).alias("domain"),
+        F.explode(F.expr("transform(sequence(1, size(split(host, '[.]'))), k -> substring_index(host, '.', -k))")).alias("domain"),
     )
     state = F.expr("element_at(filter(steps, s -> s.ts <= ts), -1)")
     hits = parents.join(history, "domain").select("row", "domain", F.when(F.expr("exists(steps, s -> s.ts <= ts)"), state).alias("state"))

@@ -154,3 +154,12 @@ def test_pipeline_stages(spark, docs_of, tmp_path):
             assert docs.columns == clashing.columns, name
         if before.limit(1).count():
             assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(ids["mixing"])
+
+
+def test_temporal_lists_of_hosts_with_many_labels(spark):
+    name = "a.b.c.d.e.f.g.h.bad.com"
+    ev = spark.createDataFrame([(name, "x", 1, True), (name[2:], "y", 1, True)], "domain string, category string, ts long, added boolean")
+    caps = spark.createDataFrame([(1, f"http://{name}/p", 5), (2, f"http://z.{name}", 5), (3, "http://h.bad.com", 5)], "capture_id long, url string, ts long")
+    got = {r.capture_id: (r.matched, r.categories, r.allowed) for r in judged(caps, ev).collect()}
+    both = (f"{name},{name[2:]}", "x,y", False)
+    assert got == {1: both, 2: both, 3: ("", "", True)}
