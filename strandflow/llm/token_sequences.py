@@ -35,6 +35,7 @@ from .common import new_path, parallelism, text_batches, written
 
 ODD_SPACE = re.compile(r"\s |^ | $")
 ENDS = ".,;:!?"
+LONG = 256
 # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
@@ -51,13 +52,16 @@ _ODD_ASCII = [c + " " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"]
 
 
 class _Pieces(dict):
-    """Ids in bytes of pieces of text, by their words; at most ``most`` are kept, and all are dropped when that many times four didn't fit."""
+    """Ids in bytes of pieces of text, by their words; at most ``most`` are kept, none of over ``LONG`` characters, and all are dropped when that many times
+    four didn't fit."""
 
     def __init__(self, encode, most: int):
         self.encode, self.most, self.left_out = encode, most, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
+        if len(word) > LONG:
+            return ids
         if len(self) < self.most:
             self[word] = ids
         else:
@@ -105,9 +109,13 @@ class Encoder:
             if len(core) == len(word):
                 return self._letters(word, space)
             return (self.spaced if space else self.bare)[core] + self.bare[word[len(core) :]]
-        first, line, second = word.partition("\n")
-        if line and first and second and second[0].isalpha() and second[0] <= "\u024f" and not first[-1].isspace():
-            return (self.spaced if space else self.bare)[first] + self.bare["\n"] + self.bare[second]
+        at, known, ids = 0, self.spaced if space else self.bare, []
+        while (cut := word.find("\n", at)) > at and word[cut + 1 : cut + 2].isalpha() and word[cut + 1] <= "\u024f" and not word[cut - 1].isspace():
+            ids += [known[word[at:cut]], self.bare["\n"]]
+            at, known = cut + 1, self.bare
+        if at:
+            ids.append(self.whole(word[at:]) if cut >= 0 else self.bare[word[at:]])
+            return b"".join(ids)
         return self.whole(" " + word if space else word)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:

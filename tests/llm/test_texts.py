@@ -108,3 +108,12 @@ def test_quality_without_both_classes(spark, docs_of):
     ones = spark.createDataFrame([(i, 1) for i in range(20)] + [(None, 0), (3, None)], "doc_id long, quality int")
     assert {r.score for r in quality_scores(docs, ones).collect()} == {1.0}
     assert quality_scores(docs.limit(0), ones).count() == 0
+
+
+def test_many_line_ends_between_two_spaces():
+    e = Encoder(PATH, 2)
+    rng = random.Random(3)
+    lines = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(5000)]
+    for t in ("x " + "\n".join(lines) + " y", "\n".join(lines[:400]) + "\n12\nab", " ".join(["a\nb", "\n".join([*lines[:400], "", "z"])]), "a\n\nb c\nd\n"):
+        assert e.encode([t])[0].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [2]
+    assert sum(map(len, [*e.spaced, *e.bare])) < 50_000
