@@ -10,8 +10,9 @@ are compared by matrix products that emit one count a vector, never the pairs. A
 many tasks' work.
 
 Recall: a pair at cosine c shares a hash bit with probability 1 - acos(c)/pi, so it meets in a window of w among n
-vectors in at least a share p**log2(n/w) of passes; with the defaults and 5,000 vectors a label a pair at the
-threshold is missed about once in 100,000. Raise ``passes`` with log n. Measured recall is in the README.
+vectors in at least a share p**log2(n/w) of passes. The passes follow from the counted size of the largest label, so that a pair at
+the threshold is missed with probability ``miss`` at most where directions are spread evenly; ``passes`` is their least number. Where directions
+cluster within a label, more bits are needed to tell vectors apart and the bound doesn't hold. Measured recall is in the README.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label,
 link with nothing; vectors of different lengths are not compared; repeated rows are vectors of their own; an
@@ -143,9 +144,17 @@ def _counts(threshold: float):
     return run
 
 
+def passes_needed(n: int, window: int, threshold: float, miss: float) -> int:
+    """Passes after which a pair at the threshold among n vectors is missed with probability ``miss`` at most."""
+    p = 1 - np.arccos(threshold) / np.pi
+    met = p ** np.log2(max(2.0, n / window))
+    return 1 if met >= 1 else int(np.ceil(np.log(miss) / np.log1p(-met)))
+
+
 def near_duplicate_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
     passes: int = 24, bits: int = 64, window: int = 32, block: int = 2048, chunk: int = 1024, seed: int = 7,
+    miss: float = 1e-5,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
@@ -155,6 +164,8 @@ def near_duplicate_vectors(
     classes = written(
         good.groupBy(*same).agg(F.min("id").alias("cls"), F.count("*").alias("copies"), F.first("v").alias("v")), "v5-classes"
     )
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    passes = max(passes, passes_needed(largest, window, threshold, miss))
     keyed = classes.select("cls", "label", "dim", "v").mapInArrow(
         _keyed(passes, bits, seed), "pass int, label long, dim int, key binary, cls long, v binary"
     )

@@ -6,7 +6,7 @@ import pytest
 from strandflow.llm import set_relation_join as sj
 from strandflow.llm.latent_decontamination import common_subsequence, contaminated
 from strandflow.llm.shingles import shingle_set
-from strandflow.llm.vector_passes import near_duplicate_vectors
+from strandflow.llm.vector_passes import near_duplicate_vectors, passes_needed
 
 
 def words(rng, n, vocabulary=4000):
@@ -129,6 +129,22 @@ def test_vectors_against_brute_force(spark):
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_passes_follow_the_largest_label(spark):
+    p = 1 - np.arccos(0.93) / np.pi
+    for n in (5_000, 10**6, 10**7, 10**8):
+        assert (1 - p ** np.log2(n / 32)) ** passes_needed(n, 32, 0.93, 1e-5) <= 1e-5
+    assert passes_needed(5_000, 32, 0.93, 1e-5) <= 24
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((25, 16))  # one label of clusters with sub-clusters
+    rows = [(i, (centers[i % 25] + rng.standard_normal(16) * 0.22).astype(np.float32).tolist(), 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(df, passes=1, window=4).collect()}
+    want = vector_truth(rows)
+    recall = sum(got.values()) / sum(n for n, *_ in want.values())
+    print("recall", recall, "of", sum(n for n, *_ in want.values()) // 2)
+    assert all(got[i] <= want[i][0] for i in got) and recall >= 0.999
+
+
 def test_lcs():
     a, b = "a b c d e f".split(), "x a c d y f a".split()
     assert common_subsequence(a, b) == 4 and common_subsequence(a, []) == 0
