@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import without, written
+from strandflow.llm.common import nameless, numbered, without, written
 from strandflow.llm.latent_decontamination import contaminated
 from strandflow.llm.mixing import mixed
 from strandflow.llm.quality_mil import accepted
@@ -19,21 +19,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group linked by shingle similarity; one row of it."""
+    """The document of the smallest id of each group linked by shingle similarity; one row of it. Rows without an id count as the last."""
+    docs, top = numbered(docs, "doc_id", "pipeline-numbered")
     groups = written(jaccard_components(docs), "pipeline-groups")
     kept = without(docs, groups.where("doc_id != component_id").select("doc_id"), "doc_id", "pipeline-copies")
     repeated = written(groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
     if not repeated.limit(1).count():
-        return kept
+        return nameless(kept, top, "doc_id")
     once = without(kept, repeated, "doc_id", "pipeline-once")
     twice = kept.join(repeated, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(twice)
+    return nameless(once.unionByName(twice), top, "doc_id")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item, with or without an id."""
+    docs, top = numbered(docs, "doc_id", "pipeline-numbered")
     hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, hits.select("doc_id"), "doc_id", "pipeline-leaks")
+    return nameless(without(docs, hits.select("doc_id"), "doc_id", "pipeline-leaks"), top, "doc_id")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

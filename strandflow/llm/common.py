@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandflow.lineage import bounded, connected_components, forget, global_rank, new_path, shared_dir, written
 
-__all__ = ["bounded", "clustered", "connected_components", "forget", "global_rank", "new_path", "parallelism", "shared_dir", "text_batches", "without", "written"]
+__all__ = ["bounded", "clustered", "connected_components", "forget", "global_rank", "nameless", "new_path", "numbered", "parallelism", "shared_dir", "text_batches", "without", "written"]
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -26,6 +26,22 @@ def clustered(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parallelism(df.sparkSession), *keys)
 
 
+def numbered(docs: DataFrame, col: str, tag: str) -> tuple[DataFrame, int | None]:
+    """``docs`` with ids beyond the largest, which is returned too, for rows without one; ``docs`` as it is and None where every row has its id."""
+    if not docs.where(F.col(col).isNull()).limit(1).count():
+        return docs, None
+    top = docs.agg(F.coalesce(F.max(col).cast("long"), F.lit(0).cast("long"))).first()[0]
+    own = F.lit(top + 1) + F.monotonically_increasing_id()
+    return written(docs.withColumn(col, F.coalesce(F.col(col).cast("long"), own)), tag), top  # written: read again, rows keep their numbers
+
+
+def nameless(docs: DataFrame, top: int | None, *cols: str) -> DataFrame:
+    """Takes the ids that ``numbered`` gave back out of ``cols``."""
+    for c in cols if top is not None else ():
+        docs = docs.withColumn(c, F.when(F.col(c) <= top, F.col(c)))
+    return docs
+
+
 def without(docs: DataFrame, ids: DataFrame, col: str, tag: str, rows: int = 1_000_000) -> DataFrame:
     """``docs`` whose ``col`` isn't among ``ids``; the ids are broadcast only where they are few (8 bytes each)."""
     gone = written(ids.select(F.col(ids.columns[0]).alias(col)).distinct(), tag)

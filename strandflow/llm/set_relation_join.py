@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, clustered, connected_components, text_batches, written
+from .common import bounded, clustered, connected_components, nameless, numbered, text_batches, written
 from .shingles import shingle_set
 
 PIECE = 1 << 16
@@ -203,15 +203,17 @@ def jaccard_components(
     broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(id, n_shingles, component_id): component_id is the smallest id reachable by links of similarity
-    ``percent``/100 or more. ``broadcast_rows`` bounds the only id list that is ever broadcast (16 bytes a row)."""
+    ``percent``/100 or more. Rows without an id link as others do and keep a null id; component_id is null where no row of the
+    group has an id. ``broadcast_rows`` bounds the only id list that is ever broadcast (16 bytes a row)."""
     spark = docs.sparkSession
     text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts, top = numbered(texts, "id", "j9-numbered")
     log_cells = _log_cells(texts)
     survey = written(
         texts.mapInArrow(_survey(width, log_cells), "id long, sid long, check long, n long, piece int, counts binary"), "j9-survey"
     )
-    found = survey.where("id IS NOT NULL").select("id", "sid", "check", "n")
+    found = survey.where("piece IS NULL").select("id", "sid", "check", "n")
     reps = found.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.min("check").alias("c0"), F.max("check").alias("c1"))
     reps = written(reps, "j9-reps")
     if reps.where("c0 != c1").limit(1).count():
@@ -260,11 +262,12 @@ def jaccard_components(
 
     placed = found.join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
     smallest = placed.where("n > 0").groupBy("comp").agg(F.min("id").alias("lowest"))
-    return placed.join(smallest, "comp", "left").select(
+    out = placed.join(smallest, "comp", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("id")).alias("component_id"),
     )
+    return nameless(out, top, id_col, "component_id")
 
 
 def _mixed(left: DataFrame, classes: DataFrame) -> DataFrame:

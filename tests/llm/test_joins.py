@@ -220,3 +220,16 @@ def test_decontamination_of_equal_items_and_templates(spark):
     bench = spark.createDataFrame(sorted(texts.items()), "item_id long, text string")
     want = {(5, 100 + i) for i in range(8)} | {(50, 200 + i) for i in range(9)} | {(51, 3)}
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
+
+
+def test_jaccard_of_rows_without_an_id(spark, docs_of):
+    import corpus_pipeline
+    from strandflow.llm.set_relation_join import jaccard_components
+
+    words = [f"w{i}" for i in range(60)]
+    other = [f"x{i}" for i in range(60)]
+    rows = [(7, " ".join(words), "s"), (None, " ".join(words[:58]), "s"), (None, " ".join(other), "s"), (None, " ".join(other[:58]), "s"), (3, "alone here", "s")]
+    got = sorted((tuple(r) for r in jaccard_components(docs_of(rows)).collect()), key=str)
+    assert got == sorted([(7, 56, 7), (None, 54, 7), (None, 56, None), (None, 54, None), (3, 1, 3)], key=str)
+    kept = [(r.doc_id, r.text[0]) for r in corpus_pipeline.one_of_each_group(spark, docs_of(rows), "").collect()]
+    assert sorted(kept, key=str) == [(3, "a"), (7, "w"), (None, "x")]
