@@ -1,7 +1,7 @@
 """Written tables that cut lineage, and connected components over them.
 
 Tables go to the folder the cluster names in ``spark.checkpoint.dir``, which all executors share; a folder of our own
-is used only where the session names none (local runs).
+is used only in local runs whose session names none.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.conf.get(_OWN, None)
         if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
             named = "file://" + tempfile.mkdtemp(prefix="strandflow-")
             spark.conf.set(_OWN, named)
     return named.rstrip("/")
@@ -29,20 +33,21 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strandflow/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back with the same schema."""
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back with the same schema; ``options`` are the writer's."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a written table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame, rows: int) -> bool:
@@ -50,23 +55,58 @@ def bounded(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _stars(most: int = 1 << 20):
+    """Edges (u, v) of a task as stars: (node, smallest node of its part) in chunks of at most ``most`` edges."""
+
+    def starred(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b, low = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+        while True:
+            x, y = low[a], low[b]
+            open_ = x != y
+            if not open_.any():
+                break
+            x, y = x[open_], y[open_]
+            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+            while (low[low] != low).any():
+                low = low[low]
+        inner = np.flatnonzero(low != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[inner], pa.int64()), pa.array(nodes[low[inner]], pa.int64())], ["u", "v"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n >= most:
+                yield starred(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if n:
+            yield starred(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node has one center, which has none itself."""
+    ends = stars.select(F.col("u").alias("x"), F.col("v").alias("center"), F.lit(False).alias("is_center")).unionByName(
+        stars.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("center"), F.lit(True).alias("is_center"))
+    )
+    of = ends.groupBy("x").agg(F.min("center").alias("lo"), F.max("center").alias("hi"), F.max("is_center").alias("c"))
+    return not of.where("lo != hi or (lo is not null and c)").limit(1).count()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, tag: str, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
-    Alternating large-star and small-star rounds, each a written table; nothing is collected but a count
-    and a checksum. A hub's edges meet its minimum in a join that Spark can split, not in a group.
+    Each task first turns its edges into stars, in chunks of bounded size; then alternating large-star and small-star rounds meet in
+    joins, each a written table. Nothing is collected. A hub's edges meet its minimum in a join that Spark can split, not in a group.
     """
-    cur = written(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), f"{tag}-edges"
-    )
-    mark = _mark(cur)
+    stars = lambda e: e.mapInArrow(_stars(), "u long, v long")
+    given = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    cur = written(stars(given.distinct()), f"{tag}-edges")
     for _ in range(rounds):
-        if not mark[0]:
+        if _settled(cur):
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -74,17 +114,13 @@ def connected_components(edges: DataFrame, a: str, b: str, tag: str, rounds: int
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"))
         small = large.join(low, "u").select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.*").where("u != v").distinct()
-        new = written(small, f"{tag}-round")
-        now = _mark(new)
+        new = written(stars(small), f"{tag}-round")
         forget(cur)
         cur = new
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
-    nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    cur = cur.distinct()
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def global_rank(df: DataFrame, keys: list, tag: str, name: str = "rank") -> DataFrame:

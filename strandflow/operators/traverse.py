@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from strandflow.lineage import connected_components, forget, written
 
+_UNFINISHED = "the traversal isn't finished after so many rounds"
+
 
 def _lengths(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("_id"), F.col("length").cast("long").alias("_len"))
@@ -54,6 +56,8 @@ def min_distances(
         best = nxt
         if not best.where("_new").limit(1).count():
             break
+    else:
+        raise RuntimeError(_UNFINISHED)
     out = best.select("source", "node", "dist")
     if max_nodes is not None:
         ids = out.groupBy("source", F.abs("node").alias("_a")).agg(F.min("dist").alias("_d"))
@@ -105,6 +109,8 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> Data
         seen = nxt
         if not seen.where("_new").limit(1).count():
             break
+    else:
+        raise RuntimeError(_UNFINISHED)
     return seen.select("node")
 
 
@@ -127,6 +133,8 @@ def explore(edges: DataFrame, nodes: DataFrame, starts: DataFrame, k: int, leash
         live = ext.where("fate is null")
         if not live.limit(1).count():
             break
+    else:
+        raise RuntimeError(_UNFINISHED)
     return done.select("source", "path", "fate")
 
 
@@ -143,6 +151,8 @@ def paths_between(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, leash: i
         if not live.limit(1).count():
             break
         done = done.unionByName(live.where("element_at(path, -1) = stop"))
+    else:
+        raise RuntimeError(_UNFINISHED)
     done = done.select("pair_id", "path")
     if max_paths is None:
         return done, pairs.select("pair_id", F.lit(False).alias("max_paths_exceeded"))
