@@ -1,38 +1,41 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. One pass over the texts notes where the benchmark's words and its word ``GRAM``-grams stand; document frequencies over the
-   whole corpus give TF-IDF weights. Words of more than ``common`` of all documents, or of many different items, carry no weight, except those of
-   items that would be left with too few (``_poor``): a leak into many documents makes an item's own words common.
+1. One pass over the texts writes each document as the sequence of its words' numbers in the benchmark's vocabulary (0 for other
+   words), of all items at once. Everything later reads these short sequences; the texts are never read again and never shuffled. Document
+   frequencies over the whole corpus give TF-IDF weights. Words of more than ``common`` of all documents, or of many different items, carry no
+   weight, except those of items that would be left with too few (``_poor``): a leak into many documents makes an item's own words common.
    Only benchmark words can bring a passage near a benchmark passage, so the matrix has a column for those alone.
 2. Distributed randomised SVD: with A the TF-IDF rows of every corpus passage and of the benchmark's, each task
-   adds up A'(A G) for a seeded Gaussian G; the sum (words x ``rank``) spans the leading right singular
-   subspace, and an orthonormal basis of it is the latent space.
+   adds up Y = A'(A G) for a seeded Gaussian G of ``rank`` + ``over`` columns; the small factorisation of Y and G (``_leading``) gives the
+   singular values and right singular vectors, and the ``rank`` leading ones are the latent space.
 3. Every corpus passage (windows of ``window`` words, half overlapping, whole texts) is projected and compared by
    cosine with the benchmark passages; all above ``cosine`` are candidates. So is every stretch of an item's length that holds
    ``GRAM_SHARE`` of the item's n-grams, whatever its words weigh: verbatim leaks never depend on the weights.
-4. Candidates without enough of the item's content words fall out; the texts of the others are read again and
-   the surroundings are checked word by word: the longest common subsequence with the item must
-   hold at least ``near`` of its words, or ``para`` of them together with most of its content words and of its
-   answer (its last third), which catches paraphrases and leaves shared phrases alone.
+4. In the same task, candidates without enough of the item's content words fall out and the surroundings of the others are checked word by
+   word: the longest common subsequence with the item must hold at least ``near`` of its words, or ``para`` of them together with most of
+   its content words and of its answer (its last third), which catches paraphrases and leaves shared phrases alone.
 
-The benchmark is processed in blocks of ``block_items`` items, so what is broadcast (a basis of at most
-``max_words`` x ``rank`` floats and the block's items) has a fixed bound at any size of either side.
+Words are numbered for ``max_blocks`` blocks of ``block_items`` items at once, or as many as have ``max_words`` words together; matrices are for one block, so what is
+broadcast (the words; a basis of a block's words x ``rank`` floats and the block's items) has a fixed bound at any size of either side.
 
 Defined results: null and empty texts and items match nothing; an item equal to another is checked once and matches where that does;
 an item of fewer than ``GRAM`` words matches where it stands word for word; leaks found by n-grams alone have cosine 0;
-repeated document rows are reported for each id once an item; rows without an id aren't reported; an empty table on either side gives no rows.
+repeated document rows are reported for each id once an item; rows without an id aren't reported; an empty table on either side gives no rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, parallelism, text_batches, written
+from .common import forget, parallelism, text_batches, written
 
 STRIP = "\"'`.,;:!?()[]{}<>|*#%&$_-–—…“”‘’«»"
 
@@ -43,11 +46,11 @@ def plain_words(text: str | None) -> list[str]:
 
 
 GRAM, GRAM_SHARE = 4, 0.4
-EMPTY = -2  # a word of punctuation alone
+OTHER, EMPTY = 0, 1  # in sequences: a word of no item, a word of punctuation alone; items' words follow from 2
 
 
 class _Ids(dict):
-    """Vocabulary number of a raw lower-case word, -1 for others, ``EMPTY`` for punctuation; remembers at most ``most`` others."""
+    """Number of a raw lower-case word; remembers at most ``most`` words."""
 
     def __init__(self, vocabulary: dict[str, int], most: int = 1 << 17):
         self.vocabulary, self.most = vocabulary, most
@@ -56,12 +59,12 @@ class _Ids(dict):
         if len(self) >= self.most:
             self.clear()
         plain = word.strip(STRIP)
-        self[word] = k = self.vocabulary.get(plain, -1) if plain else EMPTY
+        self[word] = k = self.vocabulary.get(plain, OTHER) if plain else EMPTY
         return k
 
 
 def _hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of the n-grams of vocabulary numbers."""
+    """64-bit hashes of the n-grams of word numbers."""
     x = (words.astype(np.int64) + 3).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -124,25 +127,38 @@ class _Grams:
         return out
 
 
-def _hits(texts: list[str | None], ids: _Ids, telling: int, grams: _Grams) -> tuple[np.ndarray, ...]:
-    """For a batch of texts: text number, word position and vocabulary number of every benchmark word below ``telling``; the same of every gram."""
-    found = [np.fromiter(map(ids.__getitem__, w), np.int32, len(w)) if w else np.empty(0, np.int32) for w in (t.lower().split() if t else [] for t in texts)]
-    lens = np.array([len(x) for x in found])
-    idx = np.concatenate(found) if found else np.empty(0, np.int32)
-    at = np.flatnonzero((idx >= 0) & (idx < telling))
-    doc = np.searchsorted(np.cumsum(lens), at, side="right")
-    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    of = np.repeat(np.arange(len(lens)), lens)
-    real = np.flatnonzero(idx != EMPTY)
-    place, gram = grams.found(idx[real])
-    size = np.zeros(len(gram), np.int64)
-    for n, first in grams.first.items():
-        size[gram >= first] = n  # numbers ascend by the order of sizes
-    inside = of[real[place]] == of[real[place + size - 1]]
-    place, gram = real[place[inside]], gram[inside]
-    order = np.lexsort([place])
-    place, gram = place[order], gram[order]
-    return doc, at - starts[doc], idx[at], of[place], place - starts[of[place]], gram
+class _Batch:
+    """Word numbers of a batch of documents, one after another: ``word`` and, for each, ``doc`` (number in the batch) and ``pos``."""
+
+    def __init__(self, part: pa.RecordBatch, kind: str):
+        packed = part.column(1).to_pylist()
+        self.word = np.frombuffer(b"".join(packed), kind).astype(np.int32)
+        self.lens = np.array([len(x) // np.dtype(kind).itemsize for x in packed])
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.doc = np.repeat(np.arange(len(packed)), self.lens)
+        self.pos = np.arange(len(self.word)) - self.starts[self.doc]
+
+    def live(self, renumber: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, pos, column) of the words with weight."""
+        column = renumber[self.word]
+        at = np.flatnonzero(column >= 0)
+        return self.doc[at], self.pos[at], column[at]
+
+    def region(self, doc: int, lo: int, hi: int) -> list[int]:
+        start = self.starts[doc]
+        return self.word[start + lo : start + min(hi, self.lens[doc])].tolist()
+
+    def grams(self, grams: _Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, pos, gram number) of the n-grams in the texts, in order."""
+        real = np.flatnonzero(self.word != EMPTY)
+        place, gram = grams.found(self.word[real])
+        size = np.zeros(len(gram), np.int64)
+        for n, first in grams.first.items():
+            size[gram >= first] = n  # numbers ascend by the order of sizes
+        inside = self.doc[real[place]] == self.doc[real[place + size - 1]]
+        place, gram = real[place[inside]], gram[inside]
+        order = np.argsort(place, kind="stable")
+        return self.doc[place[order]], self.pos[place[order]], gram[order]
 
 
 def _windows(doc: np.ndarray, pos: np.ndarray, word: np.ndarray, half: int, least: int):
@@ -161,63 +177,36 @@ def _windows(doc: np.ndarray, pos: np.ndarray, word: np.ndarray, half: int, leas
     return number[inverse[ok]], w[ok], keys >> 32, (keys & 0xFFFFFFFF) * half
 
 
-FOUND = "id long, pos binary, word binary, docs long, gram_pos binary, gram binary"
+def _parts(batches, kind: str, rows: int = 250):
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            yield part, _Batch(part, kind)
 
 
-def _found(ids_of):
-    """(id, pos, word): where a document has words of the vocabulary, as packed 32-bit integers; the number of documents behind; its grams likewise."""
+def _sequences(vocabulary, kind: str):
+    """(id, words): the packed word numbers of every document that has a word of the benchmark."""
 
     def run(batches):
-        vocabulary, telling, grams = ids_of.value
-        ids, n = _Ids(vocabulary), 0
-        names = [x.split()[0] for x in FOUND.split(", ")]
+        ids = _Ids(vocabulary.value)
         for batch in batches:
-            n += batch.num_rows
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
-                doc, pos, word, gram_doc, gram_pos, gram = _hits(part.column(1).to_pylist(), ids, telling, grams)
-                at = np.union1d(doc, gram_doc)
-                if len(at):
-                    packed = []
-                    for of, values in ((doc, pos), (doc, word), (gram_doc, gram_pos), (gram_doc, gram)):
-                        lo, hi, values = np.searchsorted(of, at), np.searchsorted(of, at, side="right"), values.astype(np.int32)
-                        packed.append(pa.array([values[x:y].tobytes() for x, y in zip(lo, hi)], pa.binary()))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *packed[:2], pa.nulls(len(at), pa.int64()), *packed[2:]], names)
-        none = pa.nulls(1, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), none, none, pa.array([n], pa.int64()), none, none], names)
+                found = [t.lower().split() if t else [] for t in part.column(1).to_pylist()]
+                found = [np.fromiter(map(ids.__getitem__, w), kind, len(w)) for w in found]
+                at = [k for k, w in enumerate(found) if len(w) and w.max() > EMPTY]
+                if at:
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array([found[k].tobytes() for k in at], pa.binary())], ["id", "words"])
 
     return run
 
 
-def _gram_search(grams_of):
-    """Candidates (id, item number, first and last word, 0): with enough of an item's n-grams."""
-
-    def run(batches):
-        grams = grams_of.value[2]
-        for batch in batches:
-            pos, gram = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = [(k, *x) for k in range(len(pos)) for x in grams.stretches(np.frombuffer(pos[k], np.int32), np.frombuffer(gram[k], np.int32))]
-            if out:
-                ids = batch.column(0).take(pa.array([x[0] for x in out]))
-                rest = [pa.array([x[n] for x in out], pa.int64()) for n in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([ids, *rest, pa.array(np.zeros(len(out)))], ["id", "number", "lo", "hi", "cosine"])
-
-    return run
-
-
-def _unpacked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, position and vocabulary number from packed rows."""
-    pos, word = part.column(1).to_pylist(), part.column(2).to_pylist()
-    lens = np.array([len(x) // 4 for x in pos])
-    return np.repeat(np.arange(len(pos)), lens), np.frombuffer(b"".join(pos), np.int32), np.frombuffer(b"".join(word), np.int32)
-
-
-def _frequencies(size: int):
+def _frequencies(size: int, kind: str):
     def run(batches):
         df = np.zeros(size, np.int64)
-        for batch in batches:
-            doc, _, word = _unpacked(batch)
-            seen = np.unique(doc.astype(np.int64) << 32 | word)
+        for _, b in _parts(batches, kind):
+            at = np.flatnonzero(b.word > EMPTY)
+            seen = np.unique(b.doc[at] << 32 | b.word[at])
             df += np.bincount(seen & 0xFFFFFFFF, minlength=size)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["word", "n"])
@@ -246,20 +235,12 @@ def _power(entry: np.ndarray, word: np.ndarray, idf: np.ndarray, g: np.ndarray,
     z[rows[first]] += np.add.reduceat(weight[order, None] * ag[row[order]], first)
 
 
-def _live(part: pa.RecordBatch, renumber: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hits of words with weight, in the numbers of the matrix' columns."""
-    doc, pos, word = _unpacked(part)
-    word = renumber[word]
-    ok = word >= 0
-    return doc[ok], pos[ok], word[ok]
-
-
-def _sketch(model, window: int, least: int):
+def _sketch(model, window: int, least: int, kind: str):
     def run(batches):
-        renumber, idf, rank, seed = model.value
-        g, z = _gaussian(len(idf), rank, seed), np.zeros((len(idf), rank), np.float32)
-        for batch in batches:
-            entry, w, *_ = _windows(*_live(batch, renumber), window // 2, least)
+        renumber, idf, width, seed = model.value
+        g, z = _gaussian(len(idf), width, seed), np.zeros((len(idf), width), np.float32)
+        for _, b in _parts(batches, kind):
+            entry, w, *_ = _windows(*b.live(renumber), window // 2, least)
             _power(entry, w, idf, g, z)
         if z.any():
             for k in range(0, len(z), 256):
@@ -268,6 +249,20 @@ def _sketch(model, window: int, least: int):
     return run
 
 
+def _leading(y: np.ndarray, g: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading singular values and right singular vectors of A from Y = A'(A G): A'A is nearly Y (G'Y)^-1 Y', whose factor's SVD is small."""
+    shift = 1e-7 * np.sqrt(len(y)) * max(np.linalg.norm(y), 1e-30)  # a small multiple of the identity keeps the factorisation stable
+    y = y + shift * g
+    core = g.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > max(values[-1], 0) * 1e-12
+    factor = y @ (vectors[:, good] / np.sqrt(values[good]))
+    basis, singular, _ = np.linalg.svd(factor, full_matrices=False)
+    values = np.maximum(singular**2 - shift, 0)
+    kept = np.flatnonzero(values > values[0] * 1e-9)[:rank] if len(values) and values[0] > 0 else np.empty(0, int)
+    return np.sqrt(values[kept]), basis[:, kept]
+
+
 def _summed(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -278,9 +273,9 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "z"])
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, a bit for each word of ``a``."""
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for i, w in enumerate(a):
         masks[w] = masks.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -293,18 +288,17 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 
 class Item:
-    """What the word-by-word check needs of a benchmark item."""
+    """What the word-by-word check needs of a benchmark item: ``words`` by number, ``live`` the columns of those with weight."""
 
-    def __init__(self, words: list[str], live: dict[str, int], near: float):
-        content = set(live)
+    def __init__(self, words: list[int], live: dict[int, int], near: float):
         self.words = words
-        self.content = [w for w in words if w in content]
-        self.answer = [w for w in words[-max(1, len(words) // 3) :] if w in content]
+        self.content = [w for w in words if w in live]
+        self.answer = [w for w in words[-max(1, len(words) // 3) :] if w in live]
         self.ids = {live[w] for w in self.content}
         #: distinct content words that any verdict of a leak needs at least
         self.least = min(len(self.ids) - (1 - near) * len(words), 0.6 * len(self.content) - (len(self.content) - len(self.ids)))
 
-    def verdict(self, region: list[str], near: float, para: float) -> tuple[float, float, bool]:
+    def verdict(self, region: list[int], near: float, para: float) -> tuple[float, float, bool]:
         """(share of the item's words in the common subsequence, share of its answer's content words, leaked)."""
         lcs = common_subsequence(self.words, region) / len(self.words)
         there = set(region)
@@ -313,68 +307,61 @@ class Item:
         return lcs, answer, lcs >= near or lcs >= para and content >= 0.6 and answer >= 0.6
 
 
-def _search(model, window: int, least: int, cosine: float):
-    """Candidates (id, item number, first and last word, cosine): near in the latent space and with enough of the item's words."""
-
-    def run(batches):
-        renumber, project, passages, owner, items = model.value
-        half = window // 2
-        for batch in batches:
-            hit_doc, hit_pos, hit_word = _live(batch, renumber)
-            entry, word, doc, at = _windows(hit_doc, hit_pos, hit_word, half, least)
-            if not len(doc):
-                continue
-            order = np.argsort(entry, kind="stable")
-            entry, word = entry[order], word[order]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(entry)) + 1])
-            x = np.add.reduceat(project[word], first)
-            x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-            place = hit_doc.astype(np.int64) << 32 | hit_pos
-            out: dict[tuple, float] = {}
-            for start in range(0, len(x), 4096):
-                sim = x[start : start + 4096] @ passages.T
-                row, col = np.nonzero(sim >= cosine)
-                for r, c, s in zip((row + start).tolist(), col.tolist(), sim[row, col].tolist()):
-                    d, i, lo = int(doc[r]), int(owner[c]), int(at[r])
-                    item = items[i][1]
-                    lo, hi = max(0, lo - len(item.words)), lo + window + len(item.words)
-                    a, b = np.searchsorted(place, [d << 32 | lo, d << 32 | hi])
-                    if len(item.ids.intersection(hit_word[a:b].tolist())) >= item.least:
-                        out[d, i, lo, hi] = max(s, out.get((d, i, lo, hi), 0.0))
-            if out:
-                ids = batch.column(0).take(pa.array([k[0] for k in out]))
-                rest = [pa.array([k[n] for k in out], pa.int64()) for n in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([ids, *rest, pa.array(list(out.values()), pa.float64())], ["id", "number", "lo", "hi", "cosine"])
-
-    return run
-
+def _near(b: _Batch, space, items: list, window: int, least: int, cosine: float) -> dict[tuple, float]:
+    """Candidates {(doc, item number, first and last word): cosine}: near in the latent space and with enough of the item's words."""
+    renumber, project, passages, owner = space
+    hit_doc, hit_pos, hit_word = b.live(renumber)
+    entry, word, doc, at = _windows(hit_doc, hit_pos, hit_word, window // 2, least)
+    out: dict[tuple, float] = {}
+    if not len(doc):
+        return out
+    order = np.argsort(entry, kind="stable")
+    entry, word = entry[order], word[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(entry)) + 1])
+    x = np.add.reduceat(project[word], first)
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    place = hit_doc << 32 | hit_pos
+    for start in range(0, len(x), 4096):
+        sim = x[start : start + 4096] @ passages.T
+        row, col = np.nonzero(sim >= cosine)
+        for r, c, s in zip((row + start).tolist(), col.tolist(), sim[row, col].tolist()):
+            d, i, lo = int(doc[r]), int(owner[c]), int(at[r])
+            item = items[i][1]
+            lo, hi = max(0, lo - len(item.words)), lo + window + len(item.words)
+            k, m = np.searchsorted(place, [d << 32 | lo, d << 32 | hi])
+            if len(item.ids.intersection(hit_word[k:m].tolist())) >= item.least:
+                out[d, i, lo, hi] = max(s, out.get((d, i, lo, hi), 0.0))
+    return out
+
+
+def _leaks(model, window: int, least: int, cosine: float, near: float, para: float, kind: str):
+    """(id, item, lcs, answer, cosine, word) of the leaks among the candidates, found and checked a batch of documents at a time."""
 
-def _verified(model, near: float, para: float):
     def run(batches):
-        items = model.value
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                words = (batch.column(1)[k].as_py() or "").lower().split()
-                best: dict[int, tuple] = {}
-                for c in batch.column(2)[k].as_py():
-                    item = items[c["number"]][1]
-                    region = [x for x in (w.strip(STRIP) for w in words[c["lo"] : c["hi"]]) if x]
-                    lcs, answer, leaked = item.verdict(region, near, para)
-                    if leaked and (c["number"] not in best or (lcs, c["cosine"]) > best[c["number"]][::2]):
-                        best[c["number"]] = (lcs, answer, c["cosine"], c["lo"])
-                out += [
-                    {"id": batch.column(0)[k].as_py(), "item": items[n][0], "lcs": lcs, "answer": answer, "cosine": s, "word": lo}
-                    for n, (lcs, answer, s, lo) in best.items()
-                ]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, HITS)
+        space, grams, items = model.value
+        for part, b in _parts(batches, kind):
+            asked = _near(b, space, items, window, least, cosine) if space else {}
+            doc, pos, gram = b.grams(grams)
+            edges = np.flatnonzero(np.diff(doc)) + 1
+            for lo, hi in zip(np.append(0, edges), np.append(edges, len(doc))):
+                for i, first, last in grams.stretches(pos[lo:hi], gram[lo:hi]) if hi > lo else ():
+                    asked.setdefault((int(doc[lo]), i, first, last), 0.0)
+            best: dict[tuple, tuple] = {}
+            for (d, i, first, last), s in asked.items():
+                lcs, answer, leaked = items[i][1].verdict(b.region(d, first, last), near, para)
+                if leaked and ((d, i) not in best or (lcs, s, -first) > best[d, i][:3]):
+                    best[d, i] = (lcs, s, -first, answer)
+            if best:
+                ids = part.column(0).take(pa.array([d for d, _ in best]))
+                lcs, s, word, answer = (pa.array(x) for x in zip(*best.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([items[i][0] for _, i in best], pa.int64()), lcs, answer, s.cast(pa.float64()), pa.array([-w.as_py() for w in word], pa.int64())],
+                    ["id", "item", "lcs", "answer", "cosine", "word"],
+                )
 
     return run
 
 
-HITS = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("cosine", pa.float64()), ("word", pa.int64())])
-CANDIDATES = "id long, number long, lo long, hi long, cosine double"
 HITS_SQL = "id long, item long, lcs double, answer double, cosine double, word long"
 
 
@@ -383,48 +370,26 @@ def _poor(telling: int, words: int) -> bool:
     return telling < max(min(5, words), words / 5)
 
 
-def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para, common, least, max_words, broadcast_rows, seed) -> DataFrame | None:
-    spark = texts.sparkSession
+def _one_block(sequences: DataFrame, kind: str, items: list, df: np.ndarray, docs: int, window, rank, over, cosine, near, para, common, least, seed) -> DataFrame:
+    """Leaks of the items (number, their words' numbers) among the sequences; ``df``: document frequencies by word number."""
+    spark = sequences.sparkSession
     first: dict[tuple, int] = {}
-    for i, t in items:
-        first.setdefault(tuple(plain_words(t)), i)
-    alike = [(i, first[tuple(plain_words(t))]) for i, t in items]  # items of the same words are checked once
-    words = [(i, list(w)) for w, i in first.items() if w]
+    for i, w in items:
+        first.setdefault(tuple(w), i)
+    alike = [(i, first[tuple(w)]) for i, w in items]  # items of the same words are checked once
+    words = [(i, list(w)) for w, i in first.items()]
     shared = Counter(x for _, w in words for x in set(w))
     often = max(0.03 * len(words), 5)  # a word of so many items can't tell them apart
     few = {x for x, n in shared.items() if n <= often}
     few |= {x for w in [set(w) for _, w in words] if _poor(len(w & few), len(w)) for x in w}
-    vocabulary = {w: k for k, w in enumerate(sorted(few))}
-    telling = len(vocabulary)
-    for w in sorted(set(shared) - set(vocabulary)):
-        vocabulary[w] = len(vocabulary)  # in n-grams only
-    if not vocabulary:
-        return None
-    if len(vocabulary) > max_words:
-        raise ValueError(f"a block of the benchmark has {len(vocabulary)} words; lower block_items")
-    ids_of = spark.sparkContext.broadcast((vocabulary, telling, _Grams([np.array([vocabulary[x] for x in w]) for _, w in words])))
-    hits = written(texts.mapInArrow(_found(ids_of), FOUND), "d10-hits")
-    docs = hits.agg(F.sum("docs")).first()[0]
-    if not docs:
-        return None
-    candidates = hits.where("id is not null and length(gram) > 0").select("id", "gram_pos", "gram").mapInArrow(_gram_search(ids_of), CANDIDATES)
-    hits = hits.where("docs is null and length(pos) > 0").select("id", "pos", "word")
-    counted = hits.mapInArrow(_frequencies(telling), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the block
-    df = np.zeros(telling)
-    for r in counted:
-        df[r["word"]] = r["n"]
-    usual = df > max(common * docs, 20)
-    own_ids = [(len(set(w)), [k for k in {vocabulary[x] for x in w} if k < telling]) for _, w in words]
-    poor = [ids for n, ids in own_ids if _poor(int((~usual[ids]).sum()), n)]
-    own = np.array([shared[w] <= often for w in list(vocabulary)[:telling]], bool)  # a word common on both sides tells nothing
-    usual[[k for ids in poor for k in ids if own[k]]] = False
-    idf = (np.log((docs + 1) / (df + 1)) + 0.1).astype(np.float32)
-    kept = np.flatnonzero(~usual)
-    names = list(vocabulary)
-    live = {names[k]: n for n, k in enumerate(kept)}
-    renumber = np.full(telling, -1, np.int32)
-    renumber[kept] = np.arange(len(kept))
-    idf = idf[kept]
+    usual = {x for x in few if df[x] > max(common * docs, 20)}
+    for w in [set(w) for _, w in words]:
+        if _poor(len((w & few) - usual), len(w)):
+            usual -= {x for x in w if shared[x] <= often}  # a word common on both sides tells nothing
+    live = {x: k for k, x in enumerate(sorted(few - usual))}
+    renumber = np.full(len(df), -1, np.int32)
+    renumber[list(live)] = list(live.values())
+    idf = (np.log((docs + 1) / (df[list(live)] + 1)) + 0.1).astype(np.float32)
     half = window // 2
     entry, word, owner = [], [], []
     for i, (_, w) in enumerate(words):
@@ -435,30 +400,28 @@ def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para,
                 word += part
                 owner.append(i)
     checked = [(i, Item(w, live, near)) for i, w in words]
+    space = None
     if owner:
         entry, word, owner = np.array(entry), np.array(word), np.array(owner)
-        r = min(rank, len(idf))
+        width = min(rank + over, len(idf))
         least = min(least, int(np.bincount(entry).min()))
-        model = spark.sparkContext.broadcast((renumber, idf, r, seed))
-        pieces = hits.mapInArrow(_sketch(model, window, least), "piece int, z binary").repartition(parallelism(spark), "piece").mapInArrow(_summed, "piece int, z binary").collect()
-        z = np.zeros((len(idf), r))
+        model = spark.sparkContext.broadcast((renumber, idf, width, seed))
+        pieces = sequences.mapInArrow(_sketch(model, window, least, kind), "piece int, z binary").repartition(parallelism(spark), "piece").mapInArrow(_summed, "piece int, z binary").collect()
+        model.destroy()
+        g = _gaussian(len(idf), width, seed)
+        y = np.zeros((len(idf), width), np.float32)
+        _power(entry, word, idf, g, y)  # the benchmark's own passages
+        y = y.astype(np.float64)
         for p in pieces:
-            x = np.frombuffer(bytes(p["z"]), np.float64).reshape(-1, r)
-            z[p["piece"] * 256 : p["piece"] * 256 + len(x)] += x
-        benchmark = np.zeros((len(idf), r), np.float32)
-        _power(entry, word, idf, _gaussian(len(idf), r, seed), benchmark)
-        basis, _ = np.linalg.qr(z + benchmark)  # leading right singular subspace of the corpus' and the benchmark's passages
+            x = np.frombuffer(bytes(p["z"]), np.float64).reshape(-1, width)
+            y[p["piece"] * 256 : p["piece"] * 256 + len(x)] += x
+        _, basis = _leading(y, g.astype(np.float64), rank)
         project = (idf[:, None] * basis).astype(np.float32)
         passages = np.add.reduceat(project[word], np.concatenate([[0], np.flatnonzero(np.diff(entry)) + 1]))
         passages /= np.maximum(np.sqrt((passages * passages).sum(1, keepdims=True)), 1e-9)
-        found = spark.sparkContext.broadcast((renumber, project, passages.astype(np.float32), owner, checked))
-        near_ones = hits.mapInArrow(_search(found, window, least, cosine), CANDIDATES).where("id is not null")
-        candidates = candidates.unionByName(near_ones)
-    asked = written(
-        candidates.groupBy("id").agg(F.collect_set(F.struct("number", "lo", "hi", "cosine")).alias("asked")), "d10-candidates"
-    )  # at most the windows of one document times the block's items
-    texts = texts.join(F.broadcast(asked) if bounded(asked, broadcast_rows) else asked, "id")
-    hits = texts.select("id", "text", "asked").mapInArrow(_verified(spark.sparkContext.broadcast(checked), near, para), HITS_SQL)
+        space = (renumber, project, passages.astype(np.float32), owner)
+    found = spark.sparkContext.broadcast((space, _Grams([np.array(w) for _, w in words]), checked))
+    hits = sequences.mapInArrow(_leaks(found, window, least, cosine, near, para, kind), HITS_SQL)
     more = [(a, i) for i, a in alike if i != a]
     if not more:
         return hits
@@ -466,29 +429,55 @@ def _one_block(texts: DataFrame, items: list, window, rank, cosine, near, para,
     return hits.join(F.broadcast(each), F.col("item") == F.col("of")).withColumn("item", F.col("each")).drop("of", "each")
 
 
+def _vocabularies(items, block_items: int, max_words: int, max_blocks: int):
+    """Groups of at most so many blocks of (number, words) that have ``max_words`` words together at most, each with its vocabulary."""
+    group, vocabulary = [], {}
+    while block := list(islice(items, block_items)):
+        block = [(i, w) for i, w in block if w]
+        new = {x for _, w in block for x in w}
+        if len(new) > max_words:
+            raise ValueError(f"a block of the benchmark has {len(new)} words; lower block_items")
+        if group and (len(group) == max_blocks or len(new | vocabulary.keys()) > max_words):
+            yield group, vocabulary
+            group, vocabulary = [], {}
+        for x in sorted(new - vocabulary.keys()):
+            vocabulary[x] = len(vocabulary) + EMPTY + 1
+        if block:
+            group.append([(i, [vocabulary[x] for x in w]) for i, w in block])
+    if group:
+        yield group, vocabulary
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 32, rank: int = 128, cosine: float = 0.35, near: float = 0.7, para: float = 0.5, common: float = 0.02, least: int = 3,
-    block_items: int = 2000, max_words: int = 200_000, broadcast_rows: int = 20_000, seed: int = 5,
+    window: int = 32, rank: int = 128, over: int = 10, cosine: float = 0.35, near: float = 0.7, para: float = 0.5, common: float = 0.02, least: int = 3,
+    block_items: int = 2000, max_words: int = 1_000_000, max_blocks: int = 100, seed: int = 5,
 ) -> DataFrame:
     """(doc_id, item_id, lcs, answer, cosine, word) for each document and benchmark item that it leaks; ``word`` is
-    where the checked stretch begins."""
+    where the checked stretch begins. The driver holds ``block_items`` x ``max_blocks`` items at most, and no document."""
     spark = docs.sparkSession
     text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     # a row for each text, numbered; its ids are joined in at the end
-    items = written(named.select("text").distinct().select(F.monotonically_increasing_id().alias("item"), "text"), "d10-items")
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
-    items = items.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    numbers = written(named.select("text").distinct().select(F.monotonically_increasing_id().alias("item"), "text"), "d10-items")
+    items = ((r["item"], plain_words(r["text"])) for r in numbers.toLocalIterator())
+    total = texts.count()
     out = spark.createDataFrame([], HITS_SQL)
-    for b in range(blocks):
-        block = sorted((r["item"], r["text"]) for r in items.where(F.col("b") == b).collect())  # about ``block_items`` rows
-        hits = _one_block(texts, block, window, rank, cosine, near, para, common, least, max_words, broadcast_rows, seed) if block else None
-        if hits is not None:
-            out = out.unionByName(hits)
-    ids = items.select(F.col("item").alias("number"), "text").join(named, "text").select("number", "item")
+    for group, vocabulary in _vocabularies(items, block_items, max_words, max_blocks) if total else ():
+        kind = "<u2" if len(vocabulary) < (1 << 16) - 2 else "<u4"
+        known = spark.sparkContext.broadcast(vocabulary)
+        sequences = written(texts.where("id is not null").mapInArrow(_sequences(known, kind), "id long, words binary"), "d10-sequences", compression="zstd")
+        known.destroy()
+        size = len(vocabulary) + EMPTY + 1
+        df = np.zeros(size, np.int64)
+        for r in sequences.mapInArrow(_frequencies(size, kind), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+            df[r["word"]] = r["n"]  # a row for each word of the benchmark
+        found = [_one_block(sequences, kind, block, df, total, window, rank, over, cosine, near, para, common, least, seed) for block in group]
+        found = written(reduce(DataFrame.unionByName, found), "d10-hits")
+        forget(sequences)
+        out = out.unionByName(found)
+    ids = numbers.select(F.col("item").alias("number"), "text").join(named, "text").select("number", "item")
     out = out.withColumnRenamed("item", "number").join(ids, "number")
     best = out.groupBy("id", "item").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("word")).alias("w"))).alias("x"))
     return best.select(

@@ -1,10 +1,11 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 
 from strandflow.llm import set_relation_join as sj
-from strandflow.llm.latent_decontamination import common_subsequence, contaminated
+from strandflow.llm.latent_decontamination import _gaussian, _leading, common_subsequence, contaminated
 from strandflow.llm.shingles import shingle_set
 from strandflow.llm.vector_passes import near_duplicate_vectors, passes_needed
 
@@ -222,6 +223,69 @@ def test_decontamination_of_equal_items_and_templates(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
 
 
+def test_small_factorisation_is_the_svd():
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((400, 12)) @ np.diag(0.5 ** np.arange(12)) @ rng.standard_normal((12, 90)) + 1e-6 * rng.standard_normal((400, 90))
+    g = _gaussian(90, 22, 5).astype(float)
+    singular, basis = _leading(a.T @ (a @ g), g, 6)
+    _, want, vt = np.linalg.svd(a)
+    assert np.allclose(singular, want[:6], rtol=1e-2)
+    assert np.allclose(np.abs(np.sum(basis * vt[:6].T, axis=0)), 1, atol=1e-2)
+    assert _leading(np.zeros((5, 3)), np.ones((5, 3)), 2)[1].shape == (5, 0)
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j: row[j - 1] + 1 if b[j - 1] == x else max(left, row[j]), initial=0))
+    return row[-1]
+
+
+def test_decontamination_finds_paraphrases(spark):
+    rng = random.Random(12)
+    vocabulary, stop = [f"v{rng.randrange(10**6)}" for _ in range(20_000)], ["the", "of", "and", "to", "in"]
+    text = lambda n: [rng.choice(stop) if rng.random() < 0.3 else rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(rng.choice((24, 36, 60)))) for i in range(30)]
+    rows, planted = [], {}
+    for d in range(500):
+        w = text(rng.choice((0, 20, 100, 600)))
+        if d % 4 == 0:
+            i, passage = rng.choice(items)
+            p = [x if k % 3 else rng.choice(vocabulary) for k, x in enumerate(passage)]  # two of three words stay: no 4-gram does, under 0.7 of the words
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = p
+            planted[d, i] = p
+        elif d % 4 == 1:  # a shared phrase is no leak
+            w += rng.choice(items)[1][:7]
+        rows.append((d, " ".join(w)))
+    leaks = set()  # by brute force: half of the words in order, 0.6 of the words with weight, and of those in the last third
+    for (d, i), p in planted.items():
+        item = dict(items)[i]
+        content, answer = ([x for x in part if x not in stop] for part in (item, item[-(len(item) // 3) :]))
+        if subsequence(item, p) >= 0.5 * len(item) and all(sum(x in p for x in part) >= 0.6 * len(part) for part in (content, answer)):
+            leaks.add((d, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs, bench).collect()}
+    print("recall of paraphrases", len(leaks & set(got)) / len(leaks), "of", len(leaks))
+    assert len(leaks) >= 50 and len(leaks & set(got)) / len(leaks) >= 0.95 and set(got) <= set(planted)
+    assert all(r.lcs < 0.7 and r.cosine >= 0.35 for r in got.values())
+
+
+def test_decontamination_of_repeated_rows_long_texts_and_other_columns(spark):
+    rng = random.Random(13)
+    vocabulary = [f"v{rng.randrange(10**6)}" for _ in range(3000)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    items = {i: text(30) for i in range(10)}
+    long = text(150_000) + items[4] + text(2000)
+    rows = [(1, " ".join(items[2]), 9, "a"), (1, " ".join(items[2]), 9, "a"), (2, " ".join(long), 9, None), (3, " ".join([*items[5], *text(50), *items[5]]), 9, "b"), (None, " ".join(items[1]), 9, "b"), (4, " -- ".join(text(80)), 9, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int, cosine string")  # clashing columns
+    bench = spark.createDataFrame([(i, " ".join(w), "x") for i, w in items.items()], "item_id long, text string, doc_id string")
+    got = sorted((r.doc_id, r.item_id, r.lcs) for r in contaminated(docs, bench, block_items=4).collect())
+    assert got == [(1, 2, 1.0), (2, 4, 1.0), (3, 5, 1.0)]
+    assert sorted((r.doc_id, r.item_id, r.lcs) for r in contaminated(docs, bench, block_items=3, max_blocks=1, max_words=100).collect()) == got
+
+
 def test_jaccard_of_rows_without_an_id(spark, docs_of):
     import corpus_pipeline
     from strandflow.llm.set_relation_join import jaccard_components
