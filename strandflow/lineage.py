@@ -43,10 +43,12 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes written tables that no later plan reads."""
+    """Deletes written tables that no later plan reads; other frames have nothing to delete."""
     for df in tables:
+        if (name := getattr(df, "_written_path", None)) is None:
+            continue
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
