@@ -126,7 +126,8 @@ def connected_components(edges: DataFrame, a: str, b: str, tag: str, rounds: int
 
 
 def global_rank(df: DataFrame, keys: list, tag: str, name: str = "rank") -> DataFrame:
-    """Adds the 0-based rank of each row under the total order ``keys``: one range-partitioned sort, and a count for each partition."""
+    """Adds the 0-based rank of each row under the total order ``keys``: one range-partitioned sort, and a count for each partition.
+    ``forget`` of the result deletes the sorted table behind it."""
     from pyspark.sql import Window
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -139,4 +140,6 @@ def global_rank(df: DataFrame, keys: list, tag: str, name: str = "rank") -> Data
     placed = written(placed, tag)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_pos")).drop("_part", "_pos", "_before")
+    out = placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_pos")).drop("_part", "_pos", "_before")
+    out._written_path = placed._written_path
+    return out
