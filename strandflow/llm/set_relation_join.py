@@ -13,7 +13,10 @@ neighbours in an order that all lists share. Sets that prove similar take over e
 component; afterwards only candidates outside that answer are computed, all of them, and of those a
 candidate u is skipped where a similar set p has the computed distance d(p, u) - d(p, s) beyond the limit
 (Jaccard distance is a metric). A group of copies thus costs a few pairs for each copy, not one for each pair of
-copies, and no link between components is lost.
+copies, and no link between components is lost. Lists that may hold more than ``hot`` sets are dealt to parts, other ones at each turn, so no
+task orders a whole hot list; the last step needs no order.
+
+Sets go by 64 bits of a 128-bit digest; sets whose 64 bits are equal get other numbers.
 
 Defined results: null or empty texts have an empty set, link with nothing and are their own component;
 repeated rows are rows of the same component; an empty table gives an empty result; columns other than
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, clustered, connected_components, nameless, numbered, text_batches, written
+from .common import bounded, clustered, connected_components, forget, nameless, numbered, text_batches, written
 from .shingles import shingle_set
 
 PIECE = 1 << 16
@@ -42,7 +45,13 @@ def _log_cells(df: DataFrame) -> int:
     return int(min(22, max(16, np.ceil(np.log2(max(size, 1.0) / 256)))))
 
 
-def _survey(width: int, log_cells: int):
+def _digest(s: np.ndarray, key_bits: int) -> tuple[int, int]:
+    """A set's number and the check that tells it from others of that number."""
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True) >> 64 - key_bits, int.from_bytes(d[8:], "little", signed=True)
+
+
+def _survey(width: int, log_cells: int, key_bits: int):
     """Per document its set's 128-bit digest and size; per task the counts of its sketch cells, in pieces."""
 
     def run(batches):
@@ -54,9 +63,9 @@ def _survey(width: int, log_cells: int):
                 sid, check, n, seen = [], [], [], []
                 for t in texts.slice(start, 1000):
                     s = shingle_set(t.as_py(), width)
-                    d = xxhash.xxh3_128_digest(s.tobytes())
-                    sid.append(int.from_bytes(d[:8], "little", signed=True))
-                    check.append(int.from_bytes(d[8:], "little", signed=True))
+                    number, own = _digest(s, key_bits)
+                    sid.append(number)
+                    check.append(own)
                     n.append(len(s))
                     seen.append(s)
                 if seen:
@@ -77,29 +86,36 @@ def _survey(width: int, log_cells: int):
     return run
 
 
-def _classes(batches):
-    """Adds up the pieces of one partition and rates each cell: 0 for ordinary counts, then a step per doubling."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            c = np.frombuffer(zlib.decompress(z), np.uint32).astype(np.uint64)
-            total[piece] = total[piece] + c if piece in total else c
-    for piece, c in total.items():
-        usual = max(1.0, float(np.median(c)))
-        rate = np.clip(np.floor(np.log2(np.maximum(c, 1) / usual * 0.8)), 0, 60).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([piece], pa.int32()), pa.array([zlib.compress(rate.tobytes(), 1)], pa.binary())], ["piece", "rate"]
-        )
+def _classes(hot: int):
+    """Adds up the pieces of one partition and rates each cell: 0 for ordinary counts, then a step per doubling; and the logarithm of the
+    parts that its lists are dealt to."""
 
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                c = np.frombuffer(zlib.decompress(z), np.uint32).astype(np.uint64)
+                total[piece] = total[piece] + c if piece in total else c
+        for piece, c in total.items():
+            usual = max(1.0, float(np.median(c)))
+            rate = np.clip(np.floor(np.log2(np.maximum(c, 1) / usual * 0.8)), 0, 60).astype(np.uint8)
+            parts = np.clip(np.ceil(np.log2(np.maximum(c, 1) / hot)), 0, 20).astype(np.uint8)
+            packed = [pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (rate, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), *packed], ["piece", "rate", "parts"])
 
-def _prefix(width: int, percent: int, log_cells: int, rates):
-    """(tok, sid, n, pos) for the prefix of each set; a task emits a set once."""
+    return run
+
+
+def _prefix(width: int, percent: int, log_cells: int, key_bits: int, rates):
+    """(tok, sid, n, pos, part) for the prefix of each set; a task emits a set once."""
 
     def run(batches):
-        rate, shift = np.frombuffer(zlib.decompress(rates.value), np.uint8), np.uint64(64 - log_cells)
+        rate, parts, names = rates.value
+        rate, parts = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (rate, parts))
+        shift = np.uint64(64 - log_cells)
         done: set[int] = set()
 
-        def flushed(tok, sid, n):
+        def flushed(tok, sid, n, part):
             lens = np.fromiter((len(t) for t in tok), np.int64, len(tok))
             return pa.RecordBatch.from_arrays(
                 [
@@ -107,33 +123,38 @@ def _prefix(width: int, percent: int, log_cells: int, rates):
                     pa.array(np.repeat(np.array(sid, np.int64), lens)),
                     pa.array(np.repeat(np.array(n, np.int32), lens)),
                     pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lens])),
+                    pa.array(np.concatenate(part)),
                 ],
-                ["tok", "sid", "n", "pos"],
+                ["tok", "sid", "n", "pos", "part"],
             )
 
         for batch in batches:
-            tok, sids, ns, rows = [], [], [], 0
+            tok, sids, ns, dealt, rows = [], [], [], [], 0
             for t in batch.column(0):
                 s = shingle_set(t.as_py(), width)
                 if not len(s):
                     continue
-                sid = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
+                number, own = _digest(s, key_bits)
+                sid = names.get((number, own), number)
                 if sid in done:
                     continue
                 if len(done) >= 1 << 18:
                     done.clear()
                 done.add(sid)
                 k = len(s) - (percent * len(s) + 99) // 100 + 1
-                order = np.argsort(rate[s >> shift], kind="stable")[:k]
+                cell = s >> shift
+                order = np.argsort(rate[cell], kind="stable")[:k]
+                power = parts[cell[order]].astype(np.int32)
                 tok.append(s[order])
                 sids.append(sid)
                 ns.append(len(s))
+                dealt.append(np.where(power > 0, power << 24 | (sid & 0xFFFFF) & (1 << power) - 1, 0).astype(np.int32))
                 rows += k
                 if rows >= 100_000:
-                    yield flushed(tok, sids, ns)
-                    tok, sids, ns, rows = [], [], [], 0
+                    yield flushed(tok, sids, ns, dealt)
+                    tok, sids, ns, dealt, rows = [], [], [], [], 0
             if tok:
-                yield flushed(tok, sids, ns)
+                yield flushed(tok, sids, ns, dealt)
 
     return run
 
@@ -182,15 +203,32 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, m
     """Adds the exact overlap to pairs (a, n_a, b, n_b) of sets; only texts of sets in a pair are read again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select("sid", "id")
     wanted = written(wanted, f"{tag}-wanted")
-    if bounded(wanted, most):  # 16 bytes a row
-        wanted = F.broadcast(wanted)
+    few = F.broadcast(wanted) if bounded(wanted, most) else wanted  # 16 bytes a row
     sets = written(
-        texts.join(wanted, "id").select("sid", "text").mapInArrow(_sets_of(width), "sid long, items array<long>"),
+        texts.join(few, "id").select("sid", "text").mapInArrow(_sets_of(width), "sid long, items array<long>"),
         f"{tag}-sets",
     )
     with_b = pairs.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("items_b")), "b")
     both = with_b.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("items_a")), "a")
-    return both.select("a", "n_a", "b", "n_b", F.size(F.array_intersect("items_a", "items_b")).alias("o"))
+    out = written(both.select("a", "n_a", "b", "n_b", F.size(F.array_intersect("items_a", "items_b")).alias("o")), f"{tag}-judged")
+    forget(wanted, sets)
+    return out
+
+
+def _numbers(sets: DataFrame, most: int) -> dict[tuple[int, int], int]:
+    """New numbers by (sid, check) for sets (sid, check, id) that share one: about 1 in 2**64 pairs of sets do."""
+    shared = sets.groupBy("sid").count().where("count > 1").select("sid")
+    rows = [(r["sid"], r["check"]) for r in sets.join(shared, "sid").select("sid", "check").limit(most + 1).collect()]
+    if len(rows) > most:
+        raise RuntimeError("too many sets have one 64-bit digest")
+    for seed in range(100 if rows else 0):
+        names = {(s, c): xxhash.xxh64_intdigest(f"{s} {c}", seed) - (1 << 63) for s, c in rows}
+        taken = sets.sparkSession.createDataFrame([(x,) for x in names.values()], "sid long")
+        if len(set(names.values())) == len(names) and not sets.join(F.broadcast(taken), "sid", "left_semi").limit(1).count():
+            return names
+    if rows:
+        raise RuntimeError("sets found no numbers of their own")
+    return {}
 
 
 def jaccard_components(
@@ -201,6 +239,8 @@ def jaccard_components(
     percent: int = 75,
     turns: int = 4,
     broadcast_rows: int = 1_000_000,
+    hot: int = 1 << 17,
+    key_bits: int = 64,
 ) -> DataFrame:
     """(id, n_shingles, component_id): component_id is the smallest id reachable by links of similarity
     ``percent``/100 or more. Rows without an id link as others do and keep a null id; component_id is null where no row of the
@@ -211,81 +251,101 @@ def jaccard_components(
     texts, top = numbered(texts, "id", "j9-numbered")
     log_cells = _log_cells(texts)
     survey = written(
-        texts.mapInArrow(_survey(width, log_cells), "id long, sid long, check long, n long, piece int, counts binary"), "j9-survey"
+        texts.mapInArrow(_survey(width, log_cells, key_bits), "id long, sid long, check long, n long, piece int, counts binary"), "j9-survey"
     )
     found = survey.where("piece IS NULL").select("id", "sid", "check", "n")
-    reps = found.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    reps = written(reps, "j9-reps")
-    if reps.where("c0 != c1").limit(1).count():
-        raise RuntimeError("two different sets have one 64-bit digest")
-    reps = reps.select("sid", "id")
+    reps = written(found.where("n > 0").groupBy("sid", "check").agg(F.min("id").alias("id")), "j9-reps")
+    names = _numbers(reps, 100_000)
+    if names:
+        new = F.broadcast(spark.createDataFrame([(*k, v) for k, v in names.items()], "sid long, check long, new long"))
+        renamed = lambda t: t.join(new, ["sid", "check"], "left").withColumn("sid", F.coalesce("new", "sid")).drop("new")
+        found, given = renamed(found), reps
+        reps = written(renamed(reps), "j9-reps")
+        forget(given)
+    sets = reps.select("sid", "id")
 
     rated = (
         clustered(survey.where("piece IS NOT NULL").select("piece", "counts"), "piece")
-        .mapInArrow(_classes, "piece int, rate binary")
+        .mapInArrow(_classes(hot), "piece int, rate binary, parts binary")
         .collect()
-    )  # one byte a cell before compression, 4 MB at most
-    rate = np.zeros(1 << log_cells, np.uint8)
+    )  # two bytes a cell before compression, 8 MB at most
+    rate, parts = (np.zeros(1 << log_cells, np.uint8) for _ in range(2))
     for r in rated:
-        part = np.frombuffer(zlib.decompress(bytes(r["rate"])), np.uint8)
-        rate[r["piece"] * PIECE : r["piece"] * PIECE + len(part)] = part
-    rates = spark.sparkContext.broadcast(zlib.compress(rate.tobytes(), 1))
+        for whole, name in ((rate, "rate"), (parts, "parts")):
+            piece = np.frombuffer(zlib.decompress(bytes(r[name])), np.uint8)
+            whole[r["piece"] * PIECE : r["piece"] * PIECE + len(piece)] = piece
+    rates = spark.sparkContext.broadcast((*(zlib.compress(x.tobytes(), 1) for x in (rate, parts)), names))
 
-    index = texts.select("text").mapInArrow(_prefix(width, percent, log_cells, rates), "tok long, sid long, n int, pos int")
-    own = Window.partitionBy("tok")
+    index = texts.select("text").mapInArrow(_prefix(width, percent, log_cells, key_bits, rates), "tok long, sid long, n int, pos int, part int")
+    own = Window.partitionBy("tok", "part")
     lists = written(
-        clustered(index, "tok")
+        clustered(index, "tok", "part")
         .withColumn("last", F.max("sid").over(own))
         .withColumn("first", F.min("sid").over(own))
-        .where("first != last")
-        .select("tok", "sid", "n", "pos")
+        .where("first != last or part != 0")
+        .select("tok", "sid", "n", "pos", "part")
         .distinct(),
         "j9-lists",
     )
+    rates.destroy()
     left = lists.withColumn("comp", F.col("sid"))
-    judged = classes = None
+    judged, classes, old = None, None, []
     for turn in range(turns + 1):
         asked = _partners(left, turn, percent) if turn < turns else _outside(left, judged, percent)
         if judged is not None:
             asked = asked.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        asked = written(_plausible(written(asked, "j9-asked"), lists, percent), "j9-plausible")
-        if not asked.limit(1).count():
+        asked = written(asked, "j9-asked")
+        likely = written(_plausible(asked, lists, percent), "j9-plausible")
+        forget(asked)
+        if not likely.limit(1).count():
+            forget(likely)
             continue
-        new = _overlaps(asked, texts, reps, width, broadcast_rows, "j9")
-        judged = written(new if judged is None else judged.unionByName(new), "j9-judged")
-        links = judged.where(F.col("o") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        new = _overlaps(likely, texts, sets, width, broadcast_rows, "j9")
+        forget(likely)
+        old.append(new)
+        judged = new if judged is None else judged.unionByName(new)
+        links = new.where(F.col("o") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        if not links.limit(1).count():
+            continue
+        before = classes  # known components are stars, to which this turn's links are added
+        links = links if before is None else links.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
         classes = written(connected_components(links, "a", "b", "j9"), "j9-classes")
+        forget(before)
         if turn < turns:
-            left = _mixed(left, classes)
+            last, left = left, _mixed(left, classes, turn, hot)
+            forget(last)
+    forget(lists, left, *old)
     if classes is None:
         classes = spark.createDataFrame([], "node long, component long")
 
-    placed = found.join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-    smallest = placed.where("n > 0").groupBy("comp").agg(F.min("id").alias("lowest"))
-    out = placed.join(smallest, "comp", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("id")).alias("component_id"),
-    )
-    return nameless(out, top, id_col, "component_id")
+    # the smallest id of each set: rows meet it by set, never by component
+    found_classes, classes = classes, classes.withColumnRenamed("node", "sid")
+    smallest = written(sets.join(classes, "sid").groupBy("component").agg(F.min("id").alias("lowest")), "j9-smallest")
+    heads = classes.join(smallest, "component").select("sid", "lowest").unionByName(sets.join(classes, "sid", "left_anti").select("sid", F.col("id").alias("lowest")))
+    heads = written(heads, "j9-heads")
+    forget(smallest, reps, found_classes)
+    out = found.where("n > 0").join(heads, "sid").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("lowest").alias("component_id"))
+    none = found.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return nameless(out.unionByName(none), top, id_col, "component_id")
 
 
-def _mixed(left: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of lists that hold more than one component."""
+def _mixed(left: DataFrame, classes: DataFrame, turn: int, hot: int) -> DataFrame:
+    """The rows of lists that hold more than one component; hot lists are dealt anew to parts."""
     named = left.drop("comp").join(classes.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    several = named.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("tok")
-    return written(named.join(several, "tok").select("tok", "comp", "sid", "n", "pos"), "j9-left")
+    several = named.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where("x != y").select("tok", "rows")
+    part = F.pmod(F.xxhash64(F.lit("part"), F.lit(turn), "sid"), F.ceil(F.col("rows") / hot)).cast("int")
+    return written(named.join(several, "tok").select("tok", "comp", "sid", "n", "pos", part.alias("part")), "j9-left")
 
 
 def _partners(left: DataFrame, turn: int, percent: int) -> DataFrame:
-    """A few partners from another component for each set in each list: the list's pivot (its smallest set) at first,
+    """A few partners from another component for each set in each list or its part: the list's pivot (its smallest set) at first,
     and the 1, 2, 4, ... sets before it in an order that is the same in all lists and another at each turn."""
-    order = Window.partitionBy("tok").orderBy(F.xxhash64(F.lit(turn), "sid"), "sid")
+    order = Window.partitionBy("tok", "part").orderBy(F.xxhash64(F.lit(turn), "sid"), "sid")
     me = F.struct("sid", "n", "pos", "comp")
     near = [F.lag(me, k).over(order) for k in range(1, (1 << turn) + 1)]
     if turn == 0:
-        near.append(F.first(me).over(Window.partitionBy("tok").orderBy("n", "sid")))
+        near.append(F.first(me).over(Window.partitionBy("tok", "part").orderBy("n", "sid")))
     rows = left.select("sid", "n", "pos", "comp", *[w.alias(f"p{i}") for i, w in enumerate(near)])
     rows = rows.withColumn("p", F.explode(F.array(*[f"p{i}" for i in range(len(near))]))).where("p.comp != comp")
     rows = rows.where(_fits(F.col("p.n"), F.col("p.pos"), F.col("n"), F.col("pos"), percent))
