@@ -14,51 +14,64 @@ vectors in at least a share p**log2(n/w) of passes. The passes follow from the c
 the threshold is missed with probability ``miss`` at most where directions are spread evenly; ``passes`` is their least number. Where directions
 cluster within a label, more bits are needed to tell vectors apart and the bound doesn't hold. Measured recall is in the README.
 
+Vectors travel as given (32 bits a number where they are floats) and are widened to double precision where they are compared. Passes run
+``together`` at a time, and each group's sorted table is deleted before the next.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label,
-link with nothing; vectors of different lengths are not compared; repeated rows are vectors of their own; an
-empty table gives no rows.
+link with nothing; vectors of different lengths are not compared; repeated rows, and rows that share an id, are vectors of their own; rows
+without an id link like others, never name a component, and are kept where no row of their component has an id; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, global_rank, written
+from .common import connected_components, forget, global_rank, written
 
 
-def _unit(parts) -> np.ndarray:
-    x = np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1).copy()
+def _unit(parts, kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(parts), kind).astype(np.float64).reshape(len(parts), -1)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _valid(batches):
-    """Drops what can't link; vectors become 64-bit floats in binary, with a 128-bit digest."""
-    for batch in batches:
-        keep, d0, d1, raw, dims = [], [], [], [], []
-        for k, v in enumerate(batch.column(2)):
-            if not v.is_valid or not len(v.values) or v.values.null_count:
-                continue
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-            if np.isfinite(x).all() and x.any():
+def _read(kind: str):
+    """Vectors in binary, with their length and a 128-bit digest; these are null where a vector can't link."""
+
+    def run(batches):
+        for batch in batches:
+            d0, d1, raw, dims = [], [], [], []
+            for label, v in zip(batch.column(1), batch.column(2)):
+                x = None
+                if label.is_valid and v.is_valid and len(v.values) and not v.values.null_count:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(kind) + np.dtype(kind).type(0)
+                if x is None or not np.isfinite(x).all() or not x.any():
+                    d0.append(None)
+                    d1.append(None)
+                    raw.append(None)
+                    dims.append(None)
+                    continue
                 d = xxhash.xxh3_128_digest(x.tobytes())
-                keep.append(k)
                 d0.append(int.from_bytes(d[:8], "little", signed=True))
                 d1.append(int.from_bytes(d[8:], "little", signed=True))
                 raw.append(x.tobytes())
                 dims.append(len(x))
-        at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), pa.array(dims, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(raw, pa.binary())],
-            ["id", "label", "dim", "d0", "d1", "v"],
-        )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(raw, pa.binary())],
+                ["id", "label", "dim", "d0", "d1", "v"],
+            )
 
+    return run
 
-def _keyed(passes: int, bits: int, seed: int):
+
+def _keyed(passes: range, bits: int, seed: int, kind: str):
     planes: dict[int, np.ndarray] = {}
 
     def run(batches):
@@ -67,12 +80,12 @@ def _keyed(passes: int, bits: int, seed: int):
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
-                signs = (_unit(part.column(3).to_pylist()) @ planes[dim] > 0).reshape(part.num_rows, passes, bits)
+                    planes[dim] = np.hstack([np.random.default_rng([seed, int(dim), p]).standard_normal((int(dim), bits)) for p in passes])
+                signs = (_unit(part.column(3).to_pylist(), kind) @ planes[dim] > 0).reshape(part.num_rows, len(passes), bits)
                 keys = np.packbits(signs, axis=2)  # bytes compare as the bits do
-                for p in range(passes):
+                for n, p in enumerate(passes):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(part.num_rows, p, np.int32)), *part.columns[1:3], pa.array([k.tobytes() for k in keys[:, p]], pa.binary()), part.column(0), part.column(3)],
+                        [pa.array(np.full(part.num_rows, p, np.int32)), *part.columns[1:3], pa.array([k.tobytes() for k in keys[:, n]], pa.binary()), part.column(0), part.column(3)],
                         ["pass", "label", "dim", "key", "cls", "v"],
                     )
 
@@ -97,7 +110,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _window_pairs(window: int, block: int, threshold: float):
+def _window_pairs(window: int, block: int, threshold: float, kind: str):
     def run(key, table):
         first = key[0].as_py() * block
         table = table.sort_by("rank")
@@ -107,7 +120,7 @@ def _window_pairs(window: int, block: int, threshold: float):
         dims = same[2]
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
-            x = _unit(table.column("v").take(pa.array(at)).to_pylist())
+            x = _unit(table.column("v").take(pa.array(at)).to_pylist(), kind)
             r, g, l, c = rank[at], same[0][at], same[1][at], cls[at]
             left, right = [], []
             for s in range(1, min(window, len(at) - 1) + 1):
@@ -122,7 +135,7 @@ def _window_pairs(window: int, block: int, threshold: float):
     return run
 
 
-def _counts(threshold: float):
+def _counts(threshold: float, kind: str):
     """Links of each class within its component, over one bucket of small components or one pair of chunks."""
 
     def run(table):
@@ -130,7 +143,7 @@ def _counts(threshold: float):
         order = np.argsort(comp, kind="stable")
         ids, links = [], []
         for at in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
-            x = _unit(table.column("v").take(pa.array(at)).to_pylist())
+            x = _unit(table.column("v").take(pa.array(at)).to_pylist(), kind)
             lo, hi = np.flatnonzero(side[at] <= 0), np.flatnonzero(side[at] >= 0)  # side: -1 first chunk, 1 second, 0 both
             near = x[lo] @ x[hi].T >= threshold
             near &= cls[at][lo][:, None] != cls[at][hi][None, :]
@@ -154,34 +167,40 @@ def passes_needed(n: int, window: int, threshold: float, miss: float) -> int:
 def near_duplicate_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
     passes: int = 24, bits: int = 64, window: int = 32, block: int = 2048, chunk: int = 1024, seed: int = 7,
-    miss: float = 1e-5,
+    miss: float = 1e-5, together: int = 8,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
-    good = rows.where("label is not null").mapInArrow(_valid, "id long, label long, dim int, d0 long, d1 long, v binary")
-    good = written(good, "v5-good")
+    items = vectors.schema[vec_col].dataType.elementType.typeName()
+    kind, given = ("<f4", F.col(vec_col)) if items == "float" else ("<f8", F.col(vec_col).cast("array<double>"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), given.alias("v"))
+    rows = written(rows.mapInArrow(_read(kind), "id long, label long, dim int, d0 long, d1 long, v binary"), "v5-rows")
+    good = rows.where("dim is not null")
     same = ["label", "dim", "d0", "d1"]
-    classes = written(
-        good.groupBy(*same).agg(F.min("id").alias("cls"), F.count("*").alias("copies"), F.first("v").alias("v")), "v5-classes"
-    )
+    classes = good.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "v5-classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     passes = max(passes, passes_needed(largest, window, threshold, miss))
-    keyed = classes.select("cls", "label", "dim", "v").mapInArrow(
-        _keyed(passes, bits, seed), "pass int, label long, dim int, key binary, cls long, v binary"
-    )
-    ranked = global_rank(keyed, ["pass", "label", "dim", "key", "cls"], "v5-sorted")
-    placed = ranked.drop("key").withColumn(
-        "block", F.explode(F.array_distinct(F.array(F.expr(f"rank div {block}L"), F.expr(f"(rank + {window}L) div {block}L"))))
-    )
-    pairs = placed.groupBy("block").applyInArrow(_window_pairs(window, block, threshold), "a long, b long")
-    edges = written(pairs.distinct(), "v5-pairs")
+    found = []
+    for start in range(0, passes, together):
+        keyed = classes.select("cls", "label", "dim", "v").mapInArrow(
+            _keyed(range(start, min(passes, start + together)), bits, seed, kind), "pass int, label long, dim int, key binary, cls long, v binary"
+        )
+        ranked = global_rank(keyed, ["pass", "label", "dim", "key", "cls"], "v5-sorted")
+        placed = ranked.drop("key").withColumn(
+            "block", F.explode(F.array_distinct(F.array(F.expr(f"rank div {block}L"), F.expr(f"(rank + {window}L) div {block}L"))))
+        )
+        found.append(written(placed.groupBy("block").applyInArrow(_window_pairs(window, block, threshold, kind), "a long, b long"), "v5-pairs"))
+        forget(ranked)
+    edges = reduce(DataFrame.unionByName, found)
     comps = written(connected_components(edges, "a", "b", "v5"), "v5-components").select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+    buckets = max(1, comps.count() // 2048)
+    forget(*found)
 
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
-    inside = comps.join(sizes, "comp").join(classes.select("cls", "copies", "v"), "cls")
+    # of each component its vectors and smallest id, as a table: joins with it can be split
+    parts = written(comps.join(classes.select("cls", "id"), "cls").groupBy("comp").agg(F.count("*").alias("n"), F.min("id").alias("lowest")), "v5-parts")
+    inside = comps.join(parts.select("comp", "n"), "comp").join(classes.select("cls", "copies", "v"), "cls")
     inside = inside.withColumn("chunks", F.ceil(F.col("n") / chunk)).withColumn("own", F.pmod(F.xxhash64("cls"), "chunks"))
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    buckets = max(1, edges.count() // 2048)
     inside = inside.select(
         "cls", "comp", "copies", "v",
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"),
@@ -189,15 +208,15 @@ def near_duplicate_vectors(
         F.when(F.col("chunks") == 1, F.lit(-1)).otherwise(F.least("own", "other")).alias("i"),
         F.greatest("own", "other").alias("j"),
     )
-    links = inside.groupBy("g", "i", "j").applyInArrow(_counts(threshold), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
-    by_class = classes.join(comps, "cls", "left").join(links, "cls", "left").select(
-        *same, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("comp", "cls").alias("component_id")
+    links = inside.groupBy("g", "i", "j").applyInArrow(_counts(threshold, kind), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+    linked = comps.join(parts.select("comp", "lowest"), "comp").join(links, "cls").select("cls", "links", "lowest")
+    by_class = classes.drop("v").join(linked, "cls", "left").select(
+        *same, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("lowest")).alias("component_id")
     )
-    linked = good.select("id", *same).join(by_class, same).select("id", "n_links", "component_id")
-    rest = rows.join(good.select(F.col("id").alias("id2")).distinct(), F.col("id") == F.col("id2"), "left_anti")
-    rest = rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(rest).select(
-        F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+    out = good.select("id", *same).join(by_class, same).select("id", "n_links", "component_id")
+    rest = rows.where("dim is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return out.unionByName(rest).select(
+        F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 

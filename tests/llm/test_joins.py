@@ -71,6 +71,20 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
     assert got == brute(rows)
 
 
+def test_jaccard_of_hot_lists_in_parts_and_of_sets_that_share_a_number(spark):
+    rng = random.Random(6)
+    base, rows = words(rng, 60), []
+    for n in range(250):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(60)] = f"y{rng.randrange(99999)}"
+        rows.append((n, " ".join(w)))
+    rows += [(1000 + i, t) for i, t in corpus(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sj.jaccard_components(df, hot=8, key_bits=7).collect()}
+    assert got == brute(rows)
+
+
 def test_jaccard_of_nothing_and_of_repeated_rows(spark, docs_of):
     assert sj.jaccard_components(docs_of([])).count() == 0
     got = sj.jaccard_components(docs_of([(4, "a b c", "s"), (4, "a b c", "s"), (2, "a b c", None)])).collect()
@@ -130,6 +144,15 @@ def test_vectors_against_brute_force(spark):
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_without_an_id_and_that_share_one(spark):
+    v, w, far = [1.0, 0.0, 0.1], [1.0, 0.05, 0.1], [0.0, 1.0, 0.0]
+    rows = [(None, None, 1), (5, v, 1), (5, None, 1), (5, far, 1), (None, w, 1), (2, v, 1), (None, [0.0, 0.0, 1.0], 1), (9, v, None)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<double>, label int, cls string, kept int")  # clashing columns
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df).collect()), key=str)
+    want = [(None, 0, None, True), (5, 2, 2, False), (5, 0, 5, True), (5, 0, 5, True), (None, 2, 2, False), (2, 2, 2, True), (None, 0, None, True), (9, 0, 9, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_passes_follow_the_largest_label(spark):
     p = 1 - np.arccos(0.93) / np.pi
     for n in (5_000, 10**6, 10**7, 10**8):
