@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandflow.lineage import bounded, connected_components, forget, global_rank, new_path, shared_dir, written
 
-__all__ = ["bounded", "clustered", "connected_components", "forget", "global_rank", "nameless", "new_path", "numbered", "parallelism", "shared_dir", "text_batches", "without", "written"]
+__all__ = ["bounded", "clustered", "connected_components", "forget", "global_rank", "keyed", "nameless", "new_path", "numbered", "parallelism", "shared_dir", "text_batches", "without", "written"]
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -42,6 +42,16 @@ def nameless(docs: DataFrame, top: int | None, *cols: str) -> DataFrame:
     return docs
 
 
+def keyed(docs: DataFrame, col: str, tag: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its rows apart: ``col`` where every row has its own value there, else a further column."""
+    if not docs.groupBy(col).count().where(F.col(col).isNull() | (F.col("count") > 1)).limit(1).count():
+        return docs, col
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), tag), name  # written: read again, rows keep their numbers
+
+
 def without(docs: DataFrame, ids: DataFrame, col: str, tag: str, rows: int = 1_000_000) -> DataFrame:
     """``docs`` whose ``col`` isn't among ``ids``; the ids are broadcast only where they are few (8 bytes each)."""
     gone = written(ids.select(F.col(ids.columns[0]).alias(col)).distinct(), tag)

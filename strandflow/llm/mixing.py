@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import bounded, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+SHARDS = 16
 
 
 def source_targets(rows: DataFrame, most: float = 3.0) -> DataFrame:
@@ -88,7 +89,7 @@ def mixed(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-    shards: int = 16,
+    shards: int = SHARDS,
     most: float = 3.0,
     block_words: int = 4096,
     most_blocks: int = 1 << 16,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .latent_decontamination import op10_latent_decontamination
 from .mixing import mixed
@@ -21,7 +22,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """``shards``: the output shards, ascending, that the splitting tree gives a document to, one for each time it is taken."""
+    shards = F.array_join(F.array_sort(F.transform("copies", lambda c: c["shard"])).cast("array<string>"), ",")
+    return mixed(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

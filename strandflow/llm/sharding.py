@@ -29,7 +29,9 @@ def interleaved_shards(
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("mix"),
     )
-    first = written(global_rank(rows, ["source", "mix", "id", "text_crc32"], "s8-source", "r"), "s8-ranked")
+    ranked = global_rank(rows, ["source", "mix", "id", "text_crc32"], "s8-source", "r")
+    first = written(ranked, "s8-ranked")
+    forget(ranked)
     total = first.count()
     sources = first.groupBy("source").agg(F.min("r").alias("r0"), F.count("*").alias("n"))
     placed = first.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from strandflow.llm.mixing import mixed
+from strandflow.llm.mixing import _split, mixed
 from strandflow.llm.revisits import resolve_revisits
 from strandflow.llm.sharding import interleaved_shards, write_shards
 from strandflow.llm.temporal_lists import judged, validity_intervals
@@ -55,6 +55,65 @@ def test_mixture(docs_of):
     assert mixed(df.limit(0)).count() == 0
 
 
+def leaves_of(spark, sizes, seed, shards):
+    quotas = spark.createDataFrame(list(enumerate(sizes, 1)), "source_no int, n long")
+    return [(r.source_no, r.shard, r.start, r.n) for r in _split(quotas, seed, shards).collect()]
+
+
+def test_splitting_tree_keeps_quotas(spark):
+    sizes = [1, 0, 37, 200, 5]
+    got = leaves_of(spark, sizes, "a", 6)
+    for no, n in enumerate(sizes, 1):
+        stretches = sorted((start, k) for s, _, start, k in got if s == no and k)
+        at = 0
+        for start, k in stretches:  # disjoint and without gaps: every block in one shard
+            assert start == at
+            at += k
+        assert at == n
+    totals = Counter()
+    for _, shard, _, k in got:
+        totals[shard] += k
+    assert set(totals) == set(range(6)) and sum(totals.values()) == sum(sizes) and max(totals.values()) - min(totals.values()) <= 3
+    assert got == leaves_of(spark, sizes, "a", 6) and got != leaves_of(spark, sizes, "b", 6)
+
+
+def test_splitting_tree_draws_hypergeometric_counts(spark):
+    sizes, shards, seeds = [12, 30, 6], 2, 60
+    counts = defaultdict(list)
+    for seed in range(seeds):
+        for no, shard, _, k in leaves_of(spark, sizes, f"s{seed}", shards):
+            if shard == 0:
+                counts[no].append(k)
+    pop, draw = sum(sizes), sum(sizes) // 2
+    for no, n in enumerate(sizes, 1):
+        mean, var = draw * n / pop, draw * n / pop * (1 - n / pop) * (pop - draw) / (pop - 1)
+        x = counts[no]
+        assert all(0 <= k <= n for k in x) and abs(sum(x) / seeds - mean) <= 4 * (var / seeds) ** 0.5
+        assert 0.4 * var <= sum((k - mean) ** 2 for k in x) / seeds <= 2 * var
+    assert all(sum(x) == draw for x in zip(*counts.values()))
+
+
+def test_mixture_follows_the_tree(spark, docs_of, tmp_path):
+    """Shards have like shares of every large source, as blocks are drawn; a document's copies come from different rounds; all shards are handed on."""
+    from strandflow.llm.queries import op6_hypergeometric_mix
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * 20), rng.choice("ab")) for i in range(3000)]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixed(docs_of(rows), block_words=100, shards=4).collect()
+    words = Counter()
+    for r in got:
+        for c in r.copies:
+            words[r.source, c.shard] += r.size
+    for source in "ab":
+        mine = [words[source, shard] for shard in range(4)]
+        assert min(mine) > 0.15 * sum(mine) and max(mine) < 0.35 * sum(mine)
+    assert len({c.key for r in got for c in r.copies}) == sum(len(r.copies) for r in got)
+    for r in op6_hypergeometric_mix(spark, str(tmp_path)).collect():
+        drawn = [int(x) for x in r.shards.split(",") if x]
+        assert len(drawn) * r.size == r.taken and drawn == sorted(drawn) and set(drawn) <= set(range(16))
+
+
 def test_shards(spark, docs_of, tmp_path):
     rng = random.Random(2)
     rows = [(i, "é" * rng.randrange(9), rng.choice(["big"] * 8 + ["b", None])) for i in range(500)] + [(7, None, "b"), (8, "same", "b"), (8, "same", "b")]
@@ -156,6 +215,22 @@ def test_pipeline_stages(spark, docs_of, tmp_path):
             assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(ids["mixing"])
 
 
+def test_pipeline_stages_of_rows_without_an_id_and_that_share_one(spark, docs_of, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(3, text("u"), "s"), (5, text("t"), "s"), (5, text("u"), "s"), (None, text("u"), "s"), (None, text("v"), None), (None, text("v"), "s"), (5, None, "s"), (5, "", "s")]
+    kept = sorted(((r.doc_id, (r.text or "-")[:1]) for r in corpus_pipeline.one_of_each_group(spark, docs_of(rows), "").collect()), key=str)
+    assert kept == sorted([(3, "u"), (5, "t"), (None, "v"), (5, "-"), (5, "-")], key=str)
+    item = " ".join(f"i{n}" for n in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows += [(5, item, "s"), (None, f"{text('q')} {item}", "s")]
+    got = sorted((str((r.doc_id, r.text)) for r in corpus_pipeline.decontaminated(spark, docs_of(rows), str(tmp_path)).collect()))
+    assert got == sorted(str((i, t)) for i, t, _ in rows[:-2])
+    for docs in (docs_of(rows), docs_of([])):
+        assert corpus_pipeline.mixture(spark, docs, "").columns == docs.columns
+        assert corpus_pipeline.shards(spark, docs, "").count() == docs.count()
+
+
 def test_temporal_lists_of_hosts_with_many_labels(spark):
     name = "a.b.c.d.e.f.g.h.bad.com"
     ev = spark.createDataFrame([(name, "x", 1, True), (name[2:], "y", 1, True)], "domain string, category string, ts long, added boolean")

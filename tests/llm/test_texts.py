@@ -40,6 +40,12 @@ def test_sequence_files_round_trip(spark, docs_of):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert [(g[0], g[2]) for g in got] == sorted((w[0], w[2]) for w in want)
+    at = 0
+    for g in sorted(got, key=lambda g: g[1]):  # starts follow the ids in ascending order of documents; equal ids in any order
+        assert g[1] == at
+        at += g[2]
+    assert [g[0] for g in sorted(got, key=lambda g: g[1])] == [i for i, *_ in want]
+    assert {(g[0], g[1]) for g in got if sum(w[0] == g[0] for w in want) == 1} == {(w[0], w[1]) for w in want if sum(x[0] == w[0] for x in want) == 1}
     assert sum(g[2] for g in got) == at and {g[3] for g in got} == {w[3] for w in want}
     f = SequenceFile(folder, manifest.first().file)
     tokens, mask = f.sequence(0)
