@@ -1,13 +1,18 @@
-"""A corpus pipeline of five stages, each an operator of strandflow.llm over all that the stage before kept."""
+"""A corpus pipeline of five stages, each an operator of strandflow.llm over all that the stage before kept.
+
+Defined results, for every stage: an empty table gives an empty table; columns beside doc_id, text and source ride along whatever their
+names; null and empty texts stay where they are no copies, leaks or rejected (the mixture takes no words from them). Rows without a doc_id
+and rows that share one are rows of their own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import nameless, numbered, without, written
+from strandflow.llm.common import clustered, forget, keyed, parallelism, without, written
 from strandflow.llm.latent_decontamination import contaminated
-from strandflow.llm.mixing import mixed
+from strandflow.llm.mixing import SHARDS, mixed
 from strandflow.llm.quality_mil import accepted
 from strandflow.llm.set_relation_join import jaccard_components
 from strandflow.llm.sharding import interleaved_shards
@@ -19,29 +24,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group linked by shingle similarity; one row of it. Rows without an id count as the last."""
-    docs, top = numbered(docs, "doc_id", "pipeline-numbered")
-    groups = written(jaccard_components(docs), "pipeline-groups")
-    kept = without(docs, groups.where("doc_id != component_id").select("doc_id"), "doc_id", "pipeline-copies")
-    repeated = written(groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
-    if not repeated.limit(1).count():
-        return nameless(kept, top, "doc_id")
-    once = without(kept, repeated, "doc_id", "pipeline-once")
-    twice = kept.join(repeated, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-    return nameless(once.unionByName(twice), top, "doc_id")
+    """One row of each group linked by shingle similarity: that of the smallest id, rows without an id coming last; among equal ids any one."""
+    rows, key = keyed(docs, "doc_id", "pipeline-keyed")
+    groups = written(jaccard_components(rows, id_col=key).select(key, "component_id"), "pipeline-groups")
+    if key == "doc_id":
+        copies = groups.where("doc_id != component_id")
+    else:
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key].alias(key)
+        heads = groups.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(first)
+        copies = groups.join(heads, key, "left_anti")
+    kept = without(rows, copies.select(key), key, "pipeline-copies").select(*docs.columns)
+    forget(groups)
+    return kept
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item, with or without an id."""
-    docs, top = numbered(docs, "doc_id", "pipeline-numbered")
-    hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return nameless(without(docs, hits.select("doc_id"), "doc_id", "pipeline-leaks"), top, "doc_id")
+    """Rows that leak no benchmark item."""
+    rows, key = keyed(docs, "doc_id", "pipeline-keyed")
+    hits = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    return without(rows, hits.select(key), key, "pipeline-leaks").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, laid out as the splitting tree dealt it: a task holds rows of few shards, each shard's in their drawn order."""
     out = mixed(docs, carry=tuple(docs.columns))
-    return out.select("carried", F.explode("copies")).select("carried.*")
+    rows = out.select("carried", F.explode("copies").alias("copy")).select("carried", "copy.*")
+    parts = -(-parallelism(spark) // SHARDS)
+    rows = clustered(rows.withColumn("part", F.pmod("key", F.lit(parts))), "shard", "part").sortWithinPartitions("shard", "part", "key")
+    return rows.select("carried.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
