@@ -60,7 +60,7 @@ def bounded(df: DataFrame, rows: int) -> bool:
 def _stars(most: int = 1 << 20):
     """Edges (u, v) of a task as stars: (node, smallest node of its part) in chunks of at most ``most`` edges."""
 
-    def starred(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    def starred(u: np.ndarray, v: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
         nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         a, b, low = at[: len(u)], at[len(u) :], np.arange(len(nodes))
         while True:
@@ -73,7 +73,7 @@ def _stars(most: int = 1 << 20):
             while (low[low] != low).any():
                 low = low[low]
         inner = np.flatnonzero(low != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[inner], pa.int64()), pa.array(nodes[low[inner]], pa.int64())], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[inner], kind), pa.array(nodes[low[inner]], kind)], ["u", "v"])
 
     def run(batches):
         held, n = [], 0
@@ -81,10 +81,10 @@ def _stars(most: int = 1 << 20):
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             n += batch.num_rows
             if n >= most:
-                yield starred(*(np.concatenate(x) for x in zip(*held)))
+                yield starred(*(np.concatenate(x) for x in zip(*held)), batch.schema.field(0).type)
                 held, n = [], 0
         if n:
-            yield starred(*(np.concatenate(x) for x in zip(*held)))
+            yield starred(*(np.concatenate(x) for x in zip(*held)), batch.schema.field(0).type)
 
     return run
 
@@ -92,20 +92,21 @@ def _stars(most: int = 1 << 20):
 def _settled(stars: DataFrame) -> bool:
     """Whether every node has one center, which has none itself."""
     ends = stars.select(F.col("u").alias("x"), F.col("v").alias("center"), F.lit(False).alias("is_center")).unionByName(
-        stars.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("center"), F.lit(True).alias("is_center"))
+        stars.select(F.col("v").alias("x"), F.lit(None).alias("center"), F.lit(True).alias("is_center"))
     )
     of = ends.groupBy("x").agg(F.min("center").alias("lo"), F.max("center").alias("hi"), F.max("is_center").alias("c"))
     return not of.where("lo != hi or (lo is not null and c)").limit(1).count()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, tag: str, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has an edge.
+    """(node, component): the smallest node reachable, for every node that has an edge. Nodes are integers or texts.
 
     Each task first turns its edges into stars, in chunks of bounded size; then alternating large-star and small-star rounds meet in
     joins, each a written table. Nothing is collected. A hub's edges meet its minimum in a join that Spark can split, not in a group.
     """
-    stars = lambda e: e.mapInArrow(_stars(), "u long, v long")
-    given = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    kind = "string" if edges.schema[a].dataType.simpleString() == "string" else "long"
+    stars = lambda e: e.mapInArrow(_stars(), f"u {kind}, v {kind}")
+    given = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v"))
     cur = written(stars(given.distinct()), f"{tag}-edges")
     for _ in range(rounds):
         if _settled(cur):

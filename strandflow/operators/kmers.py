@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.functions.packed import LONGEST, counted_kmers, pack, unpack
 from strandflow.functions.sequence import canonical, revcomp, with_kmers
 
 
 def spectrum(seqs: DataFrame, k: int, by: list[str], seq: str = "seq", both_strands: bool = True) -> DataFrame:
-    """(by..., kmer, count): canonical k-mers counted by ``by``; k-mers are aggregated map-side before the shuffle."""
+    """(by..., kmer, count): canonical k-mers counted by ``by``; they are counted in batches, as integers, before the shuffle (longer ones as texts)."""
+    if k <= LONGEST:
+        counts = counted_kmers(seqs, k, by, seq, both_strands).groupBy(*by, "code", "text").agg(F.sum("n").alias("count"))
+        return counts.select(*by, F.coalesce("text", unpack(F.col("code"), k)).alias("kmer"), "count")
     rows = with_kmers(seqs.select(*by, seq), seq, k)
     kmer = canonical(F.col("kmer")) if both_strands else F.col("kmer")
     return rows.select(*by, kmer.alias("kmer")).groupBy(*by, "kmer").agg(F.count("*").alias("count"))
@@ -68,14 +72,28 @@ def abundances(kmers: DataFrame, table: DataFrame, columns: int) -> DataFrame:
     return kmers.join(table, "kmer", "left").withColumn("counts", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), columns)))
 
 
-def filter_paths(paths: DataFrame, table: DataFrame, thresholds: list[float], k: int, path_id: str = "path_id", seq: str = "seq", exclude_ends: int = 0) -> DataFrame:
-    """Paths of which every k-mer, without ``exclude_ends`` bases at either end, reaches the threshold in every column.
-    Paths with a k-mer that fails are found and taken away, so paths without k-mers stay."""
+def filter_paths(
+    paths: DataFrame, table: DataFrame, thresholds: list[float], k: int, path_id: str = "path_id", seq: str = "seq", exclude_ends: int = 0, both_strands: bool = False
+) -> DataFrame:
+    """Paths of which every k-mer, without ``exclude_ends`` bases at either end, reaches the threshold in every column of table (kmer, counts).
+    Paths with a k-mer that fails are found and taken away, so paths without k-mers stay. ``both_strands``: the table has canonical k-mers, by
+    which those of the paths are looked up."""
     n = F.length(seq)
-    inner = paths.withColumn("_inner", F.when(n > 2 * exclude_ends, F.substr(F.col(seq), F.lit(exclude_ends + 1), n - 2 * exclude_ends)).otherwise(""))
-    rows = abundances(with_kmers(inner.select(path_id, "_inner"), "_inner", k), table, len(thresholds))
+    inner = paths.select(path_id, F.when(n > 2 * exclude_ends, F.substr(F.col(seq), F.lit(exclude_ends + 1), n - 2 * exclude_ends)).otherwise("").alias("_inner"))
     low = F.exists(F.zip_with("counts", F.array(*[F.lit(float(t)) for t in thresholds]), lambda c, t: c < t), lambda x: x)
-    return paths.join(rows.where(low).select(path_id).distinct(), path_id, "left_anti")
+    good = table.where(~low).select("kmer")
+    every = any(t > 0 for t in thresholds)  # k-mers that the table doesn't have fail
+    if k > LONGEST:
+        rows = with_kmers(inner, "_inner", k)
+        rows = rows.select(path_id, (canonical(F.col("kmer")) if both_strands else F.col("kmer")).alias("kmer")).distinct()
+        bad = rows.join(good, "kmer", "left_anti") if every else rows.join(table.where(low).select("kmer"), "kmer", "left_semi")
+    else:
+        rows = counted_kmers(inner, k, [path_id], "_inner", both_strands)
+        named = (good if every else table.where(low)).select("kmer", F.when(F.regexp_like("kmer", F.lit("^[ACGT]+$")), pack(F.col("kmer"))).alias("code"))
+        how = "left_anti" if every else "left_semi"
+        bad = rows.where("code is not null").join(named.where("code is not null").select("code"), "code", how).select(path_id)
+        bad = bad.unionByName(rows.where("code is null").join(named.where("code is null").select(F.col("kmer").alias("text")), "text", how).select(path_id))
+    return paths.join(bad.select(path_id).distinct(), path_id, "left_anti")
 
 
 def depths(paths: DataFrame, table: DataFrame, k: int, columns: int, path_id: str = "path_id", seq: str = "seq") -> DataFrame:

@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import revcomp
-from strandflow.lineage import connected_components
+from strandflow.lineage import connected_components, global_rank
+
+
+_ACGT = np.array([ord(x) for x in "ACGT"], np.uint32)
+
+
+def _runs(batches):
+    """A row for each run of A, C, G and T of each scaffold."""
+    for batch in batches:
+        idx, name, texts = batch.columns
+        at, number, starts, stops, parts, size, total = [], [], [], [], [], [], []
+        for row, text in enumerate(texts.to_pylist()):
+            text = (text or "").upper()
+            edges = np.diff(np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), _ACGT).astype(np.int8), prepend=0, append=0)
+            first, last = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
+            if not first:
+                raise ValueError(f"no bases in scaffold {name[row].as_py()}")
+            at += [row] * len(first)
+            number += range(len(first))
+            starts += [x + 1 for x in first]
+            stops += last
+            parts += [text[x:y] for x, y in zip(first, last)]
+            size += [len(text)] * len(first)
+            total += [len(first)] * len(first)
+        at = pa.array(at, pa.int64())
+        columns = [idx.take(at), name.take(at), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, stops)), pa.array(parts, pa.string()), pa.array(size, pa.int32()), pa.array(total, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["scaffold_idx", "name", "contig_idx", "start", "stop", "seq", "scaffold_length", "contigs"])
 
 
 def break_scaffolds(scaffolds: DataFrame, idx: str = "scaffold_idx", name: str = "name", seq: str = "seq") -> DataFrame:
     """(scaffold_idx, name, contig_idx, start, stop, seq, scaffold_length, contigs): maximal runs without N, 1-based and inclusive. Other
-    characters than ACGTN count as N; a scaffold of nothing else raises."""
-    clean = F.regexp_replace(F.upper(seq), "[^ACGTN]", "N")
-    clean = F.when(F.regexp_like(clean, F.lit("[ACGT]")), clean).otherwise(F.raise_error(F.concat(F.lit("no bases in scaffold "), F.col(name))).cast("string"))
-    rows = scaffolds.select(F.col(idx).alias("scaffold_idx"), F.col(name).alias("name"), clean.alias("_s"))
-    # runs of N and of bases alternate: their lengths give the coordinates
-    rows = rows.withColumn("_runs", F.expr("regexp_extract_all(_s, '(N+|[^N]+)', 1)")).withColumn("_n", F.length("_s"))
-    rows = rows.select("scaffold_idx", "name", F.col("_n").alias("scaffold_length"), F.posexplode("_runs").alias("_k", "seq"))
-    order = Window.partitionBy("scaffold_idx").orderBy("_k")
-    rows = rows.withColumn("stop", F.sum(F.length("seq")).over(order)).withColumn("start", F.col("stop") - F.length("seq") + 1)
-    rows = rows.where(~F.col("seq").startswith("N"))
-    return rows.select(
-        "scaffold_idx", "name", (F.row_number().over(order) - 1).alias("contig_idx"), "start", "stop", "seq", "scaffold_length",
-        F.count("*").over(Window.partitionBy("scaffold_idx")).alias("contigs"),
-    )
+    characters than ACGTN count as N; a scaffold of nothing else raises. Each scaffold is read once, without a shuffle."""
+    rows = scaffolds.select(F.col(idx).alias("scaffold_idx"), F.col(name).alias("name"), seq)
+    kind = rows.schema["scaffold_idx"].dataType.simpleString()
+    return rows.mapInArrow(_runs, f"scaffold_idx {kind}, name string, contig_idx int, start long, stop long, seq string, scaffold_length int, contigs long")
 
 
 def gaps(contigs: DataFrame) -> DataFrame:
@@ -62,8 +80,8 @@ def end_probes(contigs: DataFrame, overhang: int) -> DataFrame:
     first = F.struct(F.lit("start").alias("side"), revcomp(F.substring("seq", 1, overhang)).alias("seq"))
     last = F.struct(F.lit("end").alias("side"), F.expr(f"right(seq, {overhang})").alias("seq"))
     rows = contigs.select("scaffold_idx", "contig_idx", F.posexplode(F.array(first, last)).alias("_k", "p"))
-    number = F.row_number().over(Window.orderBy("scaffold_idx", "contig_idx", "_k"))  # narrow rows, two a contig
-    return rows.select(number.alias("probe_no"), "scaffold_idx", "contig_idx", "p.side", "p.seq")
+    rows = global_rank(rows, ["scaffold_idx", "contig_idx", "_k"], "end-probes")
+    return rows.select((F.col("rank") + 1).cast("int").alias("probe_no"), "scaffold_idx", "contig_idx", "p.side", "p.seq")
 
 
 def tiled_probes(seqs: DataFrame, spacing: int = 2000, size: int = 100, idx: str = "scaffold_idx", seq: str = "seq") -> DataFrame:
@@ -76,14 +94,10 @@ def tiled_probes(seqs: DataFrame, spacing: int = 2000, size: int = 100, idx: str
 def gap_probes(scaffolds: DataFrame, overhang: int, idx: str = "scaffold_idx", name: str = "name", seq: str = "seq") -> DataFrame:
     """(scaffold_idx, gap_no, left, right): the overhang before each gap and the reverse complement of what follows it (one base longer);
     gaps whose probes would leave the scaffold or hold an N are skipped."""
-    g = gaps(break_scaffolds(scaffolds, idx, name, seq)).drop("name")
-    rows = g.join(scaffolds.select(F.col(idx).alias("scaffold_idx"), F.upper(seq).alias("_s")), "scaffold_idx")
-    rows = rows.where((F.col("start") - overhang >= 1) & (F.col("stop") + overhang + 1 <= F.length("_s")))
-    rows = rows.select(
-        "scaffold_idx", "gap_no", F.expr(f"substr(_s, start - {overhang}, {overhang})").alias("left"),
-        revcomp(F.expr(f"substr(_s, stop + 1, {overhang + 1})")).alias("right"),
-    )
-    return rows.where(~F.col("left").contains("N") & ~F.col("right").contains("N"))
+    order = Window.partitionBy("scaffold_idx").orderBy("start")
+    ends = break_scaffolds(scaffolds, idx, name, seq).select("scaffold_idx", "start", F.expr(f"right(seq, {overhang})").alias("tail"), F.expr(f"left(seq, {overhang + 1})").alias("head"))
+    rows = ends.select("scaffold_idx", (F.row_number().over(order) - 2).alias("gap_no"), F.lag("tail").over(order).alias("left"), revcomp(F.col("head")).alias("right"))
+    return rows.where((F.length("left") == overhang) & (F.length("right") == overhang + 1))  # a shorter contig leaves N or the scaffold's end within reach
 
 
 def canonical_connections(connections: DataFrame) -> DataFrame:

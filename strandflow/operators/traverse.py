@@ -6,6 +6,8 @@ A result is what lies within the leash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,22 @@ from strandflow.lineage import connected_components, forget, written
 _UNFINISHED = "the traversal isn't finished after so many rounds"
 
 
+class _Grown:
+    """Rows that come round by round, each round a written table; many tables become one now and then."""
+
+    def __init__(self, tag: str, most: int = 24):
+        self.tag, self.most, self.parts = tag, most, []
+
+    def add(self, part: DataFrame) -> None:
+        if len(self.parts) >= self.most:  # the part that comes now stays a table of its own, as it is read on
+            old, self.parts = self.parts, [written(self.all(), self.tag)]
+            forget(*old)
+        self.parts.append(part)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def _lengths(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("_id"), F.col("length").cast("long").alias("_len"))
 
@@ -38,27 +56,23 @@ def min_distances(
     steps = written(steps, "dist-steps")
     limit = F.lit(True) if leash is None else F.col("dist") <= leash
     seed = starts.select("source", F.explode(F.array("start", -F.col("start")) if ignore_directions else F.array("start")).alias("node")).distinct()
-    best = written(seed.withColumn("dist", F.lit(0).cast("long")).withColumn("_new", F.lit(True)).withColumn("_first", F.lit(True)), "dist")
+    front, seen = written(seed.withColumn("dist", F.lit(0).cast("long")), "dist"), _Grown("dist-seen")
+    seen.add(front)
+    cost = F.lit(0).cast("long")  # of leaving a start
     for _ in range(rounds):
-        front = best.where("_new").join(steps, F.col("node") == F.col("src"))
-        found = front.select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("gap") + F.when(F.col("_first"), 0).otherwise(F.col("_len"))).alias("dist")).where(limit)
-        found = found.groupBy("source", "node").agg(F.min("dist").alias("_found"))
-        merged = best.join(found, ["source", "node"], "full_outer")
-        better = F.col("_found").isNotNull() & (F.col("dist").isNull() | (F.col("_found") < F.col("dist")))
-        nxt = written(
-            merged.select(
-                "source", "node", F.when(better, F.col("_found")).otherwise(F.col("dist")).alias("dist"), better.alias("_new"),
-                F.coalesce("_first", F.lit(False)).alias("_first"),
-            ),
-            "dist",
-        )
-        forget(best)
-        best = nxt
-        if not best.where("_new").limit(1).count():
+        found = front.join(steps, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("gap") + cost).alias("dist")).where(limit)
+        found = written(found.groupBy("source", "node").agg(F.min("dist").alias("dist")), "dist-found")
+        # only what is known of the nodes just found is read again
+        known = seen.all().join(found.select("source", "node"), ["source", "node"], "left_semi").groupBy("source", "node").agg(F.min("dist").alias("_old"))
+        front = written(found.join(known, ["source", "node"], "left").where("_old is null or dist < _old").select("source", "node", "dist"), "dist")
+        forget(found)
+        if not front.limit(1).count():
             break
+        seen.add(front)
+        cost = F.col("_len")
     else:
         raise RuntimeError(_UNFINISHED)
-    out = best.select("source", "node", "dist")
+    out = seen.all().groupBy("source", "node").agg(F.min("dist").alias("dist"))
     if max_nodes is not None:
         ids = out.groupBy("source", F.abs("node").alias("_a")).agg(F.min("dist").alias("_d"))
         ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy("_d", "_a")))
@@ -101,17 +115,18 @@ def connected_to(edges: DataFrame, nodes: DataFrame, whitelist: DataFrame, leash
 
 def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(node): oriented nodes that walks from starts (column node) reach, the starts included."""
-    seen = written(starts.select("node").distinct().withColumn("_new", F.lit(True)), "reach")
+    front, seen = written(starts.select("node").distinct(), "reach"), _Grown("reach-seen")
     for _ in range(rounds):
-        step = seen.where("_new").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        nxt = written(seen.select("node", F.lit(False).alias("_new")).unionByName(step.withColumn("_new", F.lit(True))), "reach")
-        forget(seen)
-        seen = nxt
-        if not seen.where("_new").limit(1).count():
+        seen.add(front)
+        found = written(front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct(), "reach-found")
+        known = seen.all().join(found, "node", "left_semi")
+        front = written(found.join(known, "node", "left_anti"), "reach")
+        forget(found)
+        if not front.limit(1).count():
             break
     else:
         raise RuntimeError(_UNFINISHED)
-    return seen.select("node")
+    return seen.all()
 
 
 def explore(edges: DataFrame, nodes: DataFrame, starts: DataFrame, k: int, leash: int, rounds: int = 10_000) -> DataFrame:
@@ -163,33 +178,32 @@ def paths_between(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, leash: i
 
 
 def heights(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, level) of what is reachable from starts (column node): tips have 0, others one more than their highest child; null for nodes on
-    or behind a cycle, which have no level."""
+    """(node, level, ways) of what is reachable from starts (column node): tips have level 0, others one more than their highest child; ``ways`` counts
+    the paths to tips. Both are null for nodes on or behind a cycle, which have no level."""
     near = written(reachable(edges, starts), "heights-near")
-    inner = edges.join(near.select(F.col("node").alias("src")), "src", "left_semi")
-    inner = written(inner, "heights-edges")
-    tips = near.join(inner.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(0).alias("level"))
-    solved = written(tips, "heights")
-    for level in range(1, rounds):
-        open_edges = inner.join(solved.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node")).distinct()
-        ready = inner.select(F.col("src").alias("node")).distinct().join(solved, "node", "left_anti").join(open_edges, "node", "left_anti")
-        ready = written(ready.select("node", F.lit(level).alias("level")), "heights-ready")
+    inner = written(edges.join(near.select(F.col("node").alias("src")), "src", "left_semi").distinct(), "heights-edges")
+    needs = inner.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("need"))
+    one = F.lit(1).cast("decimal(38,0)")
+    ready = written(near.join(needs, "node", "left_anti").select("node", F.lit(0).alias("level"), one.alias("ways")), "heights")
+    rest, solved = written(needs.withColumn("ways", F.lit(0).cast("decimal(38,0)")), "heights-rest"), _Grown("heights-solved")
+    for level in range(1, rounds + 1):
         if not ready.limit(1).count():
             break
-        solved = written(solved.unionByName(ready), "heights")
-    return near.join(solved, "node", "left")
-
-
-def max_paths(edges: DataFrame, levels: DataFrame, starts: DataFrame) -> DataFrame:
-    """(max_paths): the number of different paths from starts to tips, by adding up children level by level."""
-    top = levels.agg(F.max("level")).first()[0] or 0
-    ways = written(levels.where("level = 0").select("node", F.lit(1).cast("decimal(38,0)").alias("ways")), "ways")
-    for level in range(1, top + 1):
-        here = levels.where(F.col("level") == level).select("node")
-        up = edges.join(here, F.col("src") == F.col("node"), "left_semi").join(ways, F.col("dst") == F.col("node"))
-        up = up.groupBy(F.col("src").alias("node")).agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))
-        ways = written(ways.unionByName(up), "ways")
-    return ways.join(starts.select("node").distinct(), "node", "left_semi").agg(F.coalesce(F.sum("ways"), F.lit(0)).cast("long").alias("max_paths"))
+        solved.add(ready)
+        # the nodes just solved tell their parents, which keep how many children they still wait for
+        told = inner.join(ready.select(F.col("node").alias("dst"), F.col("ways").alias("_w")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n"), F.sum("_w").alias("_w"))
+        open_ = rest.where("need > 0").join(told, "node", "left")
+        old, rest = rest, written(open_.select("node", (F.col("need") - F.coalesce("_n", F.lit(0))).alias("need"), (F.col("ways") + F.coalesce("_w", F.lit(0))).cast("decimal(38,0)").alias("ways")), "heights-rest")
+        forget(old)
+        ready = written(rest.where("need = 0").select("node", F.lit(level).alias("level"), "ways"), "heights")
+    else:
+        raise RuntimeError(_UNFINISHED)
+    return near.join(solved.all(), "node", "left") if solved.parts else near.join(ready, "node", "left")
+
+
+def max_paths(levels: DataFrame, starts: DataFrame) -> DataFrame:
+    """(max_paths, a decimal): the number of different paths from starts to tips."""
+    return levels.join(starts.select("node").distinct(), "node", "left_semi").agg(F.coalesce(F.sum("ways"), F.lit(0)).cast("decimal(38,0)").alias("max_paths"))
 
 
 def min_paths(edges: DataFrame, levels: DataFrame) -> DataFrame:

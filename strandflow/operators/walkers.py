@@ -184,17 +184,19 @@ def wander(g: LocalGraph, probes: list[int], leash: int, recoherence: int | None
 
 
 def tip_distance(g: LocalGraph, node: int, limit: int) -> int:
-    """Most bases of a path from ``node`` over new nodes, as soon as it is over ``limit``."""
-    best, stack = 0, [(node, 0, frozenset())]
+    """Most bases of a walk from ``node``, as soon as it is over ``limit``: a node is left again only after a longer way to it, and a cycle is no tip."""
+    best, stack, far = {}, [(node, g.length[abs(node)])], 0
     while stack:
-        n, used, seen = stack.pop()
-        used += g.length[abs(n)]
-        best = max(best, used)
-        if best > limit:
+        n, used = stack.pop()
+        far = max(far, used)
+        if far > limit:
             break
-        seen = seen | {n}
-        stack += [(m, used, seen) for m in g.after(n) if m not in seen]
-    return best
+        for m in g.after(n):
+            d = used + g.length[abs(m)]
+            if d > best.get(m, -1):
+                best[m] = d
+                stack.append((m, d))
+    return far
 
 
 @dataclass(frozen=True)
@@ -268,17 +270,42 @@ def assemble_all(g: LocalGraph, opts: AssembleOptions = AssembleOptions()) -> It
             yield kept
 
 
-@dataclass
 class Bubble:
-    """Paths from a fork to the node where all of them meet again (not included)."""
+    """All walks from ``fork`` to the node ``close`` where they meet again, neither included: ``before`` has the steps, backwards; None stands for the fork."""
 
-    paths: list[list[int]]
+    def __init__(self, fork: int, close: int, before: dict[int, list[int | None]], order: Callable[[int], tuple], max_cycles: int = 1, turned: bool = False):
+        self.fork, self.close, self.before, self.order, self.max_cycles, self.turned = fork, close, before, order, max_cycles, turned
+
+    def paths(self) -> Iterator[list[int]]:
+        """Each path, found backwards from the end, best covered nodes first; with the fork before it no cycle is walked more than ``max_cycles`` times."""
+        stack = [[self.close]]
+        within = lambda p: max(cycle_counts(p).values(), default=0) <= self.max_cycles
+        while stack:
+            p = stack.pop()
+            for n in sorted(self.before[p[0]], key=lambda n: (n is not None, self.order(n) if n is not None else ())):
+                if n is not None and (n not in p or within([n, *p])):
+                    stack.append([n, *p])
+                elif n is None and within([self.fork, *p]):
+                    stack.append([None, *p])
+            while stack and stack[-1][0] is None:
+                found = stack.pop()[1:-1]
+                yield [-n for n in reversed(found)] if self.turned else found
 
     def reference(self) -> list[int]:
-        return self.paths[0]
+        return next(self.paths())
 
     def nodes(self) -> set[int]:
-        return {n for p in self.paths for n in p}
+        """What lies on any walk from the fork to the end."""
+        found, stack = set(), [self.close]
+        while stack:
+            for n in self.before[stack.pop()]:
+                if n is not None and n not in found:
+                    found.add(n)
+                    stack.append(n)
+        return {-n for n in found} if self.turned else found
+
+    def reverse(self) -> Bubble:
+        return Bubble(self.fork, self.close, self.before, self.order, self.max_cycles, not self.turned)
 
     def coverage(self, g: LocalGraph) -> float:
         ids = {abs(n) for n in self.nodes()}
@@ -288,82 +315,133 @@ class Bubble:
 
 @dataclass
 class MetaPath:
+    """Nodes and bubbles in turn; a bubble's ends are the nodes beside it."""
+
     parts: list
     fate: str | None = None
 
     def reference(self) -> list[int]:
         return [n for p in self.parts for n in (p.reference() if isinstance(p, Bubble) else [p])]
 
+    def nodes(self) -> set[int]:
+        return {n for p in self.parts for n in (p.nodes() if isinstance(p, Bubble) else [p])}
+
+    def bp(self, g: LocalGraph) -> int:
+        return g.bp(self.reference())
+
+    def coverage(self, g: LocalGraph) -> float:
+        path = self.reference()
+        return sum(g.coverage[abs(n)] * g.length[abs(n)] for n in path) / sum(g.length[abs(n)] for n in path)
+
+    def reverse(self) -> MetaPath:
+        return MetaPath([p.reverse() if isinstance(p, Bubble) else -p for p in reversed(self.parts)], self.fate)
+
+    def without_seen_end(self, seen: set[int]) -> MetaPath:
+        """Without the last parts as long as those hold a node (id) seen before."""
+        parts = list(self.parts)
+        while parts and any(abs(n) in seen for n in (parts[-1].nodes() if isinstance(parts[-1], Bubble) else [parts[-1]])):
+            parts.pop()
+        if parts and isinstance(parts[-1], Bubble):  # a bubble doesn't stand without its end
+            parts.pop()
+        return MetaPath(parts, self.fate)
+
     def shorthand(self) -> str:
         one = lambda n: f"{abs(n)}{'s' if n > 0 else 'e'}"
-        return ",".join("{" + "|".join(",".join(map(one, q)) for q in p.paths) + "}" if isinstance(p, Bubble) else one(p) for p in self.parts)
-
-
-def find_bubble(g: LocalGraph, root: int, opts: AssembleOptions) -> tuple[Bubble | None, int | None, str | None]:
-    """(bubble, the node where it closes, fate). Branches advance nearest first; where all that are under way stand at one node, the bubble closes."""
-    ahead = {n: g.length[abs(n)] for n in g.after(root)}
-    done: set[int] = {root}
-    forks = 1
-    while len(ahead) > 1:
-        n = min(ahead, key=lambda x: (ahead[x], abs(x)))
-        used = ahead.pop(n)
-        if used > opts.max_bubble_length:
-            return None, None, "diverges"
-        done.add(n)
-        if opts.bubble_node_limit and len(done) - 1 > opts.bubble_node_limit:
-            return None, None, "too many nodes in bubble"
-        nexts = g.after(n)
-        if not nexts:
-            return None, None, "dead end"
-        forks += len(nexts) > 1
-        if opts.bubble_fork_limit and forks > opts.bubble_fork_limit:
-            return None, None, "too many nodes in bubble"
-        for m in nexts:
-            if m == root:
-                return None, None, "circuit"
-            if m not in done:
-                d = used + g.length[abs(m)]
-                ahead[m] = max(d, ahead.get(m, 0))
-    if not ahead:
-        return None, None, "circuit"
-    close = next(iter(ahead))
-    paths, stack = [], [[n] for n in sorted(g.after(root), key=lambda x: (g.coverage[abs(x)], -abs(x)))]
+        return ",".join("{" + "|".join(",".join(map(one, q)) for q in p.paths()) + "}" if isinstance(p, Bubble) else one(p) for p in self.parts)
+
+
+def _reached(after: dict[int, list[int]], starts: list[int], gone: int | None = None) -> set[int]:
+    """What walks from ``starts`` that avoid ``gone`` come to, the starts included."""
+    stack = [n for n in starts if n != gone]
+    seen = set(stack)
     while stack:
-        p = stack.pop()
-        if p[-1] == close:
-            paths.append(p[:-1])
-            continue
-        for m in sorted(g.after(p[-1]), key=lambda x: (g.coverage[abs(x)], -abs(x))):
-            if m not in p or max(cycle_counts(p + [m]).values()) <= opts.max_cycles:
-                stack.append(p + [m])
-        if len(paths) + len(stack) > 4096:
+        new = [m for m in after.get(stack.pop(), ()) if m != gone and m not in seen]
+        seen.update(new)
+        stack += new
+    return seen
+
+
+def find_bubble(g: LocalGraph, root: int, opts: AssembleOptions, nexts: list[int] | None = None) -> tuple[Bubble | None, int | None, str | None]:
+    """(bubble, the node where it closes, fate). Nodes are entered nearest first, short tips left aside. The bubble closes at a node that every way to
+    what is still to be entered goes through; a node to which a further way is found is asked again, unless that way came round from it. Longer
+    tips are dropped, but for the only one where nothing else is left; a node from which all ways only come round closes nothing."""
+    nexts = without_tips(g, g.after(root), opts.max_tip_length) if nexts is None else nexts
+    dist, after = {n: 0 for n in nexts}, {}
+    before: dict[int, list] = {n: [None] for n in nexts}
+    queue, waiting, ends, forks = [(0, i, n) for i, n in enumerate(nexts)], set(nexts), [], 0
+
+    def closed(n):
+        inner = _reached(after, nexts, n)
+        kept = {m: [p for p in ps if p is None or p in inner] for m, ps in before.items() if m in inner or m == n}
+        return Bubble(root, n, kept, lambda x: (g.coverage[abs(x)], -abs(x)), opts.max_cycles), n, None
+
+    while queue:
+        _, _, n = heapq.heappop(queue)
+        waiting.discard(n)
+        if dist[n] > opts.max_bubble_length:
+            return None, None, "diverges"
+        ahead = g.after(n)
+        beyond = _reached(after, ahead)
+        only_round = bool(ahead) and beyond - {n} <= after.keys() and not beyond & waiting
+        if not only_round and not _reached(after, nexts, n) & waiting:
+            return closed(n)
+        if n in after:
+            continue  # asked again, and not the end
+        if len(ahead) > 1:
+            ahead = without_tips(g, ahead, opts.max_tip_length)
+        forks += len(ahead) > 1
+        if not ahead:
+            ends.append(n)
+        for m in ahead:
+            before.setdefault(m, []).append(n)
+            dist[m] = min(dist.get(m, dist[n] + g.length[abs(n)]), dist[n] + g.length[abs(n)])
+            if m not in waiting and n not in _reached(after, [m]):
+                heapq.heappush(queue, (dist[m], len(dist) + len(after), m))
+                waiting.add(m)
+        after[n] = ahead
+        if opts.bubble_fork_limit is not None and forks > opts.bubble_fork_limit or opts.bubble_node_limit is not None and len(dist) > opts.bubble_node_limit:
             return None, None, "too many nodes in bubble"
-    return Bubble(paths), close, None
+    return closed(ends[0]) if len(ends) == 1 else (None, None, "dead end")
 
 
-def assemble_bubbly(g: LocalGraph, path: list[int], opts: AssembleOptions = AssembleOptions()) -> MetaPath:
-    """The path walked on through bubbles that close again; the fate tells how it ended."""
-    parts, seen, at = list(path), set(path), path[-1]
+def assemble_bubbly(g: LocalGraph, path: list, opts: AssembleOptions = AssembleOptions()) -> MetaPath:
+    """The path (nodes and bubbles) walked on through bubbles that close again; the fate tells how it ended."""
+    parts, seen, at = list(path), MetaPath(list(path)).nodes(), path[-1]
     while True:
         nexts = g.after(at)
+        if len(nexts) > 1:
+            nexts = without_tips(g, nexts, opts.max_tip_length)
         if not nexts:
             return MetaPath(parts, "dead end")
+        if all(n in seen for n in nexts):
+            return MetaPath(parts, "circuit")
         if len(nexts) > 1:
-            bubble, close, fate = find_bubble(g, at, opts)
+            bubble, close, fate = find_bubble(g, at, opts, nexts)
             if bubble is None:
                 return MetaPath(parts, fate)
-            if close in seen or bubble.nodes() & seen:
-                return MetaPath(parts, "circuit")
             parts.append(bubble)
             seen |= bubble.nodes()
             nexts = [close]
         at = nexts[0]
-        if at in seen:
-            return MetaPath(parts, "circuit")
         seen.add(at)
         parts.append(at)
 
 
+def assemble_all_bubbly(g: LocalGraph, opts: AssembleOptions = AssembleOptions()) -> Iterator[MetaPath]:
+    """Contigs through bubbles in order of their start nodes; each node starts or ends one contig at most."""
+    seen: set[int] = set()
+    for start in sorted(g.length):
+        if start in seen or g.coverage[start] < opts.min_start_coverage or g.length[start] < opts.min_start_length:
+            continue
+        back = assemble_bubbly(g, [-start], opts)
+        far = back.without_seen_end(seen).parts if back.fate != "circuit" else []
+        found = assemble_bubbly(g, [-far[-1] if far else start], opts)
+        kept = found.without_seen_end(seen)
+        seen.update(abs(n) for n in found.nodes())
+        if kept.parts and kept.bp(g) >= opts.min_contig_size:
+            yield kept
+
+
 def fluff(g: LocalGraph, probes: list[int], leash: int) -> list[Iterator[tuple[list[int], str]]]:
     """For each probe all acyclic paths with their fates: at another probe's node ('terminal'), at an end ('dead_end'), past the leash
     ('beyond_leash'; lengths include k - 1). Paths come as they are found, however many there are."""
@@ -442,16 +520,7 @@ def assembled(graph: AssemblyGraph, opts: AssembleOptions = AssembleOptions(), b
     def walk(g: LocalGraph) -> pd.DataFrame:
         rows = []
         if bubbly:
-            seen: set[int] = set()
-            for start in sorted(g.length):
-                if start not in seen and g.coverage[start] >= opts.min_start_coverage:
-                    back = assemble_bubbly(g, [-start], opts)
-                    first = -back.reference()[-1] if back.fate != "circuit" else start
-                    m = assemble_bubbly(g, [first], opts)
-                    seen.update(abs(n) for p in m.parts for n in (p.nodes() if isinstance(p, Bubble) else [p]))
-                    seen.add(start)
-                    if g.bp(m.reference()) >= opts.min_contig_size:
-                        rows.append((m.reference(), m.fate, m.shorthand()))
+            rows = [(m.reference(), m.fate, m.shorthand()) for m in assemble_all_bubbly(g, opts)]
         else:
             rows = [(p, "end", ",".join(f"{abs(n)}{'s' if n > 0 else 'e'}" for n in p)) for p in assemble_all(g, opts)]
         mean = lambda p: sum(g.coverage[abs(n)] * g.length[abs(n)] for n in p) / sum(g.length[abs(n)] for n in p)

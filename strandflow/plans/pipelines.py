@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import revcomp
 from strandflow.functions.trails import oriented
+from strandflow.lineage import global_rank
 from strandflow.operators import graph as gr
 from strandflow.operators import orfs as of
 from strandflow.operators import scaffolds as sc
@@ -86,8 +87,7 @@ def gapfill(scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff
     contigs = sc.break_scaffolds(scaffolds)
     g0 = sc.gap_probes(scaffolds, overhang)
     sides = g0.select("scaffold_idx", "gap_no", F.posexplode(F.array("left", "right")).alias("s", "seq"))
-    number = F.row_number().over(Window.orderBy("scaffold_idx", "gap_no", "s"))  # two rows a gap
-    probes = sides.withColumn("probe_no", number)
+    probes = global_rank(sides, ["scaffold_idx", "gap_no", "s"], "gap-probes").withColumn("probe_no", F.col("rank") + 1).drop("rank")
     graph, found = probed_graph(reads, probes.select("probe_no", "seq"), k, coverage_cutoff)
     placed = found.where("node_id is not null").join(probes.select((F.col("probe_no") - 1).alias("probe_idx"), "scaffold_idx", "gap_no", "s"), "probe_idx")
     placed = placed.withColumn("node", oriented(F.col("node_id"), F.col("fwd"))).withColumn("gap_id", F.xxhash64("scaffold_idx", "gap_no"))
@@ -150,7 +150,7 @@ def fluff(seqs: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float
     """(probe_idx, path, fate): all acyclic paths from probes placed every ``spacing`` bases."""
     if size <= k:
         raise ValueError("probes must be longer than k")
-    probes = sc.tiled_probes(seqs, spacing, size).withColumn("probe_no", F.row_number().over(Window.orderBy("scaffold_idx", "offset")))
+    probes = global_rank(sc.tiled_probes(seqs, spacing, size), ["scaffold_idx", "offset"], "tiled-probes").withColumn("probe_no", F.col("rank") + 1).drop("rank")
     g, found = probed_graph(reads, probes, k, coverage_cutoff)
     at = gr.initial_paths(found).select("probe_idx", F.col("start").alias("node"), F.lit(0).alias("offset"))
 
@@ -183,7 +183,7 @@ def count_paths(g: AssemblyGraph, starts: DataFrame | None = None) -> DataFrame:
     if starts is None:
         starts = tv.range_edges(edges, g.nodes).where("kind = 'start'").select("node")
     levels = tv.heights(edges, starts)
-    return tv.min_paths(edges, levels).crossJoin(F.broadcast(tv.max_paths(edges, levels, starts)))  # one row each
+    return tv.min_paths(edges, levels).crossJoin(F.broadcast(tv.max_paths(levels, starts)))  # one row each
 
 
 def find_orfs(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, min_length: int = 96) -> DataFrame:
@@ -192,7 +192,7 @@ def find_orfs(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, min_leng
     seqs = gr.trail_sequences(paths, g.nodes, g.k)
     found = of.proteins(of.orf_sequences(seqs, min_length, "path_id"))
     distinct = found.groupBy("orf", "protein").agg(F.min("path_id").alias("path_id"))
-    return distinct.select(F.concat(F.lit("orf_"), F.row_number().over(Window.orderBy("orf")).cast("string")).alias("name"), "orf", "protein")
+    return global_rank(distinct, ["orf"], "orfs").select(F.concat(F.lit("orf_"), (F.col("rank") + 1).cast("string")).alias("name"), "orf", "protein")
 
 
 def visualise(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, far_edges: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from strandflow.operators import scaffolds as sc
 from strandflow.operators import traverse as tv
 from strandflow.operators import variants as va
 from strandflow.plans import tables as tb
-from strandflow.plans.tables import ARCS_SQL, CONN_SQL, CONTIG_SQL, DAG_SQL, DNA_SQL, NODES_SQL, PLACED_SQL, SCAF_SQL
+from strandflow.plans.tables import ARCS_SQL, CONN_SQL, CONTIG_SQL, DNA_SQL, NODES_SQL, PLACED_SQL, SCAF_SQL, THREADS_SQL
 
 FLAGSHIP = "kmer_spectrum"
 QUERIES: dict = {}
@@ -24,14 +24,11 @@ LANGS = ["de", "en", "es", "fr"]
 K = 11
 
 
-def query(sql: str | None = None, whole=None):
-    """Registers a query under its function's name, with the SQL that must agree with it where there is one. With ``whole``, a source of edges, the same
-    query over those is registered as ``..._whole``, without SQL: the SQL of such queries reads a sparse part of the graph."""
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that must agree with it where there is one."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if whole:
-            QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(spark, sf_dir, whole)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -103,16 +100,15 @@ def kmer_path_filter(spark, sf_dir):
     """Sequences all of whose k-mers occur at least twice in the corpus."""
     seqs = tb.dna(spark, sf_dir)
     total = km.spectrum(seqs, K, []).select("kmer", F.array("count").alias("counts"))
-    table = total.unionByName(total.select(sq.revcomp(F.col("kmer")).alias("kmer"), "counts")).dropDuplicates(["kmer"])
-    return km.filter_paths(seqs, table, [2], K, path_id="doc_id").select("doc_id", F.length("seq").alias("bases"))
+    return km.filter_paths(seqs, total, [2], K, path_id="doc_id", both_strands=True).select("doc_id", F.length("seq").alias("bases"))
 
 
-@query(_COUNTS_SQL + f" SELECT doc_id, CAST(pos AS BIGINT) AS position, coalesce(en, 0) AS coverage1, coalesce(fr, 0) AS coverage2 FROM km JOIN wide ON wide.kmer = least(km.kmer, {_rc('km.kmer')}) WHERE km.lang = 'es'")
+@query(_COUNTS_SQL + f" SELECT doc_id, CAST(pos AS BIGINT) AS position, coalesce(en, 0) AS coverage1, coalesce(fr, 0) AS coverage2 FROM km JOIN wide ON wide.kmer = least(km.kmer, {_rc('km.kmer')})")
 def kmer_depths(spark, sf_dir):
-    """Depth of every k-mer of the Spanish texts in the English and French ones."""
+    """Depth of every k-mer of every text in the English and French ones."""
     wide = _abundance(spark, sf_dir).select("kmer", F.array("en", "fr").alias("counts"))
     table = wide.unionByName(wide.select(sq.revcomp(F.col("kmer")).alias("kmer"), "counts")).dropDuplicates(["kmer"])
-    return km.depths(tb.dna(spark, sf_dir).where("lang = 'es'"), table, K, 2, "doc_id").withColumn("position", F.col("position").cast("long"))
+    return km.depths(tb.dna(spark, sf_dir), table, K, 2, "doc_id").withColumn("position", F.col("position").cast("long"))
 
 
 _WHITE_SQL = f"w0 AS (SELECT DISTINCT substr(translate(md5(CAST(p_partkey AS VARCHAR)), '{tb.HEX}', '{tb.HEX_BASES}'), 1, 8) AS kmer FROM part), white AS (SELECT kmer FROM w0 UNION SELECT {_rc('kmer')} FROM w0), " \
@@ -268,29 +264,31 @@ def min_distances(spark, sf_dir):
     return d.withColumn("node", F.col("node").cast("long"))
 
 
-@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_STARTS}, anyway AS (SELECT src, dst FROM dag UNION SELECT -src, dst FROM dag UNION SELECT src, -dst FROM dag UNION SELECT -src, -dst FROM dag UNION SELECT -dst, -src FROM dag UNION SELECT dst, -src FROM dag UNION SELECT -dst, src FROM dag UNION SELECT dst, src FROM dag), "
-       + _dist_sql(25, "anyway", "SELECT source, unnest([start, -start]) AS node FROM starts") + " SELECT source, CAST(node AS BIGINT) AS node, dist FROM best", whole=tb.edges)
-def distances_any_direction(spark, sf_dir, dag=tb.dag):
-    d = dag(spark, sf_dir)
-    e = d.unionByName(d.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst")))
-    out = tv.min_distances(e, tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 25, ignore_directions=True)
+_ANYWAY = "anyway AS (SELECT a * abs(src) AS src, b * abs(dst) AS dst FROM edges, (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) AS s(a, b))"
+
+
+@query(f"WITH RECURSIVE {THREADS_SQL}, {_ANYWAY}, " + _dist_sql(40, "anyway", "SELECT source, unnest([start, -start]) AS node FROM starts") + " SELECT source, CAST(node AS BIGINT) AS node, dist FROM best")
+def distances_any_direction(spark, sf_dir):
+    """Shortest distances from each customer's first order, whatever the direction."""
+    g = tb.thread_graph(spark, sf_dir)
+    out = tv.min_distances(g.edges(), g.nodes, tb.thread_starts(spark, sf_dir), 40, ignore_directions=True)
     return out.withColumn("node", F.col("node").cast("long"))
 
 
-@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_STARTS}, {_dist_sql(60, 'dag')}, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY dist, node) AS r FROM best), cut AS (SELECT source, max(dist) AS c FROM k WHERE r <= 6 GROUP BY source) "
-       "SELECT source, CAST(node AS BIGINT) AS node, dist FROM best JOIN cut USING (source) WHERE dist <= c", whole=tb.edges)
-def nearest_nodes(spark, sf_dir, dag=tb.dag):
-    """The five nearest nodes of each probe with all ties."""
-    out = tv.min_distances(dag(spark, sf_dir), tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 60, max_nodes=5)
+@query(f"WITH RECURSIVE {THREADS_SQL}, {_dist_sql(90)}, ids AS (SELECT source, abs(node) AS node_id, min(dist) AS dist FROM best GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY dist, node_id) AS r FROM ids), cut AS (SELECT source, max(dist) AS c FROM k WHERE r <= 6 GROUP BY source) "
+       "SELECT source, CAST(node AS BIGINT) AS node, dist FROM best JOIN cut USING (source) WHERE dist <= c")
+def nearest_nodes(spark, sf_dir):
+    """The five nearest nodes of each customer's first order with all ties."""
+    g = tb.thread_graph(spark, sf_dir)
+    out = tv.min_distances(g.edges(), g.nodes, tb.thread_starts(spark, sf_dir), 90, max_nodes=5)
     return out.withColumn("node", F.col("node").cast("long"))
 
 
-@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_STARTS}, sym AS (SELECT src, dst FROM dag UNION SELECT -dst, -src FROM dag), {_dist_sql(40, 'sym', 'SELECT source, unnest([start, -start]) AS node FROM starts')}, near AS (SELECT DISTINCT abs(node) AS node_id FROM best), "
-       "outside AS (SELECT DISTINCT abs(src) AS node_id FROM sym WHERE abs(src) IN (SELECT node_id FROM near) AND abs(dst) NOT IN (SELECT node_id FROM near)) SELECT CAST(node_id AS BIGINT) AS node_id, node_id IN (SELECT node_id FROM outside) AS boundary FROM near", whole=tb.edges)
-def nodes_within_leash(spark, sf_dir, dag=tb.dag):
-    d = dag(spark, sf_dir)
-    e = d.unionByName(d.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst")))
-    out = tv.nodes_within_leash(e, tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 40)
+@query(f"WITH RECURSIVE {THREADS_SQL}, {_dist_sql(40, 'edges', 'SELECT source, unnest([start, -start]) AS node FROM starts')}, near AS (SELECT DISTINCT abs(node) AS node_id FROM best), "
+       "outside AS (SELECT DISTINCT abs(src) AS node_id FROM edges WHERE abs(src) IN (SELECT node_id FROM near) AND abs(dst) NOT IN (SELECT node_id FROM near)) SELECT CAST(node_id AS BIGINT) AS node_id, node_id IN (SELECT node_id FROM outside) AS boundary FROM near")
+def nodes_within_leash(spark, sf_dir):
+    g = tb.thread_graph(spark, sf_dir)
+    out = tv.nodes_within_leash(g.edges(), g.nodes, tb.thread_starts(spark, sf_dir), 40)
     return out.withColumn("node_id", F.col("node_id").cast("long"))
 
 
@@ -303,61 +301,66 @@ def connected_nodes(spark, sf_dir):
     return tv.connected_to(e, tb.nodes(spark, sf_dir), white).select(F.col("node_id").cast("long").alias("node_id"))
 
 
-@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_STARTS}, live AS (SELECT source, [start] AS path, CAST(n.length + 30 AS BIGINT) AS bp, n.length + 30 > 90 AS over FROM starts JOIN nodes n ON n.node_id = start "
-       "UNION ALL SELECT l.source, list_append(l.path, e.dst), l.bp + n.length, l.bp + n.length > 90 FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.dst WHERE NOT l.over) "
-       "SELECT source, array_to_string(path, ',') AS path, CASE WHEN over THEN 'Leashed' ELSE 'Dead end / coverage' END AS fate FROM live WHERE over OR path[-1] NOT IN (SELECT src FROM dag)", whole=tb.edges)
-def explore_paths(spark, sf_dir, dag=tb.dag):
-    """All paths beyond probe nodes, until the leash or a dead end."""
-    out = tv.explore(dag(spark, sf_dir), tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 31, 90)
+@query(f"WITH RECURSIVE {THREADS_SQL}, live AS (SELECT source, [start] AS path, CAST(n.length + 30 AS BIGINT) AS bp, CASE WHEN n.length + 30 > 90 THEN 'Leashed' END AS fate FROM starts JOIN nodes n ON n.node_id = abs(start) "
+       "UNION ALL SELECT l.source, list_append(l.path, e.dst), l.bp + n.length, CASE WHEN list_contains(l.path, e.dst) THEN 'Loop' WHEN l.bp + n.length > 90 THEN 'Leashed' END FROM live l JOIN edges e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = abs(e.dst) WHERE l.fate IS NULL) "
+       "SELECT source, array_to_string(list_transform(path, lambda x: abs(x)), ',') AS path, coalesce(fate, 'Dead end / coverage') AS fate FROM live WHERE fate IS NOT NULL OR path[-1] NOT IN (SELECT src FROM edges)")
+def explore_paths(spark, sf_dir):
+    """All paths beyond each customer's first order, until the leash, a dead end or a node of their own."""
+    g = tb.thread_graph(spark, sf_dir)
+    out = tv.explore(g.edges(), g.nodes, tb.thread_starts(spark, sf_dir), g.k, 90)
     return out.select("source", tr.ids_only(F.col("path")).alias("path"), "fate")
 
 
-@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, ends AS (SELECT DISTINCT a.src AS start, b.dst AS stop FROM dag a JOIN dag b ON a.dst = b.src), live AS (SELECT start * 100000 + stop AS pair_id, stop, [start] AS path, CAST(0 AS BIGINT) AS bp FROM ends "
-       "UNION ALL SELECT l.pair_id, l.stop, list_append(l.path, e.dst), l.bp + n.length FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.src WHERE l.path[-1] <> l.stop AND l.bp + n.length <= 150) "
-       "SELECT CAST(pair_id AS BIGINT) AS pair_id, array_to_string(path, ',') AS path FROM live WHERE path[-1] = stop", whole=tb.forward_arcs)
-def gap_paths(spark, sf_dir, dag=tb.dag):
-    """All acyclic paths within a leash between nodes that are two steps apart."""
-    d = dag(spark, sf_dir)
-    ends = d.join(d.select(F.col("src").alias("dst"), F.col("dst").alias("stop")), "dst").select(F.col("src").alias("start"), "stop").distinct()
-    pairs = ends.select((F.col("start").cast("long") * 100000 + F.col("stop")).alias("pair_id"), "start", "stop")
-    out, _ = tv.paths_between(d, tb.nodes(spark, sf_dir), pairs, 150, max_paths=None)
+@query(f"WITH RECURSIVE {THREADS_SQL}, live AS (SELECT source AS pair_id, stop, [start] AS path, CAST(0 AS BIGINT) AS bp FROM starts JOIN stops USING (source) WHERE start <> stop "
+       "UNION ALL SELECT l.pair_id, l.stop, list_append(l.path, e.dst), l.bp + n.length FROM live l JOIN edges e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = abs(e.src) WHERE l.path[-1] <> l.stop AND NOT list_contains(l.path, e.dst) AND l.bp + n.length <= 150) "
+       "SELECT CAST(pair_id AS BIGINT) AS pair_id, array_to_string(list_transform(path, lambda x: abs(x)), ',') AS path FROM live WHERE path[-1] = stop")
+def gap_paths(spark, sf_dir):
+    """All acyclic paths within a leash from each customer's first order to the last."""
+    g = tb.thread_graph(spark, sf_dir)
+    out, _ = tv.paths_between(g.edges(), g.nodes, tb.thread_pairs(spark, sf_dir), 150, max_paths=None)
     return out.select("pair_id", tr.ids_only(F.col("path")).alias("path"))
 
 
-_LEVELS = f"{ARCS_SQL}, {DAG_SQL}, r0 AS (SELECT DISTINCT src AS node FROM dag WHERE src NOT IN (SELECT dst FROM dag)), walk AS (SELECT DISTINCT dst AS node, 0 AS h FROM dag WHERE dst NOT IN (SELECT src FROM dag) UNION SELECT e.src, w.h + 1 FROM walk w JOIN dag e ON e.dst = w.node), levels AS (SELECT node, max(h) AS level FROM walk GROUP BY node)"
+_LEVELS = f"""{THREADS_SQL}, roots AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges)), near AS (SELECT node FROM roots UNION SELECT e.dst FROM near n JOIN edges e ON e.src = n.node),
+reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON e.src = r.b), onto AS (SELECT a AS node FROM reach WHERE a = b), bad AS (SELECT node FROM onto UNION SELECT a FROM reach WHERE b IN (SELECT node FROM onto)),
+walk AS (SELECT node, 0 AS h FROM near WHERE node NOT IN (SELECT src FROM edges) UNION SELECT e.src, w.h + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE e.src IN (SELECT node FROM near) AND e.src NOT IN (SELECT node FROM bad)),
+levels AS (SELECT node, max(h) AS level FROM walk GROUP BY node)"""
 
 
-def _roots(spark, sf_dir, dag=tb.dag):
-    d = dag(spark, sf_dir)
-    return d, d.select(F.col("src").alias("node")).distinct().join(d.select(F.col("dst").alias("node")), "node", "left_anti")
+def _heights(spark, sf_dir):
+    """(edges, roots, levels) of the graph of orders."""
+    e = tb.thread_graph(spark, sf_dir).edges()
+    roots = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
+    return e, roots, tv.heights(e, roots)
 
 
-@query(f"WITH RECURSIVE {_LEVELS} SELECT CAST(node AS BIGINT) AS node, CAST(level AS BIGINT) AS level FROM levels", whole=tb.forward_arcs)
-def node_heights(spark, sf_dir, dag=tb.dag):
-    d, roots = _roots(spark, sf_dir, dag)
-    return tv.heights(d, roots).select(F.col("node").cast("long").alias("node"), F.col("level").cast("long").alias("level"))
+@query(f"WITH RECURSIVE {_LEVELS} SELECT CAST(near.node AS BIGINT) AS node, CAST(level AS BIGINT) AS level FROM near LEFT JOIN levels USING (node)")
+def node_heights(spark, sf_dir):
+    """Levels of what the graph's beginnings reach; none on and behind cycles."""
+    return _heights(spark, sf_dir)[2].select(F.col("node").cast("long").alias("node"), F.col("level").cast("long").alias("level"))
 
 
-@query(f"WITH RECURSIVE {_LEVELS}, p AS (SELECT dst, max(l.level) AS level FROM dag JOIN levels l ON l.node = dag.src GROUP BY dst), ch AS (SELECT level, sum(d) AS d FROM (SELECT level, 1 AS d FROM levels UNION ALL SELECT level, -1 FROM p) GROUP BY level), live AS (SELECT sum(d) OVER (ORDER BY level) AS live FROM ch) SELECT CAST(max(live) AS BIGINT) AS min_paths FROM live", whole=tb.forward_arcs)
-def min_path_count(spark, sf_dir, dag=tb.dag):
-    d, roots = _roots(spark, sf_dir, dag)
-    return tv.min_paths(d, tv.heights(d, roots))
+@query(f"WITH RECURSIVE {_LEVELS}, p AS (SELECT dst, max(l.level) AS level FROM edges JOIN levels l ON l.node = src WHERE dst IN (SELECT node FROM levels) GROUP BY dst), ch AS (SELECT level, sum(d) AS d FROM (SELECT level, 1 AS d FROM levels UNION ALL SELECT level, -1 FROM p) GROUP BY level), live AS (SELECT sum(d) OVER (ORDER BY level) AS live FROM ch) SELECT CAST(coalesce(max(live), 0) AS BIGINT) AS min_paths FROM live")
+def min_path_count(spark, sf_dir):
+    e, _, levels = _heights(spark, sf_dir)
+    return tv.min_paths(e, levels)
 
 
-@query()
+@query(f"WITH RECURSIVE {_LEVELS}, ways AS (SELECT row_number() OVER () AS id, node FROM levels WHERE node IN (SELECT node FROM roots) UNION ALL SELECT w.id, e.dst FROM ways w JOIN edges e ON e.src = w.node) "
+       "SELECT CAST(count(*) AS BIGINT) AS max_paths FROM ways WHERE node NOT IN (SELECT src FROM edges)")
 def max_path_count(spark, sf_dir):
-    """The number of paths through all forward arcs, from all its roots to all its tips."""
-    d, roots = _roots(spark, sf_dir, tb.forward_arcs)
-    return tv.max_paths(d, tv.heights(d, roots), roots)
+    """The number of paths from the graph's beginnings to its tips, where no cycle is in the way."""
+    _, roots, levels = _heights(spark, sf_dir)
+    return tv.max_paths(levels, roots).select(F.col("max_paths").cast("long").alias("max_paths"))
 
 
-@query(f"WITH {ARCS_SQL}, {DAG_SQL} SELECT CAST(src AS BIGINT) AS node, 'start' AS kind FROM dag WHERE src NOT IN (SELECT dst FROM dag) UNION SELECT CAST(dst AS BIGINT), 'end' FROM dag WHERE dst NOT IN (SELECT src FROM dag)", whole=tb.forward_arcs)
-def range_ends(spark, sf_dir, dag=tb.dag):
-    """Where walks through the acyclic graph begin and end."""
-    d = dag(spark, sf_dir)
-    e = d.unionByName(d.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst")))
-    ids = d.select(F.col("src").alias("node_id")).union(d.select("dst"))
-    return tv.range_edges(e, ids).withColumn("node", F.col("node").cast("long"))
+@query(f"WITH RECURSIVE {THREADS_SQL}, ids AS (SELECT node_id AS node FROM nodes UNION ALL SELECT -node_id FROM nodes), either AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT node AS a, node AS b FROM ids UNION SELECT r.a, e.b FROM reach r JOIN either e ON e.a = r.b), "
+       "lead AS (SELECT a AS node, arg_min(b, abs(b) * 2 + CASE WHEN b > 0 THEN 0 ELSE 1 END) AS low FROM reach GROUP BY a), mine AS (SELECT node FROM lead WHERE low > 0) "
+       "SELECT CAST(node AS BIGINT) AS node, 'start' AS kind FROM mine WHERE node NOT IN (SELECT dst FROM edges) UNION ALL SELECT CAST(node AS BIGINT), 'end' FROM mine WHERE node NOT IN (SELECT src FROM edges)")
+def range_ends(spark, sf_dir):
+    """Where walks through the graph of orders begin and end."""
+    g = tb.thread_graph(spark, sf_dir)
+    return tv.range_edges(g.edges(), g.nodes).withColumn("node", F.col("node").cast("long"))
 
 
 _PATHS_SQL = "p0 AS (SELECT l_orderkey AS path_id, (l_partkey + 1) * CASE WHEN l_returnflag <> 'R' THEN 1 ELSE -1 END AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem)"
@@ -517,48 +520,35 @@ def fasta_compare(spark, sf_dir):
     return compare(s.select(F.col("s_name").alias("name"), F.md5("s_name").alias("seq")), s.select(F.col("s_name").alias("name"), F.when(F.col("s_nationkey") % 2 == 0, F.md5("s_name")).otherwise(F.md5(F.concat("s_name", F.lit("x")))).alias("seq")))
 
 
-def _dag_graph(spark, sf_dir, dag=tb.dag):
-    d = dag(spark, sf_dir)
-    arcs = d.select(F.col("src").alias("begin_id"), F.lit(True).alias("begin_fwd"), F.col("dst").alias("end_id"), F.lit(True).alias("end_fwd"), F.lit(1).cast("long").alias("mult"))
-    ids = d.select(F.col("src").alias("node_id")).union(d.select("dst")).distinct()
-    return gr.AssemblyGraph(tb.nodes(spark, sf_dir).join(ids, "node_id", "left_semi"), arcs, 31)
-
-
-_SYM = "sym AS (SELECT src, dst FROM dag UNION SELECT -dst, -src FROM dag)"
-
-
-@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, {_SYM}, ids AS (SELECT DISTINCT abs(src) AS n FROM sym), probes AS (SELECT row_number() OVER (ORDER BY n) - 1 AS i, CASE WHEN n % 2 = 0 THEN n ELSE -n END AS s FROM ids), "
-       "r AS (SELECT i, s AS node, CAST(0 AS BIGINT) AS d FROM probes UNION SELECT r.i, e.dst, r.d + n.length FROM r JOIN sym e ON e.src = r.node JOIN nodes n ON n.node_id = abs(e.dst) WHERE r.d + n.length <= 60) "
-       "SELECT CAST(r.i AS BIGINT) AS p1, CAST(p.i AS BIGINT) AS p2, CAST(min(r.d) AS BIGINT) AS distance FROM r JOIN probes p ON p.s = -r.node AND p.i >= r.i WHERE r.d > 0 GROUP BY ALL", whole=tb.forward_arcs)
-def wander_distances(spark, sf_dir, dag=tb.dag):
-    """All-pairs distances between probes on every node of the acyclic graph, by the wanderer."""
+@query(f"WITH RECURSIVE {THREADS_SQL}, r AS (SELECT i, s AS node, CAST(0 AS BIGINT) AS d FROM probes UNION SELECT r.i, e.dst, r.d + n.length FROM r JOIN edges e ON e.src = r.node JOIN nodes n ON n.node_id = abs(e.dst) WHERE r.d + n.length <= 120) "
+       "SELECT CAST(r.i AS BIGINT) AS p1, CAST(p.i AS BIGINT) AS p2, CAST(min(r.d) AS BIGINT) AS distance FROM r JOIN probes p ON p.s = -r.node AND p.i >= r.i WHERE r.d > 0 GROUP BY ALL")
+def wander_distances(spark, sf_dir):
+    """All-pairs distances between probes at both ends of each customer's orders, by the wanderer."""
     import pandas as pd
 
     from strandflow.operators import walkers as wk
 
-    g = _dag_graph(spark, sf_dir, dag)
-    # a probe on each node, numbered in order
-    number = (F.row_number().over(Window.orderBy("node_id")) - 1).alias("probe_idx")
-    probes = g.nodes.select(number, F.when(F.col("node_id") % 2 == 0, F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.lit(0).alias("offset"))
-
     def walk(lg):
         mine = sorted(lg.probes)
-        found = wk.wander(lg, [lg.probes[i][0] for i in mine], 60)
+        found = wk.wander(lg, [lg.probes[i][0] for i in mine], 120)
         return pd.DataFrame([(mine[a], mine[b], d) for (a, b), d in found.items()], columns=["p1", "p2", "distance"])
 
-    return wk.per_component(g, walk, "p1 long, p2 long, distance long", probes=probes)
+    return wk.per_component(tb.thread_graph(spark, sf_dir), walk, "p1 long, p2 long, distance long", probes=tb.thread_probes(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, ends AS (SELECT DISTINCT a.src AS start, b.dst AS stop FROM dag a JOIN dag b ON a.dst = b.src), live AS (SELECT start * 100000 + stop AS gap_id, stop, [start] AS path, CAST(0 AS BIGINT) AS bp FROM ends "
-       "UNION ALL SELECT l.gap_id, l.stop, list_append(l.path, e.dst), l.bp + n.length FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.src WHERE l.path[-1] <> l.stop AND l.bp + n.length <= 150) "
-       "SELECT CAST(gap_id AS BIGINT) AS gap_id, array_to_string(path, ',') AS path FROM live WHERE path[-1] = stop", whole=tb.forward_arcs)
-def cycle_budget_paths(spark, sf_dir, dag=tb.dag):
-    """The same paths by the walker that allows cycles; the acyclic graph has none."""
+# A walk may repeat no cycle: what lies between a node and its next return, by its smallest rotation, may not come again behind its end.
+@query(f"""WITH RECURSIVE {THREADS_SQL}, live AS (SELECT source AS gap_id, stop, [start] AS path, CAST(0 AS BIGINT) AS bp, CAST([] AS VARCHAR[]) AS names, CAST([] AS BIGINT[]) AS ends FROM starts JOIN stops USING (source) WHERE start <> stop
+  UNION ALL SELECT gap_id, stop, path, bp, CASE WHEN name IS NULL OR known > 0 THEN names ELSE list_append(names, name) END, CASE WHEN name IS NULL OR known > 0 THEN ends ELSE list_append(ends, len(path)) END
+    FROM (SELECT *, coalesce(list_position(names, name), 0) AS known FROM (SELECT *, CASE WHEN since IS NOT NULL THEN list_sort(list_transform(range(len(path) - since), lambda r: array_to_string(list_concat(path[since + r:len(path) - 1], path[since:since + r - 1]), ',')))[1] END AS name
+      FROM (SELECT l.gap_id, l.stop, list_append(l.path, e.dst) AS path, l.bp + n.length AS bp, l.names, l.ends, CAST(list_max(list_filter(range(1, len(l.path) + 1), lambda j: l.path[j] = e.dst)) AS BIGINT) AS since
+        FROM live l JOIN edges e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = abs(e.src) WHERE l.path[-1] <> l.stop AND l.bp + n.length <= 100)))
+    WHERE known = 0 OR since < ends[known])
+SELECT CAST(gap_id AS BIGINT) AS gap_id, array_to_string(list_transform(path, lambda x: abs(x)), ',') AS path FROM live WHERE path[-1] = stop""")
+def cycle_budget_paths(spark, sf_dir):
+    """All walks within a leash from each customer's first order to the last that go round no cycle twice."""
     from strandflow.plans import pipelines as pl
 
-    d = dag(spark, sf_dir)
-    ends = d.join(d.select(F.col("src").alias("dst"), F.col("dst").alias("stop")), "dst").select(F.col("src").alias("start"), "stop").distinct()
-    out = pl.gap_paths(_dag_graph(spark, sf_dir, dag), ends.select((F.col("start").cast("long") * 100000 + F.col("stop")).alias("gap_id"), "start", "stop"), 150, max_paths=None)
+    out = pl.gap_paths(tb.thread_graph(spark, sf_dir), tb.thread_pairs(spark, sf_dir).withColumnRenamed("pair_id", "gap_id"), 100, max_paths=None)
     return out.where("path is not null").select("gap_id", tr.ids_only(F.col("path")).alias("path"))
 
 
@@ -583,38 +573,35 @@ def built_graph_kmers(spark, sf_dir):
 
 @query()
 def assembled_contigs(spark, sf_dir):
-    """Contigs of the whole graph, single-ended."""
+    """Contigs of the graph of orders, single-ended."""
     from strandflow.operators import walkers as wk
 
-    out = wk.assembled(gr.AssemblyGraph(tb.nodes(spark, sf_dir), tb.arcs(spark, sf_dir), 31), wk.AssembleOptions(max_tip_length=40, min_contig_size=0))
+    out = wk.assembled(tb.thread_graph(spark, sf_dir), wk.AssembleOptions(max_tip_length=20, min_contig_size=0))
     return out.select("shorthand", "fate", F.round("coverage", 6).alias("coverage"))
 
 
 @query()
 def bubbly_contigs(spark, sf_dir):
-    """Contigs of the whole graph that run on through bubbles."""
+    """Contigs of the graph of orders that run on through bubbles."""
     from strandflow.operators import walkers as wk
 
-    out = wk.assembled(gr.AssemblyGraph(tb.nodes(spark, sf_dir), tb.arcs(spark, sf_dir), 31), wk.AssembleOptions(min_contig_size=0), bubbly=True)
+    out = wk.assembled(tb.thread_graph(spark, sf_dir), wk.AssembleOptions(min_contig_size=0), bubbly=True)
     return out.select("shorthand", "fate", F.round("coverage", 6).alias("coverage"))
 
 
-@query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {DAG_SQL}, probes AS (SELECT DISTINCT src AS start FROM dag WHERE src NOT IN (SELECT dst FROM dag)), live AS (SELECT start, [start] AS path, CAST(n.length + 30 AS BIGINT) AS bp FROM probes JOIN nodes n ON n.node_id = start "
-       "UNION ALL SELECT l.start, list_append(l.path, e.dst), l.bp + n.length FROM live l JOIN dag e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = e.dst WHERE l.bp < 120) "
-       "SELECT CAST(start AS BIGINT) AS start, array_to_string(path, ',') AS path, CASE WHEN bp >= 120 THEN 'beyond_leash' ELSE 'dead_end' END AS fate FROM live WHERE bp >= 120 OR path[-1] NOT IN (SELECT src FROM dag)", whole=tb.forward_arcs)
-def fluffed_paths(spark, sf_dir, dag=tb.dag):
-    """All paths from probes at the acyclic graph's roots."""
+@query(f"WITH RECURSIVE {THREADS_SQL}, stopped AS (SELECT abs(s) AS id FROM probes), live AS (SELECT i AS probe, [s] AS path, CAST(n.length + 30 AS BIGINT) AS bp, n.length + 30 >= 120 AS over, false AS term FROM probes JOIN nodes n ON n.node_id = abs(s) "
+       "UNION ALL SELECT l.probe, list_append(l.path, e.dst), l.bp + n.length, l.bp + n.length >= 120, abs(e.dst) IN (SELECT id FROM stopped) FROM live l JOIN edges e ON e.src = l.path[-1] JOIN nodes n ON n.node_id = abs(e.dst) WHERE NOT l.over AND NOT l.term AND NOT list_contains(l.path, e.dst)), "
+       "ended AS (SELECT *, CASE WHEN term THEN 'terminal' WHEN over THEN 'beyond_leash' WHEN NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = path[-1] AND NOT list_contains(path, e.dst)) THEN 'dead_end' END AS fate FROM live) "
+       "SELECT CAST(probe AS BIGINT) AS probe, array_to_string(path, ',') AS path, fate FROM ended WHERE fate IS NOT NULL")
+def fluffed_paths(spark, sf_dir):
+    """All acyclic paths from probes at both ends of each customer's orders, with their fates."""
     import pandas as pd
 
     from strandflow.operators import walkers as wk
 
-    g = _dag_graph(spark, sf_dir, dag)
-    _, roots = _roots(spark, sf_dir, dag)
-    probes = roots.select(F.col("node").alias("probe_idx"), "node", F.lit(0).alias("offset"))
-
     def walk(lg):
         mine = sorted(lg.probes)
-        rows = [(s, ",".join(map(str, p)), f) for s, found in zip(mine, wk.fluff(lg, mine, 120)) for p, f in found]
-        return pd.DataFrame(rows, columns=["start", "path", "fate"])
+        rows = [(i, ",".join(map(str, p)), f) for i, found in zip(mine, wk.fluff(lg, [lg.probes[i][0] for i in mine], 120)) for p, f in found]
+        return pd.DataFrame(rows, columns=["probe", "path", "fate"])
 
-    return wk.per_component(g, walk, "start long, path string, fate string", probes=probes)
+    return wk.per_component(tb.thread_graph(spark, sf_dir), walk, "probe long, path string, fate string", probes=tb.thread_probes(spark, sf_dir))

@@ -1,7 +1,8 @@
 """Assembly relations bound to the benchmark's star schema: the same definitions as DataFrames and as SQL.
 
 Texts become sequences (letters to bases), parts become graph nodes, consecutive line items of an order become arcs, events become
-read placements whose mates are neighbouring ids, suppliers become connections.
+read placements whose mates are neighbouring ids, suppliers become connections. A second graph has a node for each order: the orders of a customer
+follow each other by date, and their priorities and states add forks, steps back, loops, turns and rings.
 """
 
 from __future__ import annotations
@@ -30,8 +31,14 @@ edges0 AS (SELECT CASE WHEN begin_fwd THEN begin_id ELSE -begin_id END AS src, C
 edges AS (SELECT src, dst FROM edges0 UNION SELECT -dst, -src FROM edges0)"""
 PLACED_SQL = """noded_reads AS (SELECT CAST(user_id + 1 AS INTEGER) AS node_id, event_id AS read_id, CAST(event_id % 11 AS INTEGER) AS "offset", CAST(event_id % 7 AS INTEGER) AS start_coord, length(event_type) % 2 = 0 AS fwd FROM events),
 pairs AS (SELECT event_id AS read_id, xor(event_id, 1) AS pair_id FROM events)"""
-#: A sparse acyclic part of the graph: steps of at most 15 ids ahead, both ends forwards
-DAG_SQL = "dag AS (SELECT DISTINCT begin_id AS src, end_id AS dst FROM arcs WHERE begin_fwd AND end_fwd AND end_id > begin_id AND end_id - begin_id <= 15)"
+THREADS_SQL = f"""thread0 AS (SELECT o_custkey AS cust, CAST((o_orderkey + 1) * CASE WHEN o_orderstatus = 'O' THEN -1 ELSE 1 END AS BIGINT) AS me, o_orderpriority AS p, o_orderstatus AS st, o_orderdate, o_orderkey FROM orders),
+thread AS (SELECT cust, me, p, st, lead(me) OVER w AS next1, lead(me, 2) OVER w AS next2, lag(me) OVER w AS prev, first_value(me) OVER w AS head FROM thread0 WINDOW w AS (PARTITION BY cust ORDER BY o_orderdate, o_orderkey)),
+edges0 AS (SELECT me AS src, next1 AS dst FROM thread UNION SELECT me, next2 FROM thread WHERE p = '1-URGENT' UNION SELECT me, prev FROM thread WHERE p = '2-HIGH' AND st = 'F' UNION SELECT me, me FROM thread WHERE p = '3-MEDIUM' AND st = 'P'
+  UNION SELECT me, -next1 FROM thread WHERE p = '5-LOW' AND st = 'P' UNION SELECT me, head FROM thread WHERE next1 IS NULL AND me <> head AND p = '4-NOT SPECIFIED'),
+edges AS (SELECT src, dst FROM edges0 WHERE dst IS NOT NULL UNION SELECT -dst, -src FROM edges0 WHERE dst IS NOT NULL),
+starts AS (SELECT cust AS source, me AS start FROM thread WHERE prev IS NULL), stops AS (SELECT cust AS source, me AS stop FROM thread WHERE next1 IS NULL),
+probes AS (SELECT 2 * source AS i, start AS s FROM starts UNION ALL SELECT 2 * source + 1, -stop FROM stops),
+nodes AS (SELECT CAST(o_orderkey + 1 AS BIGINT) AS node_id, CAST(floor(o_totalprice) AS BIGINT) % 30 + 1 AS length, CAST(floor(o_totalprice) AS BIGINT) % 200 AS cov_sum FROM orders)"""
 CONN_SQL = """conn0 AS (SELECT s_suppkey AS seq1, CASE WHEN s_suppkey % 3 = 0 THEN 'start' ELSE 'end' END AS side1, (s_suppkey * 37 + 11) % 97 AS seq2,
   CASE WHEN s_suppkey % 2 = 0 THEN 'start' ELSE 'end' END AS side2, s_suppkey % 50 + 1 AS distance FROM supplier),
 conn1 AS (SELECT CASE WHEN (seq1, side1) <= (seq2, side2) THEN seq1 ELSE seq2 END AS a, CASE WHEN (seq1, side1) <= (seq2, side2) THEN side1 ELSE side2 END AS sa,
@@ -71,21 +78,52 @@ def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.where("end_id is not null").groupBy("begin_id", "begin_fwd", "end_id", "end_fwd").agg(F.count("*").alias("mult"))
 
 
-def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = arcs(spark, sf_dir).where("begin_fwd and end_fwd and end_id > begin_id and end_id - begin_id <= 15")
-    return a.select(F.col("begin_id").alias("src"), F.col("end_id").alias("dst")).distinct()
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cust, me, p, st, next1, next2, prev, head): each order as a signed node with its neighbours in the customer's order of dates."""
+    me = (F.col("o_orderkey") + 1).cast("int")
+    w = Window.partitionBy("cust").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("cust"), F.when(F.col("o_orderstatus") == "O", -me).otherwise(me).alias("me"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("st"), "o_orderdate", "o_orderkey"
+    )
+    return rows.select(
+        "cust", "me", "p", "st", F.lead("me").over(w).alias("next1"), F.lead("me", 2).over(w).alias("next2"), F.lag("me").over(w).alias("prev"), F.first("me").over(w).alias("head")
+    )
+
+
+def thread_graph(spark: SparkSession, sf_dir: str, k: int = 31):
+    """The graph of orders: steps to the next order, and by priority and state past it, back, to the same order, to the next one turned, or from the last to the first."""
+    from strandflow.operators.graph import AssemblyGraph
+
+    key, price = F.col("o_orderkey").cast("string"), F.floor("o_totalprice").cast("long")
+    size = (price % 30 + 1).cast("int")
+    bases = lambda x: F.substr(F.translate(F.md5(x), HEX, HEX_BASES), F.lit(1), size)
+    nodes = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") + 1).cast("int").alias("node_id"), size.alias("length"), (price % 200).alias("cov_sum"), bases(key).alias("ends_fwd"), bases(F.concat(F.lit("t"), key)).alias("ends_twin"),
+    )
+    to = [
+        F.col("next1"), F.when(F.col("p") == "1-URGENT", F.col("next2")), F.expr("if(p = '2-HIGH' and st = 'F', prev, null)"), F.expr("if(p = '3-MEDIUM' and st = 'P', me, null)"),
+        F.expr("if(p = '5-LOW' and st = 'P', -next1, null)"), F.expr("if(next1 is null and me != head and p = '4-NOT SPECIFIED', head, null)"),
+    ]
+    steps = threads(spark, sf_dir).select("me", F.explode(F.array(*to)).alias("dst")).where("dst is not null")
+    arcs = steps.select(F.abs("me").alias("begin_id"), (F.col("me") > 0).alias("begin_fwd"), F.abs("dst").alias("end_id"), (F.col("dst") > 0).alias("end_fwd"), F.lit(1).cast("long").alias("mult"))
+    return AssemblyGraph(nodes, arcs.distinct(), k)
+
 
+def thread_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, start): each customer's first order."""
+    return threads(spark, sf_dir).where("prev is null").select(F.col("cust").alias("source"), F.col("me").alias("start"))
 
-def forward_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All arcs between forward nodes to a higher id: acyclic, as is their part ``dag``."""
-    return arcs(spark, sf_dir).where("begin_fwd and end_fwd and end_id > begin_id").select(F.col("begin_id").alias("src"), F.col("end_id").alias("dst")).distinct()
 
+def thread_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, start, stop): the first and last order of each customer who has two or more."""
+    ends = threads(spark, sf_dir).where("next1 is null and me != head")
+    return ends.select(F.col("cust").alias("pair_id"), F.col("head").alias("start"), F.col("me").alias("stop"))
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All arcs, read both ways."""
-    from strandflow.operators.graph import oriented_edges
 
-    return oriented_edges(arcs(spark, sf_dir)).select("src", "dst").distinct()
+def thread_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(probe_idx, node, offset): two for each customer, at the first order forwards and at the last one turned."""
+    rows = threads(spark, sf_dir).select("cust", F.explode(F.expr("filter(array(struct(0 as side, if(prev is null, me, null) as node), struct(1 as side, if(next1 is null, -me, null) as node)), x -> x.node is not null)")).alias("x"))
+    return rows.select((F.col("cust") * 2 + F.col("x.side")).alias("probe_idx"), F.col("x.node").alias("node"), F.lit(0).alias("offset"))
 
 
 def noded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ from strandflow.lineage import global_rank
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, pos, name, seq): name is the whole header, seq its lines joined. Files are split between records; gzip files can't be."""
-    text = spark.read.option("lineSep", ">").text(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"))
+    """(file, pos, name, seq): name is the whole header, seq its lines joined. Records begin at lines that begin with '>'. Files are split between
+    records; gzip files can't be."""
+    text = spark.read.option("lineSep", "\n>").text(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"))
+    text = text.withColumn("value", F.when(F.col("_b") == 0, F.regexp_replace("value", "^>", "")).otherwise(F.col("value")))
     rows = text.where(F.trim("value") != "").withColumn("_p", F.monotonically_increasing_id())
     head = F.substring_index("value", "\n", 1)
     body = F.expr("substr(value, length(substring_index(value, '\n', 1)) + 1)")
@@ -20,9 +22,12 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, pos, name, seq, qual) of four-line records; whole files are read by one task each, as record starts can't be told within."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    rows = lines.groupBy("file", F.floor(F.col("i") / 4).alias("r")).agg(*[F.max(F.when(F.col("i") % 4 == n, F.col("line"))).alias(c) for n, c in ((0, "h"), (1, "seq"), (3, "qual"))])
+    """(file, pos, name, seq, qual) of four-line records. Files are split at any line: lines are numbered by one range-partitioned sort, and four make a record."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_p"))
+    lines = global_rank(lines, ["file", "_b", "_p"], "fastq-lines", "line")
+    first = lines.groupBy("file").agg(F.min("line").alias("first"))
+    lines = lines.join(F.broadcast(first), "file").withColumn("i", F.col("line") - F.col("first"))  # a row for each file
+    rows = lines.groupBy("file", F.floor(F.col("i") / 4).alias("r")).agg(*[F.max(F.when(F.col("i") % 4 == n, F.regexp_replace("value", "\r$", ""))).alias(c) for n, c in ((0, "h"), (1, "seq"), (3, "qual"))])
     rows = rows.where("h like '@%'")
     return rows.select("file", F.struct(F.lit(0).cast("long").alias("_b"), F.col("r").alias("_p")).alias("pos"), F.expr("substr(h, 2)").alias("name"), "seq", "qual")
 
@@ -93,7 +98,7 @@ def read_list(spark: SparkSession, path: str, numbers: bool = False) -> DataFram
 def read_abundances(spark: SparkSession, path: str) -> DataFrame:
     """(kmer, counts) from lines 'kmer c1 c2 ...'; lines of another width or k raise."""
     parts = F.split(F.trim("value"), " +")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.upper(parts[0]).alias("kmer"), F.expr("transform(slice(split(trim(value), ' +'), 2, 10000), x -> cast(x as bigint))").alias("counts"))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.upper(parts[0]).alias("kmer"), F.expr("transform(slice(split(trim(value), ' +'), 2, size(split(trim(value), ' +'))), x -> cast(x as bigint))").alias("counts"))
     shape = rows.agg(F.countDistinct(F.length("kmer"), F.size("counts"))).first()[0]
     if shape > 1:
         raise ValueError("k-mers or counts of different sizes")

@@ -38,5 +38,11 @@ def test_components_over_several_chunks(spark, monkeypatch):
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
 
 
+def test_components_of_texts(spark):
+    df = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y")], "a string, b string")
+    got = {r.node: r.component for r in lineage.connected_components(df, "a", "b", "test").collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
+
+
 def test_components_of_no_edges(spark):
     assert lineage.connected_components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long"), "a", "b", "test").count() == 0

@@ -114,10 +114,13 @@ def test_orf_markers(spark):
 
 
 def test_orf_sequences(spark):
-    s = spark.createDataFrame([(1, "TAAATGGAAAAAAAAAAAAAAAAAAATAA"), (2, "CCCCCC")], "seq_id int, seq string")
-    got = {(r.seq_id, r.kind, r.strand): r.orf for r in of.orf_sequences(s, 3).collect()}
-    assert got[1, "pair", "+"] == "ATGGAAAAAAAAAAAAAAAAAAATAA"[:0] + got[1, "pair", "+"] if (1, "pair", "+") in got else True
-    assert got[2, "open", "+"].startswith("CCC")
+    text = "TAA" + "ATG" + "GAA" + "AAA" * 6 + "TAA"
+    s = spark.createDataFrame([(1, text), (2, "CCCCCC")], "seq_id int, seq string")
+    got = {(r.seq_id, r.kind, r.strand, r.frame): r.orf for r in of.orf_sequences(s, 3).collect()}
+    assert got[1, "pair", "+", 0] == text[3:] and got[1, "initial stop", "+", 0] == "TAA"
+    assert sorted(r.orf for r in of.proteins(of.orf_sequences(s.where("seq_id = 1"), 9)).where("kind = 'pair'").collect()) == [text[3:]]
+    assert of.proteins(of.orf_sequences(s, 9)).where("kind = 'pair'").first().protein == "MEKKKKKK"
+    assert got[2, "open", "+", 0] == "CCCCCC" and got[2, "open", "+", 1] == "CCC" and got[2, "open", "-", 0] == "GGGGGG"
 
 
 def test_patterns(spark):
@@ -147,6 +150,45 @@ def test_read_selection(spark):
     assert ids(blacklist=spark.createDataFrame([("CCCC",)], "kmer string"), target=None) == [1]
 
 
+@pytest.mark.parametrize("k", [1, 3, 8, 31, 33])
+def test_spectrum_against_text_slices(spark, k):
+    rng = random.Random(k)
+    rows = [(rng.choice("ab"), "".join(rng.choices("ACGT" if n % 4 else "ACGTNx", k=rng.randrange(120)))) for n in range(60)] + [("a", None), ("b", ""), (None, "ACGTACGTTTACGATCAGCATCAGACGATCAGCATCAGA")]
+    for strands in (True, False):
+        want = {}
+        for s, t in rows:
+            for i in range(len(t or "") - k + 1):
+                w = t[i : i + k]
+                w = min(w, rc(w.upper())) if strands else w
+                want[s, w] = want.get((s, w), 0) + 1
+        got = km.spectrum(spark.createDataFrame(rows, "s string, seq string"), k, ["s"], both_strands=strands).collect()
+        assert {(r.s, r.kmer): r["count"] for r in got} == want and len(got) == len(want)
+
+
+def test_path_filter_on_both_strands(spark):
+    rng = random.Random(8)
+    paths = [(i, "".join(rng.choices("ACGTN" if i % 9 == 0 else "ACGT", k=rng.randrange(30)))) for i in range(80)]
+    for k in (5, 33):
+        paths = paths if k == 5 else [(i, t * 3) for i, t in paths]
+        every = {}
+        for _, t in paths:
+            for i in range(len(t) - k + 1):
+                w = min(t[i : i + k], rc(t[i : i + k]))
+                every[w] = every.get(w, 0) + 1
+        table = {w: n for w, n in every.items() if rng.random() < 0.9}
+        for least in (2, 0):
+            bad = lambda t: any(table.get(min(t[i : i + k], rc(t[i : i + k])), 0) < least for i in range(len(t) - k + 1))  # noqa: E731, B023
+            df = spark.createDataFrame([(w, [n]) for w, n in table.items()] or [("A", [1])], "kmer string, counts array<long>")
+            got = km.filter_paths(spark.createDataFrame(paths, "path_id int, seq string"), df, [least], k, both_strands=True)
+            assert sorted(r.path_id for r in got.collect()) == [i for i, t in paths if not bad(t)]
+
+
+def test_gap_probes(spark):
+    s = scaffold(spark, "AACCNNGGTTTNAAANCCCCCC")
+    got = sorted((r.gap_no, r.left, r.right) for r in sc.gap_probes(s, 3).collect())
+    assert got == [(0, "ACC", "AACC"), (2, "AAA", "GGGG")]  # the third contig is too short to be a gap's right side
+
+
 def test_path_filter(spark):
     p = spark.createDataFrame([(1, "ATAGC"), (2, "AGATC"), (3, "AT")], "path_id int, seq string")
     t = spark.createDataFrame([("ATA", [5]), ("TAG", [5]), ("AGC", [5]), ("AGA", [5])], "kmer string, counts array<long>")

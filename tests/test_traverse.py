@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 
 from helpers import graph, local, paths
@@ -66,7 +68,7 @@ def test_heights_and_path_counts(spark):
     s = spark.createDataFrame([(1,), (2,)], "node int")
     levels = tv.heights(e, s)
     assert {r.node: r.level for r in levels.collect()} == {7: 0, 6: 1, 4: 2, 5: 2, 3: 3, 1: 4, 2: 4}
-    assert tv.max_paths(e, levels, s).first()[0] == 4 and tv.min_paths(e, levels).first()[0] == 2
+    assert tv.max_paths(levels, s).first()[0] == 4 and tv.min_paths(e, levels).first()[0] == 2
 
 
 def test_cycles_have_no_level(spark):
@@ -124,3 +126,28 @@ def test_probe_lookup(spark):
 
 def test_local_graph_reads_arcs_both_ways():
     assert local("12 23").after(-3) == [-2]
+
+
+def test_unfinished_traversals_raise(spark):
+    g = graph(spark, "12 23 34 45 56")
+    s = spark.createDataFrame([(1,)], "node int")
+    for run in (
+        lambda: tv.min_distances(g.edges(), g.nodes, starts(spark, 1), rounds=2), lambda: tv.reachable(g.edges(), s, rounds=2), lambda: tv.explore(g.edges(), g.nodes, starts(spark, 1), 7, 1000, rounds=2),
+        lambda: tv.paths_between(g.edges(), g.nodes, spark.createDataFrame([(1, 1, 6)], "pair_id int, start int, stop int"), 1000, rounds=2), lambda: tv.heights(forward(spark, "12 23 34 45"), s, rounds=2),
+    ):
+        with pytest.raises(RuntimeError, match="isn't finished"):
+            run()
+
+
+def test_distances_over_many_rounds(spark, monkeypatch):
+    grown = tv._Grown
+    monkeypatch.setattr(tv, "_Grown", lambda tag: grown(tag, 3))  # tables are put together on the way
+    arcs = [(n, n + 1) for n in range(1, 12)] + [(3, 9)]
+    e = spark.createDataFrame(arcs, "src int, dst int")
+    nodes = spark.createDataFrame([(n, 10 if n != 3 else 100) for n in range(1, 13)], "node_id int, length int")
+    assert as_dict(tv.min_distances(e, nodes, starts(spark, 1))) == {1: 0, 2: 0, 3: 10} | {n: 110 + 10 * (n - 4) for n in range(4, 9)} | {n: 110 + 10 * (n - 9) for n in range(9, 13)}
+
+
+def test_counts_of_many_paths_are_decimals(spark):
+    levels = spark.createDataFrame([(1, 0, Decimal(2**70)), (2, 0, Decimal(5))], "node int, level int, ways decimal(38,0)")
+    assert tv.max_paths(levels, spark.createDataFrame([(1,)], "node int")).first()[0] == 2**70
