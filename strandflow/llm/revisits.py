@@ -5,12 +5,13 @@ are compared weakly: entity tags where the revisit has one, else the modificatio
 gets the response's headers, updated by those of its own that a not-modified answer may change.
 
 The as-of join has two levels, so no URL needs one task: rows meet by (URL, time bucket) in a window, and a
-bucket without a response before the row takes the last one of earlier buckets, found over one row a bucket.
+bucket without a response before the row takes the last one of earlier buckets, found over one row a bucket. A bucket is a day, or where
+a URL has more than ``hot`` records on a day a part of it, of a second at least.
 Payloads aren't moved; the result names the response whose payload holds.
 
 Defined results: records without URL or time are unresolved; ties in time are ordered by record id and a null id
 comes first; a revisit without validators is ``unverified``; repeated revisits are resolved one by one; an empty
-table gives no rows; columns beyond those named are ignored.
+table gives no rows; columns beyond those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,24 +19,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import bounded, written
 from .urls import CANONICAL_SQL, canonical
 
 # Fixed header names that a 304 answer may set or update
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
 
-def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400, hot: int = 200_000) -> DataFrame:
     """records: (record_id, url, ts long seconds, kind 'response' or 'revisit', etag, modified long, headers map).
 
     A row for each revisit: record_id, url_key, ts, target_id, target_ts, status (resolved, mismatch, unverified or
     missing) and headers (merged when resolved, else its own)."""
     rows = records.select(
         "record_id", canonical(F.col("url")).alias("url_key"), "ts", "kind", "etag", "modified", "headers",
-        F.floor(F.col("ts") / bucket_seconds).alias("bucket"),
+        (F.col("ts") - F.pmod("ts", F.lit(bucket_seconds))).alias("bucket"),
     )
     full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "modified", "headers"))
     rows = rows.withColumn("full", full)
     keyed = rows.where("url_key is not null and ts is not null")
+    busy = written(keyed.groupBy("url_key", "bucket").count().where(F.col("count") > hot), "w1-busy")
+    if busy.limit(1).count():  # all records of a URL and day share one width, so buckets follow each other by their begin
+        width = F.greatest(F.lit(1), F.floor(F.lit(bucket_seconds) / F.ceil(F.col("count") / hot)))
+        keyed = keyed.join(F.broadcast(busy) if bounded(busy, 1_000_000) else busy, ["url_key", "bucket"], "left")
+        keyed = keyed.withColumn("bucket", F.when(F.col("count").isNull(), F.col("bucket")).otherwise(F.col("ts") - F.pmod(F.col("ts") - F.col("bucket"), width))).drop("count")
     earlier = Window.partitionBy("url_key", "bucket").orderBy("ts", F.col("record_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     near = keyed.withColumn("found", F.last("full", ignorenulls=True).over(earlier)).where("kind = 'revisit'")
     order = F.struct(F.col("ts"), F.col("record_id"))
