@@ -10,9 +10,9 @@ attempt, and only files named in the manifest, the written table of successful a
 lost executor or a repeated task leaves orphans but never double rows. Files go to the folder named by the
 caller through pyarrow's file systems (local, HDFS, S3 or GCS paths).
 
-Encoding: the library's pre-tokenizer always cuts before a single space that stands between two characters
-that aren't white space, so such pieces are encoded once and remembered (bounded); texts with other white space
-around a space are encoded whole.
+Encoding: where the tokenizer's file says that it is a byte-level BPE (``byte_level``), the library's pre-tokenizer always cuts before a
+single space that stands between two characters that aren't white space, so such pieces are encoded once and remembered (bounded); texts
+with other white space around a space are encoded whole. With any other file all texts are encoded whole.
 
 Defined results: null and empty texts have the end id alone; repeated rows are repeated; an empty table
 writes no file and reads back no rows; very long texts run over many sequences and batches.
@@ -20,6 +20,7 @@ writes no file and reads back no rows; very long texts run over many sequences a
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -51,6 +52,17 @@ def _odd(text: str) -> bool:
 _ODD_ASCII = [c + " " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"]
 
 
+def byte_level(spec: dict) -> bool:
+    """Whether a tokenizer's file describes a byte-level BPE without a normalizer, prefix space, dropout or added tokens that take in what stands beside them."""
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    return (
+        spec.get("normalizer") is None
+        and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        and not any(t.get(k) for t in spec.get("added_tokens") or () for k in ("lstrip", "rstrip", "single_word"))
+    )
+
+
 class _Pieces(dict):
     """Ids in bytes of pieces of text, by their words; at most ``most`` are kept, none of over ``LONG`` characters, and all are dropped when that many times
     four didn't fit."""
@@ -82,6 +94,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = byte_level(json.load(f))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if max(size, end_id) < 1 << 16 else np.uint32
         self.last = np.array([end_id], self.dtype).tobytes()
@@ -119,6 +133,8 @@ class Encoder:
         return self.whole(" " + word if space else word)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_pieces:
+            return [np.frombuffer((self.whole(t) if t else b"") + self.last, self.dtype) for t in texts]
         out, spaced, bare = [], self.spaced.__getitem__, self.bare
         for t in texts:
             if not t:
