@@ -5,11 +5,12 @@ its history: the categories that are active from each moment on. A capture's hos
 up that history and take the state at or before the fetch time, so each capture is judged by the list as it was.
 
 Skew: one domain's history is one row, so a host with a third of all captures is a join that Spark may split on
-the captures' side; list events are bounded by the list's own upkeep, not by captures.
+the captures' side; parents that no list names (``com``) are dropped before that, by the list's names where they are at most
+``broadcast_rows``. List events are bounded by the list's own upkeep, not by captures.
 
 Defined results: captures without host or time match nothing and are allowed; an event at the fetch second counts; of
 events of one domain and category at one second a removal comes last; repeated events are one; empty lists allow
-everything; an empty captures table gives no rows.
+everything; an empty captures table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import bounded, written
 from .urls import HOST_SQL, host
 
 
@@ -43,9 +45,10 @@ def histories(intervals: DataFrame) -> DataFrame:
     )
 
 
-def judged(captures: DataFrame, events: DataFrame, id_col: str = "capture_id", url_col: str = "url", ts_col: str = "ts") -> DataFrame:
+def judged(captures: DataFrame, events: DataFrame, id_col: str = "capture_id", url_col: str = "url", ts_col: str = "ts", broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, ts, matched, categories, allowed) for each capture; matched and categories are comma-joined."""
-    history = histories(validity_intervals(events))
+    history = written(histories(validity_intervals(events)), "u3-histories")
+    names = history.select("domain")
     rows = captures.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(ts_col).cast("long").alias("ts"), host(F.col(url_col)).alias("host")
     )
@@ -53,6 +56,8 @@ def judged(captures: DataFrame, events: DataFrame, id_col: str = "capture_id", u
         "row", "ts",
         F.explode(F.expr("transform(sequence(1, size(split(host, '[.]'))), k -> substring_index(host, '.', -k))")).alias("domain"),
     )
+    if bounded(names, broadcast_rows):
+        parents = parents.join(F.broadcast(names), "domain", "left_semi")
     state = F.expr("element_at(filter(steps, s -> s.ts <= ts), -1)")
     hits = parents.join(history, "domain").select("row", "domain", F.when(F.expr("exists(steps, s -> s.ts <= ts)"), state).alias("state"))
     hits = hits.where("state is not null and size(state.active) > 0").groupBy("row").agg(
