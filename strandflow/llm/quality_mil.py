@@ -4,8 +4,8 @@ A document is a bag of passages. Every passage of the whole text is encoded (has
 simple statistics), a hidden layer h is learned from document labels alone, gated attention
 a ~ exp(w . (tanh(V h) * sigmoid(U h))) weighs the passages, and the weighted representation is scored.
 
-The classifier is fitted on at most ``sample`` labelled documents (all rows with a label and not held out, the first by a hash
-of their id); passages of the sample come to the driver, those of the corpus never do. Scoring is one pass over
+The classifier is fitted on at most ``sample`` labelled documents of ``sample_bytes`` bytes of text together (all rows with a label and not held
+out, the first by a hash of their id); passages of the sample come to the driver, those of the corpus never do. Scoring is one pass over
 the documents with a model of about 70 KB. Labels, language, source and id are never inputs.
 
 Defined results: null and empty texts are one passage without words and get that passage's score; documents of any
@@ -20,10 +20,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import forget, text_batches, written
 
 PASSAGE = 64
 SHAPES, WORDS, STATS = 256, 256, 8
@@ -147,8 +147,9 @@ def _passages(batches):
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(bags, pa.binary())], ["id", "y", "bag"])
 
 
-def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, seed: int) -> dict | float:
-    """The model, or a constant score where the labels don't hold both classes."""
+def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, sample_bytes: int, seed: int) -> dict | float:
+    """The model, or a constant score where the labels don't hold both classes. It is fitted on at most ``sample`` labelled documents of ``sample_bytes``
+    bytes of text together, in a seeded order; a longer one among them is passed over."""
     ids = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
         .where("y is not null and id is not null")
@@ -158,8 +159,13 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         .limit(sample)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(ids), "id").select(F.col("id").cast("long").alias("id"), "y", "text")  # ``sample`` rows at most
-    bags = sorted(rows.mapInArrow(_passages, "id long, y double, bag binary").collect())
+    rows = texts.join(F.broadcast(ids), "id").select(F.col("id").cast("long").alias("id"), "y", F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(rows.withColumn("size", F.octet_length("text")).withColumn("mix", F.xxhash64(F.lit(seed), "id", "text")).withColumn("row", F.monotonically_increasing_id()), "q7-sample")
+    fits = rows.where(F.col("size") <= sample_bytes).select("row", "size", "mix").orderBy("mix", "row").limit(sample)  # ids may have several rows
+    until = Window.orderBy("mix", "row")  # over ``sample`` rows
+    fits = fits.withColumn("until", F.sum("size").over(until)).where(F.col("until") <= sample_bytes).select("row")
+    bags = sorted(rows.join(F.broadcast(fits), "row").select("id", "y", "text").mapInArrow(_passages, "id long, y double, bag binary").collect())
+    forget(rows)
     y = np.array([r["y"] for r in bags], np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -184,12 +190,12 @@ def _scorer(model):
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    accept: float = 0.7, sample: int = 3000, seed: int = 11,
+    accept: float = 0.7, sample: int = 3000, sample_bytes: int = 1 << 24, seed: int = 11,
 ) -> DataFrame:
     """(id, held_out, score, predicted) for each document."""
     spark = docs.sparkSession
     text_batches(spark)
-    model = spark.sparkContext.broadcast(learned(docs, labels, id_col, text_col, label_col, sample, seed))
+    model = spark.sparkContext.broadcast(learned(docs, labels, id_col, text_col, label_col, sample, sample_bytes, seed))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(_scorer(model), "id long, score double")
     return scored.select(
@@ -212,12 +218,12 @@ def _keeper(model, column: int, accept: float):
 
 def accepted(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    accept: float = 0.7, sample: int = 3000, seed: int = 11,
+    accept: float = 0.7, sample: int = 3000, sample_bytes: int = 1 << 24, seed: int = 11,
 ) -> DataFrame:
     """The documents scored ``accept`` or more, all columns as they were; one pass, nothing is joined back."""
     spark = docs.sparkSession
     text_batches(spark)
-    model = spark.sparkContext.broadcast(learned(docs, labels, id_col, text_col, label_col, sample, seed))
+    model = spark.sparkContext.broadcast(learned(docs, labels, id_col, text_col, label_col, sample, sample_bytes, seed))
     return docs.mapInArrow(_keeper(model, docs.columns.index(text_col), accept), docs.schema)
 
 
