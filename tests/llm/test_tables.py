@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandflow.llm.mixing import _split, mixed
 from strandflow.llm.revisits import resolve_revisits
@@ -128,6 +129,8 @@ def test_shards(spark, docs_of, tmp_path):
     for s in ("big", "b", None):
         n = Counter(r.shard for r in got if r.source == s)
         assert max(n.values()) - min(n[k] for k in range(6)) <= 2
+    clashing = docs_of(rows).selectExpr("*", "1 AS shard", "'x' AS slot", "2 AS r", "0 AS _part", "'y' AS id", "5 AS size")
+    assert sorted(map(repr, interleaved_shards(clashing, shards=6).collect())) == sorted(map(repr, got))
     few = interleaved_shards(docs_of(rows[:4]), shards=24).collect()
     assert len({r.shard for r in few}) == 4 and {r.slot for r in few} == {0}
     assert interleaved_shards(docs_of([])).count() == 0
@@ -160,11 +163,15 @@ def test_revisits_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, f"http://h.com/{rng.randrange(4)}", rng.randrange(500_000), rng.choice(["response", "revisit"]), None, None, None) for i in range(400)]
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, modified long, headers map<string,string>")
-    got = {r.record_id: r.target_id for r in resolve_revisits(df, 3600).collect()}
-    for i, u, t, kind, *_ in rows:
-        if kind == "revisit":
-            before = [(x[2], x[0]) for x in rows if x[3] == "response" and x[1] == u and (x[2], x[0]) < (t, i)]
-            assert got[i] == (max(before)[1] if before else None)
+    clashing = df.selectExpr("*", "1 AS bucket", "'x' AS full", "2 AS count", "'y' AS url_key", "0 AS hit")
+    for got in (resolve_revisits(df, 3600), resolve_revisits(clashing, 86_400, hot=7), resolve_revisits(df.withColumn("ts", F.col("ts") % 40), 86_400, hot=3)):
+        got = {r.record_id: (r.ts, r.target_id) for r in got.collect()}
+        short = max(t for t, _ in got.values()) < 40
+        times = {r[0]: r[2] % 40 if short else r[2] for r in rows}
+        for i, u, _, kind, *_ in rows:
+            if kind == "revisit":
+                before = [(times[x[0]], x[0]) for x in rows if x[3] == "response" and x[1] == u and (times[x[0]], x[0]) < (times[i], i)]
+                assert got[i] == (times[i], max(before)[1] if before else None)
 
 
 def test_temporal_lists(spark):
@@ -179,6 +186,9 @@ def test_temporal_lists(spark):
         0: ("", "", True), 1: ("bad.com", "a", False), 2: ("bad.com,x.bad.com", "a,b", False), 3: ("x.bad.com", "b", False), 4: ("com", "z", False), 5: ("", "", True), 6: ("", "", True), 7: ("", "", True),
     }
     assert judged(spark.createDataFrame(caps, "capture_id long, url string, ts long"), ev.limit(0)).where("allowed").count() == len(caps)
+    clashing = spark.createDataFrame([(*c, "x", 1, True) for c in [*caps, caps[1]]], "capture_id long, url string, ts long, domain string, row int, allowed boolean")
+    again = judged(clashing, ev.withColumn("steps", F.lit(1)), broadcast_rows=1).collect()  # the list's names aren't broadcast
+    assert {r.capture_id: (r.matched, r.categories, r.allowed) for r in again} == got and len(again) == len(caps) + 1
 
 
 def test_pipeline_stages(spark, docs_of, tmp_path):

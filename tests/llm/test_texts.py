@@ -123,3 +123,64 @@ def test_many_line_ends_between_two_spaces():
     for t in ("x " + "\n".join(lines) + " y", "\n".join(lines[:400]) + "\n12\nab", " ".join(["a\nb", "\n".join([*lines[:400], "", "z"])]), "a\n\nb c\nd\n"):
         assert e.encode([t])[0].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [2]
     assert sum(map(len, [*e.spaced, *e.bare])) < 50_000
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = tokenizers.path("word_bpe_49k.json")
+    e = Encoder(path, 49407)
+    texts = [*ODD, "Some Words\nand LINES, 12 ab", "x y  z"]
+    assert not e.by_pieces and Encoder(PATH, 2).by_pieces
+    for t, got in zip(texts, e.encode(texts)):
+        assert got.tolist() == (e.tokenizer.encode(t, add_special_tokens=False).ids if t else []) + [49407], t
+
+
+def test_sequences_of_rows_with_other_columns(spark):
+    rows = [(2, "a b", 0, "x"), (1, None, 1, "y"), (1, "a b", 2, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, start int, file string")
+    folder = new_path(spark, "test-clashing")
+    got = sorted(tuple(r) for r in read_documents(write_sequences(docs, folder, PATH, length=4), folder).collect())
+    assert [(g[0], g[2]) for g in got] == [(1, 1), (1, 3), (2, 3)] and sorted(g[1] for g in got)[0] == 0 and max(g[1] + g[2] for g in got) == 7
+
+
+def test_secrets_against_brute_force(spark):
+    """Owners, repositories, classes and reuse over a whole corpus, with repeated rows and columns of clashing names."""
+    from strandflow.llm.secrets import BARE, base_spans, joined, live_looking
+
+    rng = random.Random(7)
+    keys = ["".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=24)) for _ in range(25)]
+    rows = []
+    for i in range(300):
+        parts = [rng.choice([f"token = {rng.choice(keys)}", f"see {rng.choice(keys)} there", "plain words 12", f'"password": "{rng.choice(keys)[:8]}"', "AKIA" + "Q7" * 9, "f" * 12 + "0123456789ab"]) for _ in range(rng.randrange(4))]
+        rows.append((i // 2 if i % 10 == 0 else i, " ".join(parts) or None, f"o{rng.randrange(6)}" if i % 7 else None))
+    rows += rows[:5]
+    owners, repos, uses = {}, {}, {}
+    for i, t, o in rows:
+        for _, _, _, v in base_spans(t or ""):
+            owners.setdefault(v, set()).add(o)
+            repos.setdefault(v, set()).add(i)
+    kind = {v: "example" if len(owners[v]) >= 3 or len(repos[v]) >= 9 else "live" if live_looking(v) else "weak" for v in owners}
+    want = []
+    for i, t, o in rows:
+        base = base_spans(t or "")
+        bare = [(m.start(), 3, m.end(), m[0]) for m in BARE.finditer(t or "") if live_looking(m[0]) and kind.get(m[0]) == "live"]
+        bare = [x for x in bare if not any(b[0] < x[2] and b[2] > x[0] for b in base)]
+        classes = [kind[v] for *_, v in [*base, *bare]]
+        want.append((i, sum(b[1] == 0 for b in base), sum(b[1] == 1 for b in base), sum(b[1] == 2 for b in base), len(bare), classes.count("live"), classes.count("example"), joined([*base, *bare])))
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, hash string, start int")
+    got = owned_secrets(docs, example_owners=3, example_repos=9).select("doc_id", "n_assign", "n_access", "n_hex", "n_reuse", "n_live", "n_example", "spans").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(w[4] for w in want) and {"example", "live", "weak"} == set(kind.values())
+
+
+def test_quality_of_long_and_repeated_rows_and_other_columns(spark):
+    rows, labels = quality_corpus()
+    rows = [(i, t, s, 0.5, "x") for i, t, s in [*rows, (2000, "alpha beta " * 60_000, "s"), (3, rows[3][1], "s"), (None, "of the", None)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, y string")  # clashing names
+    lab = spark.createDataFrame([*labels, (2000, 1)], "doc_id long, quality int")
+    got = quality_scores(docs, lab, sample_bytes=1 << 18).collect()  # the long document is passed over in fitting, and scored
+    assert len(got) == len(rows) and {r.doc_id: r for r in got}[2000].predicted == 1
+    assert len({r.score for r in got if r.doc_id == 3}) == 1 and sum(r.doc_id == 3 for r in got) == 2
+    truth = dict(labels)
+    held = [r for r in got if r.doc_id in truth and r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) >= 0.9
+    kept = accepted(docs, lab, sample_bytes=1 << 18)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
