@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import revcomp
 from strandflow.functions.trails import oriented
-from strandflow.lineage import global_rank
+from strandflow.lineage import global_rank, written
 from strandflow.operators import graph as gr
 from strandflow.operators import orfs as of
 from strandflow.operators import scaffolds as sc
 from strandflow.operators import traverse as tv
+from strandflow.operators import variants as va
 from strandflow.operators import walkers as wk
+from strandflow.operators.alignment import aligned
 from strandflow.operators.build import build_graph
 from strandflow.operators.graph import AssemblyGraph
 
@@ -81,53 +83,185 @@ def gap_paths(g: AssemblyGraph, ends: DataFrame, leash: int = 20_000, max_cycles
     return wk.per_component(g, walk, "gap_id long, path array<int>, exceeded boolean", gaps=ends)
 
 
-def gapfill(scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float = 3.5, overhang: int = 200, leash: int = 20_000, max_paths: int = 10, max_coverage: bool = False) -> DataFrame:
-    """(scaffold_idx, name, seq, filled): gaps replaced by the path between their probes where exactly one is found (or, with ``max_coverage``, by the best
-    covered one); the others keep their N."""
-    contigs = sc.break_scaffolds(scaffolds)
-    g0 = sc.gap_probes(scaffolds, overhang)
-    sides = g0.select("scaffold_idx", "gap_no", F.posexplode(F.array("left", "right")).alias("s", "seq"))
-    probes = global_rank(sides, ["scaffold_idx", "gap_no", "s"], "gap-probes").withColumn("probe_no", F.col("rank") + 1).drop("rank")
-    graph, found = probed_graph(reads, probes.select("probe_no", "seq"), k, coverage_cutoff)
-    placed = found.where("node_id is not null").join(probes.select((F.col("probe_no") - 1).alias("probe_idx"), "scaffold_idx", "gap_no", "s"), "probe_idx")
-    placed = placed.withColumn("node", oriented(F.col("node_id"), F.col("fwd"))).withColumn("gap_id", F.xxhash64("scaffold_idx", "gap_no"))
-    ends = placed.groupBy("scaffold_idx", "gap_no", "gap_id").agg(
-        F.max(F.when(F.col("s") == 0, F.col("node"))).alias("start"), F.max(F.when(F.col("s") == 1, -F.col("node"))).alias("stop"),
-        F.max(F.when(F.col("s") == 0, F.col("offset"))).alias("off1"), F.max(F.when(F.col("s") == 1, F.col("offset"))).alias("off2"),
-    ).where("start is not null and stop is not null")
-    paths = gap_paths(graph, ends.select("gap_id", "start", "stop"), leash, 1, max_paths).where("path is not null")
-    n = F.count("*").over(Window.partitionBy("gap_id"))
-    paths = paths.withColumn("n", n).withColumn("path_id", F.xxhash64("gap_id", "path"))
+def fills(g: AssemblyGraph, gaps: DataFrame, leash: int = 20_000, max_paths: int = 10, max_coverage: bool = False, max_cycles: int = 1, max_explore_nodes: int | None = None, recoherence: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What stands between two probes, (gap_id, paths, fill), and the variants that its paths imply, (gap_id, pos, type, seq, del_len), for gaps
+    (gap_id, start, stop as signed nodes, left, right): the probe before the gap and the reverse complement of the one behind it.
+
+    A gap is filled where 1 to ``max_paths`` paths are found and each holds both probes one after the other: by the only path, by the best covered
+    one with ``max_coverage``, or by the consensus of all, N where they differ and nothing where most have a gap."""
+    paths = gap_paths(g, gaps.select("gap_id", "start", "stop"), leash, max_cycles, max_paths, max_explore_nodes, recoherence).where("path is not null")
+    paths = written(paths.withColumn("path_id", F.xxhash64("gap_id", "path")), "fill-paths")
     if max_coverage:
-        best = gr.best_covered(paths, graph.nodes, "gap_id")
-        paths = paths.join(best, ["gap_id", "path_id"], "left_semi")
-    else:
-        paths = paths.where("n = 1")
-    seqs = gr.trail_sequences(paths, graph.nodes, k)
-    filled = paths.join(seqs, "path_id").join(ends, "gap_id").join(g0.select("scaffold_idx", "gap_no", F.col("left").alias("l"), F.col("right").alias("r")), ["scaffold_idx", "gap_no"])
-    # the path's sequence holds both probes: what lies between the left one's end and the right one's start fills the gap
-    between = filled.withColumn("from", F.expr("locate(l, seq)"))
-    right = revcomp(F.col("r"))
-    between = between.withColumn("upto", F.instr(F.col("seq"), right)).where("from > 0 and upto > 0")
-    fill = between.select("scaffold_idx", "gap_no", F.substr(F.col("seq"), F.col("from") + F.length("l"), F.greatest(F.col("upto") - F.col("from") - F.length("l"), F.lit(0))).alias("fill"))
-    gaps = sc.gaps(contigs).join(fill, ["scaffold_idx", "gap_no"], "left")
-    parts = contigs.select("scaffold_idx", "name", F.col("start").alias("at"), F.col("seq").alias("part"), F.lit(0).alias("filled"))
-    parts = parts.unionByName(gaps.select("scaffold_idx", "name", F.col("start").alias("at"), F.coalesce("fill", F.expr("repeat('N', cast(stop - start + 1 as int))")).alias("part"), F.col("fill").isNotNull().cast("int").alias("filled")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
-    return parts.groupBy("scaffold_idx", "name").agg(whole.alias("seq"), F.sum("filled").alias("filled"))
-
-
-def roundup(scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float = 3.5, overhang: int = 200, leash: int = 20_000, gapfill_only: bool = False, unknown_gap: int = 100, max_paths: int = 10) -> DataFrame:
-    """(header, seq): scaffolds joined by what their ends connect to, gaps filled inside; gaps between joined scaffolds are as long as the distance found."""
-    inside = gapfill(scaffolds, reads, k, coverage_cutoff, overhang, leash, max_paths)
-    if gapfill_only:
-        return inside.select(F.col("name").alias("header"), "seq")
-    members = wander(scaffolds, reads, k, coverage_cutoff, overhang, leash)["members"]
-    short = scaffolds.select(F.col("scaffold_idx").cast("long").alias("seq")).join(members.select("seq"), "seq", "left_anti")
+        paths = paths.join(gr.best_covered(paths, g.nodes, "gap_id"), ["gap_id", "path_id"], "left_semi")
+    size = gr.trail_coverage(paths, g.nodes).where(F.col("bp") >= g.k - 1).select("path_id")  # a shorter path has no sequence
+    seqs = gr.trail_sequences(paths.join(size, "path_id", "left_semi"), g.nodes, g.k)
+    rows = paths.join(seqs, "path_id", "left").join(gaps.select("gap_id", "left", "right"), "gap_id")
+    begin = F.expr("locate(left, seq) + length(left)")
+    rows = rows.withColumn("_from", F.when(F.expr("locate(left, seq) > 0"), begin)).withColumn("_to", F.expr("locate(right, seq, _from)"))
+    rows = rows.select("gap_id", "path_id", F.when(F.expr("_from is not null and _to > 0"), F.expr("substr(seq, _from, _to - _from)")).alias("fill"))
+    rows = written(rows, "fill-candidates")
+    found = rows.groupBy("gap_id").agg(F.count("*").alias("paths"), F.count("fill").alias("whole"), F.min("fill").alias("one"), F.max("fill").alias("other")).where("paths = whole")
+    same = found.where("one = other").select("gap_id", "paths", F.col("one").alias("fill"))
+    several = found.where("one != other").select("gap_id", "paths")
+    al = written(aligned(rows.join(several, "gap_id", "left_semi"), "gap_id", "path_id", "fill"), "fill-aligned")
+    agreed = va.consensus(al, "gap_id")
+    merged = several.join(agreed, "gap_id").select("gap_id", "paths", F.translate("consensus", "-", "").alias("fill"))
+    return written(same.unionByName(merged), "fills"), va.variants(agreed.withColumnRenamed("consensus", "aln"), al, "gap_id")
+
+
+def _contig_probes(scaffolds: DataFrame, reads: DataFrame, k: int, coverage_cutoff: float, overhang: int) -> tuple[DataFrame, AssemblyGraph, DataFrame]:
+    """(contigs, graph, probes): the scaffolds' contigs, the graph of the reads with probes at both ends of contigs of two overhangs or more, and the
+    probes (scaffold_idx, contig_idx, side, seq, probe_idx, node, offset, first, last) that are on a node, with whether their contig is a scaffold's first or last."""
+    contigs = written(sc.break_scaffolds(scaffolds), "contigs")
+    probes = written(sc.end_probes(sc.long_contigs(contigs, overhang), overhang), "contig-probes")
+    g, found = probed_graph(reads, probes.select("probe_no", "seq"), k, coverage_cutoff)
+    found = found.where("node_id is not null").select("probe_idx", "node_id", "fwd", oriented(F.col("node_id"), F.col("fwd")).alias("node"), F.coalesce("offset", F.lit(0)).alias("offset"))
+    ends = contigs.select("scaffold_idx", "contig_idx", (F.col("contig_idx") == 0).alias("first"), (F.col("contig_idx") + 1 == F.col("contigs")).alias("last"))
+    at = probes.withColumn("probe_idx", F.col("probe_no") - 1).drop("probe_no").join(found, "probe_idx").join(ends, ["scaffold_idx", "contig_idx"])
+    return contigs, g, written(at, "probes-found")
+
+
+def _inner_gaps(probes: DataFrame) -> DataFrame:
+    """(gap_id, scaffold_idx, contig_idx, start, stop, left, right): gaps between consecutive contigs whose probes were found; contig_idx is that before the gap."""
+    before = probes.where("side = 'end'").select("scaffold_idx", "contig_idx", F.col("node").alias("start"), F.col("seq").alias("left"))
+    behind = probes.where("side = 'start'").select("scaffold_idx", (F.col("contig_idx") - 1).alias("contig_idx"), (-F.col("node")).alias("stop"), revcomp(F.col("seq")).alias("right"))
+    return before.join(behind, ["scaffold_idx", "contig_idx"]).withColumn("gap_id", F.xxhash64(F.lit("inside"), "scaffold_idx", "contig_idx"))
+
+
+def _joined_parts(rows: DataFrame, whole: str, ord_: str, part: str) -> DataFrame:
+    """(whole, seq): the parts in order as one text."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ord_).alias("o"), F.col(part).alias("p")))), lambda x: x["p"]), "")
+    return rows.groupBy(whole).agg(text.alias("seq"))
+
+
+def filled_scaffolds(contigs: DataFrame, inner: DataFrame, found: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scaffold_idx, name, seq, filled), the variants in the scaffolds' coordinates (scaffold_idx, pos, type, seq, del_len, before: the base ahead of the fill, fill,
+    at: where the fill begins) and the filled gaps (scaffold_idx, name, start, stop: first and last N); gaps without a fill keep their N."""
+    gaps = sc.gaps(contigs).withColumn("contig_idx", F.col("gap_no")).join(inner.select("scaffold_idx", "contig_idx", "gap_id"), ["scaffold_idx", "contig_idx"], "left")
+    gaps = written(gaps.join(found.select("gap_id", "fill"), "gap_id", "left"), "gaps-filled")
+    parts = contigs.select("scaffold_idx", "name", F.col("start").alias("at"), F.col("seq").alias("part"), F.lit(None).cast("long").alias("gap_id"))
+    part = F.coalesce("fill", F.expr("repeat('N', cast(stop - start + 1 as int))"))
+    parts = parts.unionByName(gaps.select("scaffold_idx", "name", F.col("start").alias("at"), part.alias("part"), F.when(F.col("fill").isNotNull(), F.col("gap_id")).alias("gap_id")))
+    counts = parts.groupBy("scaffold_idx", "name").agg(F.count("gap_id").cast("long").alias("filled"))
+    out = _joined_parts(parts, "scaffold_idx", "at", "part").join(counts, "scaffold_idx").select("scaffold_idx", "name", "seq", "filled")
+    order = Window.partitionBy("scaffold_idx").orderBy("at")
+    places = parts.select("scaffold_idx", "gap_id", "at", F.length("part").alias("n"), F.expr("right(part, 1)").alias("tail"), F.when(F.col("gap_id").isNotNull(), F.col("part")).alias("fill"))
+    places = places.withColumn("from", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("before", F.lag("tail").over(order)).where("gap_id is not null")
+    v = variants.join(places.select("gap_id", "scaffold_idx", "from", "before", "fill"), "gap_id")
+    v = v.select("scaffold_idx", (F.col("pos") + F.col("from")).alias("pos"), "type", "seq", "del_len", "before", "fill", F.col("from").alias("at"))
+    return out, v, gaps.where("fill is not null").select("scaffold_idx", "name", "start", "stop")
+
+
+def _vcf(v: DataFrame, name: str) -> DataFrame:
+    """VCF rows of variants whose fill, with the base ahead of it, is their reference: no long sequence is cut for a row."""
+    near = v.withColumn("_ref", F.concat("before", "fill")).withColumn("pos", F.col("pos") - F.col("at") + 1).withColumn("_name", F.struct(F.col(name).alias("n"), F.col("at")))
+    rows = va.vcf_rows(near, "_name", "_ref")
+    return rows.withColumn("POS", (F.col("POS") + F.col("CHROM.at") - 1).cast("long")).withColumn("CHROM", F.col("CHROM.n"))
+
+
+def gapfill_all(scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float = 3.5, overhang: int = 200, leash: int = 20_000, max_paths: int = 10, max_coverage: bool = False, **options) -> dict[str, DataFrame]:
+    """scaffolds (scaffold_idx, name, seq, filled), their variants as VCF rows, and filled gaps (scaffold_idx, name, start, stop)."""
+    contigs, g, probes = _contig_probes(scaffolds, reads, k, coverage_cutoff, overhang)
+    inner = written(_inner_gaps(probes), "inner-gaps")
+    found, variants = fills(g, inner, leash, max_paths, max_coverage, **options)
+    out, v, gaps = filled_scaffolds(contigs, inner, found, variants)
+    names = scaffolds.select("scaffold_idx", "name")
+    return {"scaffolds": out, "variants": _vcf(v.join(names, "scaffold_idx"), "name"), "filled": gaps}
+
+
+def gapfill(scaffolds: DataFrame, reads: DataFrame, **options) -> DataFrame:
+    """(scaffold_idx, name, seq, filled): gaps replaced by what the paths between their probes agree on; the others keep their N."""
+    return gapfill_all(scaffolds, reads, **options)["scaffolds"]
+
+
+def roundup(
+    scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float = 3.5, overhang: int = 200, leash: int = 20_000, gapfill_only: bool = False, unknown_gap: int = 100,
+    max_paths: int = 10, max_coverage: bool = False, recoherence: int | None = None,
+) -> dict[str, DataFrame]:
+    """Scaffolds (genome, scaffold_idx, name, seq), ids distinct over all genomes, joined by what their ends connect to within a genome, with gaps filled inside them and
+    between them, over one graph of all:
+
+    scaffolds (genome, name, header, seq, circular), connections (seq1, side1, seq2, side2, distance), variants (VCF rows by new scaffold), filled (scaffold_idx, name, start,
+    stop) and report (genome, scaffolds, joined, filled_inside, filled_between, unconnected_ends). A join that no path fills gets ``unknown_gap`` N."""
     none = F.lit(None).cast("long")
-    members = members.unionByName(short.select(F.col("seq").alias("scaffold"), F.lit(0).alias("ord"), "seq", F.lit(True).alias("fwd"), none.alias("gap_after"), F.lit(False).alias("circular")))
-    seqs = sc.scaffold_sequences(members, inside.select(F.col("scaffold_idx").cast("long").alias("seq"), F.col("seq").alias("sequence")), unknown_gap)
-    return sc.scaffold_headers(seqs).select("header", "seq")
+    scaffolds = written(scaffolds.select("genome", F.col("scaffold_idx").cast("long").alias("scaffold_idx"), "name", "seq"), "roundup-scaffolds")
+    contigs, g, probes = _contig_probes(scaffolds, reads, k, coverage_cutoff, overhang)
+    genome = scaffolds.select("scaffold_idx", "genome")
+    tips = probes.where("(side = 'start' and first) or (side = 'end' and last)")
+    if gapfill_only:
+        c = scaffolds.sparkSession.createDataFrame([], "seq1 long, side1 string, seq2 long, side2 string, distance long")
+    else:
+        c = connections_between(g, tips, leash, recoherence).select("seq1", "side1", "seq2", "side2", "distance")
+        own = [genome.select(F.col("scaffold_idx").alias(f"seq{n}"), F.col("genome").alias(f"g{n}")) for n in (1, 2)]
+        c = sc.canonical_connections(c.join(own[0], "seq1").join(own[1], "seq2").where("g1 <=> g2")).distinct()
+    c = written(c, "roundup-connections")
+    ids = scaffolds.select(F.col("scaffold_idx").alias("seq"))
+    members = written(sc.chains(ids, c), "roundup-members")
+
+    order = Window.partitionBy("scaffold").orderBy("ord")
+    outward = lambda fwd: F.when(fwd, "end").otherwise("start")
+    joins = members.withColumn("next", F.lead("seq").over(order)).withColumn("next_fwd", F.lead("fwd").over(order)).where("next is not null")
+    joins = joins.select("scaffold", "ord", F.col("seq").alias("seq1"), outward(F.col("fwd")).alias("side1"), F.col("next").alias("seq2"), outward(~F.col("next_fwd")).alias("side2"))
+    tip = lambda n: tips.select(F.col("scaffold_idx").alias(f"seq{n}"), F.col("side").alias(f"side{n}"), F.col("node").alias(f"node{n}"), F.col("seq").alias(f"probe{n}"))
+    between = joins.join(tip(1), ["seq1", "side1"]).join(tip(2), ["seq2", "side2"]).select(
+        F.xxhash64(F.lit("between"), "scaffold", "ord").alias("gap_id"), "scaffold", "ord", F.col("node1").alias("start"), (-F.col("node2")).alias("stop"), F.col("probe1").alias("left"), revcomp(F.col("probe2")).alias("right")
+    )
+    between, inner = written(between, "roundup-between"), written(_inner_gaps(probes), "roundup-inner")
+    wanted = ["gap_id", "start", "stop", "left", "right"]
+    found, variants = fills(g, inner.select(*wanted).unionByName(between.select(*wanted)), leash, max_paths, max_coverage, recoherence=recoherence)
+    inside, v_inside, gaps = filled_scaffolds(contigs, inner, found, variants)
+    inside, gaps = written(inside, "roundup-inside"), written(gaps, "roundup-filled")
+
+    # members in order, each with what follows it: the fill of the join, or N
+    last = F.max("ord").over(Window.partitionBy("scaffold"))
+    rows = members.withColumn("last", F.col("ord") == last).join(inside.select(F.col("scaffold_idx").alias("seq"), F.col("seq").alias("s"), "name"), "seq")
+    rows = rows.join(between.select("scaffold", "ord", "gap_id").join(found.select("gap_id", "fill"), "gap_id"), ["scaffold", "ord"], "left")
+    follows = F.when(F.col("last"), "").otherwise(F.coalesce("fill", F.repeat(F.lit("N"), F.lit(unknown_gap))))
+    rows = rows.select(
+        "scaffold", "ord", "seq", "fwd", "circular", "name", "gap_id", F.col("fill").alias("filled"), F.when(F.col("fwd"), F.col("s")).otherwise(revcomp(F.col("s"))).alias("s"), follows.alias("follows")
+    )
+    rows = rows.withColumn("n", F.length("s")).withColumn("from", F.coalesce(F.sum(F.col("n") + F.length("follows")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = written(rows, "roundup-rows")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ":")
+    heads = rows.groupBy("scaffold").agg(F.first("circular").alias("circular"), names.alias("names"), F.min(F.when(F.col("ord") == 0, F.col("seq"))).alias("lead"))
+    heads = heads.join(genome.withColumnRenamed("scaffold_idx", "lead"), "lead")
+    heads = global_rank(heads.select("genome", "scaffold", "circular", "names"), ["genome", "scaffold"], "roundup-heads")
+    first = heads.groupBy(F.col("genome").alias("_g")).agg(F.min("rank").alias("first"))
+    heads = heads.join(F.broadcast(first), F.col("genome").eqNullSafe(F.col("_g"))).drop("_g")  # a row for each genome
+    heads = written(heads.withColumn("title", F.concat(F.lit("scaffold"), (F.col("rank") - F.col("first") + 1).cast("string"))), "roundup-titles")
+    text = _joined_parts(rows.withColumn("part", F.concat("s", "follows")), "scaffold", "ord", "part")
+    out = heads.join(text, "scaffold").select(
+        "genome", F.col("title").alias("name"), F.concat("title", F.when(F.col("circular"), " circular ").otherwise(" scaffold "), "names").alias("header"), "seq", "circular"
+    )
+
+    # variants: those inside turn with their scaffold and move with its place; those of joins stand behind the member before
+    place = rows.select(F.col("seq").alias("scaffold_idx"), "scaffold", "fwd", "n", "from")
+    turned = F.expr("case when type = 'DELETION' then del_len when type = 'SWAP' then length(seq) else 0 end")
+    v1 = v_inside.join(place, "scaffold_idx")
+    v1 = v1.select(
+        "scaffold", (F.when(F.col("fwd"), F.col("pos")).otherwise(F.col("n") - F.col("pos") - turned) + F.col("from")).alias("pos"), "type",
+        F.when(F.col("fwd"), F.col("seq")).otherwise(revcomp(F.col("seq"))).alias("seq"), "del_len",
+    )
+    ends = rows.where("filled is not null").select("gap_id", "scaffold", (F.col("from") + F.col("n")).alias("at"))
+    v2 = variants.join(ends, "gap_id").select("scaffold", (F.col("pos") + F.col("at")).alias("pos"), "type", "seq", "del_len")
+    v = v1.unionByName(v2).join(heads.select("scaffold", "title", "genome"), "scaffold").join(text.withColumnRenamed("seq", "_text"), "scaffold")
+    # a short piece of the new scaffold around each variant is its reference
+    v = v.withColumn("at", F.greatest(F.col("pos") - 1, F.lit(0))).withColumn("_piece", F.expr("substr(_text, at + 1, 2 + coalesce(length(seq), 0) + coalesce(del_len, 0))"))
+    v = v.withColumn("pos", F.col("pos") - F.col("at")).withColumn("_name", F.struct("title", "at", "genome"))
+    vcf = va.vcf_rows(v, "_name", "_piece")
+    vcf = vcf.select(F.col("CHROM.genome").alias("genome"), F.col("CHROM.title").alias("CHROM"), (F.col("POS") + F.col("CHROM.at")).cast("long").alias("POS"), "ID", "REF", "ALT", "QUAL", "FILTER", "INFO")
+
+    count = lambda df, name: df.groupBy("genome").agg(F.count("*").alias(name))
+    per = [
+        count(scaffolds, "scaffolds"), count(heads, "joined"), count(gaps.join(genome, "scaffold_idx"), "filled_inside"),
+        count(rows.where("filled is not null").join(heads.select("scaffold", "genome"), "scaffold"), "filled_between"),
+        count(sc.unconnected_ends(ids, c).join(genome.withColumnRenamed("scaffold_idx", "seq"), "seq"), "unconnected_ends"),
+    ]
+    report = per[0]
+    for p in per[1:]:
+        report = report.join(p, "genome", "left")
+    report = report.select("genome", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("scaffolds", "joined", "filled_inside", "filled_between", "unconnected_ends")])
+    return {"scaffolds": out, "connections": c, "variants": vcf, "filled": gaps, "report": report}
 
 
 def explore_ends(scaffolds: DataFrame, reads: DataFrame, ends: DataFrame | None = None, k: int = 51, coverage_cutoff: float = 3.5, overhang: int = 200, leash: int = 20_000) -> DataFrame:
