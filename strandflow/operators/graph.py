@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.trails import oriented
@@ -57,6 +57,17 @@ def coverage_filter(graph: AssemblyGraph, threshold: float, whitelist: DataFrame
     return keep_nodes(graph, kept)
 
 
+def removed_by_coverage(graph: AssemblyGraph, threshold: float, whitelist: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, arcs) that ``coverage_filter`` takes away: nodes of too little coverage, and arcs that lose an end."""
+    kept = coverage_filter(graph, threshold, whitelist)
+    return graph.nodes.join(kept.nodes.select("node_id"), "node_id", "left_anti"), graph.arcs.join(kept.arcs, ["begin_id", "begin_fwd", "end_id", "end_fwd"], "left_anti")
+
+
+def adjusted_position(offset: Column, length: Column, fwd: Column) -> Column:
+    """Where a read begins on its node, from the node's start: reads of the other strand count from the end."""
+    return F.when(fwd, offset).otherwise(length - offset)
+
+
 def find_probes(noded_reads: DataFrame, probes: DataFrame, target_nodes: DataFrame | None = None) -> DataFrame:
     """(probe_idx, read_id, node_id, fwd, offset, start_coord): each probe read's node, the one where the read starts earliest; ties go
     to the smaller node; null where the read is on no node. ``target_nodes`` restricts the nodes looked at."""
@@ -121,6 +132,14 @@ def unique_node_by_kmers(nodes: DataFrame, kmers: DataFrame) -> DataFrame:
     return one.groupBy().agg(F.min(F.struct("ord", "node_id", "fwd")).alias("b")).where("b is not null").select("b.*")
 
 
+def nodes_by_kmers(nodes: DataFrame, kmers: DataFrame) -> DataFrame:
+    """(node_id): the node of the first k-mer (ord, kmer) that only one node has, on either strand; where there is none, all nodes of the last k-mer that any has."""
+    hits = nodes_with_kmers(nodes, kmers).select("ord", "node_id").distinct()
+    counts = hits.groupBy("ord").agg(F.count("*").alias("n"))
+    chosen = counts.agg(F.coalesce(F.min(F.when(F.col("n") == 1, F.col("ord"))), F.max("ord")).alias("ord"))  # one row
+    return hits.join(F.broadcast(chosen), "ord", "left_semi").select("node_id")
+
+
 def trail_sequences(paths: DataFrame, nodes: DataFrame, k: int, path_id: str = "path_id", path: str = "path") -> DataFrame:
     """(path_id, seq): the k-1 bases before the first node's k-mers, from the other strand, and then every node's bases.
     Raises where the path is shorter than k-1; an empty path has an empty sequence."""

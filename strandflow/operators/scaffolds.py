@@ -217,3 +217,13 @@ def probe_pairs(probes: DataFrame) -> DataFrame:
 def scaffold_end_probes(probes: DataFrame) -> DataFrame:
     """(scaffold_idx, first_probe, last_probe)."""
     return probes.groupBy("scaffold_idx").agg(F.min("probe_no").alias("first_probe"), F.max("probe_no").alias("last_probe"))
+
+
+def gap_lengths(contigs: DataFrame) -> DataFrame:
+    """(scaffold_idx, gap_no, length): how many N stand between consecutive contigs."""
+    return gaps(contigs).select("scaffold_idx", "gap_no", (F.col("stop") - F.col("start") + 1).alias("length"))
+
+
+def end_names(probes: DataFrame, names: DataFrame) -> DataFrame:
+    """``end_name`` of probes (scaffold_idx, contig_idx, side): 'name 2 end', the scaffold's name, the contig's number from 1 and the side."""
+    return probes.join(names.select("scaffold_idx", "name"), "scaffold_idx").withColumn("end_name", F.concat_ws(" ", "name", (F.col("contig_idx") + 1).cast("string"), "side"))

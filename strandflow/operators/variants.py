@@ -68,3 +68,20 @@ def vcf_rows(v: DataFrame, name: str, ref_seq: str) -> DataFrame:
         F.col(name).alias("CHROM"), pos.cast("int").alias("POS"), F.lit(".").alias("ID"), ref.alias("REF"), alt.alias("ALT"), F.lit("20").alias("QUAL"),
         F.lit("PASS").alias("FILTER"), F.lit("strandflow").alias("INFO"),
     )
+
+
+def vcf_rows_over(v: DataFrame, references: DataFrame, name: str, ref_seq: str, piece: int = 1024) -> DataFrame:
+    """``vcf_rows`` where references (name, ref_seq) are long: variants meet the pieces of them that they touch, never a whole one."""
+    n = F.length(ref_seq)
+    cuts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / piece))).otherwise(F.array().cast("array<bigint>"))
+    pieces = references.select(F.col(name).alias("_n"), ref_seq, F.explode(cuts).alias("_no")).select("_n", "_no", F.expr(f"substr({ref_seq}, cast(_no * {piece} + 1 as int), {piece})").alias("_piece"))
+    first = F.floor(F.greatest(F.col("pos") - 1, F.lit(0)) / piece)
+    last = F.floor((F.col("pos") + F.greatest(F.coalesce("del_len", F.lit(0)), F.coalesce(F.length("seq"), F.lit(0)))) / piece)
+    rows = v.withColumn("_key", F.struct(name, "pos", "type", "seq", "del_len")).select("_key", F.col(name).alias("_n"), first.alias("_first"), F.explode(F.sequence(first, last)).alias("_no"))
+    near = rows.join(pieces, ["_n", "_no"], "left").groupBy("_key").agg(
+        F.min("_first").alias("_first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", F.coalesce("_piece", F.lit("")).alias("p")))), lambda x: x["p"]), "").alias("_ref")
+    )
+    near = near.select("_key.*", "_ref", (F.col("_first") * piece).alias("_begin"))
+    near = near.withColumn("pos", F.col("pos") - F.col("_begin")).withColumn("_named", F.struct(F.col(name).alias("n"), F.col("_begin").alias("b")))
+    out = vcf_rows(near, "_named", "_ref")
+    return out.withColumn("POS", (F.col("POS") + F.col("CHROM.b")).cast("int")).withColumn("CHROM", F.col("CHROM.n"))

@@ -1,11 +1,13 @@
 """Walks whose result depends on their order: plain Python over one component or one probe's surroundings at a time.
 
-``per_component`` ships each connected part of the graph to one task; the walkers below see it as a LocalGraph.
+``per_component`` ships each connected part of the graph to one task; the walkers below see it as a LocalGraph. Where a part is too large for that and the
+walk has a leash, ``per_start`` ships to each start only what lies within its leash.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -14,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.lineage import connected_components
+from strandflow.lineage import connected_components, written
 from strandflow.operators.graph import AssemblyGraph
+from strandflow.operators.traverse import min_distances
 
 
 @dataclass
@@ -29,6 +32,11 @@ class LocalGraph:
     reads: dict[int, set[int]] = field(default_factory=dict)
     probes: dict[int, tuple[int, int]] = field(default_factory=dict)  # (signed node, offset) by probe
     gaps: dict[int, tuple[int, int]] = field(default_factory=dict)  # (start, stop) as signed nodes, by gap
+    own: int | None = None  # the probe whose surroundings these are, where they are one's
+
+    def asked(self) -> list[int]:
+        """The probes to start from, in order."""
+        return sorted(self.probes) if self.own is None else [self.own]
 
     @classmethod
     def of(cls, k: int, nodes, arcs, reads=()) -> LocalGraph:
@@ -145,8 +153,25 @@ def paths_between(
     return PathSet(found, circular, False, explored)
 
 
-def wander(g: LocalGraph, probes: list[int], leash: int, recoherence: int | None = None, min_reads: int = 1) -> dict[tuple[int, int], int]:
-    """{(i, j): distance} for i <= j: the least bases entered from probe i's node until probe j's is entered from the other side. Read support is
+def walks(g: LocalGraph, start: int, leash: int | None = None, max_cycles: int = 1, max_paths: int | None = 2196) -> PathSet:
+    """All walks from start, each until it ends, is longer than the leash or could only repeat a cycle more than ``max_cycles`` times. Beyond the cap the set is empty."""
+    found, circular, explored, stack = [], False, 0, [[start]]
+    while stack:
+        path = stack.pop()
+        explored += 1
+        nexts = [] if leash is not None and g.bp(path) > leash else g.after(path[-1])
+        circular |= any(n in path for n in nexts)
+        nexts = [n for n in nexts if n not in path or max(cycle_counts([*path, n]).values()) <= max_cycles]
+        if not nexts:
+            found.append(path)
+            if max_paths is not None and len(found) > max_paths:
+                return PathSet([], circular, True, explored)
+        stack += [[*path, n] for n in reversed(nexts)]
+    return PathSet(found, circular, False, explored)
+
+
+def wander(g: LocalGraph, probes: list[int], leash: int, recoherence: int | None = None, min_reads: int = 1, only: list[int] | None = None) -> dict[tuple[int, int], int]:
+    """{(i, j): distance} for i <= j (and i in ``only``): the least bases entered from probe i's node until probe j's is entered from the other side. Read support is
     asked for at forks only; states are the tails it depends on."""
     goals = defaultdict(list)
     for j, p in enumerate(probes):
@@ -161,6 +186,8 @@ def wander(g: LocalGraph, probes: list[int], leash: int, recoherence: int | None
         return tuple(path[at:])
 
     for i, start in enumerate(probes):
+        if only is not None and i not in only:
+            continue
         queue, done = [(0, (start,))], set()
         while queue:
             dist, path = heapq.heappop(queue)
@@ -346,8 +373,19 @@ class MetaPath:
         return MetaPath(parts, self.fate)
 
     def shorthand(self) -> str:
-        one = lambda n: f"{abs(n)}{'s' if n > 0 else 'e'}"
-        return ",".join("{" + "|".join(",".join(map(one, q)) for q in p.paths()) + "}" if isinstance(p, Bubble) else one(p) for p in self.parts)
+        return ",".join("{" + "|".join(map(_trail, p.paths())) + "}" if isinstance(p, Bubble) else _trail([p]) for p in self.parts)
+
+    def nested(self, g: LocalGraph) -> list[dict]:
+        """The parts with their coverages: regular nodes, and bubbles with each of their paths."""
+        of = lambda q: MetaPath(q).coverage(g) if q else None
+        return [
+            {"type": "bubble", "paths": [{"nodes": _trail(q), "coverage": of(q)} for q in p.paths()]} if isinstance(p, Bubble) else {"type": "regular", "node": _trail([p]), "coverage": g.coverage[abs(p)]}
+            for p in self.parts
+        ]
+
+
+def _trail(path: list[int]) -> str:
+    return ",".join(f"{abs(n)}{'s' if n > 0 else 'e'}" for n in path)
 
 
 def _reached(after: dict[int, list[int]], starts: list[int], gone: int | None = None) -> set[int]:
@@ -477,53 +515,79 @@ def depth_first(g: LocalGraph, start: int, visit: Callable[[list[int]], bool]) -
             stack += [trail + [n] for n in reversed(g.after(trail[-1])) if n not in seen]
 
 
-def per_component(
-    graph: AssemblyGraph, walk: Callable[[LocalGraph], pd.DataFrame], schema: str, probes: DataFrame | None = None, gaps: DataFrame | None = None
-) -> DataFrame:
-    """``walk`` over each connected part of the graph, one task's work each; results are united. Probes (probe_idx, node, offset) and gaps (gap_id, start,
-    stop) travel with the part that holds their (first) node."""
-    edges = graph.edges()
-    comps = connected_components(edges.select(F.abs("src").alias("a"), F.abs("dst").alias("b")), "a", "b", "walk")
-    named = graph.nodes.join(comps.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
-    by_node = named.select(F.col("node_id"), "component")
-
-    def placed(df: DataFrame, node, kind: int, a: str, b: str, c=None) -> DataFrame:
-        value = F.lit(None).cast("double") if c is None else F.col(c).cast("double")
-        joined = df.join(by_node.withColumnRenamed("node_id", "_id"), F.abs(node) == F.col("_id"))
-        return joined.select("component", F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), value.alias("c"))
-
-    rows = named.select("component", F.lit(0).alias("kind"), F.col("node_id").cast("long").alias("a"), F.col("length").cast("long").alias("b"), (F.col("cov_sum") / F.col("length")).alias("c"))
-    rows = rows.unionByName(placed(edges, "src", 1, "src", "dst"))
-    if graph.noded_reads is not None:
-        rows = rows.unionByName(placed(graph.noded_reads, "node_id", 2, "node_id", "read_id"))
+def _local_rows(names: str, nodes: DataFrame, edges: DataFrame, reads: DataFrame | None, probes: DataFrame | None, gaps: DataFrame | None) -> DataFrame:
+    """One table (group, kind, a, b, c) of what each group's LocalGraph holds, from tables that have the group's column ``names``."""
+    none = F.lit(None).cast("double")
+    row = lambda df, kind, a, b, c=none: df.select(F.col(names).cast("long").alias("group"), F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), c.cast("double").alias("c"))
+    col = F.col
+    rows = row(nodes, 0, col("node_id"), col("length"), col("cov_sum") / col("length")).unionByName(row(edges, 1, col("src"), col("dst")))
+    if reads is not None:
+        rows = rows.unionByName(row(reads, 2, col("node_id"), col("read_id")))
     if probes is not None:
-        rows = rows.unionByName(placed(probes, "node", 3, "probe_idx", "node", "offset"))
+        rows = rows.unionByName(row(probes, 3, col("probe_idx"), col("node"), col("offset")))
     if gaps is not None:
-        rows = rows.unionByName(placed(gaps, "start", 4, "gap_id", "start", "stop"))
-    k = graph.k
+        rows = rows.unionByName(row(gaps, 4, col("gap_id"), col("start"), col("stop")))
+    return rows
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _walked(rows: DataFrame, k: int, walk: Callable[[LocalGraph], pd.DataFrame], schema: str, by_start: bool) -> DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = {kind: x for kind, x in pdf.groupby("kind")}
         pairs = lambda kind: list(zip(part[kind].a.astype(int), part[kind].b.astype(int))) if kind in part else []
         both = lambda kind: {a: (b, int(c)) for a, b, c in zip(part[kind].a.astype(int), part[kind].b.astype(int), part[kind].c)} if kind in part else {}
-        nodes = list(zip(part[0].a.astype(int), part[0].b.astype(int), part[0].c))
+        nodes = list(zip(part[0].a.astype(int), part[0].b.astype(int), part[0].c)) if 0 in part else []
         g = LocalGraph.of(k, nodes, pairs(1), pairs(2))
         g.probes, g.gaps = both(3), both(4)
+        g.own = int(key[0]) if by_start else None
         return walk(g)
 
-    return rows.groupBy("component").applyInPandas(run, schema)
+    return rows.groupBy("group").applyInPandas(run, schema)
+
+
+def per_component(
+    graph: AssemblyGraph, walk: Callable[[LocalGraph], pd.DataFrame], schema: str, probes: DataFrame | None = None, gaps: DataFrame | None = None,
+    leash: int | None = None, largest: int = 100_000,
+) -> DataFrame:
+    """``walk`` over each connected part of the graph, one task's work each; results are united. Probes (probe_idx, node, offset) and gaps (gap_id, start,
+    stop) travel with the part that holds their (first) node. Where a part has more than ``largest`` nodes and the walk goes no further than ``leash`` from a probe
+    or a gap's start, each is walked over its own surroundings instead."""
+    edges = graph.edges()
+    comps = connected_components(edges.select(F.abs("src").alias("a"), F.abs("dst").alias("b")), "a", "b", "walk")
+    named = graph.nodes.join(comps.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
+    named = written(named, "walk-parts")
+    if leash is not None and named.groupBy("component").count().where(F.col("count") > largest).limit(1).count():
+        return per_start(graph, walk, schema, leash, probes, gaps)
+    by_node = named.select(F.col("node_id").alias("_id"), "component")
+    of = lambda df, node: None if df is None else df.join(by_node, F.abs(node) == F.col("_id"))
+    return _walked(_local_rows("component", named, of(edges, "src"), of(graph.noded_reads, "node_id"), of(probes, "node"), of(gaps, "start")), graph.k, walk, schema, False)
+
+
+def per_start(graph: AssemblyGraph, walk: Callable[[LocalGraph], pd.DataFrame], schema: str, leash: int, probes: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+    """``walk`` over the surroundings of each probe or gap: all that is within the leash ahead of its node, and the probes there."""
+    edges = written(graph.edges(), "start-edges")
+    own = gaps.select(F.col("gap_id").alias("source"), "start") if gaps is not None else probes.select(F.col("probe_idx").alias("source"), F.col("node").alias("start"))
+    near = written(min_distances(edges, graph.nodes, own, leash).select(F.col("source").alias("around"), F.col("node").alias("_at")), "start-near")
+    ids = near.select("around", F.abs("_at").alias("_id")).distinct()
+    inner = near.join(edges, F.col("_at") == F.col("src")).select("around", "src", "dst").join(near.withColumnRenamed("_at", "dst"), ["around", "dst"], "left_semi")
+    of = lambda df, node: None if df is None else df.join(ids, F.abs(node) == F.col("_id"))
+    there = None if gaps is None else gaps.withColumn("around", F.col("gap_id"))
+    return _walked(_local_rows("around", of(graph.nodes, "node_id"), inner, of(graph.noded_reads, "node_id"), of(probes, "node"), there), graph.k, walk, schema, True)
+
 
+def assembled(graph: AssemblyGraph, opts: AssembleOptions = AssembleOptions(), bubbly: bool = False, starts: DataFrame | None = None) -> DataFrame:
+    """(path, fate, shorthand, nested, coverage): contigs of the whole graph, or those walked from ``starts`` (start_id, node) alone; with ``bubbly`` through bubbles,
+    of which ``path`` takes the best covered way and ``nested``, a JSON text, has all."""
 
-def assembled(graph: AssemblyGraph, opts: AssembleOptions = AssembleOptions(), bubbly: bool = False) -> DataFrame:
-    """(path, fate, coverage): contigs of the whole graph; with ``bubbly`` as reference trails of meta-paths in ``shorthand``."""
+    alone = starts is not None
 
     def walk(g: LocalGraph) -> pd.DataFrame:
-        rows = []
+        trails = [[node] for _, (node, _) in sorted(g.probes.items())]
         if bubbly:
-            rows = [(m.reference(), m.fate, m.shorthand()) for m in assemble_all_bubbly(g, opts)]
+            found = [assemble_bubbly(g, t, opts) for t in trails] if alone else assemble_all_bubbly(g, opts)
         else:
-            rows = [(p, "end", ",".join(f"{abs(n)}{'s' if n > 0 else 'e'}" for n in p)) for p in assemble_all(g, opts)]
-        mean = lambda p: sum(g.coverage[abs(n)] * g.length[abs(n)] for n in p) / sum(g.length[abs(n)] for n in p)
-        return pd.DataFrame([(p, f, s, mean(p)) for p, f, s in rows], columns=["path", "fate", "shorthand", "coverage"])
+            found = (MetaPath(p, "end") for p in ([assemble_from(g, t, opts) for t in trails] if alone else assemble_all(g, opts)))
+        rows = [(m.reference(), m.fate, m.shorthand(), json.dumps(m.nested(g)), m.coverage(g)) for m in found]
+        return pd.DataFrame(rows, columns=["path", "fate", "shorthand", "nested", "coverage"])
 
-    return per_component(graph, walk, "path array<int>, fate string, shorthand string, coverage double")
+    probes = None if starts is None else starts.select(F.col("start_id").alias("probe_idx"), "node", F.lit(0).alias("offset"))
+    return per_component(graph, walk, "path array<int>, fate string, shorthand string, nested string, coverage double", probes=probes)

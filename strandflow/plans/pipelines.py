@@ -20,11 +20,14 @@ from strandflow.operators.build import build_graph
 from strandflow.operators.graph import AssemblyGraph
 
 
-def probed_graph(reads: DataFrame, probes: DataFrame, k: int = 51, coverage_cutoff: float = 3.5) -> tuple[AssemblyGraph, DataFrame]:
-    """(graph, found): the graph of reads (read_id, seq) and probes (probe_no, seq), and each probe's node; reads' ids follow the probes'."""
+def probed_graph(reads: DataFrame, probes: DataFrame, k: int = 51, coverage_cutoff: float = 3.5, post_assembly_coverage_cutoff: float | None = None) -> tuple[AssemblyGraph, DataFrame]:
+    """(graph, found): the graph of reads (read_id, seq) and probes (probe_no, seq), and each probe's node; reads' ids follow the probes'. A cutoff after the
+    assembly takes away nodes of less coverage, but not those that hold a probe."""
     n = probes.count()
     p = probes.select(F.col("probe_no").cast("long").alias("read_id"), "seq")
     g = build_graph(reads.select((F.col("read_id") + n + 1).cast("long").alias("read_id"), "seq"), k, coverage_cutoff, p)
+    if post_assembly_coverage_cutoff is not None:
+        g = gr.coverage_filter(g, post_assembly_coverage_cutoff, p)
     found = gr.find_probes(g.noded_reads, p.select((F.col("read_id") - 1).alias("probe_idx"), "read_id"))
     return g, found
 
@@ -43,7 +46,7 @@ def wander(scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff:
     return {"connections": c, "members": members}
 
 
-def connections_between(g: AssemblyGraph, probes: DataFrame, leash: int, recoherence: int | None = None) -> DataFrame:
+def connections_between(g: AssemblyGraph, probes: DataFrame, leash: int, recoherence: int | None = None, largest: int = 100_000) -> DataFrame:
     """(seq1, side1, seq2, side2, distance) for probes (probe_idx, node_id, fwd, offset, scaffold_idx, side): each connected part of the graph is walked by one
     task; bases of a probe's node that its read doesn't reach are added on both sides, k taken off."""
     at = probes.select("probe_idx", oriented(F.col("node_id"), F.col("fwd")).alias("node"), F.coalesce("offset", F.lit(0)).alias("offset"))
@@ -51,11 +54,11 @@ def connections_between(g: AssemblyGraph, probes: DataFrame, leash: int, recoher
 
     def walk(lg: wk.LocalGraph) -> pd.DataFrame:
         mine = sorted(lg.probes)
-        near = wk.wander(lg, [lg.probes[p][0] for p in mine], leash, recoherence)
-        facing = {}
+        near = wk.wander(lg, [lg.probes[p][0] for p in mine], leash, recoherence, only=[mine.index(p) for p in lg.asked()])
+        facing, asked = {}, set(lg.asked())
         for i, p in enumerate(mine):  # two probes that face each other on one node
             node, off = lg.probes[p]
-            near.update({(j, i): 0 for j in facing.get(-node, ()) if lg.probes[mine[j]][1] + off <= lg.length[abs(node)]})
+            near.update({(j, i): 0 for j in facing.get(-node, ()) if mine[j] in asked and lg.probes[mine[j]][1] + off <= lg.length[abs(node)]})
             facing.setdefault(node, []).append(i)
         out = []
         for (i, j), d in near.items():
@@ -65,12 +68,12 @@ def connections_between(g: AssemblyGraph, probes: DataFrame, leash: int, recoher
                 out.append((mine[i], mine[j], int(total)))
         return pd.DataFrame(out, columns=["p1", "p2", "distance"])
 
-    found = wk.per_component(g, walk, "p1 long, p2 long, distance long", probes=at)
+    found = wk.per_component(g, walk, "p1 long, p2 long, distance long", probes=at, leash=leash, largest=largest)
     side = lambda n: probes.select(F.col("probe_idx").alias(f"p{n}"), F.col("scaffold_idx").cast("long").alias(f"seq{n}"), F.col("side").alias(f"side{n}"))
     return found.join(side(1), "p1").join(side(2), "p2")
 
 
-def gap_paths(g: AssemblyGraph, ends: DataFrame, leash: int = 20_000, max_cycles: int = 1, max_paths: int | None = 2196, max_explore_nodes: int | None = None, recoherence: int | None = None) -> DataFrame:
+def gap_paths(g: AssemblyGraph, ends: DataFrame, leash: int = 20_000, max_cycles: int = 1, max_paths: int | None = 2196, max_explore_nodes: int | None = None, recoherence: int | None = None, largest: int = 100_000) -> DataFrame:
     """(gap_id, path, exceeded) for ends (gap_id, start, stop) as signed nodes; a gap beyond a cap has one row without a path."""
     def walk(lg: wk.LocalGraph) -> pd.DataFrame:
         out = []
@@ -80,7 +83,7 @@ def gap_paths(g: AssemblyGraph, ends: DataFrame, leash: int = 20_000, max_cycles
                 out += [(gap, p, False) for p in s.paths] or ([(gap, None, True)] if s.max_path_limit_exceeded else [])
         return pd.DataFrame(out, columns=["gap_id", "path", "exceeded"])
 
-    return wk.per_component(g, walk, "gap_id long, path array<int>, exceeded boolean", gaps=ends)
+    return wk.per_component(g, walk, "gap_id long, path array<int>, exceeded boolean", gaps=ends, leash=leash, largest=largest)
 
 
 def fills(g: AssemblyGraph, gaps: DataFrame, leash: int = 20_000, max_paths: int = 10, max_coverage: bool = False, max_cycles: int = 1, max_explore_nodes: int | None = None, recoherence: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -290,17 +293,28 @@ def fluff(seqs: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float
 
     def walk(lg: wk.LocalGraph) -> pd.DataFrame:
         mine = sorted(lg.probes)
-        rows = [(p, path, fate) for p, found in zip(mine, wk.fluff(lg, [lg.probes[p][0] for p in mine], leash)) for path, fate in found]
+        rows = [(p, path, fate) for p, found in zip(mine, wk.fluff(lg, [lg.probes[p][0] for p in mine], leash)) if p in lg.asked() for path, fate in found]
         return pd.DataFrame(rows, columns=["probe_idx", "path", "fate"])
 
-    return wk.per_component(g, walk, "probe_idx long, path array<int>, fate string", probes=at)
+    return wk.per_component(g, walk, "probe_idx long, path array<int>, fate string", probes=at, leash=leash)
 
 
-def assemble(g: AssemblyGraph, opts: wk.AssembleOptions = wk.AssembleOptions(), bubbly: bool = False) -> DataFrame:
-    """(name, path, shorthand, fate, coverage, seq): contigs of a graph."""
-    paths = wk.assembled(g, opts, bubbly).withColumn("path_id", F.xxhash64("path"))
+def assemble(g: AssemblyGraph, opts: wk.AssembleOptions = wk.AssembleOptions(), bubbly: bool = False, starts: DataFrame | None = None) -> DataFrame:
+    """(name, path, shorthand, nested, fate, coverage, seq): contigs of a graph, or from ``starts`` (start_id, node) alone."""
+    paths = wk.assembled(g, opts, bubbly, starts).withColumn("path_id", F.xxhash64("path"))
     seqs = gr.trail_sequences(paths, g.nodes, g.k)
-    return paths.join(seqs, "path_id").select(F.concat(F.lit("contig_"), F.abs(F.col("path")[0]).cast("string")).alias("name"), "path", "shorthand", "fate", "coverage", "seq")
+    return paths.join(seqs, "path_id").select(F.concat(F.lit("contig_"), F.abs(F.col("path")[0]).cast("string")).alias("name"), "path", "shorthand", "nested", "fate", "coverage", "seq")
+
+
+def chosen_ends(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(name, side) of ends written as a scaffold's name and 's' or 'e', or as a name alone for both; texts (column text) that fit no scaffold (column name) raise."""
+    side = F.when(F.col("text") == F.col("name"), F.array(F.lit("start"), F.lit("end"))).when(F.col("text") == F.concat("name", F.lit("s")), F.array(F.lit("start")))
+    side = side.when(F.col("text") == F.concat("name", F.lit("e")), F.array(F.lit("end")))
+    keys = names.select("name", F.explode(F.array("name", F.concat("name", F.lit("s")), F.concat("name", F.lit("e")))).alias("text"))
+    rows = texts.select("text").distinct().join(keys, "text", "left")
+    unknown = F.raise_error(F.concat(F.lit("no scaffold end is named "), F.col("text"))).cast("string")
+    rows = rows.select(F.when(F.col("name").isNull(), unknown).otherwise(F.col("name")).alias("name"), F.explode_outer(side).alias("side"))
+    return rows.distinct()
 
 
 def sequence(g: AssemblyGraph, paths: DataFrame) -> DataFrame:
@@ -320,15 +334,31 @@ def count_paths(g: AssemblyGraph, starts: DataFrame | None = None) -> DataFrame:
     return tv.min_paths(edges, levels).crossJoin(F.broadcast(tv.max_paths(levels, starts)))  # one row each
 
 
-def find_orfs(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, min_length: int = 96) -> DataFrame:
-    """(name, orf, protein): reading frames over all acyclic paths from starts (source, start)."""
-    paths = tv.explore(g.edges(), g.nodes, starts, g.k, leash).withColumn("path_id", F.xxhash64("source", "path"))
-    seqs = gr.trail_sequences(paths, g.nodes, g.k)
+def find_orfs(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, min_length: int = 96, max_cycles: int = 1, max_paths: int | None = 2196) -> DataFrame:
+    """(name, orf, protein): reading frames over all walks from starts (source, start) that go round no cycle more than ``max_cycles`` times; a start with more than
+    ``max_paths`` walks gives none."""
+    probes = starts.select(F.monotonically_increasing_id().alias("probe_idx"), F.col("start").alias("node"), F.lit(0).alias("offset"))
+
+    def walk(lg: wk.LocalGraph) -> pd.DataFrame:
+        rows = [(p, path) for p in lg.asked() for path in wk.walks(lg, lg.probes[p][0], leash, max_cycles, max_paths).paths]
+        return pd.DataFrame(rows, columns=["source", "path"])
+
+    paths = written(wk.per_component(g, walk, "source long, path array<int>", probes=written(probes, "orf-starts"), leash=leash), "orf-walks").withColumn("path_id", F.xxhash64("source", "path"))
+    long = gr.trail_coverage(paths, g.nodes).where(F.col("bp") >= g.k - 1).select("path_id")
+    seqs = gr.trail_sequences(paths.join(long, "path_id", "left_semi"), g.nodes, g.k)
     found = of.proteins(of.orf_sequences(seqs, min_length, "path_id"))
-    distinct = found.groupBy("orf", "protein").agg(F.min("path_id").alias("path_id"))
+    distinct = found.select("orf", "protein").distinct()
     return global_rank(distinct, ["orf"], "orfs").select(F.concat(F.lit("orf_"), (F.col("rank") + 1).cast("string")).alias("name"), "orf", "protein")
 
 
+def write_orfs(orfs: DataFrame, folder: str) -> None:
+    """``orfs.fna`` and ``orfs.faa`` under the folder: the frames and their proteins as FASTA."""
+    from strandflow.sources.sinks import write_fasta
+
+    for kind, column in (("fna", "orf"), ("faa", "protein")):
+        write_fasta(orfs.select("name", F.col(column).alias("seq")), f"{folder}/orfs.{kind}", ["name"])
+
+
 def visualise(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, far_edges: DataFrame | None = None) -> DataFrame:
     """(ord, value): a Graphviz drawing of what is within the leash of starts (source, start)."""
     from strandflow.sources.sinks import dot_lines

@@ -472,8 +472,8 @@ CASE type WHEN 'SWAP' THEN substr(ref, CAST(pos + 1 AS INTEGER), length(seq)) WH
 CASE type WHEN 'SWAP' THEN seq WHEN 'INSERT' THEN CASE WHEN pos > 0 THEN substr(ref, CAST(pos AS INTEGER), 1) ELSE '' END || seq ELSE CASE WHEN pos > 0 THEN substr(ref, CAST(pos AS INTEGER), 1) ELSE '' END END AS "ALT", '20' AS "QUAL", 'PASS' AS "FILTER", 'strandflow' AS "INFO" FROM v JOIN s USING (g)""")
 def variant_calls(spark, sf_dir):
     v, ref = _variants(spark, sf_dir)
-    rows = v.join(ref.select("g", F.regexp_replace("aln", "-", "").alias("ref")), "g")
-    return va.vcf_rows(rows, "g", "ref").withColumn("POS", F.col("POS").cast("long"))
+    whole = ref.select("g", F.regexp_replace("aln", "-", "").alias("ref"))
+    return va.vcf_rows_over(v, whole, "g", "ref").withColumn("POS", F.col("POS").cast("long"))
 
 
 _ORF_SQL = f"""{DNA_SQL}, strands AS (SELECT doc_id, '+' AS strand, seq AS s FROM dna UNION ALL SELECT doc_id, '-', {_rc('seq')} FROM dna),
@@ -530,10 +530,10 @@ def wander_distances(spark, sf_dir):
 
     def walk(lg):
         mine = sorted(lg.probes)
-        found = wk.wander(lg, [lg.probes[i][0] for i in mine], 120)
+        found = wk.wander(lg, [lg.probes[i][0] for i in mine], 120, only=[mine.index(i) for i in lg.asked()])
         return pd.DataFrame([(mine[a], mine[b], d) for (a, b), d in found.items()], columns=["p1", "p2", "distance"])
 
-    return wk.per_component(tb.thread_graph(spark, sf_dir), walk, "p1 long, p2 long, distance long", probes=tb.thread_probes(spark, sf_dir))
+    return wk.per_component(tb.thread_graph(spark, sf_dir), walk, "p1 long, p2 long, distance long", probes=tb.thread_probes(spark, sf_dir), leash=120)
 
 
 # A walk may repeat no cycle: what lies between a node and its next return, by its smallest rotation, may not come again behind its end.
@@ -601,7 +601,7 @@ def fluffed_paths(spark, sf_dir):
 
     def walk(lg):
         mine = sorted(lg.probes)
-        rows = [(i, ",".join(map(str, p)), f) for i, found in zip(mine, wk.fluff(lg, [lg.probes[i][0] for i in mine], 120)) for p, f in found]
+        rows = [(i, ",".join(map(str, p)), f) for i, found in zip(mine, wk.fluff(lg, [lg.probes[i][0] for i in mine], 120)) if i in lg.asked() for p, f in found]
         return pd.DataFrame(rows, columns=["probe", "path", "fate"])
 
-    return wk.per_component(tb.thread_graph(spark, sf_dir), walk, "probe long, path string, fate string", probes=tb.thread_probes(spark, sf_dir))
+    return wk.per_component(tb.thread_graph(spark, sf_dir), walk, "probe long, path string, fate string", probes=tb.thread_probes(spark, sf_dir), leash=120)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import wrapped
@@ -38,8 +38,23 @@ def contig_stats(contigs: DataFrame) -> DataFrame:
 
 
 def nested_lines(contigs: DataFrame) -> DataFrame:
-    """``value``: a JSON object for each contig: its parts, regular nodes or bubbles with their paths, and coverages."""
-    return contigs.select(F.to_json(F.struct(*contigs.columns)).alias("value"))
+    """``value``: a JSON object for each contig (name, nested): its parts, regular nodes or bubbles with all their paths, and their coverages."""
+    name = F.regexp_replace(F.to_json(F.struct(F.col("name").alias("contig_name"))), r"\}$", "")
+    return contigs.select(F.concat(name, F.lit(',"graph":'), "nested", F.lit("}")).alias("value"))
+
+
+def output_folder(spark: SparkSession, path: str) -> str:
+    """``path`` as a folder for results: made where it doesn't exist; a file or a folder with something in it raises before any work is done."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        if not fs.getFileStatus(where).isDirectory():
+            raise NotADirectoryError(path)
+        if len(fs.listStatus(where)):
+            raise FileExistsError(f"{path} isn't empty")
+    elif not fs.mkdirs(where):
+        raise PermissionError(path)
+    return path
 
 
 def node_labels(nodes: DataFrame) -> DataFrame:

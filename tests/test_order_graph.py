@@ -73,3 +73,13 @@ def test_contigs_follow_arcs(spark, star, graph, name):
             steps += zip(path, path[1:])
             nodes.update(map(abs, path))
     assert len(steps) > 5 and all(b in after[a] for a, b in steps)
+
+
+@pytest.mark.parametrize("name", ["wander_distances", "cycle_budget_paths", "fluffed_paths"])
+def test_surroundings_give_what_whole_parts_give(spark, star, monkeypatch, name):
+    from strandflow.operators import walkers as wk
+
+    want = sorted(map(repr, QUERIES[name](spark, star).collect()))
+    whole = wk.per_component
+    monkeypatch.setattr(wk, "per_component", lambda *a, **o: whole(*a, **{**o, "largest": 3}))
+    assert sorted(map(repr, QUERIES[name](spark, star).collect())) == want

@@ -106,6 +106,16 @@ def test_consensus_and_variants(spark):
     assert [(r.POS, r.REF, r.ALT) for r in calls] == [(1, "AA", "TT"), (2, "A", "ATT"), (4, "CGG", "C")]
 
 
+def test_calls_over_pieces_of_long_references(spark):
+    rng = random.Random(5)
+    ref = {g: "".join(rng.choices("ACGT", k=n)) for g, n in (("a", 90), ("b", 16), ("c", 8))}
+    rows = [(g, p, *x) for g, s in ref.items() for p in range(len(s) - 7) for x in (("SWAP", s[p : p + 2][::-1], None), ("INSERT", "ACGTTGCAACG", None), ("DELETION", None, min(len(s) - p, 1 + p % 30)))]
+    v = spark.createDataFrame(rows, "g string, pos int, type string, seq string, del_len int")
+    refs = spark.createDataFrame(list(ref.items()), "g string, r string")
+    want = sorted(map(repr, va.vcf_rows(v.join(refs, "g"), "g", "r").collect()))
+    assert sorted(map(repr, va.vcf_rows_over(v, refs, "g", "r", piece=8).collect())) == want and len(want) == len(rows)
+
+
 def test_orf_markers(spark):
     rows = [(1, "+", p, "start") for p in (8, 14, 20)] + [(1, "+", p, "stop") for p in (2, 11, 17, 44)]
     m = spark.createDataFrame(rows, "seq_id int, strand string, pos int, kind string")

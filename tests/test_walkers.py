@@ -17,6 +17,22 @@ def test_paths_with_a_cycle_budget(edges, stop, cycles, n):
     assert len(found.paths) == n and found.circular_paths_detected
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_walks_against_enumeration(seed):
+    rng = random.Random(seed)
+    g = wk.LocalGraph.of(7, [(n, rng.choice((10, 15, 20)), 5.0) for n in range(1, 7)], {(rng.randrange(1, 7), rng.choice((1, 1, -1)) * rng.randrange(1, 7)) for _ in range(8)})
+    want, stack = [], [[1]]
+    while stack:
+        p = stack.pop()
+        nexts = g.after(p[-1]) if sum(g.length[abs(n)] for n in p) + 6 <= 80 else []
+        nexts = [n for n in nexts if not any(a[0] == b[0] and a[2] <= b[1] for a, b in itertools.permutations(named_cycles([*p, n]), 2))]
+        stack += [[*p, n] for n in nexts]
+        if not nexts:
+            want.append(p)
+    assert sorted(wk.walks(g, 1, 80, 1, None).paths) == sorted(want)
+    assert len(want) < 2 or wk.walks(g, 1, 80, 1, 1) == wk.PathSet([], wk.walks(g, 1, 80, 1, 1).circular_paths_detected, True, wk.walks(g, 1, 80, 1, 1).explored)
+
+
 def named_cycles(path):
     """(smallest rotation, begin, end) of every return to a node."""
     out = []
