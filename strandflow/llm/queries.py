@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .impact_topk import OP11_SQL, op11_impact_topk
 from .latent_decontamination import op10_latent_decontamination
+from .middle import OP13_SQL, op13_fill_in_middle
 from .mixing import mixed
 from .quality_mil import op7_attention_quality
 from .revisits import OP1_SQL, op1_revisit_resolution
@@ -48,7 +50,9 @@ QUERIES = {
         op8_interleaved_shards,
         op9_set_relation_join,
         op10_latent_decontamination,
+        op11_impact_topk,
+        op13_fill_in_middle,
     )
 }
 
-ORACLE_SQL = {"op1_revisit_resolution": OP1_SQL, "op3_temporal_lists": OP3_SQL, "op5_sorted_projection_passes": OP5_SQL, "op9_set_relation_join": OP9_SQL}
+ORACLE_SQL = {"op1_revisit_resolution": OP1_SQL, "op3_temporal_lists": OP3_SQL, "op5_sorted_projection_passes": OP5_SQL, "op9_set_relation_join": OP9_SQL, "op11_impact_topk": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
