@@ -12,7 +12,7 @@ the best k of those are the result. A row is no candidate of itself only; equal
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as queries or candidates; vectors of different lengths are
 not compared; rows without an id are candidates, after the others at equal scores, and no queries; repeated rows are rows of their own, so a
-repeated query id has the answers of each of its rows; scores beyond a long are given as the nearest long, in the order of the exact scores of their block; an
+repeated query id has the answers of each of its rows; a score beyond a long is the nearest long; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -139,9 +139,9 @@ def _cell(kind: str, scale: float, k: int, levels: int, few: int, together: int)
                     if plain:
                         scores = rows[at] @ qs[i]
                     else:
-                        scores = np.array([sum(int(x) * int(y) for x, y in zip(rows[j], qs[i])) for j in at], object)
+                        scores = np.array([max(_LONG.min, min(_LONG.max, sum(int(x) * int(y) for x, y in zip(rows[j], qs[i])))) for j in at], object)
                     for j in _ranked(scores, [names[x] for x in at], k) if len(at) else ():
-                        out.append((ids[q[i]], int(row[q[i]]), names[at[j]], max(_LONG.min, min(_LONG.max, int(scores[j])))))
+                        out.append((ids[q[i]], int(row[q[i]]), names[at[j]], int(scores[j])))
         names = ["query_id", "query_row", "vec_id", "score"]
         return pa.table({name: pa.array([r[i] for r in out], pa.int64()) for i, name in enumerate(names)})
 

@@ -16,6 +16,7 @@ from .set_relation_join import OP9_SQL, jaccard_components
 from .sharding import interleaved_shards
 from .temporal_lists import OP3_SQL, op3_temporal_lists
 from .token_sequences import op2_arrow_sequences
+from .turn_repair import op12_turn_repair
 from .vector_passes import OP5_SQL, op5_sorted_projection_passes
 
 
@@ -51,6 +52,7 @@ QUERIES = {
         op9_set_relation_join,
         op10_latent_decontamination,
         op11_impact_topk,
+        op12_turn_repair,
         op13_fill_in_middle,
     )
 }
