@@ -16,16 +16,16 @@
 The number of blocks is bounded by ``most_blocks`` (blocks grow with the input), so the tree and the block
 tables are small at any size; document rows meet them by (source, block), never by source alone.
 
-Defined results: null or empty text has size 0 and is never taken; null source is a source; repeated rows are
-taken alike; an empty table gives no rows.
+Defined results: null or empty text has size 0 and is never taken; null source is a source; rows without an id, and rows that share one, are
+rows of their own, told apart by source and text and, where these are equal too, by their number among their equals; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import bounded, forget, global_rank, keyed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHARDS = 16
@@ -84,6 +84,22 @@ def _split(quotas: DataFrame, seed: str, shards: int) -> DataFrame:
     return leaf.withColumn("start", F.sum("n").over(before) - F.col("n"))
 
 
+def _drawn(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str) -> tuple[DataFrame, Column]:
+    """``docs`` and a hash that tells its rows apart and is the same however the rows lie."""
+    rows, row = keyed(docs, id_col, "m6-keyed")
+    if row == id_col:
+        return docs, F.xxhash64(F.lit(seed), F.col(id_col))
+    equal = F.sha2(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s"), F.sha2(text_col, 256).alias("t"))), 256)
+    ranked = global_rank(rows.select(row, equal.alias("digest")), ["digest", row], "m6-equals")
+    numbers = ranked.join(ranked.groupBy("digest").agg(F.min("rank").alias("first")), "digest")
+    name = "mix"
+    while name in docs.columns:
+        name += "_"
+    numbers = written(numbers.select(row, F.xxhash64(F.lit(seed), "digest", F.col("rank") - F.col("first")).alias(name)), "m6-numbers")
+    forget(ranked)
+    return rows.join(numbers, row), F.col(name)
+
+
 def mixed(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -101,11 +117,12 @@ def mixed(
     each time the mix takes it; key orders the shard's rows) and taken (words, repeats counted); with ``carry``, a
     struct ``carried`` of the columns named there instead of id and source. ``broadcast_rows`` bounds the block table that is broadcast to
     rows that carry more; beyond it they are dealt by block."""
+    docs, mix = _drawn(docs, id_col, source_col, text_col, seed)
     computed = (
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("mix"),
+        mix.alias("mix"),
     )
     rows = written(docs.select(*computed), "m6-rows")
     targets = source_targets(rows, most).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -174,7 +191,7 @@ def mixed(
     out = out.withColumn(
         "copies",
         F.expr(f"""if(size > 0 and draws is not null,
-            transform(filter(draws, d -> d.round < full or _in), d -> named_struct('shard', d.shard, 'key', xxhash64('{seed}', d.shard, d.round, id))),
+            transform(filter(draws, d -> d.round < full or _in), d -> named_struct('shard', d.shard, 'key', xxhash64('{seed}', d.shard, d.round, mix))),
             cast(array() as array<struct<shard: int, key: bigint>>))"""),
     )
     named = ["carried"] if carry else [F.col("id").alias(id_col), F.col("source").alias(source_col)]

@@ -5,29 +5,32 @@ Sorted by fractional rank, every stretch holds the sources in the mixture's prop
 are cut into shards whose row counts differ by one at most. Both ranks come from range-partitioned sorts of
 narrow rows (id, source, size, checksum), so a source with a third of all rows is many tasks' work.
 
+``order`` takes the rows of a source in a given order instead, one that was drawn before: sources stay interleaved, and what stands together in it comes to the same or
+neighbouring shards.
+
 Defined results: null text counts no bytes and has checksum 0; null source is a source; equal rows get
 different slots; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, global_rank, written
 
 
 def interleaved_shards(
-    docs: DataFrame, shards: int = 24, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "interleave"
+    docs: DataFrame, shards: int = 24, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "interleave", order: Column | None = None
 ) -> DataFrame:
-    """(id, source, size, text_crc32, law, shard, slot, grown_shard) for each row; the law is ``rows``."""
+    """(id, source, size, text_crc32, law, shard, slot, grown_shard) for each row; the law is ``rows``. ``order`` is a column by which a source's rows are ranked."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("mix"),
+        (F.xxhash64(F.lit(seed), F.col(id_col)) if order is None else order).alias("mix"),
     )
     ranked = global_rank(rows, ["source", "mix", "id", "text_crc32"], "s8-source", "r")
     first = written(ranked, "s8-ranked")

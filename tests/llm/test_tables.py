@@ -248,3 +248,51 @@ def test_temporal_lists_of_hosts_with_many_labels(spark):
     got = {r.capture_id: (r.matched, r.categories, r.allowed) for r in judged(caps, ev).collect()}
     both = (f"{name},{name[2:]}", "x,y", False)
     assert got == {1: both, 2: both, 3: ("", "", True)}
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i])
+def test_mixture_of_rows_without_an_id_and_that_share_one(spark, docs_of, ids):
+    rows = [(ids(i), "ten words " * 5 if i % 2 else f"ten words {i} " + "w " * 7, "a" if i < 500 else "b") for i in range(1000)]
+    got = mixed(docs_of(rows), block_words=100).collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+    assert len(got) == 1000 and abs(taken["a"] - 10000 / 3) <= 10 and abs(taken["b"] - 20000 / 3) <= 10
+    again = mixed(docs_of(rows).repartition(5), block_words=100).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def _mixed_and_sharded(spark, corpus_pipeline, docs, folder):
+    corpus_pipeline.mixture(spark, docs, "").write.parquet(folder)
+    return corpus_pipeline.shards(spark, spark.read.parquet(folder), "").collect()
+
+
+def test_pipeline_shards_follow_the_tree_and_keep_copies_apart(spark, docs_of, tmp_path, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from strandflow.llm import mixing
+
+    docs = docs_of([(i, f"some words {i}", "a" if i < 750 else "b") for i in range(1000)])  # targets: 1000 and 2000 of 2250 and 750 words
+    got = _mixed_and_sharded(spark, corpus_pipeline, docs, str(tmp_path / "tree"))
+    places = defaultdict(list)
+    for r in got:
+        places[r.doc_id].append((r.shard, r.slot))
+    twice = [sorted(p) for p in places.values() if len(p) > 1]
+    assert len(twice) > 200
+    together = sum(x[0] == y[0] for p in twice for x, y in zip(p, p[1:]))
+    beside = sum(x[0] == y[0] and y[1] - x[1] <= 3 for p in twice for x, y in zip(p, p[1:]))
+    assert together < len(twice) / 5 and beside < len(twice) / 20
+    for shard in range(24):
+        mine = Counter("a" if r.doc_id < 750 else "b" for r in got if r.shard == shard)
+        whole = Counter("a" if r.doc_id < 750 else "b" for r in got)
+        assert all(abs(mine[s] - whole[s] / 24) <= 2 for s in "ab")
+    again = _mixed_and_sharded(spark, corpus_pipeline, docs.repartition(7), str(tmp_path / "again"))
+    result = lambda rows: sorted((r.doc_id, r.shard, r.slot) for r in rows)
+    assert result(again) == result(got)
+    real = mixing._split
+
+    def turned(quotas, seed, shards):  # the same draws, dealt to the shards in another order
+        return real(quotas, seed, shards).withColumn("shard", F.lit(shards - 1) - F.col("shard"))
+
+    monkeypatch.setattr(mixing, "_split", turned)
+    other = _mixed_and_sharded(spark, corpus_pipeline, docs, str(tmp_path / "other"))
+    assert Counter(r.doc_id for r in other) == Counter(r.doc_id for r in got) and result(other) != result(got)
