@@ -7,12 +7,13 @@ and rows that share one are rows of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import clustered, forget, keyed, parallelism, without, written
+from strandflow.llm.common import forget, keyed, parallelism, without, written
 from strandflow.llm.latent_decontamination import contaminated
-from strandflow.llm.mixing import SHARDS, mixed
+from strandflow.llm.mixing import mixed
 from strandflow.llm.quality_mil import accepted
 from strandflow.llm.set_relation_join import jaccard_components
 from strandflow.llm.sharding import interleaved_shards
@@ -46,17 +47,27 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, laid out as the splitting tree dealt it: a task holds rows of few shards, each shard's in their drawn order."""
+    """Each document as often as the mix takes it, in the order in which the splitting tree dealt it: by the tree's shard, and within that as drawn."""
     out = mixed(docs, carry=tuple(docs.columns))
     rows = out.select("carried", F.explode("copies").alias("copy")).select("carried", "copy.*")
-    parts = -(-parallelism(spark) // SHARDS)
-    rows = clustered(rows.withColumn("part", F.pmod("key", F.lit(parts))), "shard", "part").sortWithinPartitions("shard", "part", "key")
-    return rows.select("carried.*")
+    return rows.repartitionByRange(parallelism(spark), "shard", "key").sortWithinPartitions("shard", "key").select("carried.*")
+
+
+def _place(docs: DataFrame) -> Column:
+    """Where a row stands in the files that ``docs`` is read from."""
+    return F.struct(docs["_metadata.file_path"].alias("file"), docs["_metadata.row_index"].alias("row"))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard and slot."""
-    return interleaved_shards(docs)
+    """Each row's shard and slot. Rows read from files are taken in the order of these, which is the one that the mixture dealt, so copies of a document stand where their
+    rounds do; others by a hash of their id, or of their number where ids don't tell them apart."""
+    try:
+        order = _place(docs)
+        docs.select(order)
+    except AnalysisException:  # not read from files
+        docs, key = keyed(docs, "doc_id", "pipeline-keyed")
+        order = F.xxhash64(F.lit("interleave"), F.col(key))
+    return interleaved_shards(docs, order=order)
 
 
 STAGES = [("quality", quality), ("ngram_jaccard_join", one_of_each_group), ("decontamination", decontaminated), ("mixing", mixture), ("sharding", shards)]
