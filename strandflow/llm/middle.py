@@ -140,7 +140,7 @@ def fill_in_middle(
 ) -> DataFrame:
     """(carried, n, form, prefix_chars, middle_chars, output): each text as plain, psm or spm, with the columns named in ``carry`` as a struct. A text is
     transformed where h3 % 100 is below ``plain_share``, as spm where h4 % 100 is below ``spm_share``."""
-    text_batches(docs.sparkSession, 256)
+    text_batches(docs.sparkSession, 64)
     digest = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     parts = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long").alias(f"h{i + 1}") for i in range(4)]
     rows = docs.select(F.struct(*carry).alias("carried"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *parts)
@@ -150,8 +150,12 @@ def fill_in_middle(
 
 def restored(output: Column, form: Column) -> Column:
     """The text that an output of this form was made of."""
-    part = F.split(output, "<[PSM]>", -1)
-    return F.when(form == "plain", output).when(form == "psm", F.concat(part[1], part[3], part[2])).otherwise(F.concat(part[2], part[3], part[1]))
+    from_, upto = (lambda x, mark: F.substring_index(x, mark, -1)), (lambda x, mark: F.substring_index(x, mark, 1))
+    p, s, m = MARKS
+    ahead, middle = upto(output, m), from_(output, m)  # the marks and the parts ahead of the middle
+    psm = F.concat(from_(upto(ahead, s), p), middle, from_(ahead, s))
+    spm = F.concat(from_(ahead, p), middle, from_(upto(ahead, p), s))
+    return F.when(form == "plain", output).when(form == "psm", psm).otherwise(spm)
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
