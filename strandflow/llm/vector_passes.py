@@ -2,17 +2,18 @@
 
 Each pass orders the vectors of a label lexicographically by ``bits`` concatenated random-hyperplane hashes and
 compares every vector with the ``window`` before it; verified pairs (cosine in double precision) are
-united across passes. Equal vectors are one class from the start, so copies never fill a window. Within a
+united across passes. Planes go through the mean direction of the label, so bits tell vectors of one topic apart; verification is on the vectors as
+given. Equal vectors are one class from the start, so copies never fill a window. Within a
 block of a pass only a spanning forest of the verified pairs is emitted: at most one row a vector.
 
 ``n_links`` is then completed exactly inside each component: its vectors are dealt to chunks, and chunk pairs
 are compared by matrix products that emit one count a vector, never the pairs. A component beyond a chunk is
 many tasks' work.
 
-Recall: a pair at cosine c shares a hash bit with probability 1 - acos(c)/pi, so it meets in a window of w among n
-vectors in at least a share p**log2(n/w) of passes. The passes follow from the counted size of the largest label, so that a pair at
-the threshold is missed with probability ``miss`` at most where directions are spread evenly; ``passes`` is their least number. Where directions
-cluster within a label, more bits are needed to tell vectors apart and the bound doesn't hold. Measured recall is in the README.
+Recall: a pair at the threshold, whose vectors lie d off the mean, shares a bit with probability p = 1 - acos(1 - (1 - threshold) / d**2) / pi, and stands in a window if it shares
+the bits that a vector shares with the one a window away, and one more. Both are measured in every block of the first passes, for every vector that isn't itself linked to the one
+a window away (those have a window of links to be found by), and each label gets the passes of ``LADDER`` after which the measured share of missed pairs is ``miss`` at
+most, or the ladder's last. Labels that need no more passes aren't read again. Measured recall is in the README.
 
 Vectors travel as given (32 bits a number where they are floats) and are widened to double precision where they are compared. Passes run
 ``together`` at a time, and each group's sorted table is deleted before the next.
@@ -33,7 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, forget, global_rank, written
+from .common import bounded, connected_components, forget, global_rank, written
+
+LADDER = (8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
 
 
 def _unit(parts, kind: str) -> np.ndarray:
@@ -71,7 +74,47 @@ def _read(kind: str):
     return run
 
 
+def _sums(kind: str, most: int = 4096):
+    """Sums of a task's unit vectors by label and length, some labels at a time."""
+
+    def out(held):
+        labels, dims = zip(*held)
+        ns, sums = zip(*held.values())
+        return pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(dims, pa.int32()), pa.array(ns, pa.int64()), pa.array([x.tobytes() for x in sums], pa.binary())], ["label", "dim", "n", "sum"])
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            keys = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]], axis=1)
+            for label, dim in np.unique(keys, axis=0).tolist():
+                x = _unit(batch.column(2).filter(pa.array((keys == (label, dim)).all(axis=1))).to_pylist(), kind)
+                n, total = held.get((label, dim), (0, 0.0))
+                held[label, dim] = n + len(x), total + x.sum(axis=0)
+            if len(held) > most:
+                yield out(held)
+                held = {}
+        if held:
+            yield out(held)
+
+    return run
+
+
+def _mean(table):
+    total = np.frombuffer(b"".join(table.column("sum").to_pylist()), np.float64).reshape(table.num_rows, -1).sum(axis=0)
+    n = sum(table.column("n").to_pylist())
+    return pa.table({"label": table.column("label")[:1], "dim": table.column("dim")[:1], "n": pa.array([n], pa.int64()), "sum": pa.array([total.tobytes()], pa.binary())})
+
+
+def means(classes: DataFrame, kind: str) -> DataFrame:
+    """(label, dim, n, sum): how many unit vectors there are and what they add up to, first within tasks, then within parts of a label."""
+    shape = "label long, dim int, n long, sum binary"
+    parts = classes.select("label", "dim", "v").mapInArrow(_sums(kind), shape).withColumn("_p", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    some = parts.groupBy("label", "dim", "_p").applyInArrow(lambda t: _mean(t), shape)
+    return written(some.groupBy("label", "dim").applyInArrow(lambda t: _mean(t), shape), "v5-means")
+
+
 def _keyed(passes: range, bits: int, seed: int, kind: str):
+    """Each vector's key in each pass, and how far it lies off its label's mean (squared)."""
     planes: dict[int, np.ndarray] = {}
 
     def run(batches):
@@ -81,60 +124,104 @@ def _keyed(passes: range, bits: int, seed: int, kind: str):
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
                     planes[dim] = np.hstack([np.random.default_rng([seed, int(dim), p]).standard_normal((int(dim), bits)) for p in passes])
-                signs = (_unit(part.column(3).to_pylist(), kind) @ planes[dim] > 0).reshape(part.num_rows, len(passes), bits)
+                mean = np.frombuffer(b"".join(part.column(5).to_pylist()), np.float64).reshape(part.num_rows, -1) / part.column(4).to_numpy()[:, None]
+                off = _unit(part.column(3).to_pylist(), kind) - mean
+                signs = (off @ planes[dim] > 0).reshape(part.num_rows, len(passes), bits)
                 keys = np.packbits(signs, axis=2)  # bytes compare as the bits do
+                far = pa.array((off * off).sum(axis=1), pa.float64())
                 for n, p in enumerate(passes):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(part.num_rows, p, np.int32)), *part.columns[1:3], pa.array([k.tobytes() for k in keys[:, n]], pa.binary()), part.column(0), part.column(3)],
-                        ["pass", "label", "dim", "key", "cls", "v"],
+                        [pa.array(np.full(part.num_rows, p, np.int32)), *part.columns[1:3], pa.array([k.tobytes() for k in keys[:, n]], pa.binary()), part.column(0), far, part.column(3)],
+                        ["pass", "label", "dim", "key", "cls", "far", "v"],
                     )
 
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    up = list(range(n))
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same of n things as (a, b): each to the first of its part."""
+    low = np.arange(n)
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(low, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (low[low] != low).any():
+            low = low[low]
+    inner = np.flatnonzero(low != np.arange(n))
+    return inner, low[inner]
+
 
-    def root(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def _shared(keys: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many leading bits rows of packed keys share."""
+    differ = np.unpackbits(keys ^ other, axis=1)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        x2, y2 = root(x), root(y)
-        if x2 != y2:
-            up[max(x2, y2)] = min(x2, y2)
-            out.append((x, y))
-    return out
 
+def _window_pairs(window: int, block: int, threshold: float, kind: str, tile: int = 512):
+    """Verified pairs of a block as a forest, and what its vectors tell of pairs missed: by label the number of vectors and their misses after each of ``LADDER`` passes."""
 
-def _window_pairs(window: int, block: int, threshold: float, kind: str):
     def run(key, table):
         first = key[0].as_py() * block
         table = table.sort_by("rank")
-        rank, cls = table.column("rank").to_numpy(), table.column("cls").to_numpy()
+        rank, cls, far = (table.column(c).to_numpy() for c in ("rank", "cls", "far"))
         same = [table.column(c).to_numpy() for c in ("pass", "label", "dim")]
-        out: list[tuple[int, int]] = []
+        a, b, told = [], [], {}
         dims = same[2]
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
             x = _unit(table.column("v").take(pa.array(at)).to_pylist(), kind)
+            keys = np.frombuffer(b"".join(table.column("key").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
             r, g, l, c = rank[at], same[0][at], same[1][at], cls[at]
             left, right = [], []
-            for s in range(1, min(window, len(at) - 1) + 1):
-                ok = np.flatnonzero((g[s:] == g[:-s]) & (l[s:] == l[:-s]) & (r[s:] - r[:-s] <= window) & (r[s:] >= first))
-                ok = ok[np.einsum("ij,ij->i", x[ok], x[ok + s]) >= threshold]
-                left.append(ok)
-                right.append(ok + s)
-            if left:
-                out += [(int(c[i]), int(c[j])) for i, j in _forest(np.concatenate(left), np.concatenate(right), len(at))]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            for lo in range(0, len(at), tile):
+                hi = min(lo + tile, len(at))
+                i, j = np.nonzero(x[lo:hi] @ x[lo : min(hi + window, len(at))].T >= threshold)
+                i, j = i + lo, j + lo
+                ok = (j > i) & (r[j] - r[i] <= window) & (r[j] >= first) & (g[i] == g[j]) & (l[i] == l[j])
+                left.append(i[ok])
+                right.append(j[ok])
+            u, v = _forest(np.concatenate(left), np.concatenate(right), len(at))
+            a.append(c[u])
+            b.append(c[v])
+            # the vector a window away, on the side on which there is one
+            mine = np.flatnonzero(r >= first)
+            edge = np.full(len(mine), -1)
+            for step in (window, -window):
+                j = np.minimum(np.searchsorted(r, r[mine] + step), len(r) - 1)
+                there = (r[j] == r[mine] + step) & (g[j] == g[mine]) & (l[j] == l[mine])
+                edge[there] = j[there]
+            bits = np.where(edge >= 0, 1 + _shared(keys[mine], keys[np.maximum(edge, 0)]), 0)
+            free = (edge < 0) | (np.einsum("ij,ij->i", x[mine], x[np.maximum(edge, 0)]) < threshold)
+            turn = np.arccos(np.clip(1 - (1 - threshold) / np.maximum(far[at][mine], 1e-12), -1, 1)) / np.pi
+            met = (1 - turn) ** bits
+            for label in np.unique(l[mine]).tolist():
+                seen = free & (l[mine] == label)
+                told[label, int(dim)] = (int(seen.sum()), [float(((1 - met[seen]) ** n).sum()) for n in LADDER])
+        a, b = np.concatenate(a), np.concatenate(b)
+        n, m = len(a), len(told)
+        columns = {
+            "a": [pa.array(a, pa.int64()), pa.nulls(m, pa.int64())], "b": [pa.array(b, pa.int64()), pa.nulls(m, pa.int64())],
+            "label": [pa.nulls(n, pa.int64()), pa.array([x for x, _ in told], pa.int64())], "dim": [pa.nulls(n, pa.int32()), pa.array([x for _, x in told], pa.int32())],
+            "n": [pa.nulls(n, pa.int64()), pa.array([x for x, _ in told.values()], pa.int64())],
+            "missed": [pa.nulls(n, pa.list_(pa.float64())), pa.array([x for _, x in told.values()], pa.list_(pa.float64()))],
+        }
+        return pa.table({name: pa.concat_arrays(parts) for name, parts in columns.items()})
 
     return run
 
 
+def _passes(found: DataFrame, miss: float, least: int) -> DataFrame:
+    """(label, dim, passes): the passes each label needs, by what the first ones told."""
+    sums = [F.sum(F.col("missed")[i]).alias(f"m{i}") for i in range(len(LADDER))]
+    of = found.where("label is not null").groupBy("label", "dim").agg(F.sum("n").alias("n"), *sums)
+    enough = F.lit(LADDER[-1])
+    for i in reversed(range(len(LADDER))):
+        enough = F.when(F.col(f"m{i}") <= miss * F.col("n"), F.lit(LADDER[i])).otherwise(enough)
+    return of.select("label", "dim", F.greatest(enough, F.lit(least)).alias("passes"))
+
+
 def _counts(threshold: float, kind: str):
     """Links of each class within its component, over one bucket of small components or one pair of chunks."""
 
@@ -157,19 +244,12 @@ def _counts(threshold: float, kind: str):
     return run
 
 
-def passes_needed(n: int, window: int, threshold: float, miss: float) -> int:
-    """Passes after which a pair at the threshold among n vectors is missed with probability ``miss`` at most."""
-    p = 1 - np.arccos(threshold) / np.pi
-    met = p ** np.log2(max(2.0, n / window))
-    return 1 if met >= 1 else int(np.ceil(np.log(miss) / np.log1p(-met)))
-
-
 def near_duplicate_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
-    passes: int = 24, bits: int = 64, window: int = 32, block: int = 2048, chunk: int = 1024, seed: int = 7,
-    miss: float = 1e-5, together: int = 8,
+    passes: int = 8, bits: int = 64, window: int = 256, block: int = 4096, chunk: int = 1024, seed: int = 7,
+    miss: float = 1e-3, together: int = 8, broadcast_bytes: int = 1 << 23,
 ) -> DataFrame:
-    """(id, n_links, component_id, kept) for each row."""
+    """(id, n_links, component_id, kept) for each row. ``passes`` is their least number; means of labels are broadcast up to ``broadcast_bytes``."""
     items = vectors.schema[vec_col].dataType.elementType.typeName()
     kind, given = ("<f4", F.col(vec_col)) if items == "float" else ("<f8", F.col(vec_col).cast("array<double>"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), given.alias("v"))
@@ -178,20 +258,26 @@ def near_duplicate_vectors(
     same = ["label", "dim", "d0", "d1"]
     classes = good.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "v5-classes")
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    passes = max(passes, passes_needed(largest, window, threshold, miss))
-    found = []
-    for start in range(0, passes, together):
-        keyed = classes.select("cls", "label", "dim", "v").mapInArrow(
-            _keyed(range(start, min(passes, start + together)), bits, seed, kind), "pass int, label long, dim int, key binary, cls long, v binary"
-        )
+    centers = means(classes, kind)
+    wide = classes.agg(F.max("dim")).first()[0] or 1
+    near = lambda df: F.broadcast(df) if bounded(df, broadcast_bytes // (8 * wide)) else df
+    found, start, last, wanted = [], 0, together, None
+    while start < last:
+        some = classes.select("cls", "label", "dim", "v")
+        if wanted is not None:
+            some = some.join(near(written(wanted.where(F.col("passes") > start).select("label", "dim"), "v5-wanted")), ["label", "dim"])
+        centered = some.join(near(centers), ["label", "dim"]).select("cls", "label", "dim", "v", "n", "sum")
+        keyed = centered.mapInArrow(_keyed(range(start, start + together), bits, seed, kind), "pass int, label long, dim int, key binary, cls long, far double, v binary")
         ranked = global_rank(keyed, ["pass", "label", "dim", "key", "cls"], "v5-sorted")
-        placed = ranked.drop("key").withColumn(
-            "block", F.explode(F.array_distinct(F.array(F.expr(f"rank div {block}L"), F.expr(f"(rank + {window}L) div {block}L"))))
-        )
-        found.append(written(placed.groupBy("block").applyInArrow(_window_pairs(window, block, threshold, kind), "a long, b long"), "v5-pairs"))
+        placed = ranked.withColumn("block", F.explode(F.array_distinct(F.array(F.expr(f"rank div {block}L"), F.expr(f"(rank + {window}L) div {block}L")))))
+        pairs = placed.groupBy("block").applyInArrow(_window_pairs(window, block, threshold, kind), "a long, b long, label long, dim int, n long, missed array<double>")
+        found.append(written(pairs, "v5-pairs"))
         forget(ranked)
-    edges = reduce(DataFrame.unionByName, found)
+        if wanted is None:
+            wanted = written(_passes(found[0], miss, passes), "v5-passes")
+            last = wanted.agg(F.max("passes")).first()[0] or 0
+        start += together
+    edges = reduce(DataFrame.unionByName, found).where("a is not null").select("a", "b")
     comps = written(connected_components(edges, "a", "b", "v5"), "v5-components").select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     buckets = max(1, comps.count() // 2048)
     forget(*found)
