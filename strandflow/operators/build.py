@@ -1,61 +1,143 @@
 """A compacted de Bruijn graph from reads, in DataFrames.
 
-k-mers of both strands are counted (probes with a weight, so they survive cutoffs), rare ones dropped, and joined by their k-1 overlaps.
-k-mers with one way on and one way back are merged: they are components of a graph of degree two, each laid out by one task.
+k-mers of both strands are counted by minimizers (probes with a weight, so they survive cutoffs) and meet by their k - 1 overlaps. Where one k-mer ends and one begins
+with an overlap, these two are a link; linked k-mers are ranked as lists by doubling pointers, and a stretch's sequence is put together from pieces of a sort by (stretch, rank),
+so no stretch is one task's work before its text is. Stretches that the coverage cutoff leaves are linked again as a whole, by their ends.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.functions.sequence import canonical, revcomp, with_kmers
-from strandflow.lineage import connected_components, global_rank, written
+from strandflow.functions import longkmers as lk
+from strandflow.functions.sequence import revcomp
+from strandflow.lineage import global_rank, written
 from strandflow.operators.graph import AssemblyGraph
+from strandflow.operators.superkmers import packed_counts
+from strandflow.ranking import list_ranks
 
-_PAIRS = str.maketrans("ACGT", "TGCA")
 
+def _kmer_ends(k: int):
+    """The first and last k - 1 bases of each k-mer (node 2 * id) and of its reverse complement (node 2 * id + 1)."""
 
-def _rc(s: str) -> str:
-    return s.translate(_PAIRS)[::-1]
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            codes = lk.unpacked(lk.matrix(batch.column(1), lk.width(k)), k)
+            for turn, x in ((0, codes), (1, lk.turned(codes))):
+                for ahead, part in ((True, x[:, 1:]), (False, x[:, :-1])):
+                    yield pa.RecordBatch.from_arrays([lk.binary(lk.packed(part)), pa.array(2 * ids + turn), pa.array(np.full(len(ids), ahead))], ["overlap", "node", "ahead"])
 
+    return run
 
-def _unitig(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One component: k-mers (kmer, n) with their unambiguous ways on (link: oriented k-mer to oriented k-mer), as one sequence."""
-    nodes = pdf[pdf.x.isna()]
-    counts = dict(zip(nodes.kmer, nodes.n))
-    ahead = {a: b for a, b in zip(pdf.kmer[pdf.x.notna()], pdf.x[pdf.x.notna()])}
-    ahead |= {_rc(b): _rc(a) for a, b in list(ahead.items())}
-    first = min(counts)
-    start, seen = _rc(first), {first}
-    while (nxt := ahead.get(start)) and min(nxt, _rc(nxt)) not in seen:  # back to the left end, or once around
-        start = nxt
-        seen.add(min(nxt, _rc(nxt)))
-    at = _rc(start)
-    seq, used = at, {min(at, _rc(at))}
-    while (nxt := ahead.get(at)) and min(nxt, _rc(nxt)) not in used:
-        seq += nxt[-1]
-        used.add(min(nxt, _rc(nxt)))
-        at = nxt
-    return pd.DataFrame({"seq": [min(seq, _rc(seq))], "cov_sum": [int(sum(counts.values()))]})
+
+def _unit_ends(units: DataFrame, k: int) -> DataFrame:
+    """The same of whole sequences (id, seq)."""
+    both = units.select((2 * F.col("id")).alias("node"), "seq").unionByName(units.select((2 * F.col("id") + 1).alias("node"), revcomp(F.col("seq")).alias("seq")))
+    sides = F.array(F.struct(F.expr(f"right(seq, {k - 1})").alias("overlap"), F.lit(True).alias("ahead")), F.struct(F.expr(f"left(seq, {k - 1})").alias("overlap"), F.lit(False).alias("ahead")))
+    return both.select("node", F.explode(sides).alias("s")).select("s.overlap", "node", "s.ahead")
+
+
+def _placed(ends: DataFrame, tag: str) -> DataFrame:
+    """(id, head, pos, node): for what is linked, the list it is on, in the reading whose head is smaller, and which way round it lies there."""
+    met = ends.groupBy("overlap").agg(
+        F.count_if("ahead").alias("ins"), F.count_if(~F.col("ahead")).alias("outs"), F.min(F.when(F.col("ahead"), F.col("node"))).alias("a"), F.min(F.when(~F.col("ahead"), F.col("node"))).alias("b")
+    )
+    links = written(met.where("ins = 1 and outs = 1").select("a", "b").where(F.shiftright("a", 1) != F.shiftright("b", 1)), f"{tag}-links")
+    ranks = list_ranks(links, tag)
+    of = ranks.groupBy(F.shiftright("node", 1).alias("id")).agg(F.min(F.struct("head", "pos", "node")).alias("r"))
+    return of.select("id", "r.*")
+
+
+def _pieces(k: int):
+    """(head, pos, part, n) of rows by (head, pos): stretches of a batch as text, with the whole first k-mer of a list."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head, pos, node, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            codes = lk.unpacked(lk.matrix(batch.column(3), lk.width(k)), k)
+            last = np.where(node & 1, 3 - codes[:, 0], codes[:, -1])
+            cuts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+            text = lk.texts(last[None])[0]
+            firsts = {i: lk.texts(lk.turned(codes[i : i + 1]) if node[i] & 1 else codes[i : i + 1])[0] for i in cuts.tolist() if pos[i] == 0}
+            parts = [firsts[i] + text[i + 1 : j] if i in firsts else text[i:j] for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(head)])]
+            yield pa.RecordBatch.from_arrays([pa.array(head[cuts]), pa.array(pos[cuts]), pa.array(parts, pa.string()), pa.array(np.add.reduceat(n, cuts))], ["head", "pos", "part", "n"])
+
+    return run
+
+
+def _whole(pieces: DataFrame) -> DataFrame:
+    """(seq, cov_sum): the parts of each list in order, read in the direction of the smaller text."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "")
+    rows = pieces.groupBy("head").agg(text.alias("seq"), F.sum("n").alias("cov_sum"))
+    return rows.select(F.least("seq", revcomp(F.col("seq"))).alias("seq"), "cov_sum")
+
+
+def compacted(counts: DataFrame, k: int) -> DataFrame:
+    """(seq, cov_sum): maximal unambiguous stretches of counted k-mers (kmer packed, n)."""
+    ranked = written(global_rank(counts, ["kmer"], "build-sorted", "id"), "build-kmers")
+    placed = _placed(ranked.select("id", "kmer").mapInArrow(_kmer_ends(k), "overlap binary, node long, ahead boolean"), "build")
+    alone = F.col("id") * 2
+    rows = ranked.join(placed, "id", "left").select(F.coalesce("head", alone).alias("head"), F.coalesce("pos", F.lit(0).cast("long")).alias("pos"), F.coalesce("node", alone).alias("node"), "kmer", "n")
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "head", "pos").sortWithinPartitions("head", "pos")
+    return _whole(rows.mapInArrow(_pieces(k), "head long, pos long, part string, n long"))
+
+
+def merged(units: DataFrame, k: int) -> DataFrame:
+    """(seq, cov_sum): the sequences (seq, cov_sum) joined where two of them alone meet."""
+    ranked = written(global_rank(units, ["seq"], "merge-sorted", "id"), "merge-units")
+    placed = _placed(_unit_ends(ranked, k), "merge")
+    rows = ranked.join(placed, "id", "left").withColumn("pos", F.coalesce("pos", F.lit(0).cast("long")))
+    read = F.when(F.col("node") % 2 == 1, revcomp(F.col("seq"))).otherwise(F.col("seq"))
+    part = F.when(F.col("pos") == 0, read).otherwise(F.expr(f"substr(_read, {k})"))
+    return _whole(rows.withColumn("_read", read).select(F.coalesce("head", F.col("id") * 2).alias("head"), "pos", part.alias("part"), F.col("cov_sum").alias("n")))
+
+
+def _positions(k: int, bases: int = 1 << 16):
+    def run(batches):
+        for batch in batches:
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                codes = lk.codes_of((text or "").encode())
+                edges = np.flatnonzero(np.diff(codes < 4, prepend=False, append=False))
+                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                    for lo in range(a, b - k + 1, bases):
+                        at = np.arange(lo, min(lo + bases, b - k + 1))
+                        fwd = codes[at[:, None] + np.arange(k)]
+                        here, there = lk.packed(fwd), lk.packed(lk.turned(fwd))
+                        plain = lk.smaller(here, there)
+                        kept = batch.slice(row, 1).select(range(batch.num_columns - 1)).take(pa.array(np.zeros(len(at), np.int64)))
+                        new = [pa.array(at.astype(np.int32)), lk.binary(np.where(plain[:, None], here, there)), pa.array(plain)]
+                        yield pa.RecordBatch.from_arrays([*kept.columns, *new], [*kept.schema.names, "pos", "kmer", "plain"])
+
+    return run
+
+
+def kmer_positions(seqs: DataFrame, k: int, seq: str, *keep: str) -> DataFrame:
+    """(keep..., pos, kmer, plain): every k-mer of A, C, G and T, canonical and packed, with its place and whether it is read as it stands there."""
+    rows = seqs.select(*keep, seq)
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(_positions(k), f"{kept}pos int, kmer binary, plain boolean")
 
 
 def build_graph(reads: DataFrame, k: int = 51, coverage_cutoff: float = 0.0, probes: DataFrame | None = None, probe_weight: int = 50, track_reads: bool = True) -> AssemblyGraph:
-    """The graph of reads (read_id, seq). ``k`` must be odd. Probes (read_id, seq) count ``probe_weight`` times. Nodes whose coverage is below the cutoff are
-    dropped and what is left is compacted again."""
+    """The graph of reads (read_id, seq). ``k`` must be odd, and 255 at most. Probes (read_id, seq) count ``probe_weight`` times. Nodes whose coverage is below the cutoff are
+    dropped and what is left is joined where it can be."""
     if k % 2 == 0:
         raise ValueError("k must be odd: a k-mer must not be its own reverse complement")
     rows = reads.select("read_id", F.upper("seq").alias("seq"), F.lit(1).alias("w"))
     if probes is not None:
         rows = probes.select("read_id", F.upper("seq").alias("seq"), F.lit(probe_weight).alias("w")).unionByName(rows)
-    kmers = with_kmers(rows, "seq", k).where(F.regexp_like("kmer", F.lit("^[ACGT]+$")))
-    counts = written(kmers.groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.sum("w").alias("n")), "build-counts")
-    units = _compacted(counts, k)
+    units = compacted(packed_counts(rows, k, "seq", "w"), k)
     if coverage_cutoff > 0:
-        low = units.where(F.col("cov_sum") / (F.length("seq") - k + 1) < coverage_cutoff)
-        gone = with_kmers(low.select("seq"), "seq", k).select(canonical(F.col("kmer")).alias("kmer"))
-        units = _compacted(written(counts.join(gone, "kmer", "left_anti"), "build-counts"), k)
+        units = merged(written(units.where(F.col("cov_sum") / (F.length("seq") - k + 1) >= coverage_cutoff), "build-kept"), k)
     units = global_rank(units, ["seq"], "build-rank").withColumn("node_id", (F.col("rank") + 1).cast("int")).drop("rank")
     units = written(units, "build-units")
     nodes = units.select(
@@ -70,27 +152,10 @@ def build_graph(reads: DataFrame, k: int = 51, coverage_cutoff: float = 0.0, pro
     arcs = steps.select(F.abs("src").alias("begin_id"), (F.col("src") > 0).alias("begin_fwd"), F.abs("dst").alias("end_id"), (F.col("dst") > 0).alias("end_fwd"), F.lit(1).cast("long").alias("mult"))
     placed = None
     if track_reads:
-        where = with_kmers(units.select("node_id", "seq", F.length("seq").alias("n")), "seq", k, "kmer", "at")
-        where = where.select("node_id", "at", "n", canonical(F.col("kmer")).alias("c"), (F.col("kmer") == canonical(F.col("kmer"))).alias("plain"))
-        hits = kmers.select("read_id", "pos", canonical(F.col("kmer")).alias("c"), (F.col("kmer") == canonical(F.col("kmer"))).alias("rplain")).join(where, "c")
-        fwd = F.col("plain") == F.col("rplain")
+        where = kmer_positions(units.withColumn("n", F.length("seq")), k, "seq", "node_id", "n").withColumnsRenamed({"pos": "at", "plain": "_plain"})
+        hits = kmer_positions(rows, k, "seq", "read_id").join(where, "kmer")
+        fwd = F.col("plain") == F.col("_plain")
         hits = hits.select("read_id", "node_id", fwd.alias("fwd"), F.col("pos").alias("start_coord"), F.when(fwd, F.col("at")).otherwise(F.col("n") - k - F.col("at")).alias("offset"))
         first = hits.groupBy("read_id", "node_id", "fwd").agg(F.min(F.struct("start_coord", "offset")).alias("b"))
         placed = first.select("node_id", "read_id", F.col("b.offset").cast("int").alias("offset"), F.col("b.start_coord").cast("int").alias("start_coord"), "fwd")
     return AssemblyGraph(nodes, arcs, k, placed, rows.select("read_id", "seq"), units.select("node_id", "seq"))
-
-
-def _compacted(counts: DataFrame, k: int) -> DataFrame:
-    """(seq, cov_sum): maximal unambiguous stretches of the counted k-mers."""
-    both = counts.select(F.col("kmer").alias("x")).unionByName(counts.select(revcomp(F.col("kmer")).alias("x")))
-    ahead = both.select(F.col("x").alias("a"), F.expr(f"right(x, {k - 1})").alias("o"))
-    behind = both.select(F.col("x").alias("b"), F.expr(f"left(x, {k - 1})").alias("o"))
-    one_out = behind.groupBy("o").agg(F.count("*").alias("outs"), F.first("b").alias("b")).where("outs = 1")
-    one_in = ahead.groupBy("o").agg(F.count("*").alias("ins"), F.first("a").alias("a")).where("ins = 1")
-    links = one_out.join(one_in, "o").select("a", "b", canonical(F.col("a")).alias("ca"), canonical(F.col("b")).alias("cb")).where("ca != cb")
-    links = written(links, "build-links")
-    comps = connected_components(links, "ca", "cb", "build")
-    named = counts.join(comps.withColumnRenamed("node", "kmer"), "kmer", "left").withColumn("component", F.coalesce("component", "kmer"))
-    steps = links.join(comps, F.col("ca") == F.col("node")).select("component", F.col("a").alias("kmer"), F.lit(None).cast("long").alias("n"), F.col("b").alias("x"))
-    rows = named.select("component", "kmer", "n", F.lit(None).cast("string").alias("x")).unionByName(steps)
-    return rows.groupBy("component").applyInPandas(_unitig, "seq string, cov_sum long")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import revcomp
-from strandflow.lineage import connected_components, global_rank
-
+from strandflow.lineage import global_rank, written
+from strandflow.ranking import list_ranks
 
 _ACGT = np.array([ord(x) for x in "ACGT"], np.uint32)
 
@@ -148,46 +147,33 @@ def unconnected_sequences(sequences: DataFrame, c: DataFrame) -> DataFrame:
     return sequences.select("seq").join(_ends(c), "seq", "left_anti")
 
 
-def _walk_chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One component of doubly single connections, laid out from one end to the other."""
-    seqs = sorted(set(pdf.seq1) | set(pdf.seq2))
-    hop = {}
-    for x in pdf.itertuples():
-        hop[x.seq1, x.side1] = (x.seq2, x.side2, x.distance)
-        hop[x.seq2, x.side2] = (x.seq1, x.side1, x.distance)
-    other = {"start": "end", "end": "start"}
-    tips = [s for s in seqs if (s, "start") not in hop or (s, "end") not in hop]
-    circular = not tips
-    at, enter = seqs[0], "start"
-    if tips:
-        at = tips[0]
-        enter = "start" if (at, "start") not in hop else "end"
-    out, first = [], at
-    while True:
-        step = hop.get((at, other[enter]))
-        out.append((first, len(out), at, enter == "start", None if step is None else step[2], circular))
-        if step is None or step[0] == first:
-            break
-        at, enter = step[0], step[1]
-    return pd.DataFrame(out, columns=["scaffold", "ord", "seq", "fwd", "gap_after", "circular"]).astype({"gap_after": "Int64"})
+def probe_companion(seq: Column, side: Column) -> Column:
+    """The other side of the same sequence: where a walk that came in by ``side`` goes out."""
+    return F.struct(seq.alias("seq"), F.when(side == "start", "end").otherwise("start").alias("side"))
 
 
 def chains(sequences: DataFrame, c: DataFrame) -> DataFrame:
     """(scaffold, ord, seq, fwd, gap_after, circular): sequences chained by doubly single connections, the rest alone.
 
     A scaffold reads from the tip whose sequence is smaller and is named by it; a ring starts at its smallest
-    sequence, forwards, and its last gap closes it. Chains are found as components; each is one task's walk."""
+    sequence, forwards, and its last gap closes it. Chains are ranked as lists of sequences read in either direction; of the two readings the one
+    with the smaller head stays."""
     links = doubly_single(c)
-    ends = links.where("seq1 != seq2")
-    comps = connected_components(ends, "seq1", "seq2", "chains")
-    rows = ends.join(comps.withColumnRenamed("node", "seq1"), "seq1")
-    walked = rows.groupBy("component").applyInPandas(_walk_chain, "scaffold long, ord int, seq long, fwd boolean, gap_after long, circular boolean")
+    both = links.where("seq1 != seq2")
+    read = lambda seq, fwd: 2 * F.col(seq).cast("long") + F.when(fwd, 0).otherwise(1)
+    there = both.select(read("seq1", F.col("side1") == "end").alias("a"), read("seq2", F.col("side2") == "start").alias("b"), F.col("distance").cast("long").alias("gap_after"))
+    back = both.select(read("seq2", F.col("side2") == "end").alias("a"), read("seq1", F.col("side1") == "start").alias("b"), F.col("distance").cast("long").alias("gap_after"))
+    steps = written(there.unionByName(back), "chain-steps")
+    ranked = written(list_ranks(steps, "chains").withColumn("seq", F.shiftright("node", 1)), "chain-ranks")
+    least = ranked.groupBy("seq").agg(F.min("head").alias("head"))
+    chained = ranked.join(least, ["seq", "head"]).join(steps.select(F.col("a").alias("node"), "gap_after"), "node", "left")
+    chained = chained.select(F.shiftright("head", 1).alias("scaffold"), F.col("pos").cast("int").alias("ord"), "seq", (F.col("node") % 2 == 0).alias("fwd"), "gap_after", "circular")
     ring = links.where("seq1 = seq2 and side1 != side2").select(F.col("seq1").alias("seq"), F.col("distance").cast("long").alias("gap_after"))
-    alone = sequences.select(F.col("seq").cast("long").alias("seq")).join(comps.select(F.col("node").alias("seq")), "seq", "left_anti").join(ring, "seq", "left")
+    alone = sequences.select(F.col("seq").cast("long").alias("seq")).join(least.select("seq"), "seq", "left_anti").join(ring, "seq", "left")
     alone = alone.select(
         F.col("seq").alias("scaffold"), F.lit(0).alias("ord"), "seq", F.lit(True).alias("fwd"), "gap_after", F.col("gap_after").isNotNull().alias("circular")
     )
-    return walked.unionByName(alone)
+    return chained.unionByName(alone)
 
 
 def scaffold_sequences(members: DataFrame, sequences: DataFrame, unknown_gap: int = 100) -> DataFrame:
@@ -203,8 +189,8 @@ def scaffold_sequences(members: DataFrame, sequences: DataFrame, unknown_gap: in
 
 def scaffold_headers(scaffolds: DataFrame) -> DataFrame:
     """``header``: 'scaffold1' or 'circular2', numbered in order from 1."""
-    number = F.row_number().over(Window.orderBy("scaffold"))  # a row a scaffold
-    return scaffolds.withColumn("header", F.concat(F.when(F.col("circular"), "circular").otherwise("scaffold"), number.cast("string")))
+    ranked = global_rank(scaffolds, ["scaffold"], "scaffold-headers", "_number")
+    return ranked.withColumn("header", F.concat(F.when(F.col("circular"), "circular").otherwise("scaffold"), (F.col("_number") + 1).cast("string"))).drop("_number")
 
 
 def probe_pairs(probes: DataFrame) -> DataFrame:

@@ -427,7 +427,18 @@ def unconnected_ends(spark, sf_dir):
     return sc.unconnected_ends(s, c)
 
 
-@query()
+_CHAINS_SQL = f"""WITH RECURSIVE {_ENDS_SQL}, singles AS (SELECT * FROM conn WHERE (seq1, side1) IN (SELECT (seq, side) FROM one) AND (seq2, side2) IN (SELECT (seq, side) FROM one)),
+links AS (SELECT 2 * seq1 + CASE WHEN side1 = 'end' THEN 0 ELSE 1 END AS a, 2 * seq2 + CASE WHEN side2 = 'start' THEN 0 ELSE 1 END AS b, distance FROM singles WHERE seq1 <> seq2
+  UNION ALL SELECT 2 * seq2 + CASE WHEN side2 = 'end' THEN 0 ELSE 1 END, 2 * seq1 + CASE WHEN side1 = 'start' THEN 0 ELSE 1 END, distance FROM singles WHERE seq1 <> seq2),
+lists AS (SELECT a AS node, a AS head, 0 AS pos FROM links WHERE a NOT IN (SELECT b FROM links) UNION ALL SELECT k.b, l.head, l.pos + 1 FROM lists l JOIN links k ON k.a = l.node),
+rest AS (SELECT * FROM links WHERE a NOT IN (SELECT node FROM lists)),
+round AS (SELECT a AS node, a AS head, 0 AS pos FROM rest UNION ALL SELECT k.b, l.head, l.pos + 1 FROM round l JOIN rest k ON k.a = l.node WHERE k.b <> l.head),
+ranked AS (SELECT *, false AS circular FROM lists UNION ALL SELECT node, min(head), min_by(pos, head), true FROM round GROUP BY node),
+best AS (SELECT * FROM ranked QUALIFY head = min(head) OVER (PARTITION BY node >> 1))"""
+
+
+@query(f"""{_CHAINS_SQL} SELECT head >> 1 AS scaffold, CAST(pos AS INTEGER) AS ord, node >> 1 AS seq, node % 2 = 0 AS fwd, links.distance AS gap_after, circular FROM best LEFT JOIN links ON a = node
+UNION ALL SELECT s.seq, 0, s.seq, true, r.distance, r.distance IS NOT NULL FROM seqs s LEFT JOIN singles r ON r.seq1 = s.seq AND r.seq2 = s.seq AND r.side1 <> r.side2 WHERE s.seq NOT IN (SELECT node >> 1 FROM best)""")
 def scaffold_chains(spark, sf_dir):
     """Sequences chained into scaffolds and rings by doubly single connections."""
     s, c = _sequences(spark, sf_dir)
@@ -571,6 +582,14 @@ def built_graph_kmers(spark, sf_dir):
     return kmers.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {DNA_SQL}, {_kmers_sql(51, cols='doc_id')} SELECT least(kmer, {_rc('kmer')}) AS kmer, count(*) AS n FROM km GROUP BY ALL")
+def long_kmer_counts(spark, sf_dir):
+    """Canonical k-mers of 51 bases, counted by minimizers."""
+    from strandflow.operators.superkmers import counted
+
+    return counted(tb.dna(spark, sf_dir), 51)
+
+
 @query()
 def assembled_contigs(spark, sf_dir):
     """Contigs of the graph of orders, single-ended."""
