@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN = "strandflow.local.dir"
+_FOLDERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # a session's folder, which doesn't change
 
 
 def shared_dir(spark: SparkSession) -> str:
+    if (known := _FOLDERS.get(spark)) is not None:
+        return known
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get(_OWN, None)
@@ -26,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
                 raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
             named = "file://" + tempfile.mkdtemp(prefix="strandflow-")
             spark.conf.set(_OWN, named)
-    return named.rstrip("/")
+    _FOLDERS[spark] = named.rstrip("/")
+    return _FOLDERS[spark]
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -42,6 +47,13 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, tag: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``df`` as ``written`` gives it, and aggregates of its rows that the same job takes on the way."""
+    seen = Observation()
+    out = written(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]), tag)
+    return out, seen.get
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes written tables that no later plan reads; other frames have nothing to delete."""
     for df in tables:

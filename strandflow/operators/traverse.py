@@ -177,45 +177,6 @@ def paths_between(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, leash: i
     return done.join(over, "pair_id", "left_anti"), status
 
 
-def heights(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, level, ways) of what is reachable from starts (column node): tips have level 0, others one more than their highest child; ``ways`` counts
-    the paths to tips. Both are null for nodes on or behind a cycle, which have no level."""
-    near = written(reachable(edges, starts), "heights-near")
-    inner = written(edges.join(near.select(F.col("node").alias("src")), "src", "left_semi").distinct(), "heights-edges")
-    needs = inner.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("need"))
-    one = F.lit(1).cast("decimal(38,0)")
-    ready = written(near.join(needs, "node", "left_anti").select("node", F.lit(0).alias("level"), one.alias("ways")), "heights")
-    rest, solved = written(needs.withColumn("ways", F.lit(0).cast("decimal(38,0)")), "heights-rest"), _Grown("heights-solved")
-    for level in range(1, rounds + 1):
-        if not ready.limit(1).count():
-            break
-        solved.add(ready)
-        # the nodes just solved tell their parents, which keep how many children they still wait for
-        told = inner.join(ready.select(F.col("node").alias("dst"), F.col("ways").alias("_w")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n"), F.sum("_w").alias("_w"))
-        open_ = rest.where("need > 0").join(told, "node", "left")
-        old, rest = rest, written(open_.select("node", (F.col("need") - F.coalesce("_n", F.lit(0))).alias("need"), (F.col("ways") + F.coalesce("_w", F.lit(0))).cast("decimal(38,0)").alias("ways")), "heights-rest")
-        forget(old)
-        ready = written(rest.where("need = 0").select("node", F.lit(level).alias("level"), "ways"), "heights")
-    else:
-        raise RuntimeError(_UNFINISHED)
-    return near.join(solved.all(), "node", "left") if solved.parts else near.join(ready, "node", "left")
-
-
-def max_paths(levels: DataFrame, starts: DataFrame) -> DataFrame:
-    """(max_paths, a decimal): the number of different paths from starts to tips."""
-    return levels.join(starts.select("node").distinct(), "node", "left_semi").agg(F.coalesce(F.sum("ways"), F.lit(0)).cast("decimal(38,0)").alias("max_paths"))
-
-
-def min_paths(edges: DataFrame, levels: DataFrame) -> DataFrame:
-    """(min_paths): the greatest number of nodes alive at a level; a node lives from its level until all its parents have come."""
-    known = levels.where("level is not null")
-    parents = edges.join(known.select(F.col("node").alias("src"), F.col("level").alias("p")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("p").alias("level"))
-    gone = parents.join(known.select("node"), "node", "left_semi").select("level", F.lit(-1).alias("d"))
-    change = known.select("level", F.lit(1).alias("d")).unionByName(gone).groupBy("level").agg(F.sum("d").alias("d"))
-    live = change.select(F.sum("d").over(Window.orderBy("level")).alias("live"))  # a row a level
-    return live.agg(F.coalesce(F.max("live"), F.lit(0)).cast("long").alias("min_paths"))
-
-
 def range_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, kind): where walks through the nodes (column node_id) begin ('start') and end ('end'). The range is read in one orientation: of each
     connected part the one that has its smallest node forwards; parts that can be read both ways at once are given in both."""
@@ -231,3 +192,11 @@ def range_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     begin = read.join(inner.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit("start").alias("kind"))
     end = read.join(inner.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit("end").alias("kind"))
     return begin.unionByName(end)
+
+
+def leash_starts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node): where walks through the nodes begin; where none does, as on a ring, the smallest node forwards."""
+    found = written(range_edges(edges, nodes).where("kind = 'start'").select("node"), "leash-starts")
+    if found.limit(1).count():
+        return found
+    return nodes.agg(F.min("node_id").alias("node")).where("node is not null")

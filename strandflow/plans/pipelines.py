@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandflow.functions.sequence import revcomp
 from strandflow.functions.trails import oriented
 from strandflow.lineage import global_rank, written
+from strandflow.operators import cycles as cy
 from strandflow.operators import graph as gr
 from strandflow.operators import orfs as of
 from strandflow.operators import scaffolds as sc
@@ -326,12 +327,10 @@ def sequence(g: AssemblyGraph, paths: DataFrame) -> DataFrame:
 
 
 def count_paths(g: AssemblyGraph, starts: DataFrame | None = None) -> DataFrame:
-    """(min_paths, max_paths) through the graph from starts (column node), or from where the graph begins."""
+    """(min_paths, max_paths) through the graph from starts (column node), or from where the graph begins; cycles are cut open."""
     edges = g.edges()
-    if starts is None:
-        starts = tv.range_edges(edges, g.nodes).where("kind = 'start'").select("node")
-    levels = tv.heights(edges, starts)
-    return tv.min_paths(edges, levels).crossJoin(F.broadcast(tv.max_paths(levels, starts)))  # one row each
+    found = cy.levels(edges, tv.leash_starts(edges, g.nodes) if starts is None else starts)
+    return found.min_paths().crossJoin(F.broadcast(found.max_paths()))  # one row each
 
 
 def find_orfs(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, min_length: int = 96, max_cycles: int = 1, max_paths: int | None = 2196) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import sequence as sq
 from strandflow.functions import trails as tr
+from strandflow.operators import cycles as cy
 from strandflow.operators import graph as gr
 from strandflow.operators import kmers as km
 from strandflow.operators import orfs as of
@@ -321,37 +322,57 @@ def gap_paths(spark, sf_dir):
     return out.select("pair_id", tr.ids_only(F.col("path")).alias("path"))
 
 
-_LEVELS = f"""{THREADS_SQL}, roots AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges)), near AS (SELECT node FROM roots UNION SELECT e.dst FROM near n JOIN edges e ON e.src = n.node),
-reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON e.src = r.b), onto AS (SELECT a AS node FROM reach WHERE a = b), bad AS (SELECT node FROM onto UNION SELECT a FROM reach WHERE b IN (SELECT node FROM onto)),
-walk AS (SELECT node, 0 AS h FROM near WHERE node NOT IN (SELECT src FROM edges) UNION SELECT e.src, w.h + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE e.src IN (SELECT node FROM near) AND e.src NOT IN (SELECT node FROM bad)),
-levels AS (SELECT node, max(h) AS level FROM walk GROUP BY node)"""
+def _loops_sql(n: int) -> str:
+    """Loops of the steps step{n}: the nodes of their cycles with the head of each, which walks come to first, the steps back to it, and step{n + 1}, what is left of them."""
+    return f"""reach{n} AS (SELECT src AS a, dst AS b FROM step{n} UNION SELECT r.a, e.dst FROM reach{n} r JOIN step{n} e ON e.src = r.b),
+  head{n} AS (SELECT r.a AS node, min_by(r.b, (d.d, r.b)) AS head FROM reach{n} r JOIN depth d ON d.node = r.b WHERE EXISTS (SELECT 1 FROM reach{n} x WHERE x.a = r.b AND x.b = r.a) GROUP BY r.a),
+  inner{n} AS (SELECT e.src, e.dst, y.head FROM step{n} e JOIN head{n} x ON x.node = e.src JOIN head{n} y ON y.node = e.dst WHERE x.head = y.head),
+  step{n + 1} AS (SELECT src, dst FROM inner{n} WHERE dst <> head)"""
 
 
-def _heights(spark, sf_dir):
-    """(edges, roots, levels) of the graph of orders."""
+_NESTED = 4  # loops within loops in the graph of orders, at most
+_LEVELS = f"""{THREADS_SQL}, roots AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges)),
+walk AS (SELECT node, 0 AS d FROM roots UNION SELECT e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.d < (SELECT 2 * max(n) FROM (SELECT count(*) AS n FROM thread GROUP BY cust))), depth AS (SELECT node, min(d) AS d FROM walk GROUP BY node),
+inside AS (SELECT * FROM edges WHERE src IN (SELECT node FROM depth)), step0 AS (SELECT * FROM inside WHERE src <> dst), {", ".join(_loops_sql(n) for n in range(_NESTED))},
+cut AS (SELECT src, dst FROM inside WHERE src = dst {" ".join(f"UNION SELECT src, dst FROM inner{n} WHERE dst = head" for n in range(_NESTED))}), kept AS (SELECT * FROM inside EXCEPT SELECT * FROM cut),
+tips AS (SELECT node FROM depth WHERE node NOT IN (SELECT src FROM inside)), opened AS (SELECT node FROM tips UNION SELECT k.src FROM opened o JOIN kept k ON k.dst = o.node),
+told AS (SELECT * FROM kept WHERE src NOT IN (SELECT node FROM opened) OR dst IN (SELECT node FROM opened)),
+up AS (SELECT node, 0 AS h FROM depth WHERE node NOT IN (SELECT src FROM told) UNION SELECT t.src, u.h + 1 FROM up u JOIN told t ON t.dst = u.node), high AS (SELECT node, max(h) AS level FROM up GROUP BY node),
+below AS (SELECT dst AS node FROM kept WHERE src IN (SELECT node FROM opened) AND dst NOT IN (SELECT node FROM opened) UNION SELECT k.dst FROM below b JOIN kept k ON k.src = b.node),
+levels AS (SELECT node, CASE WHEN node NOT IN (SELECT node FROM below) THEN level END AS level FROM high)"""
+
+
+def _levels(spark, sf_dir):
+    """Levels of what the beginnings of the graph of orders come to."""
     e = tb.thread_graph(spark, sf_dir).edges()
-    roots = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
-    return e, roots, tv.heights(e, roots)
+    return cy.levels(e, e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti"))
 
 
-@query(f"WITH RECURSIVE {_LEVELS} SELECT CAST(near.node AS BIGINT) AS node, CAST(level AS BIGINT) AS level FROM near LEFT JOIN levels USING (node)")
+@query(f"WITH RECURSIVE {_LEVELS} SELECT CAST(node AS BIGINT) AS node, CAST(level AS BIGINT) AS level FROM levels")
 def node_heights(spark, sf_dir):
-    """Levels of what the graph's beginnings reach; none on and behind cycles."""
-    return _heights(spark, sf_dir)[2].select(F.col("node").cast("long").alias("node"), F.col("level").cast("long").alias("level"))
+    """Levels of what the graph's beginnings reach, cycles cut open."""
+    return _levels(spark, sf_dir).nodes().select(F.col("node").cast("long").alias("node"), F.col("level").cast("long").alias("level"))
 
 
-@query(f"WITH RECURSIVE {_LEVELS}, p AS (SELECT dst, max(l.level) AS level FROM edges JOIN levels l ON l.node = src WHERE dst IN (SELECT node FROM levels) GROUP BY dst), ch AS (SELECT level, sum(d) AS d FROM (SELECT level, 1 AS d FROM levels UNION ALL SELECT level, -1 FROM p) GROUP BY level), live AS (SELECT sum(d) OVER (ORDER BY level) AS live FROM ch) SELECT CAST(coalesce(max(live), 0) AS BIGINT) AS min_paths FROM live")
+@query(f"WITH RECURSIVE {_LEVELS}, known AS (SELECT * FROM levels WHERE level IS NOT NULL), p AS (SELECT k.dst, min(l.level) AS level FROM kept k JOIN known l ON l.node = k.src WHERE k.dst IN (SELECT node FROM known) GROUP BY k.dst), "
+       "ch AS (SELECT level, sum(d) AS d FROM (SELECT level, 1 AS d FROM known UNION ALL SELECT level, -1 FROM p) GROUP BY level), live AS (SELECT sum(d) OVER (ORDER BY level) AS live FROM ch) SELECT CAST(coalesce(max(live), 0) AS BIGINT) AS min_paths FROM live")
 def min_path_count(spark, sf_dir):
-    e, _, levels = _heights(spark, sf_dir)
-    return tv.min_paths(e, levels)
+    """The greatest number of nodes alive at a level."""
+    return _levels(spark, sf_dir).min_paths()
 
 
-@query(f"WITH RECURSIVE {_LEVELS}, ways AS (SELECT row_number() OVER () AS id, node FROM levels WHERE node IN (SELECT node FROM roots) UNION ALL SELECT w.id, e.dst FROM ways w JOIN edges e ON e.src = w.node) "
-       "SELECT CAST(count(*) AS BIGINT) AS max_paths FROM ways WHERE node NOT IN (SELECT src FROM edges)")
+@query(f"WITH RECURSIVE {_LEVELS}, ways AS (SELECT row_number() OVER () AS id, node FROM levels WHERE node IN (SELECT node FROM roots) AND level IS NOT NULL UNION ALL SELECT w.id, t.dst FROM ways w JOIN told t ON t.src = w.node) "
+       "SELECT CAST(count(*) AS BIGINT) AS max_paths FROM ways WHERE node NOT IN (SELECT src FROM told)")
 def max_path_count(spark, sf_dir):
-    """The number of paths from the graph's beginnings to its tips, where no cycle is in the way."""
-    _, roots, levels = _heights(spark, sf_dir)
-    return tv.max_paths(levels, roots).select(F.col("max_paths").cast("long").alias("max_paths"))
+    """The number of paths from the graph's beginnings to its tips, cycles cut open."""
+    return _levels(spark, sf_dir).max_paths().select(F.col("max_paths").cast("long").alias("max_paths"))
+
+
+@query(f"WITH RECURSIVE {_LEVELS}, loops AS (SELECT src, dst, src AS node FROM cut UNION SELECT l.src, l.dst, k.src FROM loops l JOIN kept k ON k.dst = l.node WHERE l.node <> l.dst), "
+       "led AS (SELECT src, dst, dst AS node FROM cut UNION SELECT l.src, l.dst, k.dst FROM led l JOIN kept k ON k.src = l.node) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(node AS BIGINT) AS node FROM (SELECT * FROM loops INTERSECT SELECT * FROM led)")
+def loop_nodes(spark, sf_dir):
+    """The nodes of each loop of the graph of orders, by the step at which it is cut open."""
+    return _levels(spark, sf_dir).cycles().select(*[F.col(c).cast("long").alias(c) for c in ("src", "dst", "node")])
 
 
 @query(f"WITH RECURSIVE {THREADS_SQL}, ids AS (SELECT node_id AS node FROM nodes UNION ALL SELECT -node_id FROM nodes), either AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT node AS a, node AS b FROM ids UNION SELECT r.a, e.b FROM reach r JOIN either e ON e.a = r.b), "

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.lineage import forget, written
+from strandflow.lineage import forget, measured, written
 
 
 def list_ranks(links: DataFrame, tag: str, rounds: int = 64) -> DataFrame:
@@ -24,22 +24,24 @@ def list_ranks(links: DataFrame, tag: str, rounds: int = 64) -> DataFrame:
     closed = [heads, written(firsts, f"{tag}-closed")]
     rest = one.join(closed[1].select("node"), "node", "left_anti")
     # the way back from a node to ptr, which it leaves out: its length, its smallest node, and how far back that is
-    live = written(rest.select("node", "ptr", F.lit(1).cast("long").alias("dist"), F.col("node").alias("low"), F.lit(0).cast("long").alias("back"), F.lit(True).alias("news")), f"{tag}-live")
+    count = F.count(F.lit(1))
+    live = rest.select("node", "ptr", F.lit(1).cast("long").alias("dist"), F.col("node").alias("low"), F.lit(0).cast("long").alias("back"), F.lit(True).alias("news"))
+    live, seen = measured(live, f"{tag}-live", n=count, news=F.count_if("news"))
     moving = True
     for _ in range(rounds):
-        if not live.limit(1).count():
+        if not seen["n"]:
             break
         if moving:
             known = reduce(DataFrame.unionByName, closed).select(F.col("node").alias("ptr"), "head", F.col("pos").alias("_pos"))
             done = live.join(known, "ptr").select("node", "head", (F.col("dist") + F.col("_pos")).alias("pos"), F.lit(False).alias("circular"))
-            done = written(done, f"{tag}-closed")
-            moving = bool(done.limit(1).count())
+            done, found = measured(done, f"{tag}-closed", n=count)
+            moving = found["n"] > 0
             if moving:
                 closed.append(done)
                 if len(closed) > 8:
                     closed, old = [written(reduce(DataFrame.unionByName, closed), f"{tag}-closed")], closed
                     forget(*old)
-        elif not live.where("news").limit(1).count():
+        elif not seen["news"]:
             closed.append(live.select("node", F.col("low").alias("head"), F.col("back").alias("pos"), F.lit(True).alias("circular")))
             break
         ahead = live.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("low").alias("_low"), F.col("back").alias("_back"))
@@ -48,7 +50,8 @@ def list_ranks(links: DataFrame, tag: str, rounds: int = 64) -> DataFrame:
             "node", F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"), F.when(nearer, F.col("low")).otherwise(F.col("_low")).alias("low"),
             F.when(nearer, F.col("back")).otherwise(F.col("dist") + F.col("_back")).alias("back"), (F.col("_low") < F.col("low")).alias("news"),
         )
-        old, live = live, written(both, f"{tag}-live")
+        old = live
+        live, seen = measured(both, f"{tag}-live", n=count, news=F.count_if("news"))
         forget(old)
     else:
         raise RuntimeError("the lists aren't ranked after so many rounds")

@@ -5,6 +5,7 @@ import pytest
 from helpers import graph, local, paths
 from strandflow.operators import graph as gr
 from strandflow.operators import pairs as pr
+from strandflow.operators import cycles as cy
 from strandflow.operators import traverse as tv
 
 
@@ -63,19 +64,6 @@ def test_paths_between(spark):
     assert not found.collect() and status.first().max_paths_exceeded
 
 
-def test_heights_and_path_counts(spark):
-    e = forward(spark, "13 23 34 35 46 56 67")
-    s = spark.createDataFrame([(1,), (2,)], "node int")
-    levels = tv.heights(e, s)
-    assert {r.node: r.level for r in levels.collect()} == {7: 0, 6: 1, 4: 2, 5: 2, 3: 3, 1: 4, 2: 4}
-    assert tv.max_paths(levels, s).first()[0] == 4 and tv.min_paths(e, levels).first()[0] == 2
-
-
-def test_cycles_have_no_level(spark):
-    levels = tv.heights(forward(spark, "12 23 32 34"), spark.createDataFrame([(1,)], "node int"))
-    assert {r.node: r.level for r in levels.collect()} == {1: None, 2: None, 3: None, 4: 0}
-
-
 def test_range_edges(spark):
     g = graph(spark, "13 23 34 43 45 46")
     got = sorted((r.kind, r.node) for r in tv.range_edges(g.edges(), g.nodes).collect())
@@ -133,7 +121,7 @@ def test_unfinished_traversals_raise(spark):
     s = spark.createDataFrame([(1,)], "node int")
     for run in (
         lambda: tv.min_distances(g.edges(), g.nodes, starts(spark, 1), rounds=2), lambda: tv.reachable(g.edges(), s, rounds=2), lambda: tv.explore(g.edges(), g.nodes, starts(spark, 1), 7, 1000, rounds=2),
-        lambda: tv.paths_between(g.edges(), g.nodes, spark.createDataFrame([(1, 1, 6)], "pair_id int, start int, stop int"), 1000, rounds=2), lambda: tv.heights(forward(spark, "12 23 34 45"), s, rounds=2),
+        lambda: tv.paths_between(g.edges(), g.nodes, spark.createDataFrame([(1, 1, 6)], "pair_id int, start int, stop int"), 1000, rounds=2), lambda: cy.levels(forward(spark, "12 13 24 34 45 46 57 67"), s, rounds=2),
     ):
         with pytest.raises(RuntimeError, match="isn't finished"):
             run()
@@ -146,8 +134,3 @@ def test_distances_over_many_rounds(spark, monkeypatch):
     e = spark.createDataFrame(arcs, "src int, dst int")
     nodes = spark.createDataFrame([(n, 10 if n != 3 else 100) for n in range(1, 13)], "node_id int, length int")
     assert as_dict(tv.min_distances(e, nodes, starts(spark, 1))) == {1: 0, 2: 0, 3: 10} | {n: 110 + 10 * (n - 4) for n in range(4, 9)} | {n: 110 + 10 * (n - 9) for n in range(9, 13)}
-
-
-def test_counts_of_many_paths_are_decimals(spark):
-    levels = spark.createDataFrame([(1, 0, Decimal(2**70)), (2, 0, Decimal(5))], "node int, level int, ways decimal(38,0)")
-    assert tv.max_paths(levels, spark.createDataFrame([(1,)], "node int")).first()[0] == 2**70
