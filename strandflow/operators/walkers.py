@@ -135,7 +135,7 @@ def paths_between(
                 return PathSet([], circular, True, explored)
         explored += 1
         if max_explore_nodes is not None and explored > max_explore_nodes:
-            return PathSet([], circular, False, explored)
+            return PathSet([], circular, True, explored)
         if path[-1] == stop and len(path) > 1:
             continue
         here = used + g.length[abs(path[-1])]
@@ -318,6 +318,11 @@ class Bubble:
                 found = stack.pop()[1:-1]
                 yield [-n for n in reversed(found)] if self.turned else found
 
+    def steps(self) -> list[tuple[int, int]]:
+        """The arcs of all paths, from the fork to the end: they say what the paths are, however many these are."""
+        found = [(self.fork if p is None else p, n) for n, ps in self.before.items() for p in ps]
+        return sorted({(-b, -a) for a, b in found} if self.turned else set(found))
+
     def reference(self) -> list[int]:
         return next(self.paths())
 
@@ -373,13 +378,18 @@ class MetaPath:
         return MetaPath(parts, self.fate)
 
     def shorthand(self) -> str:
+        """Nodes in turn, and bubbles with each of their paths, which may be very many: '1s,{2s|3s},4s'."""
         return ",".join("{" + "|".join(map(_trail, p.paths())) + "}" if isinstance(p, Bubble) else _trail([p]) for p in self.parts)
 
+    def by_steps(self) -> str:
+        """Nodes in turn, and bubbles by their steps: '1s,{1s>2s|1s>3s|2s>4s|3s>4s},4s'."""
+        return ",".join("{" + "|".join(f"{_trail([a])}>{_trail([b])}" for a, b in p.steps()) + "}" if isinstance(p, Bubble) else _trail([p]) for p in self.parts)
+
     def nested(self, g: LocalGraph) -> list[dict]:
-        """The parts with their coverages: regular nodes, and bubbles with each of their paths."""
-        of = lambda q: MetaPath(q).coverage(g) if q else None
+        """The parts with their coverages: regular nodes, and bubbles with their steps and nodes."""
+        node = lambda n: {"node": _trail([n]), "coverage": g.coverage[abs(n)]}
         return [
-            {"type": "bubble", "paths": [{"nodes": _trail(q), "coverage": of(q)} for q in p.paths()]} if isinstance(p, Bubble) else {"type": "regular", "node": _trail([p]), "coverage": g.coverage[abs(p)]}
+            {"type": "bubble", "steps": [[_trail([a]), _trail([b])] for a, b in p.steps()], "nodes": [node(n) for n in sorted(p.nodes())]} if isinstance(p, Bubble) else {"type": "regular", **node(p)}
             for p in self.parts
         ]
 
@@ -457,6 +467,8 @@ def assemble_bubbly(g: LocalGraph, path: list, opts: AssembleOptions = AssembleO
             bubble, close, fate = find_bubble(g, at, opts, nexts)
             if bubble is None:
                 return MetaPath(parts, fate)
+            if close in seen:  # it leads round to what was passed
+                return MetaPath(parts, "circuit")
             parts.append(bubble)
             seen |= bubble.nodes()
             nexts = [close]
@@ -576,7 +588,7 @@ def per_start(graph: AssemblyGraph, walk: Callable[[LocalGraph], pd.DataFrame],
 
 def assembled(graph: AssemblyGraph, opts: AssembleOptions = AssembleOptions(), bubbly: bool = False, starts: DataFrame | None = None) -> DataFrame:
     """(path, fate, shorthand, nested, coverage): contigs of the whole graph, or those walked from ``starts`` (start_id, node) alone; with ``bubbly`` through bubbles,
-    of which ``path`` takes the best covered way and ``nested``, a JSON text, has all."""
+    of which ``path`` takes the best covered way and ``nested``, a JSON text, has the steps."""
 
     alone = starts is not None
 
@@ -586,7 +598,7 @@ def assembled(graph: AssemblyGraph, opts: AssembleOptions = AssembleOptions(), b
             found = [assemble_bubbly(g, t, opts) for t in trails] if alone else assemble_all_bubbly(g, opts)
         else:
             found = (MetaPath(p, "end") for p in ([assemble_from(g, t, opts) for t in trails] if alone else assemble_all(g, opts)))
-        rows = [(m.reference(), m.fate, m.shorthand(), json.dumps(m.nested(g)), m.coverage(g)) for m in found]
+        rows = [(m.reference(), m.fate, m.by_steps(), json.dumps(m.nested(g)), m.coverage(g)) for m in found]
         return pd.DataFrame(rows, columns=["path", "fate", "shorthand", "nested", "coverage"])
 
     probes = None if starts is None else starts.select(F.col("start_id").alias("probe_idx"), "node", F.lit(0).alias("offset"))

@@ -38,7 +38,7 @@ def contig_stats(contigs: DataFrame) -> DataFrame:
 
 
 def nested_lines(contigs: DataFrame) -> DataFrame:
-    """``value``: a JSON object for each contig (name, nested): its parts, regular nodes or bubbles with all their paths, and their coverages."""
+    """``value``: a JSON object for each contig (name, nested): its parts, regular nodes or bubbles with their steps and nodes, and their coverages."""
     name = F.regexp_replace(F.to_json(F.struct(F.col("name").alias("contig_name"))), r"\}$", "")
     return contigs.select(F.concat(name, F.lit(',"graph":'), "nested", F.lit("}")).alias("value"))
 

@@ -72,10 +72,10 @@ def test_contigs_from_one_start_and_nested_text(spark):
     starts = spark.createDataFrame([(0, 1)], "start_id int, node int")
     opts = wk.AssembleOptions(max_tip_length=5, min_contig_size=0)
     r = pl.assemble(g, opts, bubbly=True, starts=starts).collect()
-    assert [x.shorthand for x in r] == ["1s,{2s|3s},4s,5s"]
+    assert [x.shorthand for x in r] == ["1s,{1s>2s|1s>3s|2s>4s|3s>4s},4s,5s"]
     line = json.loads(sinks.nested_lines(pl.assemble(g, opts, bubbly=True, starts=starts)).first().value)
     assert line["contig_name"] == "contig_1" and [x["type"] for x in line["graph"]] == ["regular", "bubble", "regular", "regular"]
-    assert [x["nodes"] for x in line["graph"][1]["paths"]] == ["2s", "3s"] and line["graph"][0] == {"type": "regular", "node": "1s", "coverage": 5 / 60}
+    assert [x["node"] for x in line["graph"][1]["nodes"]] == ["2s", "3s"] and line["graph"][1]["steps"] == [["1s", "2s"], ["1s", "3s"], ["2s", "4s"], ["3s", "4s"]] and line["graph"][0] == {"type": "regular", "node": "1s", "coverage": 5 / 60}
     assert [x.shorthand for x in pl.assemble(g, opts, starts=starts).collect()] == ["1s"]
 
 

@@ -106,6 +106,27 @@ def test_bubble_closes():
     assert sorted(m.parts[2].paths()) == [[3, 4], [5, 4], [5, 6]] and m.fate == "dead end"
 
 
+def test_bubble_that_leads_back_to_its_fork_is_a_circuit():
+    g = local("12 23 24 35 45 52 36")  # both ways on from 2 meet at 5, which leads to 2 alone; 6 is a tip
+    for limit in (-1, 5, 15):
+        m = wk.assemble_bubbly(g, [1], wk.AssembleOptions(max_tip_length=limit, bubble_node_limit=None))
+        assert len(m.parts) < 8 and m.fate is not None
+    rng = random.Random(1)
+    for _ in range(300):
+        arcs = [(rng.randint(1, 7), rng.choice((1, 1, -1)) * rng.randint(1, 7)) for _ in range(rng.randint(4, 14))]
+        g = wk.LocalGraph.of(7, [(n, 10, 5.0) for n in range(1, 8)], arcs)
+        for m in wk.assemble_all_bubbly(g, wk.AssembleOptions(max_tip_length=rng.choice((-1, 5, 25)), min_contig_size=0)):
+            assert len(m.parts) < 40 and len(m.by_steps()) < 4000
+
+
+def test_bubbles_of_many_paths_are_written_as_steps():
+    arcs = [(3 * i + a, 3 * i + b) for i in range(40) for a, b in ((1, 2), (1, 3), (2, 4), (3, 4))] + [(1000, 1), (1000, 1001), (1001, 121)]
+    g = wk.LocalGraph.of(7, [(n, 1000 if n == 121 else 1, 5.0) for n in {122} | {n for a in arcs for n in a}], [*arcs, (121, 122)])
+    m = wk.assemble_bubbly(g, [1000], wk.AssembleOptions(max_tip_length=-1, bubble_node_limit=None, bubble_fork_limit=None, max_bubble_length=10_000))
+    assert m.parts[0] == 1000 and m.parts[2:] == [121, 122]
+    assert m.by_steps().count(">") == len(arcs) and len(m.nested(g)[1]["nodes"]) == 121
+
+
 BUBBLES = [  # fixed values: arcs, the contig from node 1 and its fate, where tips of 11 bases are left aside
     ("1-2 2-3 1-4 4-6 6-5 5-3 3-7 7-8", "1s,{2s|4s,6s,5s},3s,7s,8s", "dead end"),  # branches of different length
     ("1-2 2-3 1-4 4-3 3-5 4-99", "1s,{2s|4s},3s,5s", "dead end"),
