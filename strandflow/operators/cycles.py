@@ -24,12 +24,13 @@ def _empty(df: DataFrame) -> bool:
 
 
 def spread(steps: DataFrame, values: DataFrame, tag: str, rounds: int = 10_000) -> DataFrame:
-    """(node, value): the smallest value that comes to each node along steps (src, dst, w), each of which adds its w; values (node, value)."""
+    """(node, value): the smallest value that comes to each node along steps (src, dst, and w where each adds its own to the value); values (node, value)."""
+    more = (lambda v: F.col(v) + F.col("w")) if "w" in steps.columns else F.col
     kind = values.schema["value"].dataType
     cur = written(values.groupBy("node").agg(F.min("value").alias("value")).withColumn("moved", F.lit(True)), tag)
     for _ in range(rounds):
-        once = cur.where("moved").join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("value") + F.col("w")).cast(kind).alias("_v"))
-        twice = once.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("_v") + F.col("w")).cast(kind).alias("_v"))  # two steps a round
+        once = cur.where("moved").join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), more("value").cast(kind).alias("_v"))
+        twice = once.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), more("_v").cast(kind).alias("_v"))  # two steps a round
         told = once.unionByName(twice).select("node", F.col("_v").alias("value"), F.lit(None).cast(kind).alias("was"))
         both = cur.select("node", "value", F.col("value").alias("was")).unionByName(told).groupBy("node").agg(F.min("value").alias("value"), F.min("was").alias("was"))
         new = both.select("node", "value", (F.col("was").isNull() | (F.col("value") < F.col("was"))).alias("moved"))
@@ -58,11 +59,11 @@ def strongly_connected(edges: DataFrame, tag: str = "scc", rounds: int = 10_000)
         if not n:
             break
         nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
-        colour = written(spread(left.withColumn("w", F.lit(0)), nodes.select("node", F.col("node").alias("value")), f"{tag}-colours"), f"{tag}-coloured")
+        colour = written(spread(left, nodes.select("node", F.col("node").alias("value")), f"{tag}-colours"), f"{tag}-coloured")
         of = lambda end: colour.select(F.col("node").alias(end), F.col("value").alias(f"_{end}"))
         same = written(left.join(of("src"), "src").join(of("dst"), "dst").where("_src = _dst").select("src", "dst", F.col("_src").alias("c")), f"{tag}-same")
         roots = colour.where("node = value").select("node", F.lit(0).alias("value"))
-        part = written(spread(same.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("w")), roots, f"{tag}-back").select("node").join(colour, "node"), f"{tag}-parts")
+        part = written(spread(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots, f"{tag}-back").select("node").join(colour, "node"), f"{tag}-parts")
         found.append(part)
         gone = part.select("node")
         rest = same.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
@@ -235,7 +236,7 @@ def levels(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> Levels:
     first = kept.join(known.select(F.col("head").alias("src"), F.col("level").alias("_p")), "src").groupBy(F.col("dst").alias("head")).agg(F.min("_p").alias("first"))
     beside = kept.join(open_.withColumnRenamed("head", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(open_.withColumnRenamed("head", "node"), "node", "left_anti")
     beside = written(beside.withColumn("value", F.lit(0)), "levels-beside")
-    shut = beside if _empty(beside) else spread(kept.withColumn("w", F.lit(0)), beside, "levels-shut")
+    shut = beside if _empty(beside) else spread(kept, beside, "levels-shut")
     shut = shut.select(F.col("node").alias("head"), F.lit(True).alias("_shut"))
     rows = known.join(first, "head", "left").join(lists.select("head", "tail"), "head").join(shut, "head", "left").join(starts.select(F.col("node").alias("head"), F.lit(True).alias("_start")), "head", "left")
     out = rows.select("head", "n", "tail", F.when(F.col("_shut").isNull(), F.col("level")).alias("level"), F.when(F.col("_shut").isNull(), F.col("ways")).alias("ways"), "first", F.coalesce("_start", F.lit(False)).alias("start"))

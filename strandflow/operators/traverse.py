@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.lineage import connected_components, forget, written
+from strandflow.lineage import connected_components, forget, measured, written
 
 _UNFINISHED = "the traversal isn't finished after so many rounds"
 
@@ -155,15 +155,20 @@ def explore(edges: DataFrame, nodes: DataFrame, starts: DataFrame, k: int, leash
 
 def paths_between(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, leash: int, max_paths: int | None = 2196, rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Acyclic paths for pairs (pair_id, start, stop) whose node lengths before the last add up to the leash at most: (pair_id, path), and
-    (pair_id, max_paths_exceeded). A pair with more than ``max_paths`` has none."""
-    steps = written(edges.join(_lengths(nodes), F.abs("src") == F.col("_id")).select("src", "dst", "_len"), "paths-steps")
-    live = written(pairs.select("pair_id", "stop", F.array("start").alias("path"), F.lit(0).cast("long").alias("bp")), "paths")
+    (pair_id, max_paths_exceeded). A pair with more than ``max_paths`` has none. Paths are read back from the steps that lead to their goal within the leash."""
+    from strandflow.operators.programme import path_steps
+
+    ends = pairs.select("pair_id", "start", "stop")
+    steps = path_steps(edges, nodes, ends, leash).join(_lengths(nodes), F.abs("src") == F.col("_id")).select("pair_id", "src", "dst", "rest", "_len")
+    steps = written(steps, "paths-steps")
+    live = written(ends.select("pair_id", "stop", F.array("start").alias("path"), F.lit(0).cast("long").alias("bp")), "paths")
     done = live.where("element_at(path, -1) = stop")
     for _ in range(rounds):
-        ext = live.where("element_at(path, -1) != stop").join(steps, F.element_at("path", -1) == F.col("src")).where("not array_contains(path, dst)")
-        ext = ext.select("pair_id", "stop", F.array_append("path", F.col("dst")).alias("path"), (F.col("bp") + F.col("_len")).alias("bp")).where(F.col("bp") <= leash)
-        live = written(ext, "paths")
-        if not live.limit(1).count():
+        on = live.where("element_at(path, -1) != stop").withColumn("src", F.element_at("path", -1))
+        ext = on.join(steps, ["pair_id", "src"]).where("not array_contains(path, dst)").where(F.col("bp") + F.col("_len") + F.col("rest") <= leash)
+        ext = ext.select("pair_id", "stop", F.array_append("path", F.col("dst")).alias("path"), (F.col("bp") + F.col("_len")).alias("bp"))
+        live, seen = measured(ext, "paths", n=F.count(F.lit(1)))
+        if not seen["n"]:
             break
         done = done.unionByName(live.where("element_at(path, -1) = stop"))
     else:

@@ -15,6 +15,7 @@ from strandflow.operators import pairs as pr
 from strandflow.operators import scaffolds as sc
 from strandflow.operators import traverse as tv
 from strandflow.operators import variants as va
+from strandflow.operators.programme import path_counts, path_steps
 from strandflow.plans import tables as tb
 from strandflow.plans.tables import ARCS_SQL, CONN_SQL, CONTIG_SQL, DNA_SQL, NODES_SQL, PLACED_SQL, SCAF_SQL, THREADS_SQL
 
@@ -322,6 +323,37 @@ def gap_paths(spark, sf_dir):
     return out.select("pair_id", tr.ids_only(F.col("path")).alias("path"))
 
 
+_PROGRAMME = f"""{THREADS_SQL}, pairs AS (SELECT source AS pair_id, start, stop FROM starts JOIN stops USING (source) WHERE start <> stop),
+ahead AS (SELECT pair_id, start AS node, stop, CAST(0 AS BIGINT) AS d FROM pairs UNION SELECT a.pair_id, e.dst, a.stop, a.d + n.length FROM ahead a JOIN edges e ON e.src = a.node JOIN nodes n ON n.node_id = abs(e.src) WHERE a.node <> a.stop AND a.d + n.length <= 100),
+fwd AS (SELECT pair_id, node, min(d) AS used FROM ahead GROUP BY ALL),
+behind AS (SELECT pair_id, stop AS node, CAST(0 AS BIGINT) AS d FROM pairs UNION SELECT b.pair_id, e.src, b.d + n.length FROM behind b JOIN edges e ON e.dst = b.node JOIN nodes n ON n.node_id = abs(e.src) WHERE b.d + n.length <= 100),
+bwd AS (SELECT pair_id, node, min(d) AS rest FROM behind GROUP BY ALL),
+steps AS (SELECT f.pair_id, e.src, e.dst, f.used + n.length AS used, b.rest FROM fwd f JOIN pairs p ON p.pair_id = f.pair_id AND f.node <> p.stop JOIN edges e ON e.src = f.node JOIN nodes n ON n.node_id = abs(e.src)
+  JOIN bwd b ON b.pair_id = f.pair_id AND b.node = e.dst WHERE f.used + n.length + b.rest <= 100)"""
+
+
+def _programme(spark, sf_dir):
+    g, pairs = tb.thread_graph(spark, sf_dir), tb.thread_pairs(spark, sf_dir)
+    return path_steps(g.edges(), g.nodes, pairs, 100), pairs
+
+
+@query(f"WITH RECURSIVE {_PROGRAMME} SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(used AS BIGINT) AS used, CAST(rest AS BIGINT) AS rest FROM steps")
+def gap_path_steps(spark, sf_dir):
+    """The steps of all walks within a leash from each customer's first order to the last."""
+    return _programme(spark, sf_dir)[0].select(*[F.col(c).cast("long").alias(c) for c in ("pair_id", "src", "dst", "used", "rest")])
+
+
+@query(f"WITH RECURSIVE {_PROGRAMME}, reach AS (SELECT pair_id, src AS a, dst AS b FROM steps UNION SELECT r.pair_id, r.a, s.dst FROM reach r JOIN steps s ON s.pair_id = r.pair_id AND s.src = r.b), "
+       "round AS (SELECT DISTINCT pair_id FROM reach WHERE a = b), ways AS (SELECT pair_id, start AS node FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM round) UNION ALL SELECT w.pair_id, s.dst FROM ways w JOIN steps s ON s.pair_id = w.pair_id AND s.src = w.node), "
+       "n AS (SELECT p.pair_id, count(*) AS n FROM ways w JOIN pairs p ON p.pair_id = w.pair_id AND w.node = p.stop GROUP BY p.pair_id), least AS (SELECT s.pair_id, min(used) AS least FROM steps s JOIN pairs p ON p.pair_id = s.pair_id AND s.dst = p.stop GROUP BY s.pair_id) "
+       "SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(least AS BIGINT) AS least, CASE WHEN pair_id NOT IN (SELECT pair_id FROM round) THEN CAST(coalesce(n, 0) AS BIGINT) END AS paths, pair_id IN (SELECT pair_id FROM round) AS circular FROM pairs LEFT JOIN n USING (pair_id) LEFT JOIN least USING (pair_id)")
+def gap_path_counts(spark, sf_dir):
+    """The shortest path and the number of paths from each customer's first order to the last, none being listed; the number is given where there is no cycle."""
+    steps, pairs = _programme(spark, sf_dir)
+    c = path_counts(steps, pairs)
+    return c.select(F.col("pair_id").cast("long").alias("pair_id"), "least", F.when(~F.col("circular"), F.col("paths").cast("long")).alias("paths"), "circular")
+
+
 def _loops_sql(n: int) -> str:
     """Loops of the steps step{n}: the nodes of their cycles with the head of each, which walks come to first, the steps back to it, and step{n + 1}, what is left of them."""
     return f"""reach{n} AS (SELECT src AS a, dst AS b FROM step{n} UNION SELECT r.a, e.dst FROM reach{n} r JOIN step{n} e ON e.src = r.b),
