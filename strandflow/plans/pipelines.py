@@ -33,18 +33,31 @@ def probed_graph(reads: DataFrame, probes: DataFrame, k: int = 51, coverage_cuto
     return g, found
 
 
-def wander(scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float = 3.5, overhang: int = 200, leash: int = 20_000, recoherence: int | None = None) -> dict[str, DataFrame]:
+def wander(
+    scaffolds: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float = 3.5, overhang: int = 200, leash: int = 20_000, recoherence: int | None = 1,
+    unscaffold_first: bool = False, proceed_on_short_contigs: bool = False,
+) -> dict[str, DataFrame]:
     """Which contig ends connect, how far apart, and the scaffolds that follow: connections (seq1, side1, seq2, side2, distance) and members.
 
-    Scaffolds: (scaffold_idx, name, seq). A distance spans from probe start to probe start along the graph, less k."""
-    contigs = scaffolds.select("scaffold_idx", F.lit(0).alias("contig_idx"), "seq").where(F.length("seq") >= 2 * overhang)
+    Scaffolds: (scaffold_idx, name, seq); with ``unscaffold_first`` their contigs are connected instead, numbered as ``sequences`` (seq, name). Sequences shorter than two overhangs raise, or
+    with ``proceed_on_short_contigs`` have no probes and stay members of their own. A distance spans from probe start to probe start along the graph, less k."""
+    if unscaffold_first:
+        broken = sc.contig_names(sc.break_scaffolds(scaffolds)).select(F.col("contig_name").alias("name"), "seq", "scaffold_idx", "start")
+        rows = global_rank(broken, ["scaffold_idx", "start"], "wander-contigs").select(F.col("rank").alias("scaffold_idx"), "name", "seq")
+    else:
+        rows = scaffolds.select("scaffold_idx", "name", "seq")
+    rows = written(rows, "wander-sequences")
+    short = rows.where(F.length("seq") < 2 * overhang).limit(1).collect()
+    if short and not proceed_on_short_contigs:
+        raise ValueError(f"sequence {short[0]['name']} is shorter than two overhangs of {overhang} bases")
+    contigs = rows.select("scaffold_idx", F.lit(0).alias("contig_idx"), "seq").where(F.length("seq") >= 2 * overhang)
     probes = sc.end_probes(contigs, overhang)
     g, found = probed_graph(reads, probes, k, coverage_cutoff)
     named = found.join(probes.select((F.col("probe_no") - 1).alias("probe_idx"), "scaffold_idx", "side"), "probe_idx").where("node_id is not null")
     near = connections_between(g, named, leash, recoherence)
     c = near.select("seq1", "side1", "seq2", "side2", "distance")
-    members = sc.chains(contigs.select(F.col("scaffold_idx").cast("long").alias("seq")), sc.canonical_connections(c))
-    return {"connections": c, "members": members}
+    members = sc.chains(rows.select(F.col("scaffold_idx").cast("long").alias("seq")), sc.canonical_connections(c))
+    return {"connections": c, "members": members, "sequences": rows.select(F.col("scaffold_idx").alias("seq"), "name")}
 
 
 def connections_between(g: AssemblyGraph, probes: DataFrame, leash: int, recoherence: int | None = None, largest: int = 100_000) -> DataFrame:
@@ -89,9 +102,10 @@ def gap_paths(g: AssemblyGraph, ends: DataFrame, leash: int = 20_000, max_cycles
 
 def fills(g: AssemblyGraph, gaps: DataFrame, leash: int = 20_000, max_paths: int = 10, max_coverage: bool = False, max_cycles: int = 1, max_explore_nodes: int | None = None, recoherence: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What stands between two probes, (gap_id, paths, fill), and the variants that its paths imply, (gap_id, pos, type, seq, del_len), for gaps
-    (gap_id, start, stop as signed nodes, left, right): the probe before the gap and the reverse complement of the one behind it.
+    (gap_id, start, stop as signed nodes, left, right, left_at, right_at): the probe before the gap and the reverse complement of the one behind it, and how many bases of the first node stand ahead of the
+    one and of the last node behind the other.
 
-    A gap is filled where 1 to ``max_paths`` paths are found and each holds both probes one after the other: by the only path, by the best covered
+    A gap is filled where 1 to ``max_paths`` paths are found and each holds both probes at their places, one after the other: by the only path, by the best covered
     one with ``max_coverage``, or by the consensus of all, N where they differ and nothing where most have a gap."""
     paths = gap_paths(g, gaps.select("gap_id", "start", "stop"), leash, max_cycles, max_paths, max_explore_nodes, recoherence).where("path is not null")
     paths = written(paths.withColumn("path_id", F.xxhash64("gap_id", "path")), "fill-paths")
@@ -99,10 +113,10 @@ def fills(g: AssemblyGraph, gaps: DataFrame, leash: int = 20_000, max_paths: int
         paths = paths.join(gr.best_covered(paths, g.nodes, "gap_id"), ["gap_id", "path_id"], "left_semi")
     size = gr.trail_coverage(paths, g.nodes).where(F.col("bp") >= g.k - 1).select("path_id")  # a shorter path has no sequence
     seqs = gr.trail_sequences(paths.join(size, "path_id", "left_semi"), g.nodes, g.k)
-    rows = paths.join(seqs, "path_id", "left").join(gaps.select("gap_id", "left", "right"), "gap_id")
-    begin = F.expr("locate(left, seq) + length(left)")
-    rows = rows.withColumn("_from", F.when(F.expr("locate(left, seq) > 0"), begin)).withColumn("_to", F.expr("locate(right, seq, _from)"))
-    rows = rows.select("gap_id", "path_id", F.when(F.expr("_from is not null and _to > 0"), F.expr("substr(seq, _from, _to - _from)")).alias("fill"))
+    rows = paths.join(seqs, "path_id", "left").join(gaps.select("gap_id", "left", "right", "left_at", "right_at"), "gap_id")
+    rows = rows.withColumn("_from", F.col("left_at") + F.length("left")).withColumn("_to", F.length("seq") - F.col("right_at") - F.length("right"))
+    held = "_from <= _to and substr(seq, cast(left_at + 1 as int), length(left)) = left and substr(seq, cast(_to + 1 as int), length(right)) = right"
+    rows = rows.select("gap_id", "path_id", F.when(F.expr(held), F.expr("substr(seq, cast(_from + 1 as int), cast(_to - _from as int))")).alias("fill"))
     rows = written(rows, "fill-candidates")
     found = rows.groupBy("gap_id").agg(F.count("*").alias("paths"), F.count("fill").alias("whole"), F.min("fill").alias("one"), F.max("fill").alias("other")).where("paths = whole")
     same = found.where("one = other").select("gap_id", "paths", F.col("one").alias("fill"))
@@ -115,20 +129,20 @@ def fills(g: AssemblyGraph, gaps: DataFrame, leash: int = 20_000, max_paths: int
 
 def _contig_probes(scaffolds: DataFrame, reads: DataFrame, k: int, coverage_cutoff: float, overhang: int) -> tuple[DataFrame, AssemblyGraph, DataFrame]:
     """(contigs, graph, probes): the scaffolds' contigs, the graph of the reads with probes at both ends of contigs of two overhangs or more, and the
-    probes (scaffold_idx, contig_idx, side, seq, probe_idx, node, offset, first, last) that are on a node, with whether their contig is a scaffold's first or last."""
+    probes (scaffold_idx, contig_idx, side, seq, probe_idx, node, offset, place, first, last) that are on a node, with whether their contig is a scaffold's first or last."""
     contigs = written(sc.break_scaffolds(scaffolds), "contigs")
     probes = written(sc.end_probes(sc.long_contigs(contigs, overhang), overhang), "contig-probes")
     g, found = probed_graph(reads, probes.select("probe_no", "seq"), k, coverage_cutoff)
-    found = found.where("node_id is not null").select("probe_idx", "node_id", "fwd", oriented(F.col("node_id"), F.col("fwd")).alias("node"), F.coalesce("offset", F.lit(0)).alias("offset"))
+    found = found.where("node_id is not null").select("probe_idx", "node_id", "fwd", oriented(F.col("node_id"), F.col("fwd")).alias("node"), F.coalesce("offset", F.lit(0)).alias("offset"), (F.coalesce("offset", F.lit(0)) - F.coalesce("start_coord", F.lit(0))).alias("place"))
     ends = contigs.select("scaffold_idx", "contig_idx", (F.col("contig_idx") == 0).alias("first"), (F.col("contig_idx") + 1 == F.col("contigs")).alias("last"))
     at = probes.withColumn("probe_idx", F.col("probe_no") - 1).drop("probe_no").join(found, "probe_idx").join(ends, ["scaffold_idx", "contig_idx"])
     return contigs, g, written(at, "probes-found")
 
 
 def _inner_gaps(probes: DataFrame) -> DataFrame:
-    """(gap_id, scaffold_idx, contig_idx, start, stop, left, right): gaps between consecutive contigs whose probes were found; contig_idx is that before the gap."""
-    before = probes.where("side = 'end'").select("scaffold_idx", "contig_idx", F.col("node").alias("start"), F.col("seq").alias("left"))
-    behind = probes.where("side = 'start'").select("scaffold_idx", (F.col("contig_idx") - 1).alias("contig_idx"), (-F.col("node")).alias("stop"), revcomp(F.col("seq")).alias("right"))
+    """(gap_id, scaffold_idx, contig_idx, start, stop, left, right, left_at, right_at): gaps between consecutive contigs whose probes were found; contig_idx is that before the gap."""
+    before = probes.where("side = 'end'").select("scaffold_idx", "contig_idx", F.col("node").alias("start"), F.col("seq").alias("left"), F.col("place").alias("left_at"))
+    behind = probes.where("side = 'start'").select("scaffold_idx", (F.col("contig_idx") - 1).alias("contig_idx"), (-F.col("node")).alias("stop"), revcomp(F.col("seq")).alias("right"), F.col("place").alias("right_at"))
     return before.join(behind, ["scaffold_idx", "contig_idx"]).withColumn("gap_id", F.xxhash64(F.lit("inside"), "scaffold_idx", "contig_idx"))
 
 
@@ -206,12 +220,13 @@ def roundup(
     outward = lambda fwd: F.when(fwd, "end").otherwise("start")
     joins = members.withColumn("next", F.lead("seq").over(order)).withColumn("next_fwd", F.lead("fwd").over(order)).where("next is not null")
     joins = joins.select("scaffold", "ord", F.col("seq").alias("seq1"), outward(F.col("fwd")).alias("side1"), F.col("next").alias("seq2"), outward(~F.col("next_fwd")).alias("side2"))
-    tip = lambda n: tips.select(F.col("scaffold_idx").alias(f"seq{n}"), F.col("side").alias(f"side{n}"), F.col("node").alias(f"node{n}"), F.col("seq").alias(f"probe{n}"))
+    tip = lambda n: tips.select(F.col("scaffold_idx").alias(f"seq{n}"), F.col("side").alias(f"side{n}"), F.col("node").alias(f"node{n}"), F.col("seq").alias(f"probe{n}"), F.col("place").alias(f"place{n}"))
     between = joins.join(tip(1), ["seq1", "side1"]).join(tip(2), ["seq2", "side2"]).select(
-        F.xxhash64(F.lit("between"), "scaffold", "ord").alias("gap_id"), "scaffold", "ord", F.col("node1").alias("start"), (-F.col("node2")).alias("stop"), F.col("probe1").alias("left"), revcomp(F.col("probe2")).alias("right")
+        F.xxhash64(F.lit("between"), "scaffold", "ord").alias("gap_id"), "scaffold", "ord", F.col("node1").alias("start"), (-F.col("node2")).alias("stop"), F.col("probe1").alias("left"), revcomp(F.col("probe2")).alias("right"),
+        F.col("place1").alias("left_at"), F.col("place2").alias("right_at"),
     )
     between, inner = written(between, "roundup-between"), written(_inner_gaps(probes), "roundup-inner")
-    wanted = ["gap_id", "start", "stop", "left", "right"]
+    wanted = ["gap_id", "start", "stop", "left", "right", "left_at", "right_at"]
     found, variants = fills(g, inner.select(*wanted).unionByName(between.select(*wanted)), leash, max_paths, max_coverage, recoherence=recoherence)
     inside, v_inside, gaps = filled_scaffolds(contigs, inner, found, variants)
     inside, gaps = written(inside, "roundup-inside"), written(gaps, "roundup-filled")
@@ -364,5 +379,4 @@ def visualise(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, far_edge
 
     near = tv.nodes_within_leash(g.edges(), g.nodes, starts, leash, far_edges)
     kept = gr.keep_nodes(g, near)
-    ids = [r[0] for r in starts.select(F.abs("start")).distinct().collect()]  # a row for each start
-    return dot_lines(kept, starts=ids, paired=far_edges)
+    return dot_lines(kept, starts=starts.select(F.abs("start").alias("node_id")), paired=far_edges)

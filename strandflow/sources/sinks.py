@@ -62,15 +62,19 @@ def node_labels(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("label", F.concat(F.lit("n"), F.col("node_id").cast("string"), F.lit("_length"), F.col("length").cast("string"), F.lit("_coverage"), F.round("coverage").cast("long").cast("string")))
 
 
-def dot_lines(graph, starts: list[int] = (), ends: list[int] = (), paired: DataFrame | None = None, min_coverage: float = 0.0, nicknames: DataFrame | None = None) -> DataFrame:
+def dot_lines(graph, starts: DataFrame | list[int] = (), ends: DataFrame | list[int] = (), paired: DataFrame | None = None, min_coverage: float = 0.0, nicknames: DataFrame | None = None) -> DataFrame:
     """(ord, value): the lines of a Graphviz drawing. Start nodes are red, end nodes green; arrow shapes tell how an arc leaves and enters; pairs
-    that no arc joins are dashed grey lines, each once."""
+    that no arc joins are dashed grey lines, each once. Starts and ends are lists, or tables (node_id)."""
     shown = node_labels(graph.coverage().where(F.col("coverage") >= min_coverage))
     label = F.col("label")
     if nicknames is not None:
         shown = shown.join(nicknames, "node_id", "left")
         label = F.concat(label, F.coalesce(F.concat(F.lit(" "), F.col("nickname")), F.lit("")))
-    color = F.when(F.col("node_id").isin(list(starts)), ', color="red"').when(F.col("node_id").isin(list(ends)), ', color="green"').otherwise("")
+    spark = graph.nodes.sparkSession
+    for marked, name in ((starts, "_start"), (ends, "_end")):
+        ids = marked if isinstance(marked, DataFrame) else spark.createDataFrame([(int(n),) for n in marked], "node_id int")
+        shown = shown.join(ids.select("node_id").distinct().withColumn(name, F.lit(True)), "node_id", "left")
+    color = F.when(F.col("_start"), ', color="red"').when(F.col("_end"), ', color="green"').otherwise("")
     nodes = shown.select(F.lit(1).alias("ord"), F.format_string('  n%d [label="%s"%s];', "node_id", label, color).alias("value"))
     kept = shown.select("node_id")
     both = lambda df, a, b: df.join(kept.withColumnRenamed("node_id", a), a, "left_semi").join(kept.withColumnRenamed("node_id", b), b, "left_semi")
@@ -83,7 +87,6 @@ def dot_lines(graph, starts: list[int] = (), ends: list[int] = (), paired: DataF
         direct = graph.arcs.select(F.least("begin_id", "end_id").alias("a"), F.greatest("begin_id", "end_id").alias("b")).distinct()
         lines = both(pair.join(direct, ["a", "b"], "left_anti"), "a", "b").select(F.lit(3).alias("ord"), F.format_string("  n%d -> n%d [style=dashed, color=grey, dir=none];", "a", "b").alias("value"))
         out = out.unionByName(lines)
-    spark = graph.nodes.sparkSession
     return spark.createDataFrame([(0, "digraph G {")], "ord int, value string").unionByName(out).unionByName(spark.createDataFrame([(4, "}")], "ord int, value string"))
 
 

@@ -106,3 +106,20 @@ def test_roundup(spark, turned):
     assert report == {"one": (3, 2, 1, 1, 4), "two": (2, 1, 0, 1, 2)}
     alone = pl.roundup(scaffolds, reads_of(spark, s, u), k=21, coverage_cutoff=0, overhang=60, leash=1000, gapfill_only=True)
     assert {r.header for r in alone["scaffolds"].collect()} == {"scaffold1 scaffold a", "scaffold2 scaffold b", "scaffold3 scaffold c", "scaffold1 scaffold d", "scaffold2 scaffold e"}
+
+
+def test_fills_are_cut_by_places_and_not_by_text(spark):
+    """A probe's text occurs everywhere in a run of one base; its place on its node says where the fill begins and ends."""
+    from helpers import graph
+
+    g = graph(spark, "12")
+    gaps = spark.createDataFrame([(0, 1, 2, "AAAA", "AAA", 3, 2), (1, 1, 2, "AAAA", "AAA", 20, 2), (2, 1, 2, "CAAA", "AAA", 3, 2)], "gap_id long, start int, stop int, left string, right string, left_at int, right_at int")
+    found, _ = pl.fills(g, gaps, leash=100)
+    assert {r.gap_id: (r.paths, r.fill) for r in found.collect()} == {0: (1, "A" * (26 - 3 - 4 - 3 - 2))}
+
+
+def test_short_sequences_are_refused_unless_told_to_go_on(spark):
+    scaffolds = spark.createDataFrame([(0, "tiny", "ACGT" * 10)], "scaffold_idx int, name string, seq string")
+    reads = spark.createDataFrame([(1, "ACGT" * 30)], "read_id int, seq string")
+    with pytest.raises(ValueError, match="tiny"):
+        pl.wander(scaffolds, reads, k=21, overhang=60)
