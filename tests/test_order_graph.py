@@ -10,7 +10,7 @@ from strandflow.plans.registry import ORACLE_SQL, QUERIES
 
 WITH_SQL = [
     "distances_any_direction", "nearest_nodes", "nodes_within_leash", "explore_paths", "gap_paths", "node_heights", "min_path_count", "max_path_count", "range_ends",
-    "wander_distances", "cycle_budget_paths", "fluffed_paths",
+    "wander_distances", "cycle_budget_paths", "fluffed_paths", "loop_nodes", "gap_path_steps", "gap_path_counts",
 ]
 
 
