@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.packed import LONGEST, counted_kmers, pack, unpack
 from strandflow.functions.sequence import canonical, revcomp, with_kmers
+from strandflow.operators.superkmers import keyed, occurrences
 
 
 def spectrum(seqs: DataFrame, k: int, by: list[str], seq: str = "seq", both_strands: bool = True) -> DataFrame:
@@ -98,7 +99,8 @@ def filter_paths(
 
 def depths(paths: DataFrame, table: DataFrame, k: int, columns: int, path_id: str = "path_id", seq: str = "seq") -> DataFrame:
     """(path, position, coverage1, ...) for each k-mer of each path."""
-    rows = abundances(with_kmers(paths.select(path_id, seq), seq, k), table, columns)
+    known = keyed(table.select("kmer", "counts"), k).select("key", "counts")
+    rows = occurrences(paths, k, seq, path_id).join(known, "key", "left").withColumn("counts", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), columns)))
     return rows.select(path_id, F.col("pos").alias("position"), *[F.col("counts")[i].alias(f"coverage{i + 1}") for i in range(columns)])
 
 
@@ -119,15 +121,15 @@ def select_reads(
     places of each k-mer; a read stays if it gets a place at one of its k-mers. ``min_leftover``: bases that must follow the hit (or, on the
     other strand or at the other end, precede it)."""
     k = k or whitelist.select(F.max(F.length("kmer"))).first()[0] or 1
-    either = lambda w: w.select("kmer").union(w.select(revcomp(F.col("kmer")))).distinct()
-    rows = with_kmers(reads.select(read_id, seq, F.length(seq).alias("_size")), seq, k)
+    either = lambda w: keyed(w.select("kmer").union(w.select(revcomp(F.col("kmer")))).distinct(), k).where(F.length("kmer") == k)
+    rows = occurrences(reads.withColumn("_size", F.length(seq)), k, seq, read_id, "_size")
     left = F.greatest(F.col("_size") - F.col("pos") - k, F.col("pos"))
-    hits = rows.join(either(whitelist), "kmer").where(left >= min_leftover)
+    hits = rows.join(either(whitelist), "key").where(left >= min_leftover)
     if blacklist is not None:
-        bad = with_kmers(reads.select(read_id, seq), seq, k).join(either(blacklist), "kmer", "left_semi").select(read_id).distinct()
+        bad = occurrences(reads, k, seq, read_id).join(either(blacklist), "key", "left_semi").select(read_id).distinct()
         hits = hits.join(bad, read_id, "left_anti")
     hits = hits.select(read_id, canonical(F.col("kmer")).alias("kmer")).distinct()
-    if target is not None:
+    if target is not None:  # of a k-mer each task keeps the first so many before they meet
         turn = Window.partitionBy("kmer").orderBy(read_id)
         hits = hits.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= target)
     return reads.join(hits.select(read_id).distinct(), read_id, "left_semi")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from strandflow.functions import longkmers as lk
-from strandflow.operators.superkmers import counted, packed_counts
+from strandflow.operators.superkmers import counted, keyed, occurrences, packed_counts
 from strandflow.ranking import list_ranks
 
 
@@ -165,3 +165,14 @@ def test_unitigs_against_brute_force(spark, k, n):
         seq = g[node] if fwd else rc(g[node])
         assert reads[read][start : start + k] == seq[offset : offset + k]
     assert len(placed) >= len(reads)
+
+
+@pytest.mark.parametrize("k", [1, 4, 7, 33])
+def test_occurrences_meet_their_keys(spark, k):
+    rng = random.Random(k)
+    seqs = ["".join(rng.choice("ACGTACGTACGTNaé") for _ in range(n)) for n in (0, 3, 30, 200)] + ["ACGT" * 30, None]
+    df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(seqs)], "id long, seq string, pos string")
+    words = sorted({s[i : i + k] for s in seqs if s for i in range(len(s) - k + 1)} | {"ACGTT", "N"})
+    names = keyed(spark.createDataFrame([(w,) for w in words], "kmer string"), k)
+    got = sorted((r.id, r.pos, r.kmer) for r in occurrences(df, k, "seq", "id", piece=16).join(names, "key").select("id", "pos", "kmer").collect())
+    assert got == sorted((i, p, s[p : p + k]) for i, s in enumerate(seqs) if s for p in range(len(s) - k + 1))
