@@ -108,7 +108,7 @@ def fills(g: AssemblyGraph, gaps: DataFrame, leash: int = 20_000, max_paths: int
     A gap is filled where 1 to ``max_paths`` paths are found and each holds both probes at their places, one after the other: by the only path, by the best covered
     one with ``max_coverage``, or by the consensus of all, N where they differ and nothing where most have a gap."""
     paths = gap_paths(g, gaps.select("gap_id", "start", "stop"), leash, max_cycles, max_paths, max_explore_nodes, recoherence).where("path is not null")
-    paths = written(paths.withColumn("path_id", F.xxhash64("gap_id", "path")), "fill-paths")
+    paths = written(global_rank(paths, ["gap_id", "path"], "fill-sorted", "path_id"), "fill-paths")
     if max_coverage:
         paths = paths.join(gr.best_covered(paths, g.nodes, "gap_id"), ["gap_id", "path_id"], "left_semi")
     size = gr.trail_coverage(paths, g.nodes).where(F.col("bp") >= g.k - 1).select("path_id")  # a shorter path has no sequence
@@ -143,7 +143,8 @@ def _inner_gaps(probes: DataFrame) -> DataFrame:
     """(gap_id, scaffold_idx, contig_idx, start, stop, left, right, left_at, right_at): gaps between consecutive contigs whose probes were found; contig_idx is that before the gap."""
     before = probes.where("side = 'end'").select("scaffold_idx", "contig_idx", F.col("node").alias("start"), F.col("seq").alias("left"), F.col("place").alias("left_at"))
     behind = probes.where("side = 'start'").select("scaffold_idx", (F.col("contig_idx") - 1).alias("contig_idx"), (-F.col("node")).alias("stop"), revcomp(F.col("seq")).alias("right"), F.col("place").alias("right_at"))
-    return before.join(behind, ["scaffold_idx", "contig_idx"]).withColumn("gap_id", F.xxhash64(F.lit("inside"), "scaffold_idx", "contig_idx"))
+    ranked = global_rank(before.join(behind, ["scaffold_idx", "contig_idx"]), ["scaffold_idx", "contig_idx"], "inner-sorted")
+    return ranked.withColumn("gap_id", 2 * F.col("rank")).drop("rank")  # gaps between scaffolds have odd ones
 
 
 def _joined_parts(rows: DataFrame, whole: str, ord_: str, part: str) -> DataFrame:
@@ -222,9 +223,10 @@ def roundup(
     joins = joins.select("scaffold", "ord", F.col("seq").alias("seq1"), outward(F.col("fwd")).alias("side1"), F.col("next").alias("seq2"), outward(~F.col("next_fwd")).alias("side2"))
     tip = lambda n: tips.select(F.col("scaffold_idx").alias(f"seq{n}"), F.col("side").alias(f"side{n}"), F.col("node").alias(f"node{n}"), F.col("seq").alias(f"probe{n}"), F.col("place").alias(f"place{n}"))
     between = joins.join(tip(1), ["seq1", "side1"]).join(tip(2), ["seq2", "side2"]).select(
-        F.xxhash64(F.lit("between"), "scaffold", "ord").alias("gap_id"), "scaffold", "ord", F.col("node1").alias("start"), (-F.col("node2")).alias("stop"), F.col("probe1").alias("left"), revcomp(F.col("probe2")).alias("right"),
+        "scaffold", "ord", F.col("node1").alias("start"), (-F.col("node2")).alias("stop"), F.col("probe1").alias("left"), revcomp(F.col("probe2")).alias("right"),
         F.col("place1").alias("left_at"), F.col("place2").alias("right_at"),
     )
+    between = global_rank(between, ["scaffold", "ord"], "between-sorted").withColumn("gap_id", 2 * F.col("rank") + 1).drop("rank")
     between, inner = written(between, "roundup-between"), written(_inner_gaps(probes), "roundup-inner")
     wanted = ["gap_id", "start", "stop", "left", "right", "left_at", "right_at"]
     found, variants = fills(g, inner.select(*wanted).unionByName(between.select(*wanted)), leash, max_paths, max_coverage, recoherence=recoherence)
@@ -293,7 +295,7 @@ def explore_ends(scaffolds: DataFrame, reads: DataFrame, ends: DataFrame | None
         probes = probes.join(ends, ["name", "side"], "left_semi")
     g, found = probed_graph(reads, probes, k, coverage_cutoff)
     starts = gr.initial_paths(found).withColumnRenamed("probe_idx", "source")
-    paths = tv.explore(g.edges(), g.nodes, starts, k, leash).withColumn("path_id", F.xxhash64("source", "path"))
+    paths = written(global_rank(tv.explore(g.edges(), g.nodes, starts, k, leash), ["source", "path"], "explored-sorted", "path_id"), "explored")
     seqs = gr.trail_sequences(paths, g.nodes, k)
     named = probes.select((F.col("probe_no") - 1).alias("source"), "name", "side")
     return paths.join(seqs, "path_id").join(named, "source").select("name", "side", "path", "fate", "seq")
@@ -317,7 +319,7 @@ def fluff(seqs: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float
 
 def assemble(g: AssemblyGraph, opts: wk.AssembleOptions = wk.AssembleOptions(), bubbly: bool = False, starts: DataFrame | None = None) -> DataFrame:
     """(name, path, shorthand, nested, fate, coverage, seq): contigs of a graph, or from ``starts`` (start_id, node) alone."""
-    paths = wk.assembled(g, opts, bubbly, starts).withColumn("path_id", F.xxhash64("path"))
+    paths = written(global_rank(wk.assembled(g, opts, bubbly, starts), ["path"], "assembled-sorted", "path_id"), "assembled")
     seqs = gr.trail_sequences(paths, g.nodes, g.k)
     return paths.join(seqs, "path_id").select(F.concat(F.lit("contig_"), F.abs(F.col("path")[0]).cast("string")).alias("name"), "path", "shorthand", "nested", "fate", "coverage", "seq")
 
@@ -357,7 +359,8 @@ def find_orfs(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, min_leng
         rows = [(p, path) for p in lg.asked() for path in wk.walks(lg, lg.probes[p][0], leash, max_cycles, max_paths).paths]
         return pd.DataFrame(rows, columns=["source", "path"])
 
-    paths = written(wk.per_component(g, walk, "source long, path array<int>", probes=written(probes, "orf-starts"), leash=leash), "orf-walks").withColumn("path_id", F.xxhash64("source", "path"))
+    paths = written(wk.per_component(g, walk, "source long, path array<int>", probes=written(probes, "orf-starts"), leash=leash), "orf-walks")
+    paths = written(global_rank(paths, ["source", "path"], "orf-sorted", "path_id"), "orf-paths")
     long = gr.trail_coverage(paths, g.nodes).where(F.col("bp") >= g.k - 1).select("path_id")
     seqs = gr.trail_sequences(paths.join(long, "path_id", "left_semi"), g.nodes, g.k)
     found = of.proteins(of.orf_sequences(seqs, min_length, "path_id"))
