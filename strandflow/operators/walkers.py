@@ -188,13 +188,13 @@ def wander(g: LocalGraph, probes: list[int], leash: int, recoherence: int | None
     for i, start in enumerate(probes):
         if only is not None and i not in only:
             continue
-        queue, done = [(0, (start,))], set()
+        queue, done = [(0, (start,), False)], set()
         while queue:
-            dist, path = heapq.heappop(queue)
+            dist, path, entered = heapq.heappop(queue)
             if path in done:
                 continue
-            done.add(path)
-            if len(path) > 1 or dist:
+            if entered:  # the start isn't done as it is left: a way may come back to it, where another probe faces it
+                done.add(path)
                 for j in goals.get(path[-1], ()):
                     if j >= i:
                         out[i, j] = min(dist, out.get((i, j), dist))
@@ -206,7 +206,7 @@ def wander(g: LocalGraph, probes: list[int], leash: int, recoherence: int | None
                 whole = [*path, n]
                 if len(nexts) > 1 and not coherent(g, whole, recoherence, min_reads):
                     continue
-                heapq.heappush(queue, (d, tail(whole)))
+                heapq.heappush(queue, (d, tail(whole), True))
     return out
 
 

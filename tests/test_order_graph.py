@@ -83,3 +83,13 @@ def test_surroundings_give_what_whole_parts_give(spark, star, monkeypatch, name)
     whole = wk.per_component
     monkeypatch.setattr(wk, "per_component", lambda *a, **o: whole(*a, **{**o, "largest": 3}))
     assert sorted(map(repr, QUERIES[name](spark, star).collect())) == want
+
+
+def test_a_single_order_that_leads_to_itself(spark, tmp_path):
+    con = pytest.importorskip("duckdb").connect()
+    rows = [(7, 1, "P", 1015.0, pd.Timestamp(2000, 1, 1), "3-MEDIUM"), (8, 2, "F", 1010.0, pd.Timestamp(2000, 1, 1), "3-MEDIUM")]
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    pd.DataFrame(rows, columns=columns).astype({"o_orderdate": "datetime64[us]"}).to_parquet(tmp_path / "orders.parquet")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = [tuple(r) for r in QUERIES["wander_distances"](spark, str(tmp_path)).select("p1", "p2", "distance").collect()]
+    assert got == con.execute(ORACLE_SQL["wander_distances"]).fetchall() == [(2, 3, 26)]

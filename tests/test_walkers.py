@@ -81,6 +81,12 @@ def test_wander_distances_and_leash():
     assert wk.wander(local("12 23 34 45"), [1, -5], 20) == {}
 
 
+def test_wander_comes_back_to_its_start():
+    for recoherence in (None, 1, 30):
+        assert wk.wander(local("11"), [1, -1], 100, recoherence) == {(0, 1): 10}
+        assert wk.wander(local("12 21"), [1, -1], 100, recoherence) == {(0, 1): 20}
+
+
 def test_wander_asks_for_reads_at_forks():
     g = local("12 23 24 45")
     g.reads = {1: {7}, 2: {7}, 4: {7}, 3: set(), 5: {7}}
