@@ -39,6 +39,15 @@ def test_counts_of_long_kmers(spark, k):
     assert {r.kmer: r.n for r in counted(df, k, weight="n").collect()} == {w: 7 * n for w, n in got.items()}
 
 
+def test_counted_kmers_are_written_nowhere(spark, monkeypatch):
+    from strandflow.operators import superkmers as sk
+
+    tables, plain = [], sk.written
+    monkeypatch.setattr(sk, "written", lambda df, tag, **o: tables.append(df.columns) or plain(df, tag, **o))
+    df = spark.createDataFrame([("ACGTTGCAAGGCTA" * 9,), ("TTGACCATGCAAAC" * 7,)], "seq string")
+    assert counted(df, 21, hot=1).count() and tables and not any("kmer" in t for t in tables)
+
+
 def test_lengths_of_kmers(spark):
     df = spark.createDataFrame([("ACGT",)], "seq string")
     for k in (0, 256):
