@@ -14,27 +14,45 @@ from strandflow.ranking import list_ranks
 _ACGT = np.array([ord(x) for x in "ACGT"], np.uint32)
 
 
-def _runs(batches):
-    """A row for each run of A, C, G and T of each scaffold."""
-    for batch in batches:
-        idx, name, texts = batch.columns
-        at, number, starts, stops, parts, size, total = [], [], [], [], [], [], []
-        for row, text in enumerate(texts.to_pylist()):
-            text = (text or "").upper()
-            edges = np.diff(np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), _ACGT).astype(np.int8), prepend=0, append=0)
-            first, last = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
-            if not first:
-                raise ValueError(f"no bases in scaffold {name[row].as_py()}")
-            at += [row] * len(first)
-            number += range(len(first))
-            starts += [x + 1 for x in first]
-            stops += last
-            parts += [text[x:y] for x, y in zip(first, last)]
-            size += [len(text)] * len(first)
-            total += [len(first)] * len(first)
-        at = pa.array(at, pa.int64())
-        columns = [idx.take(at), name.take(at), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, stops)), pa.array(parts, pa.string()), pa.array(size, pa.int32()), pa.array(total, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["scaffold_idx", "name", "contig_idx", "start", "stop", "seq", "scaffold_length", "contigs"])
+def _runs(most: int = 1 << 14, bases: int = 1 << 22):
+    """A row for each run of A, C, G and T of each scaffold, so many rows and bases at a time: a batch of scaffolds may hold very many runs."""
+
+    def run(batches):
+        for batch in batches:
+            idx, name, texts = batch.columns
+            at, number, starts, stops, parts, size, total = held = [], [], [], [], [], [], []
+
+            def out():
+                where = pa.array(at, pa.int64())
+                columns = [idx.take(where), name.take(where), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, stops)), pa.array(parts, pa.string()), pa.array(size, pa.int32()), pa.array(total, pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, ["scaffold_idx", "name", "contig_idx", "start", "stop", "seq", "scaffold_length", "contigs"])
+
+            held_bases = 0
+            for row in range(batch.num_rows):
+                text = (texts[row].as_py() or "").upper()
+                edges = np.diff(np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), _ACGT).astype(np.int8), prepend=0, append=0)
+                first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+                if not len(first):
+                    raise ValueError(f"no bases in scaffold {name[row].as_py()}")
+                for lo in range(0, len(first), most):
+                    x, y = first[lo : lo + most].tolist(), last[lo : lo + most].tolist()
+                    at += [row] * len(x)
+                    number += range(lo, lo + len(x))
+                    starts += [i + 1 for i in x]
+                    stops += y
+                    parts += [text[i:j] for i, j in zip(x, y)]
+                    size += [len(text)] * len(x)
+                    total += [len(first)] * len(x)
+                    held_bases += y[-1] - x[0]
+                    if len(at) >= most or held_bases >= bases:
+                        yield out()
+                        held_bases = 0
+                        for column in held:
+                            column.clear()
+            if at:
+                yield out()
+
+    return run
 
 
 def break_scaffolds(scaffolds: DataFrame, idx: str = "scaffold_idx", name: str = "name", seq: str = "seq") -> DataFrame:
@@ -42,7 +60,7 @@ def break_scaffolds(scaffolds: DataFrame, idx: str = "scaffold_idx", name: str =
     characters than ACGTN count as N; a scaffold of nothing else raises. Each scaffold is read once, without a shuffle."""
     rows = scaffolds.select(F.col(idx).alias("scaffold_idx"), F.col(name).alias("name"), seq)
     kind = rows.schema["scaffold_idx"].dataType.simpleString()
-    return rows.mapInArrow(_runs, f"scaffold_idx {kind}, name string, contig_idx int, start long, stop long, seq string, scaffold_length int, contigs long")
+    return rows.mapInArrow(_runs(), f"scaffold_idx {kind}, name string, contig_idx int, start long, stop long, seq string, scaffold_length int, contigs long")
 
 
 def gaps(contigs: DataFrame) -> DataFrame:

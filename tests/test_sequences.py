@@ -243,3 +243,16 @@ def test_oligos(spark):
     r = ol.just_below(s, 50.0).first()
     assert s.first().seq.startswith(r.oligo) and r.tm <= 50
     assert all(x.oligo[-1] in "GC" for x in ol.candidates(s, -100, 50, 90, 1).collect())
+
+
+def test_runs_of_a_batch_come_in_bounded_pieces():
+    import pyarrow as pa
+
+    texts = ["ACN" * 40_000, "NNA" + "CGN" * 3 + "TT", "A" * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, 6]), pa.array(["x", "y", "z"]), pa.array(texts)], ["i", "n", "s"])
+    found = list(sc._runs()(iter([batch])))
+    assert max(b.num_rows for b in found) <= 1 << 14
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [(r["scaffold_idx"], r["contig_idx"], r["start"], r["stop"], r["seq"]) for r in rows[:2]] == [(4, 0, 1, 2, "AC"), (4, 1, 4, 5, "AC")]
+    assert len(rows) == 40_000 + 4 + 1 and [r["contig_idx"] for r in rows[:40_000]] == list(range(40_000)) and {r["contigs"] for r in rows[:40_000]} == {40_000}
+    assert [(r["start"], r["stop"], r["seq"]) for r in rows[40_000:]] == [(3, 5, "ACG"), (7, 8, "CG"), (10, 11, "CG"), (13, 14, "TT"), (1, 9, "A" * 9)]
