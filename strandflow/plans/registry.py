@@ -551,7 +551,7 @@ sp AS (SELECT doc_id, strand, frame, k, min(pos) FILTER (is_start) AS start, max
        "SELECT doc_id, strand, CAST(frame AS BIGINT), NULL, CAST(stop AS BIGINT), 'initial stop' FROM sp WHERE k = 0 AND stop IS NOT NULL UNION ALL SELECT doc_id, strand, CAST(frame AS BIGINT), CAST(start AS BIGINT), NULL, 'final start' FROM sp WHERE start IS NOT NULL AND stop IS NULL")
 def orf_markers(spark, sf_dir):
     """Start and stop codons paired by frame on both strands of every sequence."""
-    out = of.pair_markers(of.codon_markers(tb.dna(spark, sf_dir), "doc_id"), 96, "doc_id")
+    out = of.paired_codons(tb.dna(spark, sf_dir), 96, "doc_id")
     return out.select("doc_id", "strand", *[F.col(c).cast("long").alias(c) for c in ("frame", "start", "stop")], "kind")
 
 

@@ -256,3 +256,13 @@ def test_runs_of_a_batch_come_in_bounded_pieces():
     assert [(r["scaffold_idx"], r["contig_idx"], r["start"], r["stop"], r["seq"]) for r in rows[:2]] == [(4, 0, 1, 2, "AC"), (4, 1, 4, 5, "AC")]
     assert len(rows) == 40_000 + 4 + 1 and [r["contig_idx"] for r in rows[:40_000]] == list(range(40_000)) and {r["contigs"] for r in rows[:40_000]} == {40_000}
     assert [(r["start"], r["stop"], r["seq"]) for r in rows[40_000:]] == [(3, 5, "ACG"), (7, 8, "CG"), (10, 11, "CG"), (13, 14, "TT"), (1, 9, "A" * 9)]
+
+
+def test_frames_of_whole_sequences_need_no_shuffle(spark):
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice("ACGTACGTACGTNatg") for _ in range(rng.randrange(0, 400)))) for i in range(60)] + [(60, None), (61, "ATGTAA"), (62, "TAATAGATG"), (63, "\u00e9ATGAAATAA\u20ac")]
+    seqs = spark.createDataFrame(rows, "seq_id int, seq string")
+    for least in (0, 9, 30):
+        found = of.paired_codons(seqs, least)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, of.pair_markers(of.codon_markers(seqs), least).collect()))
