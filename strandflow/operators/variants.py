@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import revcomp
+from strandflow.lineage import written
+
+BASES = 1 << 24  # of references that may be broadcast
+_KINDS = ["INSERT", "SWAP", "DELETION"]
+_TWO_BITS = np.full(128, 4, np.int64)
+_TWO_BITS[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+_SHORT = 12  # bases of a variant that fit into its code
 
 
 def _columns(alignments: DataFrame, group: str, aln: str = "aln") -> DataFrame:
@@ -23,26 +32,111 @@ def consensus(alignments: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "b"))), lambda x: x["b"]), "").alias("consensus"))
 
 
+def _islands(ref: np.ndarray, alt: np.ndarray):
+    """(kind, first, n, pos) of the merged differences of two aligned sequences, and the columns that ``first`` counts, by kind."""
+    size = min(len(ref), len(alt))
+    ref, alt = ref[:size], alt[:size]
+    base = ref != 45
+    at = np.flatnonzero(ref != alt)
+    kind = np.where(~base[at], 0, np.where(alt[at] == 45, 2, 1))
+    order = np.argsort(kind, kind="stable")
+    at, kind = at[order], kind[order]
+    pos = (np.cumsum(base) - base)[at]
+    # insertions stay at one position over consecutive columns, deletions and swaps move on together
+    new = np.append(True, (kind[1:] != kind[:-1]) | (pos[1:] - pos[:-1] != (kind[1:] > 0)))[: len(at)]
+    first = np.flatnonzero(new)
+    return kind[first], first, np.diff(np.append(first, len(at))), pos[first], at
+
+
+def _coded(most: int = 1 << 22):
+    """(group, code, pos, kind, seq, del_len), each once in so many: short variants of A, C, G and T are a code, others are given as they are."""
+
+    def run(batches):
+        codes: dict = {}
+        other: set = set()
+        count, kind_of, name = 0, None, None
+
+        def out():
+            rows = [(g, np.unique(np.concatenate(x))) for g, x in codes.items()]
+            for g, x in rows:
+                for lo in range(0, len(x), 1 << 16):
+                    part = pa.array(x[lo : lo + (1 << 16)])
+                    yield batch_of([g] * len(part), part, *([None] * len(part) for _ in range(4)))
+            if other:
+                g, pos, kind, text, size = zip(*other)
+                yield batch_of(list(g), pa.nulls(len(g), pa.int64()), list(pos), list(kind), list(text), list(size))
+
+        def batch_of(g, code, pos, kind, text, size):
+            columns = [pa.array(g, kind_of), code, pa.array(pos, pa.int32()), pa.array(kind, pa.int32()), pa.array(text, pa.string()), pa.array(size, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, [name, "code", "pos", "kind", "seq", "del_len"])
+
+        for batch in batches:
+            kind_of, name = batch.schema.field(0).type, batch.schema.names[0]
+            for g, aln, ref in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if not aln.is_valid or not ref.is_valid:
+                    continue
+                text = aln.as_py()
+                alt, ref = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (text, ref.as_py()))
+                kind, first, n, pos, at = _islands(ref, alt)
+                if not len(first):
+                    continue
+                two = _TWO_BITS[np.minimum(alt[at], 127)]
+                bad = np.append(0, np.cumsum(two > 3))
+                short = (pos < 1 << 31) & np.where(kind == 2, n < 1 << 24, (n <= _SHORT) & (bad[first + n] == bad[first]))
+                value = np.where(kind == 2, n, 0)
+                for j in range(_SHORT):
+                    here = (kind < 2) & (j < n) & short
+                    if not here.any():
+                        break
+                    value[here] |= two[first[here] + j] << 2 * j
+                size = np.where(kind == 2, 0, n)
+                codes.setdefault(g, []).append((pos << 30 | kind << 28 | size << 24 | value)[short])
+                for i in np.flatnonzero(~short).tolist():
+                    seq = None if kind[i] == 2 else "".join(text[c] for c in at[first[i] : first[i] + n[i]].tolist())
+                    other.add((g, int(pos[i]), int(kind[i]), seq, int(n[i]) if kind[i] == 2 else None))
+                count += len(first)
+                if count >= most:
+                    codes = {x: [np.unique(np.concatenate(y))] for x, y in codes.items()}
+                    count = sum(len(y[0]) for y in codes.values()) + len(other)
+                    if count >= most // 2:
+                        yield from out()
+                        codes, other, count = {}, set(), 0
+        if codes or other:
+            yield from out()
+
+    return run
+
+
+def _decoded(batches):
+    """(group, pos, type, seq, del_len) of what ``_coded`` gives."""
+    bases = np.frombuffer(b"ACGT", np.uint8)
+    for batch in batches:
+        name = batch.schema.names[0]
+        given = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        code = batch.column(1).fill_null(0).to_numpy()
+        pos, kind, size, value = code >> 30, code >> 28 & 3, code >> 24 & 15, code & (1 << 24) - 1
+        letters = bases[value[:, None] >> 2 * np.arange(_SHORT) & 3].tobytes().decode()
+        seqs = [letters[_SHORT * i : _SHORT * i + n] for i, n in enumerate(size.tolist())]
+        old = [batch.column(i).to_pylist() for i in (2, 3, 4, 5)]
+        kinds, which = [k if g else o for k, g, o in zip(kind.tolist(), given, old[1])], given.tolist()
+        columns = [
+            batch.column(0), pa.array([p if g else o for p, g, o in zip(pos.tolist(), which, old[0])], pa.int32()), pa.array([_KINDS[k] for k in kinds]),
+            pa.array([(s if k != 2 else None) if g else o for s, k, g, o in zip(seqs, kinds, which, old[2])], pa.string()),
+            pa.array([(v if k == 2 else None) if g else o for v, k, g, o in zip(value.tolist(), kinds, which, old[3])], pa.int32()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, [name, "pos", "type", "seq", "del_len"])
+
+
 def variants(reference: DataFrame, alternates: DataFrame, group: str) -> DataFrame:
     """(group, pos, type, seq, del_len): differences of aligned alternates (group, path_id, aln) from the aligned reference (group, aln), merged
-    where they touch and given once. Positions count the reference's bases from 0."""
-    ref = reference.select(group, F.posexplode(F.split("aln", "")).alias("col", "r")).where("r != ''")
-    before = Window.partitionBy(group).orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
-    ref = ref.withColumn("pos", F.coalesce(F.sum(F.when(F.col("r") != "-", 1).otherwise(0)).over(before), F.lit(0)).cast("int"))
-    rows = _columns(alternates, group).join(ref, [group, "col"]).where("r != base")
-    kind = F.when(F.col("r") == "-", "INSERT").when(F.col("base") == "-", "DELETION").otherwise("SWAP")
-    rows = rows.select(group, "path_id", "pos", "col", "base", kind.alias("type"))
-    # islands: insertions stay at one position over consecutive columns, deletions and swaps move on together
-    order = Window.partitionBy(group, "path_id", "type").orderBy("col")
-    island = F.when(F.col("type") == "INSERT", F.col("pos")).otherwise(F.col("pos") - F.row_number().over(order))
-    rows = rows.withColumn("_island", island)
-    merged = rows.groupBy(group, "path_id", "type", "_island").agg(
-        F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "base"))), lambda x: x["base"]), "").alias("s")
-    )
-    out = merged.select(
-        group, "pos", "type", F.when(F.col("type") != "DELETION", F.col("s")).alias("seq"), F.when(F.col("type") == "DELETION", F.length("s")).alias("del_len")
-    )
-    return out.distinct()
+    where they touch and given once. Positions count the reference's bases from 0. Each alternate meets its whole reference in one task, which gives what differs; only
+    that is shuffled, each variant once a task."""
+    ref = written(reference.select(group, F.col("aln").alias("_ref")), "variant-references")
+    few = (ref.agg(F.sum(F.length("_ref"))).first()[0] or 0) <= BASES
+    rows = alternates.select(group, "aln").join(F.broadcast(ref) if few else ref, group)
+    kind = rows.schema[group].dataType.simpleString()
+    found = rows.mapInArrow(_coded(), f"`{group}` {kind}, code long, pos int, kind int, seq string, del_len int").distinct()
+    return found.mapInArrow(_decoded, f"`{group}` {kind}, pos int, type string, seq string, del_len int")
 
 
 def shorthand(v: DataFrame) -> DataFrame:
