@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 31
+DENSE = 12  # of so many bases all k-mers are few enough to have a place each: 4^12 bits are 2 MB
 _CODE = np.full(256, 4, np.uint8)
 _CODE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 _TURNED = str.maketrans("ACGT", "TGCA")
@@ -22,7 +23,7 @@ def unpack(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
-def _codes(seqs: list[bytes], k: int, both_strands: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def codes_of(seqs: list[bytes], k: int, both_strands: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(text number, position, code) of the k-mers of A, C, G and T, and (text number, position) of those with other characters."""
     lens = np.array([len(s) for s in seqs])
     base = _CODE[np.frombuffer(b"".join(seqs), np.uint8)]
@@ -48,7 +49,34 @@ def _codes(seqs: list[bytes], k: int, both_strands: bool) -> tuple[np.ndarray, n
 
 
 def _counted(k: int, both_strands: bool, names: list[str], bases: int = 1 << 22):
+    def dense(batches):
+        """The same without names, where each k-mer has a place: one table a task, and only odd k-mers by text."""
+        n, other = np.zeros(4**k, np.int64), {}
+        for batch in batches:
+            texts, size = [], 0
+            for i in range(batch.num_rows + 1):
+                text = (batch.column(0)[i].as_py() or "").encode() if i < batch.num_rows else b""
+                if texts and (i == batch.num_rows or size + len(text) > bases >> 2):
+                    _, _, code, odd = codes_of(texts, k, both_strands)
+                    n += np.bincount(code, minlength=len(n))
+                    for at, p in odd:
+                        w = texts[at][p : p + k].decode()
+                        w = min(w, w.upper().translate(_TURNED)[::-1]) if both_strands else w
+                        other[w] = other.get(w, 0) + 1
+                    texts, size = [], 0
+                texts.append(text)
+                size += len(text)
+        found = np.flatnonzero(n)
+        for lo in range(0, len(found), 1 << 16):
+            part = found[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.string()), pa.array(n[part])], ["code", "text", "n"])
+        if other:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(other), pa.int64()), pa.array(list(other)), pa.array(list(other.values()), pa.int64())], ["code", "text", "n"])
+
     def run(batches):
+        if not names and k <= DENSE:
+            yield from dense(batches)
+            return
         for batch in batches:
             size, start = 0, 0
             lens = [len(x) if x is not None else 0 for x in batch.column(batch.num_columns - 1).to_pylist()]
@@ -62,7 +90,7 @@ def _counted(k: int, both_strands: bool, names: list[str], bases: int = 1 << 22)
 
     def counted(part):
         texts = [(t or "").encode() for t in part.column(part.num_columns - 1).to_pylist()]
-        of, _, code, odd = _codes(texts, k, both_strands)
+        of, _, code, odd = codes_of(texts, k, both_strands)
         group = np.zeros(part.num_rows, np.int64)
         first = np.zeros(min(1, part.num_rows), np.int64)
         if names:  # rows of equal values count together

@@ -294,3 +294,41 @@ def test_variants_against_columns(spark):
     got = [tuple(r) for r in found.select("g", "pos", "type", "seq", "del_len").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert found._jdf.queryExecution().executedPlan().toString().count("Generate") == 0  # no row for each base
+
+
+def test_short_kmers_of_paths_are_not_shuffled(spark):
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("ACGT" if i % 3 else "ACGTN") for _ in range(rng.randrange(0, 40)))) for i in range(80)] + [(80, None), (81, "acgta"), (82, "\u00e9ACG")]
+    df = spark.createDataFrame([r for r in rows if r[0] < 81], "path_id int, seq string")
+    for k, both in ((4, True), (4, False), (5, True)):
+        name = lambda w: min(w, rc(w)) if both else w
+        words = {i: [name(s[j : j + k]) for j in range(len(s) - k + 1)] for i, s in rows[:80]}
+        table = km.spectrum(df, k, [], both_strands=both).select("kmer", F.array("count").alias("counts"))
+        n = {r.kmer: r.counts[0] for r in table.collect()}
+        table = spark.createDataFrame(table.collect(), table.schema)
+        assert n == {w: sum(x.count(w) for x in words.values()) for x in words.values() for w in x}
+        found = km.filter_paths(df, table, [6], k, both_strands=both)
+        assert "code#" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.path_id for r in found.collect()} == {i for i, x in words.items() if all(n[w] >= 6 for w in x)} | {80}
+
+
+def test_reads_are_selected_by_bits_of_short_kmers(spark):
+    rng = random.Random(12)
+    rows = [(f"r{i:03}", "".join(rng.choice("ACGT" if i % 4 else "ACGTNacgt") for _ in range(rng.randrange(0, 60)))) for i in range(90)] + [("s", None), ("t", "\u20acACGTAC")]
+    word = lambda n: {"".join(rng.choice("ACGT") for _ in range(5)) for _ in range(n)}
+    white, black = word(150), word(8)
+    lists = [spark.createDataFrame([(w,) for w in x], "kmer string") for x in (white, black)]
+    reads = spark.createDataFrame(rows, "read_id string, seq string").repartition(3)
+    for target, least in ((2, 3), (1, 0), (None, 20)):
+        taken, want = {}, set()
+        for i, s in sorted((i, s or "") for i, s in rows):
+            at = [(j, s[j : j + 5]) for j in range(len(s) - 4)]
+            if not any(w in black or rc(w) in black for _, w in at):
+                for w in {min(w, rc(w)) for j, w in at if (w in white or rc(w) in white) and max(len(s) - j - 5, j) >= least}:
+                    taken[w] = taken.get(w, 0) + 1
+                    want |= {i} if target is None or taken[w] <= target else set()
+        found = km.select_reads(reads, *lists, target, least)
+        assert "key#" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.read_id for r in found.collect()} == want and want
+    odd = spark.createDataFrame([("ACNGT",)], "kmer string")
+    assert [r.read_id for r in km.select_reads(spark.createDataFrame([("a", "TTACNGTT"), ("b", "TTACGGTT")], "read_id string, seq string"), odd).collect()] == ["a"]
