@@ -9,14 +9,17 @@ from __future__ import annotations
 import heapq
 import json
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from strandflow.lineage import connected_components, written
+from strandflow.functions.trails import oriented
+from strandflow.lineage import near_components, written
 from strandflow.operators.graph import AssemblyGraph
 from strandflow.operators.traverse import min_distances
 
@@ -498,19 +501,19 @@ def fluff(g: LocalGraph, probes: list[int], leash: int) -> list[Iterator[tuple[l
     ends = {abs(p) for p in probes}
 
     def beyond(start: int) -> Iterator[tuple[list[int], str]]:
-        stack = [[start]]
+        stack = [([start], g.bp([start]))]
         while stack:
-            p = stack.pop()
+            p, bp = stack.pop()
             if len(p) > 1 and abs(p[-1]) in ends:
                 yield p, "terminal"
                 continue
-            if g.bp(p) >= leash:
+            if bp >= leash:
                 yield p, "beyond_leash"
                 continue
             nexts = [n for n in g.after(p[-1]) if n not in p]
             if not nexts:
                 yield p, "dead_end"
-            stack += [p + [n] for n in reversed(nexts)]
+            stack += [(p + [n], bp + g.length[abs(n)]) for n in reversed(nexts)]
 
     return [beyond(p) for p in probes]
 
@@ -542,39 +545,82 @@ def _local_rows(names: str, nodes: DataFrame, edges: DataFrame, reads: DataFrame
     return rows
 
 
-def _walked(rows: DataFrame, k: int, walk: Callable[[LocalGraph], pd.DataFrame], schema: str, by_start: bool) -> DataFrame:
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        part = {kind: x for kind, x in pdf.groupby("kind")}
-        pairs = lambda kind: list(zip(part[kind].a.astype(int), part[kind].b.astype(int))) if kind in part else []
-        both = lambda kind: {a: (b, int(c)) for a, b, c in zip(part[kind].a.astype(int), part[kind].b.astype(int), part[kind].c)} if kind in part else {}
-        nodes = list(zip(part[0].a.astype(int), part[0].b.astype(int), part[0].c)) if 0 in part else []
-        g = LocalGraph.of(k, nodes, pairs(1), pairs(2))
-        g.probes, g.gaps = both(3), both(4)
-        g.own = int(key[0]) if by_start else None
+def grouped_rows(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]]:
+    """(group, rows) of frames that are sorted by their first column, the group, which their rows leave out."""
+    key, held = None, []
+    for pdf in frames:
+        group = pdf.iloc[:, 0].to_numpy()
+        rows = list(zip(*(pdf.iloc[:, i].tolist() for i in range(1, pdf.shape[1]))))
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(rows)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if held and group[lo] != key:
+                yield int(key), held
+                held = []
+            key = group[lo]
+            held = held + rows[lo:hi] if held else rows[lo:hi]
+    if held:
+        yield int(key), held
+
+
+def in_groups(rows: DataFrame, found: Callable[[int, list[tuple]], Iterable[tuple]], schema: str, most: int = 4096) -> DataFrame:
+    """What ``found`` gives for each group (first column) of ``rows``: many small groups are one task's stream, without a frame of their own."""
+    names = [c.name for c in StructType.fromDDL(schema)]
+
+    def run(frames):
+        out = []
+        for key, some in grouped_rows(frames):
+            for row in found(key, some):
+                out.append(row)
+                if len(out) >= most:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, rows.columns[0]).sortWithinPartitions(rows.columns[0]).mapInPandas(run, schema)
+
+
+def _walked(rows: DataFrame, k: int, walk: Callable[[LocalGraph], Iterable[tuple]], schema: str, by_start: bool) -> DataFrame:
+    def found(key: int, some: list[tuple]) -> Iterable[tuple]:
+        part = [[], [], [], [], []]  # nodes, arcs, reads, probes, gaps
+        for kind, a, b, c in some:
+            part[kind].append((a, b) if kind in (1, 2) else (a, b, c))
+        g = LocalGraph.of(k, part[0], part[1], part[2])
+        g.probes, g.gaps = ({a: (b, int(c)) for a, b, c in part[kind]} for kind in (3, 4))
+        g.own = key if by_start else None
         return walk(g)
 
-    return rows.groupBy("group").applyInPandas(run, schema)
+    return in_groups(rows, found, schema)
+
+
+def node_parts(graph: AssemblyGraph) -> DataFrame:
+    """(node_id, length, cov_sum, component): nodes with the connected part they are on, named by its smallest node."""
+    comps = near_components(graph.arcs, "begin_id", "end_id", "walk")
+    named = graph.nodes.select("node_id", "length", "cov_sum").join(comps.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
+    return written(named, "walk-parts")
 
 
 def per_component(
-    graph: AssemblyGraph, walk: Callable[[LocalGraph], pd.DataFrame], schema: str, probes: DataFrame | None = None, gaps: DataFrame | None = None,
+    graph: AssemblyGraph, walk: Callable[[LocalGraph], Iterable[tuple]], schema: str, probes: DataFrame | None = None, gaps: DataFrame | None = None,
     leash: int | None = None, largest: int = 100_000,
 ) -> DataFrame:
-    """``walk`` over each connected part of the graph, one task's work each; results are united. Probes (probe_idx, node, offset) and gaps (gap_id, start,
+    """The rows of ``walk`` over each connected part of the graph, one task's work each; results are united. Probes (probe_idx, node, offset) and gaps (gap_id, start,
     stop) travel with the part that holds their (first) node. Where a part has more than ``largest`` nodes and the walk goes no further than ``leash`` from a probe
     or a gap's start, each is walked over its own surroundings instead."""
-    edges = graph.edges()
-    comps = connected_components(edges.select(F.abs("src").alias("a"), F.abs("dst").alias("b")), "a", "b", "walk")
-    named = graph.nodes.join(comps.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
-    named = written(named, "walk-parts")
+    named = node_parts(graph)
     if leash is not None and named.groupBy("component").count().where(F.col("count") > largest).limit(1).count():
         return per_start(graph, walk, schema, leash, probes, gaps)
     by_node = named.select(F.col("node_id").alias("_id"), "component")
     of = lambda df, node: None if df is None else df.join(by_node, F.abs(node) == F.col("_id"))
-    return _walked(_local_rows("component", named, of(edges, "src"), of(graph.noded_reads, "node_id"), of(probes, "node"), of(gaps, "start")), graph.k, walk, schema, False)
+    # a LocalGraph adds the twins of its arcs
+    arcs = graph.arcs.select(oriented(F.col("begin_id"), F.col("begin_fwd")).alias("src"), oriented(F.col("end_id"), F.col("end_fwd")).alias("dst"))
+    return _walked(_local_rows("component", named, of(arcs, "src"), of(graph.noded_reads, "node_id"), of(probes, "node"), of(gaps, "start")), graph.k, walk, schema, False)
 
 
-def per_start(graph: AssemblyGraph, walk: Callable[[LocalGraph], pd.DataFrame], schema: str, leash: int, probes: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+def per_start(graph: AssemblyGraph, walk: Callable[[LocalGraph], Iterable[tuple]], schema: str, leash: int, probes: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
     """``walk`` over the surroundings of each probe or gap: all that is within the leash ahead of its node, and the probes there."""
     edges = written(graph.edges(), "start-edges")
     own = gaps.select(F.col("gap_id").alias("source"), "start") if gaps is not None else probes.select(F.col("probe_idx").alias("source"), F.col("node").alias("start"))
@@ -592,14 +638,13 @@ def assembled(graph: AssemblyGraph, opts: AssembleOptions = AssembleOptions(), b
 
     alone = starts is not None
 
-    def walk(g: LocalGraph) -> pd.DataFrame:
+    def walk(g: LocalGraph) -> Iterator[tuple]:
         trails = [[node] for _, (node, _) in sorted(g.probes.items())]
         if bubbly:
             found = [assemble_bubbly(g, t, opts) for t in trails] if alone else assemble_all_bubbly(g, opts)
         else:
             found = (MetaPath(p, "end") for p in ([assemble_from(g, t, opts) for t in trails] if alone else assemble_all(g, opts)))
-        rows = [(m.reference(), m.fate, m.by_steps(), json.dumps(m.nested(g)), m.coverage(g)) for m in found]
-        return pd.DataFrame(rows, columns=["path", "fate", "shorthand", "nested", "coverage"])
+        return ((m.reference(), m.fate, m.by_steps(), json.dumps(m.nested(g)), m.coverage(g)) for m in found)
 
     probes = None if starts is None else starts.select(F.col("start_id").alias("probe_idx"), "node", F.lit(0).alias("offset"))
     return per_component(graph, walk, "path array<int>, fate string, shorthand string, nested string, coverage double", probes=probes)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def connections_between(g: AssemblyGraph, probes: DataFrame, leash: int, recoher
     at = probes.select("probe_idx", oriented(F.col("node_id"), F.col("fwd")).alias("node"), F.coalesce("offset", F.lit(0)).alias("offset"))
     k = g.k
 
-    def walk(lg: wk.LocalGraph) -> pd.DataFrame:
+    def walk(lg: wk.LocalGraph) -> Iterable[tuple]:
         mine = sorted(lg.probes)
         near = wk.wander(lg, [lg.probes[p][0] for p in mine], leash, recoherence, only=[mine.index(p) for p in lg.asked()])
         facing, asked = {}, set(lg.asked())
@@ -80,7 +81,7 @@ def connections_between(g: AssemblyGraph, probes: DataFrame, leash: int, recoher
             total = d + (lg.length[abs(s)] - off1) - off2 - k
             if i != j and total <= leash:
                 out.append((mine[i], mine[j], int(total)))
-        return pd.DataFrame(out, columns=["p1", "p2", "distance"])
+        return out
 
     found = wk.per_component(g, walk, "p1 long, p2 long, distance long", probes=at, leash=leash, largest=largest)
     side = lambda n: probes.select(F.col("probe_idx").alias(f"p{n}"), F.col("scaffold_idx").cast("long").alias(f"seq{n}"), F.col("side").alias(f"side{n}"))
@@ -89,13 +90,13 @@ def connections_between(g: AssemblyGraph, probes: DataFrame, leash: int, recoher
 
 def gap_paths(g: AssemblyGraph, ends: DataFrame, leash: int = 20_000, max_cycles: int = 1, max_paths: int | None = 2196, max_explore_nodes: int | None = None, recoherence: int | None = None, largest: int = 100_000) -> DataFrame:
     """(gap_id, path, exceeded) for ends (gap_id, start, stop) as signed nodes; a gap beyond a cap has one row without a path."""
-    def walk(lg: wk.LocalGraph) -> pd.DataFrame:
+    def walk(lg: wk.LocalGraph) -> Iterable[tuple]:
         out = []
         for gap, (a, b) in sorted(lg.gaps.items()):
             if abs(b) in lg.length:
                 s = wk.paths_between(lg, a, b, leash, max_cycles, max_paths, max_explore_nodes, recoherence)
                 out += [(gap, p, False) for p in s.paths] or ([(gap, None, True)] if s.max_path_limit_exceeded else [])
-        return pd.DataFrame(out, columns=["gap_id", "path", "exceeded"])
+        return out
 
     return wk.per_component(g, walk, "gap_id long, path array<int>, exceeded boolean", gaps=ends, leash=leash, largest=largest)
 
@@ -309,10 +310,10 @@ def fluff(seqs: DataFrame, reads: DataFrame, k: int = 51, coverage_cutoff: float
     g, found = probed_graph(reads, probes, k, coverage_cutoff)
     at = gr.initial_paths(found).select("probe_idx", F.col("start").alias("node"), F.lit(0).alias("offset"))
 
-    def walk(lg: wk.LocalGraph) -> pd.DataFrame:
+    def walk(lg: wk.LocalGraph) -> Iterable[tuple]:
         mine = sorted(lg.probes)
-        rows = [(p, path, fate) for p, found in zip(mine, wk.fluff(lg, [lg.probes[p][0] for p in mine], leash)) if p in lg.asked() for path, fate in found]
-        return pd.DataFrame(rows, columns=["probe_idx", "path", "fate"])
+        asked = set(lg.asked())
+        return ((p, path, fate) for p, found in zip(mine, wk.fluff(lg, [lg.probes[p][0] for p in mine], leash)) if p in asked for path, fate in found)
 
     return wk.per_component(g, walk, "probe_idx long, path array<int>, fate string", probes=at, leash=leash)
 
@@ -355,9 +356,8 @@ def find_orfs(g: AssemblyGraph, starts: DataFrame, leash: int = 20_000, min_leng
     ``max_paths`` walks gives none."""
     probes = starts.select(F.monotonically_increasing_id().alias("probe_idx"), F.col("start").alias("node"), F.lit(0).alias("offset"))
 
-    def walk(lg: wk.LocalGraph) -> pd.DataFrame:
-        rows = [(p, path) for p in lg.asked() for path in wk.walks(lg, lg.probes[p][0], leash, max_cycles, max_paths).paths]
-        return pd.DataFrame(rows, columns=["source", "path"])
+    def walk(lg: wk.LocalGraph) -> Iterable[tuple]:
+        return ((p, path) for p in lg.asked() for path in wk.walks(lg, lg.probes[p][0], leash, max_cycles, max_paths).paths)
 
     paths = written(wk.per_component(g, walk, "source long, path array<int>", probes=written(probes, "orf-starts"), leash=leash), "orf-walks")
     paths = written(global_rank(paths, ["source", "path"], "orf-sorted", "path_id"), "orf-paths")

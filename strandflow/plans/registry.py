@@ -588,14 +588,12 @@ def fasta_compare(spark, sf_dir):
        "SELECT CAST(r.i AS BIGINT) AS p1, CAST(p.i AS BIGINT) AS p2, CAST(min(r.d) AS BIGINT) AS distance FROM r JOIN probes p ON p.s = -r.node AND p.i >= r.i WHERE r.d > 0 GROUP BY ALL")
 def wander_distances(spark, sf_dir):
     """All-pairs distances between probes at both ends of each customer's orders, by the wanderer."""
-    import pandas as pd
-
     from strandflow.operators import walkers as wk
 
     def walk(lg):
         mine = sorted(lg.probes)
         found = wk.wander(lg, [lg.probes[i][0] for i in mine], 120, only=[mine.index(i) for i in lg.asked()])
-        return pd.DataFrame([(mine[a], mine[b], d) for (a, b), d in found.items()], columns=["p1", "p2", "distance"])
+        return [(mine[a], mine[b], d) for (a, b), d in found.items()]
 
     return wk.per_component(tb.thread_graph(spark, sf_dir), walk, "p1 long, p2 long, distance long", probes=tb.thread_probes(spark, sf_dir), leash=120)
 
@@ -667,13 +665,11 @@ def bubbly_contigs(spark, sf_dir):
        "SELECT CAST(probe AS BIGINT) AS probe, array_to_string(path, ',') AS path, fate FROM ended WHERE fate IS NOT NULL")
 def fluffed_paths(spark, sf_dir):
     """All acyclic paths from probes at both ends of each customer's orders, with their fates."""
-    import pandas as pd
-
     from strandflow.operators import walkers as wk
 
     def walk(lg):
         mine = sorted(lg.probes)
-        rows = [(i, ",".join(map(str, p)), f) for i, found in zip(mine, wk.fluff(lg, [lg.probes[i][0] for i in mine], 120)) if i in lg.asked() for p, f in found]
-        return pd.DataFrame(rows, columns=["probe", "path", "fate"])
+        asked = set(lg.asked())
+        return ((i, ",".join(map(str, p)), f) for i, found in zip(mine, wk.fluff(lg, [lg.probes[i][0] for i in mine], 120)) if i in asked for p, f in found)
 
     return wk.per_component(tb.thread_graph(spark, sf_dir), walk, "probe long, path string, fate string", probes=tb.thread_probes(spark, sf_dir), leash=120)

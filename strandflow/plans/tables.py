@@ -104,9 +104,9 @@ def thread_graph(spark: SparkSession, sf_dir: str, k: int = 31):
         F.col("next1"), F.when(F.col("p") == "1-URGENT", F.col("next2")), F.expr("if(p = '2-HIGH' and st = 'F', prev, null)"), F.expr("if(p = '3-MEDIUM' and st = 'P', me, null)"),
         F.expr("if(p = '5-LOW' and st = 'P', -next1, null)"), F.expr("if(next1 is null and me != head and p = '4-NOT SPECIFIED', head, null)"),
     ]
-    steps = threads(spark, sf_dir).select("me", F.explode(F.array(*to)).alias("dst")).where("dst is not null")
+    steps = threads(spark, sf_dir).select("me", F.explode(F.array_distinct(F.array(*to))).alias("dst")).where("dst is not null")
     arcs = steps.select(F.abs("me").alias("begin_id"), (F.col("me") > 0).alias("begin_fwd"), F.abs("dst").alias("end_id"), (F.col("dst") > 0).alias("end_fwd"), F.lit(1).cast("long").alias("mult"))
-    return AssemblyGraph(nodes, arcs.distinct(), k)
+    return AssemblyGraph(nodes, arcs, k)  # a customer's arcs stay in one task
 
 
 def thread_starts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,17 @@ def test_components_of_texts(spark):
 
 def test_components_of_no_edges(spark):
     assert lineage.connected_components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long"), "a", "b", "test").count() == 0
+
+
+def test_neighbours_in_one_task_need_no_rounds(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i + 1) for i in range(0, 3000) if i % 10 != 9], "a int, b int").coalesce(1)
+    monkeypatch.setattr(lineage, "connected_components", lambda *a, **o: 1 / 0)
+    got = {r.node: r.component for r in lineage.near_components(df, "a", "b", "test").collect()}
+    assert got == {i: i // 10 * 10 for i in range(3000)}
+
+
+def test_parts_that_are_dealt_over_tasks_meet_at_their_centers(spark):
+    pairs = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(3, 3), (25, 21)]
+    df = spark.createDataFrame(pairs[::-1], "a int, b int").repartition(7)
+    rows = lineage.near_components(df, "a", "b", "test").collect()
+    assert sorted((r.node, r.component) for r in rows) == [(i, i // 20 * 20) for i in range(60)]

@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 
-from helpers import local, paths
+from helpers import graph, local, paths
 from strandflow.operators import walkers as wk
 
 
@@ -246,3 +247,15 @@ def test_fluff_finds_every_path():
     arcs = [(3 * i + a, 3 * i + b) for i in range(17) for a, b in ((1, 2), (1, 3), (2, 4), (3, 4))]
     g = wk.LocalGraph.of(7, [(n, 1, 5.0) for n in range(1, 53)], arcs)
     assert sum(p[-1] == 52 and f == "dead_end" for p, f in wk.fluff(g, [1], 1000)[0]) == 2**17
+
+
+def test_groups_are_read_as_one_stream():
+    frames = [pd.DataFrame({"group": g, "a": a}) for g, a in (([1, 1, 2], [1, 2, 3]), ([], []), ([2, 2], [4, 5]), ([2, 3], [6, 7]), ([4], [8]))]
+    assert [(k, [a for a, in rows]) for k, rows in wk.grouped_rows(frames)] == [(1, [1, 2]), (2, [3, 4, 5, 6]), (3, [7]), (4, [8])]
+
+
+def test_many_small_parts_are_a_task_s_stream(spark):
+    g = graph(spark, "12 23 45 56 78")
+    plan = wk.per_component(g, lambda lg: [(n, min(lg.length)) for n in lg.length], "node long, part long")
+    assert sorted(map(tuple, plan.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7), (8, 7)]
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
