@@ -8,12 +8,15 @@ search, whatever its order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.lineage import forget, measured, written
+from strandflow.lineage import bounded, forget, measured, written
+from strandflow.operators.streams import in_groups, in_parts
 from strandflow.ranking import list_ranks
 
 _UNFINISHED = "the traversal isn't finished after so many rounds"
@@ -103,6 +106,134 @@ def _cut(steps: DataFrame, depths: DataFrame, rounds: int = 1_000) -> DataFrame:
     return out
 
 
+def _components(on: dict) -> Iterator[list]:
+    """The strongly connected parts of two nodes or more of steps node: [node] (Tarjan's way, without recursion)."""
+    index, low, held, stack = {}, {}, set(), []
+    for root in on:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        held.add(root)
+        calls = [(root, iter(on[root]))]
+        while calls:
+            n, ways = calls[-1]
+            for m in ways:
+                if m not in index:
+                    index[m] = low[m] = len(index)
+                    stack.append(m)
+                    held.add(m)
+                    calls.append((m, iter(on.get(m, ()))))
+                    break
+                if m in held:
+                    low[n] = min(low[n], index[m])
+            else:
+                calls.pop()
+                if calls:
+                    low[calls[-1][0]] = min(low[calls[-1][0]], low[n])
+                if low[n] == index[n]:
+                    part = []
+                    while not part or part[-1] != n:
+                        part.append(stack.pop())
+                        held.discard(part[-1])
+                    if len(part) > 1:
+                        yield part
+
+
+@dataclass
+class SmallLevels:
+    """The levels of a part that fits a task, with nodes instead of lists: ``kept`` (node: its ways on) and ``cut`` steps of what ``starts`` come to."""
+
+    starts: set
+    kept: dict = field(default_factory=dict)
+    cut: list = field(default_factory=list)
+
+    @classmethod
+    def of(cls, edges: Iterable[tuple], starts: set) -> SmallLevels:
+        on = defaultdict(set)
+        for a, b in edges:
+            on[a].add(b)
+        depth, front = dict.fromkeys(starts, 0), list(starts)
+        for n in front:
+            for m in on.get(n, ()):
+                if m not in depth:
+                    depth[m] = depth[n] + 1
+                    front.append(m)
+        cut = {(n, n) for n in depth if n in on.get(n, ())}
+        todo = [{n: [m for m in on.get(n, ()) if m != n] for n in depth}]
+        while todo:
+            left = todo.pop()
+            for part in _components(left):
+                inside, head = set(part), min(part, key=lambda n: (depth[n], n))
+                cut |= {(n, head) for n in part if head in left[n]}
+                todo.append({n: [m for m in left[n] if m in inside and m != head] for n in part})
+        return cls(set(starts), {n: [m for m in on.get(n, ()) if (n, m) not in cut] for n in depth}, sorted(cut))
+
+    def nodes(self) -> Iterator[tuple]:
+        """(node, level, ways, first, start) as ``Levels.lists`` has them."""
+        waits, before = {n: len(ways) for n, ways in self.kept.items()}, defaultdict(list)
+        for n, ways in self.kept.items():
+            for m in ways:
+                before[m].append(n)
+        lost = {a for a, _ in self.cut}
+        ready, open_, known = [n for n, w in waits.items() if not w], set(), {}
+        for n in ready:
+            ways = self.kept[n]
+            if not ways:
+                known[n] = (0, 1)
+                if n not in lost:
+                    open_.add(n)
+            else:
+                tips = [m for m in ways if m in open_]
+                if tips:
+                    open_.add(n)
+                told = tips or ways
+                known[n] = (1 + max(known[m][0] for m in told), sum(known[m][1] for m in told))
+            for p in before[n]:
+                waits[p] -= 1
+                if not waits[p]:
+                    ready.append(p)
+        shut = [m for n in open_ for m in self.kept[n] if m not in open_]
+        seen = set(shut)
+        for n in shut:
+            new = [m for m in self.kept[n] if m not in seen]
+            seen.update(new)
+            shut += new
+        for n, (level, ways) in known.items():
+            first = min((known[p][0] for p in before[n]), default=None)
+            yield n, None if n in seen else level, None if n in seen else str(ways), first, n in self.starts
+
+    def loops(self) -> Iterator[tuple]:
+        """(src, dst, node) as ``Levels.cycles`` has them."""
+        before = defaultdict(list)
+        for n, ways in self.kept.items():
+            for m in ways:
+                before[m].append(n)
+        for src, dst in self.cut:
+            back, stack = {src}, [src]
+            while stack:
+                n = stack.pop()
+                if n != dst:
+                    new = [m for m in before[n] if m not in back]
+                    back.update(new)
+                    stack += new
+            led, stack = {dst} & back, [n for n in [dst] if n in back]
+            while stack:
+                new = [m for m in self.kept[stack.pop()] if m in back and m not in led]
+                led.update(new)
+                stack += new
+            yield from ((src, dst, n) for n in led)
+
+
+def _small(take):
+    """For each group of rows (kind, a, b), edges of kind 0 and starts of kind 1, what ``take`` has of its levels."""
+
+    def run(_, rows: list[tuple]) -> Iterable[tuple]:
+        return take(SmallLevels.of([(a, b) for kind, a, b in rows if not kind], {a for kind, a, _ in rows if kind}))
+
+    return run
+
+
 @dataclass(frozen=True)
 class Levels:
     """What walks from the starts come to. ``lists`` (head, n, tail, level, ways, first: the lowest level of a list that leads here, start) are unforked stretches, level and ways those of their tail; ``nodes``
@@ -112,9 +243,12 @@ class Levels:
     members: DataFrame
     kept: DataFrame
     cut: DataFrame
+    loops: DataFrame | None = None  # of parts whose cycles need no rounds; all lists are single nodes then
 
     def nodes(self) -> DataFrame:
         """(node, level, ways): tips have level 0, others one more than their highest child; ways counts the paths to tips."""
+        if self.loops is not None:
+            return self.lists.select(F.col("head").alias("node"), F.col("level").cast("int").alias("level"), "ways")
         return self.members.join(self.lists.select("head", "n", "level", "ways"), "head").select("node", (F.col("level") + F.col("n") - 1 - F.col("pos")).cast("int").alias("level"), "ways")
 
     def max_paths(self) -> DataFrame:
@@ -131,6 +265,8 @@ class Levels:
 
     def cycles(self, rounds: int = 10_000) -> DataFrame:
         """(src, dst, node): for each step that was cut (from node src to node dst) the nodes of its loop: dst, and what leads to src without passing it."""
+        if self.loops is not None:
+            return self.loops
         tails = self.lists.select(F.col("head").alias("_h"), "tail")
         back = self.kept.select(F.col("dst").alias("_at"), F.col("src").alias("_to"))
         near = written(self.cut.select("src", "dst", F.col("src").alias("head")), "cycles")
@@ -172,8 +308,47 @@ def spread_within(kept: DataFrame, rows: DataFrame, rounds: int = 10_000) -> Dat
     return out
 
 
+@dataclass(frozen=True)
+class BothLevels(Levels):
+    """Levels of parts that fit a task, and of those in rounds."""
+
+    rest: Levels | None = None
+
+    def nodes(self) -> DataFrame:
+        return self.lists.join(self.rest.lists.select("head"), "head", "left_anti").select(F.col("head").alias("node"), F.col("level").cast("int").alias("level"), "ways").unionByName(self.rest.nodes())
+
+    def cycles(self, rounds: int = 10_000) -> DataFrame:
+        return self.loops.unionByName(self.rest.cycles(rounds))
+
+
 def levels(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> Levels:
-    """Levels of what walks from starts (column node) come to along edges (src, dst), cycles cut open.
+    """Levels of what walks from starts (column node) come to along edges (src, dst) of integers, cycles cut open. Connected parts of at most ``rounds`` nodes are solved in a task each, with many
+    parts in a task's stream; larger ones in rounds of joins."""
+    kind = edges.schema["src"].dataType.simpleString()
+    parts, large = in_parts(edges, rounds, "levels")
+    of = lambda df, node: df.join(parts.select(F.col("node").alias("_id"), "part"), F.col(node) == F.col("_id"), "left")
+    none = F.lit(0).cast(kind)
+    part = F.coalesce("part", F.col("src").cast("long"))  # what leads only to itself is on no part
+    rows = of(edges, "src").select(part.alias("part"), F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").cast(kind).alias("b"))
+    begin = of(starts.select("node"), "node").select(F.coalesce("part", F.col("node").cast("long")).alias("part"), F.lit(1).alias("kind"), F.col("node").cast(kind).alias("a"), none.alias("b"))
+    rows = written(rows.unionByName(begin), "levels-rows")
+    few = rows if large is None else rows.join(F.broadcast(large) if bounded(large, 10_000) else large, "part", "left_anti")
+    lists = in_groups(few, _small(SmallLevels.nodes), f"head {kind}, level long, ways string, first long, start boolean")
+    lists = lists.select("head", F.lit(1).cast("long").alias("n"), F.col("head").alias("tail"), "level", F.col("ways").cast("decimal(38,0)").alias("ways"), "first", "start")
+    kept = in_groups(few, _small(lambda lv: ((n, m) for n, ways in lv.kept.items() for m in ways)), f"src {kind}, dst {kind}")
+    cut = in_groups(few, _small(lambda lv: lv.cut), f"src {kind}, dst {kind}")
+    loops = in_groups(few, _small(SmallLevels.loops), f"src {kind}, dst {kind}, node {kind}")
+    members = lists.select(F.col("head").alias("node"), "head", F.lit(0).cast("long").alias("pos"))
+    if large is None:
+        return Levels(lists, members, kept, cut, loops)
+    many = written(rows.join(large, "part", "left_semi"), "levels-many")
+    rest = levels_in_rounds(many.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")), many.where("kind = 1").select(F.col("a").alias("node")), rounds)
+    both = lambda x, y: x.unionByName(y.select(*x.columns))
+    return BothLevels(both(lists, rest.lists), both(members, rest.members), both(kept, rest.kept), both(cut, rest.cut), loops, rest)
+
+
+def levels_in_rounds(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> Levels:
+    """``levels`` in rounds of joins; nodes are of any type that has an order.
 
     A node all of whose ways on are cut has no level where another way leads to a tip: paths to it aren't counted. Where no tip can be come to at all, such nodes are the tips, so a ring
     has one path."""

@@ -26,6 +26,12 @@ class AssemblyGraph:
     def edges(self) -> DataFrame:
         return oriented_edges(self.arcs)
 
+    def edges_as_they_come(self) -> DataFrame:
+        """The same in the tasks that hold the arcs; some may come twice."""
+        a = self.arcs.select(oriented(F.col("begin_id"), F.col("begin_fwd")).alias("src"), oriented(F.col("end_id"), F.col("end_fwd")).alias("dst"))
+        both = F.array(F.struct("src", "dst"), F.struct((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst")))
+        return a.select(F.explode(both).alias("e")).select("e.*")
+
     def coverage(self) -> DataFrame:
         return self.nodes.withColumn("coverage", F.col("cov_sum") / F.col("length"))
 

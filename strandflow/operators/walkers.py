@@ -12,15 +12,13 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from strandflow.functions.trails import oriented
 from strandflow.lineage import near_components, written
 from strandflow.operators.graph import AssemblyGraph
+from strandflow.operators.streams import grouped_rows, in_groups  # noqa: F401
 from strandflow.operators.traverse import min_distances
 
 
@@ -545,44 +543,6 @@ def _local_rows(names: str, nodes: DataFrame, edges: DataFrame, reads: DataFrame
     return rows
 
 
-def grouped_rows(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]]:
-    """(group, rows) of frames that are sorted by their first column, the group, which their rows leave out."""
-    key, held = None, []
-    for pdf in frames:
-        group = pdf.iloc[:, 0].to_numpy()
-        rows = list(zip(*(pdf.iloc[:, i].tolist() for i in range(1, pdf.shape[1]))))
-        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(rows)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            if held and group[lo] != key:
-                yield int(key), held
-                held = []
-            key = group[lo]
-            held = held + rows[lo:hi] if held else rows[lo:hi]
-    if held:
-        yield int(key), held
-
-
-def in_groups(rows: DataFrame, found: Callable[[int, list[tuple]], Iterable[tuple]], schema: str, most: int = 4096) -> DataFrame:
-    """What ``found`` gives for each group (first column) of ``rows``: many small groups are one task's stream, without a frame of their own."""
-    names = [c.name for c in StructType.fromDDL(schema)]
-
-    def run(frames):
-        out = []
-        for key, some in grouped_rows(frames):
-            for row in found(key, some):
-                out.append(row)
-                if len(out) >= most:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, rows.columns[0]).sortWithinPartitions(rows.columns[0]).mapInPandas(run, schema)
-
-
 def _walked(rows: DataFrame, k: int, walk: Callable[[LocalGraph], Iterable[tuple]], schema: str, by_start: bool) -> DataFrame:
     def found(key: int, some: list[tuple]) -> Iterable[tuple]:
         part = [[], [], [], [], []]  # nodes, arcs, reads, probes, gaps

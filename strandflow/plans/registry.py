@@ -376,8 +376,9 @@ levels AS (SELECT node, CASE WHEN node NOT IN (SELECT node FROM below) THEN leve
 
 def _levels(spark, sf_dir):
     """Levels of what the beginnings of the graph of orders come to."""
-    e = tb.thread_graph(spark, sf_dir).edges()
-    return cy.levels(e, e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti"))
+    e = tb.thread_graph(spark, sf_dir).edges_as_they_come()
+    ends = e.select(F.col("src").alias("node"), F.lit(True).alias("out")).unionByName(e.select(F.col("dst").alias("node"), F.lit(False).alias("out")))
+    return cy.levels(e, ends.groupBy("node").agg(F.bool_and("out").alias("first")).where("first").select("node"))
 
 
 @query(f"WITH RECURSIVE {_LEVELS} SELECT CAST(node AS BIGINT) AS node, CAST(level AS BIGINT) AS level FROM levels")

@@ -148,3 +148,19 @@ def test_a_ring_has_one_path(spark):
     from strandflow.plans import pipelines as pl
 
     assert tuple(pl.count_paths(graph(spark, "12 23 31")).first()) == (1, 1)
+
+
+def test_parts_of_any_size_are_solved_alike(spark, monkeypatch):
+    """Small parts in a task each, without a round; a part of more nodes than rounds are allowed in rounds."""
+    rng = random.Random(5)
+    edges = [(base + rng.randrange(7), base + rng.randrange(7)) for base in range(0, 300, 10) for _ in range(10)]
+    starts = list(range(0, 300, 10))
+    large = edges + [(1000 + i, 1001 + i) for i in range(14)] + [(1005, 1003), (1002, 1008), (1000, 1000)]
+    known, most, least, cut, lv = found(spark, large, [*starts, 1000])
+    monkeypatch.setattr(cy, "levels", lambda e, s, whole=cy.levels: whole(e, s, 12))
+    known_, most_, least_, cut_, both = found(spark, large, [*starts, 1000])
+    assert type(both) is cy.BothLevels and (known_, most_, least_, cut_) == (known, most, least, cut) == brute(large, [*starts, 1000])
+    assert sorted(both.cycles().collect()) == sorted(lv.cycles().collect())
+    monkeypatch.undo()
+    monkeypatch.setattr(cy, "spread", lambda *a, **o: 1 / 0)
+    assert found(spark, edges, starts)[:4] == brute(edges, starts)
