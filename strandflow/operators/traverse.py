@@ -6,6 +6,8 @@ A result is what lies within the leash.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -153,14 +155,28 @@ def explore(edges: DataFrame, nodes: DataFrame, starts: DataFrame, k: int, leash
     return done.select("source", "path", "fate")
 
 
-def paths_between(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, leash: int, max_paths: int | None = 2196, rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Acyclic paths for pairs (pair_id, start, stop) whose node lengths before the last add up to the leash at most: (pair_id, path), and
-    (pair_id, max_paths_exceeded). A pair with more than ``max_paths`` has none. Paths are read back from the steps that lead to their goal within the leash."""
-    from strandflow.operators.programme import path_steps
+def _read_back(leash: int):
+    """For one pair's rows (kind, a, b, rest, w), steps of kind 0 and the pair of kind 1, its acyclic paths one by one."""
 
-    ends = pairs.select("pair_id", "start", "stop")
-    steps = path_steps(edges, nodes, ends, leash).join(_lengths(nodes), F.abs("src") == F.col("_id")).select("pair_id", "src", "dst", "rest", "_len")
-    steps = written(steps, "paths-steps")
+    def run(name: str, rows: list[tuple]) -> Iterator[tuple]:
+        on = defaultdict(list)
+        for kind, a, b, rest, w in rows:
+            if not kind:
+                on[a].append((b, rest, w))
+        for start, stop in [(a, b) for kind, a, b, _, _ in rows if kind]:
+            stack = [([start], 0)]
+            while stack:
+                path, bp = stack.pop()
+                if path[-1] == stop:
+                    yield name, path
+                    continue
+                stack += [([*path, m], bp + w) for m, rest, w in on.get(path[-1], ()) if m not in path and bp + w + rest <= leash]
+
+    return run
+
+
+def _paths_in_rounds(steps: DataFrame, ends: DataFrame, leash: int, rounds: int) -> DataFrame:
+    """(pair_id, path): the same in rounds of joins."""
     live = written(ends.select("pair_id", "stop", F.array("start").alias("path"), F.lit(0).cast("long").alias("bp")), "paths")
     done = live.where("element_at(path, -1) = stop")
     for _ in range(rounds):
@@ -173,7 +189,28 @@ def paths_between(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, leash: i
         done = done.unionByName(live.where("element_at(path, -1) = stop"))
     else:
         raise RuntimeError(_UNFINISHED)
-    done = done.select("pair_id", "path")
+    return done.select("pair_id", "path")
+
+
+def paths_between(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, leash: int, max_paths: int | None = 2196, rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Acyclic paths for pairs (pair_id, start, stop) whose node lengths before the last add up to the leash at most: (pair_id, path), and
+    (pair_id, max_paths_exceeded). A pair with more than ``max_paths`` has none. Paths are read back from the steps that lead to their goal within the leash."""
+    from strandflow.operators.programme import pairs_of_size, path_steps
+    from strandflow.operators.streams import in_groups
+
+    ends = pairs.select("pair_id", "start", "stop")
+    steps = path_steps(edges, nodes, ends, leash).join(_lengths(nodes), F.abs("src") == F.col("_id")).select("pair_id", "src", "dst", "rest", "_len")
+    steps = written(steps, "paths-steps")
+    few, many = pairs_of_size(steps, min(rounds, 10_000))
+    name, kind = ends.schema["pair_id"].dataType.simpleString(), ends.schema["start"].dataType.simpleString()
+    mine = ends if many is None else ends.join(many.select("pair_id").distinct(), "pair_id", "left_anti")
+    none = F.lit(0).cast("long")
+    row = lambda df, n, a, b, rest, w: df.select(F.col("pair_id").cast("string").alias("pair"), F.lit(n).alias("kind"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), rest.alias("rest"), w.alias("w"))
+    rows = row(few, 0, "src", "dst", F.col("rest"), F.col("_len")).unionByName(row(mine, 1, "start", "stop", none, none))
+    done = in_groups(rows, _read_back(leash), f"pair string, path array<{kind}>").select(F.col("pair").cast(name).alias("pair_id"), "path")
+    if many is not None:
+        theirs = written(many, "paths-many")
+        done = done.unionByName(_paths_in_rounds(theirs, ends.join(theirs.select("pair_id").distinct(), "pair_id", "left_semi"), leash, rounds))
     if max_paths is None:
         return done, pairs.select("pair_id", F.lit(False).alias("max_paths_exceeded"))
     done = written(done, "paths-done")

@@ -319,7 +319,7 @@ def explore_paths(spark, sf_dir):
 def gap_paths(spark, sf_dir):
     """All acyclic paths within a leash from each customer's first order to the last."""
     g = tb.thread_graph(spark, sf_dir)
-    out, _ = tv.paths_between(g.edges(), g.nodes, tb.thread_pairs(spark, sf_dir), 150, max_paths=None)
+    out, _ = tv.paths_between(g.edges_as_they_come(), g.nodes, tb.thread_pairs(spark, sf_dir), 150, max_paths=None)
     return out.select("pair_id", tr.ids_only(F.col("path")).alias("path"))
 
 
@@ -334,7 +334,7 @@ steps AS (SELECT f.pair_id, e.src, e.dst, f.used + n.length AS used, b.rest FROM
 
 def _programme(spark, sf_dir):
     g, pairs = tb.thread_graph(spark, sf_dir), tb.thread_pairs(spark, sf_dir)
-    return path_steps(g.edges(), g.nodes, pairs, 100), pairs
+    return path_steps(g.edges_as_they_come(), g.nodes, pairs, 100), pairs
 
 
 @query(f"WITH RECURSIVE {_PROGRAMME} SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(used AS BIGINT) AS used, CAST(rest AS BIGINT) AS rest FROM steps")
