@@ -176,6 +176,47 @@ def test_unitigs_against_brute_force(spark, k, n):
     assert len(placed) >= len(reads)
 
 
+def test_linked_kmers_of_a_task_are_ranked_as_one(spark, monkeypatch):
+    from strandflow.operators import build as bd
+
+    links, plain = [], bd.list_ranks
+    monkeypatch.setattr(bd, "list_ranks", lambda df, tag: links.append(df.count()) or plain(df, tag))
+    rng = random.Random(9)
+    seq = "".join(rng.choice("ACGT") for _ in range(4000))
+    g = bd.build_graph(spark.createDataFrame([(1, seq)], "read_id long, seq string"), 21, track_reads=False)
+    assert [r.seq for r in g.unitigs.collect()] == [min(seq, rc(seq))]
+    assert 0 < sum(links) < 3980  # each k-mer's two readings had a link of their own
+
+
+def ring_text(ring, k):
+    """A ring from its smallest k-mer on, in the direction of the smaller text."""
+    turns = [(x[i:] + x[:i]) * (1 + k) for x in (ring, rc(ring)) for i in range(len(ring))]
+    text = min(turns, key=lambda x: x[:k])[: len(ring) + k - 1]
+    return min(text, rc(text))
+
+
+@pytest.mark.parametrize("k, n", [(3, 25), (5, 60), (9, 200), (31, 300), (33, 300)])
+def test_stretches_over_many_tasks(spark, k, n):
+    from strandflow.operators.build import compacted
+
+    rng = random.Random(k)
+    genome = "".join(rng.choice("ACGT") for _ in range(n))
+    rings = ["".join(rng.choice("ACGT") for _ in range(m)) for m in (20, 90)] if k > 5 else []
+    reads = [genome[i : i + 3 * k] for i in range(0, n - 3 * k, k)] + [genome, rc(genome[:50]) + genome[20:60], "A" * (k + 3), "ACGT" * 12, "A" * k + genome[:40] + "T" * k]
+    reads += [r * (2 + k // len(r)) for r in rings] + [None, "", "ACGTN", "N" * 40]
+    want = Counter()
+    for (key, total), m in unitigs(brute(reads, k), k).items():
+        if key[0] != "ring":
+            want[key, total] += m
+            continue
+        words = set(key[1:])
+        of = next((r for r in rings if min(r2 := (r * (1 + k))[:k], rc(r2)) in words), "ACGT")
+        want[ring_text(of, k), total] += m
+    df = spark.createDataFrame([(s, 1) for s in reads], "seq string, w int")
+    for options in ({}, {"hot": 1, "cells": 1, "block": 3}, {"m": 3, "cells": 1}):
+        assert Counter((r.seq, r.cov_sum) for r in compacted(df, k, **options).collect()) == want, options
+
+
 @pytest.mark.parametrize("k", [1, 4, 7, 33])
 def test_occurrences_meet_their_keys(spark, k):
     rng = random.Random(k)
