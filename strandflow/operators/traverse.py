@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.lineage import connected_components, forget, measured, written
+from strandflow.lineage import bounded, connected_components, dealt, forget, measured, written
 
 _UNFINISHED = "the traversal isn't finished after so many rounds"
+_BROADCAST = 1_000_000  # rows of two numbers
 
 
 class _Grown:
@@ -42,8 +43,9 @@ def min_distances(
     edges: DataFrame, nodes: DataFrame, starts: DataFrame, leash: int | None = None, ignore_directions: bool = False,
     max_nodes: int | None = None, far_edges: DataFrame | None = None, rounds: int = 10_000,
 ) -> DataFrame:
-    """(source, node, dist) from starts (source, start).
+    """(source, node, dist) from starts (source, start). Edges may come more than once.
 
+    Of the edges only those are kept whose node can be left: a start, or one that is no longer than the leash.
     ``ignore_directions``: a node may be left by either side and both sides are reported with the smaller distance.
     ``far_edges`` (src, dst, gap): neighbours at a further distance, below 0 counting as 0. ``max_nodes``: only the nearest so many
     node ids beyond the start, with all ties of the last."""
@@ -54,27 +56,37 @@ def min_distances(
         flipped = steps.select((-F.col("src")).alias("src"), "dst", "gap")
         steps = steps.unionByName(flipped)
         steps = steps.unionByName(steps.select("src", (-F.col("dst")).alias("dst"), "gap"))
-    steps = steps.join(_lengths(nodes), F.abs("src") == F.col("_id")).groupBy("src", "dst", "_len").agg(F.min("gap").alias("gap"))
-    steps = written(steps, "dist-steps")
+    count = F.count(F.lit(1))
+    left = _lengths(nodes)
+    if leash is not None:
+        first = starts.select(F.abs("start").alias("_id"), F.lit(True).alias("_first")).distinct()
+        left = left.join(first, "_id", "left").where((F.col("_len") <= leash) | F.col("_first")).drop("_first")
+    left = written(left, "dist-left")
+    steps = steps.join(F.broadcast(left) if bounded(left, _BROADCAST) else left, F.abs("src") == F.col("_id")).select("src", "dst", "_len", "gap")
+    given, seen = measured(steps, "dist-given", n=count)
+    steps = written(dealt(given, seen["n"], "src", "dst").groupBy("src", "dst", "_len").agg(F.min("gap").alias("gap")), "dist-steps")
+    forget(given, left)
     limit = F.lit(True) if leash is None else F.col("dist") <= leash
     seed = starts.select("source", F.explode(F.array("start", -F.col("start")) if ignore_directions else F.array("start")).alias("node")).distinct()
-    front, seen = written(seed.withColumn("dist", F.lit(0).cast("long")), "dist"), _Grown("dist-seen")
+    (front, new), seen = measured(seed.withColumn("dist", F.lit(0).cast("long")), "dist", n=count), _Grown("dist-seen")
     seen.add(front)
+    rows = new["n"]
     cost = F.lit(0).cast("long")  # of leaving a start
     for _ in range(rounds):
         found = front.join(steps, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("gap") + cost).alias("dist")).where(limit)
         found = written(found.groupBy("source", "node").agg(F.min("dist").alias("dist")), "dist-found")
         # only what is known of the nodes just found is read again
         known = seen.all().join(found.select("source", "node"), ["source", "node"], "left_semi").groupBy("source", "node").agg(F.min("dist").alias("_old"))
-        front = written(found.join(known, ["source", "node"], "left").where("_old is null or dist < _old").select("source", "node", "dist"), "dist")
+        front, new = measured(found.join(known, ["source", "node"], "left").where("_old is null or dist < _old").select("source", "node", "dist"), "dist", n=count)
         forget(found)
-        if not front.limit(1).count():
+        if not new["n"]:
             break
         seen.add(front)
+        rows += new["n"]
         cost = F.col("_len")
     else:
         raise RuntimeError(_UNFINISHED)
-    out = seen.all().groupBy("source", "node").agg(F.min("dist").alias("dist"))
+    out = dealt(seen.all(), rows, "source", "node").groupBy("source", "node").agg(F.min("dist").alias("dist"))
     if max_nodes is not None:
         ids = out.groupBy("source", F.abs("node").alias("_a")).agg(F.min("dist").alias("_d"))
         ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy("_d", "_a")))

@@ -261,8 +261,8 @@ best AS (SELECT source, node, min(dist) AS dist FROM r GROUP BY ALL)"""
 @query(f"WITH RECURSIVE {NODES_SQL}, {ARCS_SQL}, {_STARTS}, {_dist_sql(3)} SELECT source, CAST(node AS BIGINT) AS node, dist FROM best")
 def min_distances(spark, sf_dir):
     """Shortest distances from probe nodes within a leash, over the whole graph."""
-    e = gr.oriented_edges(tb.arcs(spark, sf_dir))
-    d = tv.min_distances(e, tb.nodes(spark, sf_dir), _starts(spark, sf_dir), 3)
+    g = gr.AssemblyGraph(tb.nodes(spark, sf_dir), tb.steps(spark, sf_dir), 31)
+    d = tv.min_distances(g.edges_as_they_come(), g.nodes, _starts(spark, sf_dir), 3)
     return d.withColumn("node", F.col("node").cast("long"))
 
 

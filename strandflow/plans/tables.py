@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandflow.lineage import dealt
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CYCLE = ("ACGT" * 7)[:26]
 HEX, HEX_BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
@@ -70,12 +72,19 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(begin_id, begin_fwd, end_id, end_fwd): a row for each two consecutive line items of an order."""
+    items = table(spark, sf_dir, "lineitem")
+    items = dealt(items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"), items.count(), "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     here = (F.col("l_partkey") + 1).cast("int")
     fwd = F.col("l_returnflag") != "R"
-    steps = table(spark, sf_dir, "lineitem").select(here.alias("begin_id"), fwd.alias("begin_fwd"), F.lead(here).over(w).alias("end_id"), F.lead(fwd).over(w).alias("end_fwd"))
-    return steps.where("end_id is not null").groupBy("begin_id", "begin_fwd", "end_id", "end_fwd").agg(F.count("*").alias("mult"))
+    return items.select(here.alias("begin_id"), fwd.alias("begin_fwd"), F.lead(here).over(w).alias("end_id"), F.lead(fwd).over(w).alias("end_fwd")).where("end_id is not null")
+
+
+def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = ["begin_id", "begin_fwd", "end_id", "end_fwd"]
+    return dealt(steps(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), *ends).groupBy(*ends).agg(F.count("*").alias("mult"))
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:

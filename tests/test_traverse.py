@@ -134,3 +134,29 @@ def test_distances_over_many_rounds(spark, monkeypatch):
     e = spark.createDataFrame(arcs, "src int, dst int")
     nodes = spark.createDataFrame([(n, 10 if n != 3 else 100) for n in range(1, 13)], "node_id int, length int")
     assert as_dict(tv.min_distances(e, nodes, starts(spark, 1))) == {1: 0, 2: 0, 3: 10} | {n: 110 + 10 * (n - 4) for n in range(4, 9)} | {n: 110 + 10 * (n - 9) for n in range(9, 13)}
+
+
+def test_only_edges_that_can_be_left_are_kept(spark, monkeypatch):
+    kept, plain = {}, tv.written
+    monkeypatch.setattr(tv, "written", lambda df, tag: kept.update({tag: plain(df, tag)}) or kept[tag])
+    g = graph(spark, "12 23 34 45 51", lengths={1: 90, 2: 10, 3: 40, 4: 10, 5: 60})
+    edges = g.edges_as_they_come().unionByName(g.edges())  # some come twice
+    assert as_dict(tv.min_distances(edges, g.nodes, starts(spark, 1), leash=30)) == {1: 0, 2: 0, 3: 10}
+    assert sorted((r.src, r.dst) for r in kept["dist-steps"].collect()) == [(-4, -3), (-2, -1), (-1, -5), (1, 2), (2, 3), (4, 5)]
+
+
+def test_tasks_grow_in_number_with_rows(spark):
+    from strandflow.lineage import dealt
+
+    df = spark.range(10)
+    assert [dealt(df, n, "id", most=100).rdd.getNumPartitions() for n in (10, 400, 401, 5000)] == [4, 4, 5, 50]
+
+
+def test_arcs_are_grouped_by_tasks_of_bounded_size(spark, monkeypatch):
+    from strandflow.plans import tables as tb
+
+    asked, plain = [], tb.dealt
+    monkeypatch.setattr(tb, "dealt", lambda df, rows, *keys: asked.append((rows, keys)) or plain(df, rows, *keys, most=1000))
+    n = tb.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    arcs = tb.arcs(spark, "/root/testdata/sf0.001")
+    assert [x[0] for x in asked] == [n, n] and arcs.rdd.getNumPartitions() == -(-n // 1000)
