@@ -48,6 +48,17 @@ def test_counted_kmers_are_written_nowhere(spark, monkeypatch):
     assert counted(df, 21, hot=1).count() and tables and not any("kmer" in t for t in tables)
 
 
+def test_counts_of_busy_minimizers_are_whole_and_come_as_stretches_do(spark):
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(900)) for _ in range(6)]
+    found = counted(spark.createDataFrame([(s,) for s in seqs * 2], "seq string"), 51, hot=1)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()  # each k-mer was shuffled, to add its counts up
+    found = [r.kmer for r in found.collect()]
+    assert Counter(found) == Counter(set(brute(seqs, 51)))
+    near = lambda a, b: any(a[d:] == b[: 51 - d] or b[d:] == a[: 51 - d] for d in range(1, 6))
+    assert sum(any(near(a, b) for a in found[max(0, i - 6) : i]) for i, b in enumerate(found)) > len(found) / 2  # sorted ones compress badly
+
+
 def test_lengths_of_kmers(spark):
     df = spark.createDataFrame([("ACGT",)], "seq string")
     for k in (0, 256):
