@@ -98,8 +98,12 @@ def _counted(k: int, both_strands: bool, names: list[str], bases: int = 1 << 22)
             rows = zip(*(part.column(i).to_pylist() for i in range(len(names))))
             group = np.array([keys.setdefault(r, len(keys)) for r in rows], np.int64)
             _, first = np.unique(group, return_index=True)
-        order = np.lexsort([code, group[of]])
-        g, c = group[of][order], code[order]
+        if len(group) and int(group.max()) < 1 << 62 - 2 * k:
+            both = np.sort(group[of] << 2 * k | code)
+            g, c = both >> 2 * k, both & (1 << 2 * k) - 1
+        else:
+            order = np.lexsort([code, group[of]])
+            g, c = group[of][order], code[order]
         cut = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]))) if len(c) else np.empty(0, int)
         n = np.diff(np.append(cut, len(c)))
         other: dict = {}
@@ -110,7 +114,8 @@ def _counted(k: int, both_strands: bool, names: list[str], bases: int = 1 << 22)
             other[int(group[i]), w] = other.get((int(group[i]), w), 0) + 1
         at = pa.array(first[np.concatenate([g[cut], np.array([x for x, _ in other], np.int64)])] if len(cut) or other else np.empty(0, np.int64))
         columns = [part.column(i).take(at) for i in range(len(names))]
-        columns += [pa.array([*c[cut].tolist(), *[None] * len(other)], pa.int64()), pa.array([*[None] * len(cut), *[w for _, w in other]], pa.string()), pa.array([*n.tolist(), *other.values()], pa.int64())]
+        columns += [pa.concat_arrays([pa.array(c[cut], pa.int64()), pa.nulls(len(other), pa.int64())]), pa.concat_arrays([pa.nulls(len(cut), pa.string()), pa.array([w for _, w in other], pa.string())])]
+        columns += [pa.array(np.concatenate([n, np.array([*other.values()], np.int64)]), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, [*names, "code", "text", "n"])
 
     return run

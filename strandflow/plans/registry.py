@@ -109,8 +109,7 @@ def kmer_path_filter(spark, sf_dir):
 def kmer_depths(spark, sf_dir):
     """Depth of every k-mer of every text in the English and French ones."""
     wide = _abundance(spark, sf_dir).select("kmer", F.array("en", "fr").alias("counts"))
-    table = wide.unionByName(wide.select(sq.revcomp(F.col("kmer")).alias("kmer"), "counts")).dropDuplicates(["kmer"])
-    return km.depths(tb.dna(spark, sf_dir), table, K, 2, "doc_id").withColumn("position", F.col("position").cast("long"))
+    return km.depths(tb.dna(spark, sf_dir), wide, K, 2, "doc_id", both_strands=True).withColumn("position", F.col("position").cast("long"))
 
 
 _WHITE_SQL = f"w0 AS (SELECT DISTINCT substr(translate(md5(CAST(p_partkey AS VARCHAR)), '{tb.HEX}', '{tb.HEX_BASES}'), 1, 8) AS kmer FROM part), white AS (SELECT kmer FROM w0 UNION SELECT {_rc('kmer')} FROM w0), " \

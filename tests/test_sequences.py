@@ -312,6 +312,24 @@ def test_short_kmers_of_paths_are_not_shuffled(spark):
         assert {r.path_id for r in found.collect()} == {i for i, x in words.items() if all(n[w] >= 6 for w in x)} | {80}
 
 
+def test_depths_of_short_kmers_are_not_shuffled(spark):
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choice("ACGT" if i % 4 else "ACGTNa\u00e9") for _ in range(rng.randrange(0, 60)))) for i in range(50)] + [(50, None), (51, "ACGT")]
+    df = spark.createDataFrame(rows, "path_id int, seq string").repartition(3)
+    words = {"".join(rng.choice("ACGT") for _ in range(5)) for _ in range(300)}
+    for both, odd, big in ((False, [], 1), (True, [], 1 << 40), (False, ["ACNGT", "CGa\u00e9A", "ACG"], 1), (True, ["ACNGT"], -1)):
+        named = {min(w, rc(w)) if both else w: (i * big, i + 1) for i, w in enumerate([*sorted(words), *odd, *[s[:5] for _, s in rows[:20:4] if odd and not both]])}
+        table = spark.createDataFrame([(w, [*n]) for w, n in named.items()], "kmer string, counts array<long>")
+        found = km.depths(df, table, 5, 2, both_strands=both)
+        if not odd:
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "hashpartitioning" not in plan
+        of = lambda w: named.get(w) or (named.get(rc(w)) if both else None) or (0, 0)
+        assert sorted(map(tuple, found.collect())) == sorted((i, p, *of(s[p : p + 5])) for i, s in rows if s for p in range(len(s) - 4))
+    twice = spark.createDataFrame([("ACGTA", [1]), ("ACGTA", [2])], "kmer string, counts array<long>")
+    assert sorted(r.coverage1 for r in km.depths(spark.createDataFrame([(1, "ACGTAC")], "path_id int, seq string"), twice, 5, 1).collect()) == [0, 1, 2]
+
+
 def test_reads_are_selected_by_bits_of_short_kmers(spark):
     rng = random.Random(12)
     rows = [(f"r{i:03}", "".join(rng.choice("ACGT" if i % 4 else "ACGTNacgt") for _ in range(rng.randrange(0, 60)))) for i in range(90)] + [("s", None), ("t", "\u20acACGTAC")]
