@@ -18,7 +18,7 @@ from strandflow.functions import longkmers as lk
 from strandflow.functions.sequence import revcomp
 from strandflow.lineage import bounded, global_rank, written
 from strandflow.operators.graph import AssemblyGraph
-from strandflow.operators.superkmers import HOT, MINIMIZER, joined_bases, unfolded
+from strandflow.operators.superkmers import HOT, MINIMIZER, cut_bases, in_pieces, joined_bases, once, unfolded, weights_at
 from strandflow.ranking import list_ranks
 
 
@@ -56,22 +56,38 @@ def _collected(found, most: int):
 
 
 def _runs(k: int, m: int, most: int = 256, bases: int = 1 << 18):
-    """Stretches of (seq, weight) rows by the minimizer of their overlaps."""
-
-    def cut(text: bytes):
-        codes = lk.codes_of(text)
-        edges = np.flatnonzero(np.diff(codes < 4, prepend=False, append=False))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            for lo in range(a, b - k + 1, bases):  # long sequences in pieces
-                piece = codes[lo : min(lo + bases + k - 1, b)]
-                for value, i, j, flags in _spans(lk.minimizers(piece, k - 1, m).astype(np.int64), most):
-                    yield value, 0, flags, piece[i : j + k - 1].tobytes()
-
-    def run(batches):
-        rows = ((text, w) for batch in batches for text, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        yield from _collected(((key, w) for text, w in rows for key in cut((text or "").encode())), 4 * bases)
-
-    return run
+    """Stretches of (seq, weight) rows by the minimizer of their overlaps, with flags as ``_spans`` gives them."""
+
+    def out(texts: list, weights: list):
+        codes = lk.codes_of(b"\n".join(texts))
+        if len(codes) < k:
+            return
+        bad = np.concatenate([[0], np.cumsum(codes > 3)])
+        pure = np.concatenate([[False], bad[k - 1 :] == bad[: 1 - k], [False]])  # of overlaps, shifted by one
+        owner = lk.minimizers(codes & 3, k - 1, m)
+        turn = np.concatenate([[True], owner[1:] != owner[:-1], [True]])
+        here = pure[1:-1]
+        i = np.flatnonzero(here & (turn[:-1] | ~pure[:-2]))
+        j = np.flatnonzero(here & (turn[1:] | ~pure[2:])) + 1
+        lo, hi = i - pure[i], j - ~pure[j + 1]
+        some = hi > lo
+        i, j, lo, hi = i[some], j[some], lo[some], hi[some]
+        if not len(i):
+            return
+        parts = -(-(hi - lo) // most)
+        step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+        a = lo.repeat(parts) + step
+        b = np.minimum(a + most, hi.repeat(parts))
+        flags, size = (a < i.repeat(parts)) + 2 * (b == j.repeat(parts)), b - a + k - 1
+        data = cut_bases(codes, a, size)
+        order, new = once(4 * size + flags, data)
+        cuts = np.flatnonzero(new)
+        at = order[cuts]
+        n = np.add.reduceat(weights_at(texts, weights, a)[order], cuts)
+        columns = [pa.array(owner[i].astype(np.int64).repeat(parts)[at]), pa.array(np.zeros(len(at), np.int64)), pa.array(flags[at].astype(np.int32)), pa.array(size[at].astype(np.int32)), data.take(pa.array(at)), pa.array(n)]
+        yield pa.RecordBatch.from_arrays(columns, ["minimizer", "salt", "flags", "size", "bases", "n"])
+
+    return in_pieces(out, k, bases)
 
 
 def _keys(codes: np.ndarray) -> np.ndarray:

@@ -199,6 +199,32 @@ def test_linked_kmers_of_a_task_are_ranked_as_one(spark, monkeypatch):
     assert 0 < sum(links) < 3980  # each k-mer's two readings had a link of their own
 
 
+@pytest.mark.parametrize("k, most, bases", [(5, 4, 1 << 18), (21, 3, 40), (21, 256, 1 << 18)])
+def test_runs_of_many_texts_are_cut_at_once(monkeypatch, k, most, bases):
+    import pyarrow as pa
+
+    from strandflow.operators import build as bd
+
+    calls, plain = [], lk.minimizers
+    monkeypatch.setattr(lk, "minimizers", lambda codes, k, m: calls.append(len(codes)) or plain(codes, k, m))
+    rng = random.Random(k)
+    texts = ["".join(rng.choice("ACGTACGTACGTACGTN") for _ in range(rng.randrange(0, 150))) for _ in range(30)] + [None, "", "acgt" * 30, "A" * 90, "ACGT" * (k // 4) + "A"] * 2
+    m, want = min(11, k - 1), Counter()
+    for w, text in enumerate(texts):
+        for lo in range(0, len(text or "") - k + 1, bases):
+            codes = lk.codes_of(text[lo : lo + bases + k - 1].encode())
+            edges = np.flatnonzero(np.diff(codes < 4, prepend=False, append=False))
+            for a, b in zip(edges[::2], edges[1::2]):
+                if b - a >= k:
+                    for value, i, j, flags in bd._spans(plain(codes[a:b], k - 1, m).astype(np.int64), most):
+                        want[value, flags, lk.texts(codes[a + i : a + j + k - 1][None])[0]] += w
+    found = Counter()
+    for batch in bd._runs(k, m, most, bases)([pa.record_batch([pa.array(texts), pa.array(range(len(texts)), pa.int64())], ["seq", "w"])]):
+        for value, salt, flags, size, data, n in zip(*(c.to_pylist() for c in batch.columns)):
+            found[value, flags, lk.texts(lk.unpacked(np.frombuffer(data, np.uint8)[None], size))[0]] += n
+    assert found == want and len(calls) < 30  # not one for each text
+
+
 def ring_text(ring, k):
     """A ring from its smallest k-mer on, in the direction of the smaller text."""
     turns = [(x[i:] + x[:i]) * (1 + k) for x in (ring, rc(ring)) for i in range(len(ring))]
